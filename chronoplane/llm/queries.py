@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoplane.llm import chat, counting, mixing, packing, quality
+from chronoplane.llm import chat, counting, mixing, packing, quality, search
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -48,6 +48,24 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op6_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best partners of every vector whose id is divisible by 20."""
+    return search.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     return counting.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
@@ -67,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": op3_packing,
         "op4_chat_formatting": op4_chat_formatting,
+        "op6_top_k_search": op6_top_k_search,
         "op7_token_counts": op7_token_counts,
         "op8_source_mixing": op8_source_mixing,
         "op10_quality_rules": op10_quality_rules,
@@ -74,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op6_top_k_search": OP6_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoplane.llm import chat, counting, mixing, packing, quality, search
+from chronoplane.llm import chat, counting, mixing, packing, quality, search, sharding
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -48,6 +48,11 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document."""
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op6_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best partners of every vector whose id is divisible by 20."""
     return search.top_k(_table(spark, sf_dir, "embeddings"))
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": op3_packing,
         "op4_chat_formatting": op4_chat_formatting,
+        "op5_sharding": op5_sharding,
         "op6_top_k_search": op6_top_k_search,
         "op7_token_counts": op7_token_counts,
         "op8_source_mixing": op8_source_mixing,

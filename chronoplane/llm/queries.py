@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoplane.llm import chat, counting, mixing, packing, quality, search, sharding
+from chronoplane.llm import chat, counting, mixing, packing, quality, search, sharding, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -81,6 +81,22 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages hold when they are read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("url")
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < newest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < newest THEN newest END AS refers_to
+FROM g
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of each document."""
     return quality.quality_report(_table(spark, sf_dir, "documents"))
@@ -94,9 +110,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_top_k_search": op6_top_k_search,
         "op7_token_counts": op7_token_counts,
         "op8_source_mixing": op8_source_mixing,
+        "op9_warc": op9_warc,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL, "op6_top_k_search": OP6_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op6_top_k_search": OP6_SQL, "op9_warc": OP9_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoplane.llm import chat, counting, mixing, packing, quality, search, sharding, warc
+from chronoplane.llm import chat, counting, extraction, mixing, packing, quality, search, sharding, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per piece of the packed documents."""
     return packing.pieces(packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE)))
@@ -104,6 +109,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_html_extraction": op2_html_extraction,
         "op3_packing": op3_packing,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_sharding": op5_sharding,

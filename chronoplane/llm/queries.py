@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoplane.llm import chat, counting, extraction, mixing, packing, quality, search, sharding, warc
+from chronoplane.llm import chat, counting, dedup, extraction, mixing, packing, quality, search, sharding, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
     return extraction.extract(_table(spark, sf_dir, "pages"))
@@ -109,6 +114,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op2_html_extraction": op2_html_extraction,
         "op3_packing": op3_packing,
         "op4_chat_formatting": op4_chat_formatting,

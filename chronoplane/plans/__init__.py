@@ -1 +1,14 @@
+"""The catalogue of the engine's own queries."""
 
+from chronoplane.plans import series
+from chronoplane.plans.registry import CATALOGUE
+
+__all__ = ["series"]
+
+
+def queries() -> dict:
+    return {name: f for name, (f, _) in CATALOGUE.items()}
+
+
+def oracle_sql() -> dict:
+    return {name: sql for name, (_, sql) in CATALOGUE.items() if sql}

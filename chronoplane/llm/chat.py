@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoplane.llm.tokens import encoder
+from chronoplane.llm.tokens import byte_of, encoder
 
 START, END = "<|im_start|>", "<|im_end|>"
 ASSISTANT = "assistant"
@@ -83,9 +83,7 @@ _bytes_of: dict[str, list[bytes]] = {}
 def _token_bytes(path: str) -> list[bytes]:
     """The bytes of each id: a byte-level vocabulary writes a byte as one character."""
     if path not in _bytes_of:
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        other = [b for b in range(256) if b not in plain]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+        byte = byte_of()
         library = encoder(path).library
         _bytes_of[path] = [bytes(byte[c] for c in library.id_to_token(i)) for i in range(library.get_vocab_size())]
     return _bytes_of[path]

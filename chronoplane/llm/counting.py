@@ -28,22 +28,24 @@ def frequent_lengths(path: str) -> dict[str, int]:
     return {t: len(e.ids) for t, e in zip(texts, own.library.encode_batch(texts, add_special_tokens=False))}
 
 
-_counters: dict[str, PreTokens] = {}
+_counters: dict[str, tuple[PreTokens, PreTokens]] = {}
 
 
-def _counter(path: str, frequent) -> PreTokens:
+def _counter(path: str, frequent) -> tuple[PreTokens, PreTokens]:
+    """Counts by pre-token, and by what stands between two spaces."""
     if path not in _counters:
-        first, miss = frequent.value, encoder(path).by_library
-        _counters[path] = PreTokens(lambda piece: first[piece] if piece in first else len(miss(piece)) // 4)
+        first, own = frequent.value, encoder(path)
+        known = PreTokens(lambda p: first[p] if p in first else len(own.piece(p)) // 4)
+        _counters[path] = known, PreTokens(lambda x: sum(known[p] for p in own.pieces(" " + x)))
     return _counters[path]
 
 
 def _count_json(path: str, frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, own = _counter(path, frequent).__getitem__, encoder(path)
+    own, caches = encoder(path), _counter(path, frequent)
 
     def count(text: str | None) -> int:
-        pieces = own.pieces(text or "")
-        return len(own.by_library(text)) // 4 if pieces is None else sum(map(known, pieces))
+        values = own.values(text or "", *caches)
+        return len(own.by_library(text)) // 4 if values is None else sum(values)
 
     for batch in batches:
         yield _with_counts(batch, [count(t.as_py()) for t in batch.column(2)])

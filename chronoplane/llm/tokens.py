@@ -1,61 +1,91 @@
 """Token ids as a public tokenizer library gives them, with caches of pre-tokens.
 
 A byte-level BPE encodes each pre-token on its own, so a text's ids are those of
-its pre-tokens in a row.  A worker remembers the ids of pre-tokens it has seen;
-the library encodes only what is new.  Texts with characters that two regular
-expression engines may class differently, and texts that may hold the string of
-a special token, go to the library whole.
+its pre-tokens in a row.  A worker remembers the ids of pre-tokens, and of what
+stands between two spaces, and encodes only what is new.  Single spaces are safe
+to cut at: a pre-token starts at a space unless more white space follows.  Texts
+with such runs are split by the tokenizer's own pattern.  Texts with characters
+that two regular expression engines may class differently, and texts that may
+hold the string of a special token, go to the library whole.
 """
 
 from __future__ import annotations
 
+import re
 import struct
+from collections.abc import Callable
 
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 #: The pre-token pattern of the byte-level tokenizer, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters outside plain Latin text.
 ODD = r"[^\t\n\r -~¡-¬®-ɏ]"
-#: Pre-tokens that a worker remembers before it starts anew.
-CACHE = 200_000
+#: Entries that a worker remembers of each kind; what is met later isn't kept.
+CACHE = 300_000
 
 
 class PreTokens(dict):
-    """Pre-token -> value, computed on a miss; emptied when it has grown too large."""
+    """Text -> value, computed on a miss and kept while there is room."""
 
-    def __init__(self, compute, most: int = CACHE):
+    def __init__(self, compute: Callable, most: int = CACHE):
         super().__init__()
         self._compute, self._most = compute, most
 
     def __missing__(self, piece: str):
-        if len(self) >= self._most:
-            self.clear()
-        value = self[piece] = self._compute(piece)
+        value = self._compute(piece)
+        if len(self) < self._most:
+            self[piece] = value
         return value
 
 
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
 class Encoder:
     """Ids of whole texts, as unsigned little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
+        byte = byte_of()
+        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t not in special}
+        # The same merges on bytes, without the library's cost per call.
+        self._merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self._split = regex.compile(PATTERN).findall
-        self._odd = regex.compile(ODD).search
-        self._known = PreTokens(self.by_library)
+        self._odd, self._runs = re.compile(ODD).search, re.compile(r" (?:\s|\Z)").search
+        self._known = PreTokens(self.piece)
+        self._between = PreTokens(lambda x: b"".join(map(self._known.__getitem__, self._split(" " + x))))
 
     def by_library(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def pieces(self, text: str) -> list[str] | None:
-        """The pre-tokens, or None where the library must see the text whole."""
-        return None if "<|" in text or self._odd(text) else self._split(text)
+    def piece(self, piece: str) -> bytes:
+        ids = self._merge(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def pieces(self, text: str) -> list[str]:
+        return self._split(text)
+
+    def values(self, text: str, known: PreTokens, between: PreTokens) -> list | None:
+        """The values of a text's parts, or None where the library must see it whole."""
+        if "<|" in text or self._odd(text):
+            return None
+        if self._runs(text):
+            return [known[p] for p in self._split(text)]
+        first, *rest = text.split(" ")
+        return [known[p] for p in self._split(first)] + [between[x] for x in rest]
 
     def ids(self, text: str) -> bytes:
-        pieces = self.pieces(text)
-        return self.by_library(text) if pieces is None else b"".join(map(self._known.__getitem__, pieces))
+        values = self.values(text, self._known, self._between)
+        return self.by_library(text) if values is None else b"".join(values)
 
 
 _encoders: dict[str, Encoder] = {}

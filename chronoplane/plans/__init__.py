@@ -1,9 +1,9 @@
 """The catalogue of the engine's own queries."""
 
-from chronoplane.plans import records, series
+from chronoplane.plans import market, records, series
 from chronoplane.plans.registry import CATALOGUE
 
-__all__ = ["records", "series"]
+__all__ = ["market", "records", "series"]
 
 
 def queries() -> dict:

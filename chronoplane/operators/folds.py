@@ -19,6 +19,11 @@ def known(x) -> bool:
     return x is not None and x == x and abs(x) != float("inf")
 
 
+def _plain(column: pd.Series) -> list:
+    """Values as Python objects, missing ones as None."""
+    return [None if isinstance(v, float) and v != v else v for v in column.tolist()]
+
+
 def run_fold(df: DataFrame, key: str, order: str, make: Callable, inputs: list[str], outputs: str, keep: list[str] | None = None) -> DataFrame:
     """Add the outputs of a recursion, run over each key's rows by ``order``.
 
@@ -32,7 +37,7 @@ def run_fold(df: DataFrame, key: str, order: str, make: Callable, inputs: list[s
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
         machine = make()
-        columns = [[None if v is None or v != v else v for v in pdf[c].tolist()] for c in inputs]
+        columns = [_plain(pdf[c]) for c in inputs]
         rows = [machine.step(*values) for values in zip(*columns)]
         out = pdf[carried].reset_index(drop=True)
         for i, f in enumerate(added.fields):

@@ -10,7 +10,8 @@ STATE_WEIGHTS = (1.0, 0.7, 0.3, 0.6, 0.9)
 
 
 def unit(x: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    """x within 0 and 1; unknown stays unknown."""
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
 
 
 def state_weight(p: Column, drift: Column, low: float = 1.2, high: float = 1.8, neutral: float = 0.6) -> Column:

@@ -105,7 +105,7 @@ def weighted_median(pairs: Column) -> Column:
 
 
 def exo_pretransform(x: Column) -> Column:
-    return F.log1p(F.greatest(x, F.lit(0.0)))
+    return F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0))))
 
 
 def logistic(x: Column) -> Column:

@@ -83,7 +83,7 @@ def correlation_concentration(spark, sf_dir):
 
 
 _SHARES = """c AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'error') AS b, count(*) FILTER (event_type = 'purchase') AS c,
-    count(*) FILTER (event_type = 'signup') AS d, count(*) FILTER (event_type = 'view') AS e, max(value) / 100 AS s, min(value) / 37 AS drift FROM events GROUP BY 1, 2)"""
+    count(*) FILTER (event_type = 'signup') AS d, count(*) FILTER (event_type = 'view') AS e, max(value) / 101.0 AS s, min(value) / 37 AS drift FROM events GROUP BY 1, 2)"""
 _OMEGA = "(1 - least(1.0, greatest(0.0, (abs(drift) - 1.2) / (1.8 - 1.2)))) * (1.0 * a / n + 0.7 * b / n + 0.3 * c / n + 0.6 * d / n + 0.9 * e / n) + least(1.0, greatest(0.0, (abs(drift) - 1.2) / (1.8 - 1.2))) * 0.6"
 
 
@@ -95,7 +95,7 @@ _OMEGA = "(1 - least(1.0, greatest(0.0, (abs(drift) - 1.2) / (1.8 - 1.2)))) * (1
 def risk_scores(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     kinds = ["click", "error", "purchase", "signup", "view"]
-    cells = events.groupBy("user_id", "day").agg(F.array(*[F.count_if(F.col("event_type") == k) / F.count(F.lit(1)) for k in kinds]).alias("p"), (F.max("value") / 100).alias("s"), (F.min("value") / 37).alias("drift"))
+    cells = events.groupBy("user_id", "day").agg(F.array(*[F.count_if(F.col("event_type") == k) / F.count(F.lit(1)) for k in kinds]).alias("p"), (F.max("value") / 101).alias("s"), (F.min("value") / 37).alias("drift"))
     scored = cells.withColumn("omega", risk.state_weight(F.col("p"), F.col("drift"))).withColumn("rho", risk.risk_score(F.col("omega"), F.col("s"), F.col("s")))
     return scored.select("user_id", "day", neat("omega").alias("omega"), neat("rho").alias("rho"), risk.bucket(F.col("rho"), [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]).alias("bucket"))
 

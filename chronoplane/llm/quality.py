@@ -112,9 +112,9 @@ def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
 def vector_sql() -> list[str]:
     """The coordinates as whole numbers on the grid; valid in Spark and DuckDB."""
     raw = [
-        "ln(1.0 + n_words)",
+        "ln(1e0 + n_words)",
         "ln(CAST(word_chars AS DOUBLE) / n_words)",
-        "ln(1.0 + 100.0 * n_symbols / word_chars)",
+        "ln(1e0 + 100e0 * n_symbols / word_chars)",
         "sqrt(CAST(n_dup_lines AS DOUBLE) / n_lines)",
         "sqrt(CAST(n_repeat_words AS DOUBLE) / n_words)",
     ]

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoplane.llm import chat, counting, dedup, extraction, mixing, packing, quality, search, sharding, warc
+from chronoplane.llm.quality_sql import quality_sql
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -21,6 +22,22 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+#: All pairs by shared windows: exact, and fast enough for small tables only.
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, least(len(w) + 1, 2)))) AS i FROM d)),
+s AS (SELECT rid, gram, count(*) AS c FROM g GROUP BY 1, 2), n AS (SELECT rid, sum(c) AS n FROM s GROUP BY 1),
+o AS (SELECT a.rid AS x, b.rid AS y, sum(least(a.c, b.c)) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.rid < b.rid GROUP BY 1, 2),
+e AS (SELECT x, y FROM o JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 5 * shared >= 4 * (a.n + b.n - shared)
+  UNION ALL SELECT a.rid, b.rid FROM d a, d b WHERE len(a.w) = 0 AND len(b.w) = 0 AND a.rid < b.rid),
+u AS (SELECT x, y FROM e UNION SELECT y, x FROM e UNION SELECT rid, rid FROM d),
+r AS (SELECT x, y FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x),
+c AS (SELECT x AS rid, min(y) AS root FROM r GROUP BY 1)
+SELECT doc_id, min(doc_id) OVER k AS class_id, count(*) OVER k AS class_size, row_number() OVER (PARTITION BY root ORDER BY doc_id NULLS LAST, d.rid) = 1 AS kept
+FROM d JOIN c USING (rid) WINDOW k AS (PARTITION BY root)
+"""
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
     return extraction.extract(_table(spark, sf_dir, "pages"))
@@ -128,4 +145,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL, "op6_top_k_search": OP6_SQL, "op9_warc": OP9_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op6_top_k_search": OP6_SQL, "op9_warc": OP9_SQL, "op10_quality_rules": quality_sql()}

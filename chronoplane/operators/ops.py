@@ -45,3 +45,21 @@ def status(alert_rows: DataFrame, keys: list[str]) -> DataFrame:
     """The worst severity per category with its codes."""
     rank = severity_rank(F.col("severity"))
     return alert_rows.groupBy(*keys, "category").agg(F.max_by("severity", rank).alias("worst"), F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
+
+
+def proof_verdict(host_ok: Column, sealed_hash: Column, payload: Column, published_at: Column, cutoff: Column, immutable: Column) -> Column:
+    """Why a publication proof holds or fails: the first reason that applies."""
+    return (
+        F.when(~F.coalesce(host_ok, F.lit(False)), "source_not_allowed")
+        .when(sealed_hash.isNull(), "hash_missing")
+        .when(F.sha2(payload, 256) != sealed_hash, "hash_mismatch")
+        .when(published_at.isNull(), "time_missing")
+        .when(published_at > cutoff, "published_late")
+        .when(F.coalesce(immutable, F.lit(False)), "proven_immutable")
+        .otherwise("proven")
+    )
+
+
+def order_lines(df: DataFrame, keys: list[str], amount: str) -> DataFrame:
+    """Orders as text with fixed decimals, the form in which they are written."""
+    return df.select(F.concat_ws(",", *[F.col(k).cast("string") for k in keys], F.printf(F.lit("%.10f"), F.col(amount))).alias("line"))

@@ -86,3 +86,27 @@ def tercile_spread(df: DataFrame, by: str, signal: str, target: str) -> DataFram
     both = df.join(cuts, by)
     top, low = F.median(F.when(F.col(signal) >= F.col("_hi"), F.col(target))), F.median(F.when(F.col(signal) <= F.col("_lo"), F.col(target)))
     return both.groupBy(by).agg((top - low).alias("tercile_spread"))
+
+
+def fit_two(df: DataFrame, by: str, y: str, a: str, b: str) -> DataFrame:
+    """Least squares of y on two regressors and a constant, from sums alone."""
+    known = df.where(F.col(y).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
+    m = known.groupBy(by).agg(
+        F.var_pop(a).alias("aa"), F.var_pop(b).alias("bb"), F.covar_pop(a, b).alias("ab"), F.covar_pop(a, y).alias("ay"), F.covar_pop(b, y).alias("by_"), F.var_pop(y).alias("yy"),
+        F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.avg(y).alias("my"), F.count(F.lit(1)).alias("n"),
+    )
+    det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
+    m = m.withColumn("slope_a", (F.col("ay") * F.col("bb") - F.col("by_") * F.col("ab")) / det).withColumn("slope_b", (F.col("by_") * F.col("aa") - F.col("ay") * F.col("ab")) / det)
+    fitted = F.col("slope_a") * F.col("ay") + F.col("slope_b") * F.col("by_")
+    return m.select(by, "n", "slope_a", "slope_b", (F.col("my") - F.col("slope_a") * F.col("ma") - F.col("slope_b") * F.col("mb")).alias("intercept"), (fitted / F.col("yy")).alias("r2"))
+
+
+def predictive_grid(df: DataFrame, by: str, order: str, signals: list[str], target: str, horizons: list[int]) -> DataFrame:
+    """Rank correlation of each signal with the target each horizon ahead, in long form."""
+    w = Window.partitionBy(by).orderBy(order)
+    ahead = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead(target, h).over(w).alias("y")) for h in horizons])
+    long = df.withColumn("_a", ahead).unpivot([by, order, "_a"], signals, "signal", "x")
+    cells = long.select(F.concat_ws("|", by, "signal").alias("_c"), by, "signal", "x", F.explode("_a").alias("t")).select("_c", by, "signal", "x", "t.horizon", "t.y")
+    cells = cells.withColumn("cell", F.concat_ws("|", "_c", F.col("horizon").cast("string")))
+    names = cells.select("cell", by, "signal", "horizon").distinct()
+    return spearman(cells, "cell", "x", "y").join(names, "cell").drop("cell")

@@ -1,9 +1,9 @@
 """The catalogue of the engine's own queries."""
 
-from chronoplane.plans import market, records, reports, series
+from chronoplane.plans import evidence, market, records, reports, series
 from chronoplane.plans.registry import CATALOGUE
 
-__all__ = ["market", "records", "reports", "series"]
+__all__ = ["evidence", "market", "records", "reports", "series"]
 
 
 def queries() -> dict:

@@ -56,3 +56,26 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = run_fold(spark.createDataFrame(rows, schema), "k", "t", lambda: rec.EwMean(4), ["x"], "mean double")
     assert sorted(spark.table("folded").collect()) == sorted(batch.collect())
+
+
+def test_canonical_json_is_exact_and_sorted():
+    from chronoplane.functions.canonical import canonical
+
+    assert canonical('{"b": 1.50, "a": [1e3, -0.0, 0.10000000000000000000001]}') == '{"a":[1000,0,0.10000000000000000000001],"b":1.5}'
+    assert canonical("{") is None and canonical(None) is None
+
+
+def test_wrapper_is_unwrapped(spark):
+    from pyspark.sql import functions as F
+
+    from chronoplane.functions.canonical import unwrapped
+
+    df = spark.createDataFrame([('{"body_base64": "eyJhIjoxfQ=="}',), ('{"a": 2}',)], "p string")
+    assert [r[0] for r in df.select(unwrapped(F.col("p"))).collect()] == ['{"a":1}', '{"a": 2}']
+
+
+def test_payload_kind_goes_by_name_then_content(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a.csv", "<html>"), ("a", "  <!DOCTYPE html>"), ("a", "[1]"), ("a.XLSX", "x"), ("a", "x,y")], "n string, h string")
+    assert [r[0] for r in df.select(contracts.payload_kind(F.col("n"), F.col("h"))).collect()] == ["csv", "html", "json", "xlsx", "csv"]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronoplane.operators.timeaxis import week_end
 from chronoplane.plans.registry import table
@@ -63,16 +64,10 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = lines.join(nations, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("day", "ticker").agg(
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("money"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("pieces")
     )
-    total = F.sum("money").over(_by_day())
+    total = F.sum("money").over(Window.partitionBy("day"))
     return sums.select("day", "ticker", (F.col("money").cast("double") / F.col("pieces").cast("double")).alias("price"), (F.col("money").cast("double") / total.cast("double")).alias("weight"))
 
 
-def _by_day():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("day")
-
-
 PANEL_SQL = f"""panel AS (SELECT day, ticker, CAST(money AS DOUBLE) / CAST(pieces AS DOUBLE) AS price,
   CAST(money AS DOUBLE) / CAST(sum(money) OVER (PARTITION BY day) AS DOUBLE) AS weight FROM (
   SELECT {FRIDAY.format('CAST(l_shipdate AS DATE)')} AS day, s_nationkey AS ticker, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS money, sum(CAST(l_quantity AS DECIMAL(18,2))) AS pieces

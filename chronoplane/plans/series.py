@@ -308,12 +308,16 @@ def lead_envelope(spark, sf_dir):
     return run_fold(base, "series_id", "day", rec.LeadEnvelope, ["h"], "lead double, calm int, status string").withColumn("lead", neat("lead"))
 
 
-_SIGNALS = "SELECT series_id, week_end AS t, price / 600000 AS rho, CAST(CASE WHEN n_orders % 5 = 4 THEN NULL ELSE n_orders % 3 END AS INTEGER) AS k, CAST(CASE WHEN spread > 200000 THEN 1 ELSE 0 END AS INTEGER) AS flag"
+_SIGNALS = [
+    "price / 600000 AS rho",
+    "CAST(CASE WHEN n_orders % 5 = 4 THEN NULL ELSE n_orders % 3 END AS INTEGER) AS k",
+    "CAST(CASE WHEN spread > 200000 THEN 1 ELSE 0 END AS INTEGER) AS flag",
+]
 
 
 @query(
     "weekly_weights",
-    f"""WITH RECURSIVE {WEEKS_SQL}, s AS ({_SIGNALS}, row_number() OVER (PARTITION BY series_id ORDER BY week_end) AS i FROM weeks),
+    f"""WITH RECURSIVE {WEEKS_SQL}, s AS (SELECT series_id, week_end AS t, {', '.join(_SIGNALS)}, row_number() OVER (PARTITION BY series_id ORDER BY week_end) AS i FROM weeks),
     f AS (SELECT DISTINCT series_id, DATE '1900-01-01' AS t, CAST(0 AS BIGINT) AS i, NULL::DOUBLE AS target, NULL::DOUBLE AS held, false AS active, 0 AS outside FROM s
       UNION ALL SELECT series_id, t, i, target, CASE WHEN act OR held IS NULL OR abs(target - held) >= 0.05 THEN target ELSE held END, act, out FROM (
         SELECT *, CASE WHEN act THEN 0.0 ELSE 1.0 - least(1.0, greatest(0.0, rho)) END AS target FROM (
@@ -324,7 +328,7 @@ _SIGNALS = "SELECT series_id, week_end AS t, price / 600000 AS rho, CAST(CASE WH
     SELECT series_id, t AS week_end, round(target, 6) + 0.0 AS target, round(held, 6) + 0.0 AS held, active, CAST(outside AS INTEGER) AS outside FROM f WHERE i > 0""",
 )
 def weekly_weights(spark, sf_dir):
-    base = weeks(spark, sf_dir).selectExpr("series_id", "week_end", *_SIGNALS.split("AS t, ")[1].split(", CAST")[:1], *["CAST" + x for x in _SIGNALS.split(", CAST")[1:]])
+    base = weeks(spark, sf_dir).selectExpr("series_id", "week_end", *_SIGNALS)
     out = run_fold(base, "series_id", "week_end", rec.WeeklyWeights, ["rho", "k", "flag"], "target double, held double, active boolean, outside int")
     return out.withColumn("target", neat("target")).withColumn("held", neat("held"))
 

@@ -16,7 +16,7 @@ text's places, so a text costs little more than its windows.
 Bands.  ``BANDS`` bands of ``ROWS`` places deal texts into buckets; with 0.8 a
 pair misses all of them three times in a million.  Equal multisets are one node
 from the start.  A bucket isn't expanded into pairs: one task takes it whole, or
-in tiles of blocks when it is large, and compares texts that no link joins yet.
+in tiles of blocks when it is large, and counts overlaps by an inverted index.
 The first bands go first; later rounds look only at buckets that still hold
 different components.
 """
@@ -24,7 +24,6 @@ different components.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,18 +165,32 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _overlaps(text: np.ndarray, value: np.ndarray, count: np.ndarray, n_texts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, windows shared with each text, sizes) of each text, from an inverted index.
+
+    The k-th occurrence of a window is a feature of its own, so shared features
+    count the multiset overlap.
+    """
+    with np.errstate(over="ignore"):
+        nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        feature = np.repeat(value, count) + _GAMMA * nth.astype(np.uint64)
+        feature = np.where(nth > 0, _mix(feature), feature)
+    doc = np.repeat(text, count)
+    size, ends = np.bincount(doc, minlength=n_texts), np.searchsorted(doc, np.arange(n_texts + 1))
+    _, feature = np.unique(feature, return_inverse=True)
+    posting, spread = doc[np.argsort(feature, kind="stable")], np.bincount(feature)
+    start = np.cumsum(spread) - spread
+    for i in range(n_texts):
+        own = feature[ends[i] : ends[i + 1]]
+        own = own[spread[own] > 1]
+        length = spread[own]
+        at = np.repeat(start[own] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        yield i, np.bincount(posting[at], minlength=n_texts), size
+
+
 def _links(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links between the components that meet in one tile of a bucket, a forest of them."""
-    text, value, count = windows(list(pdf.text))
-    ends = np.searchsorted(text, np.arange(len(pdf) + 1))
-    sets: list[set] = []
-    for i in range(len(pdf)):
-        own, times = value[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]]
-        tags = set(own.tolist())
-        for v, c in zip(own[times > 1].tolist(), times[times > 1].tolist()):
-            tags.update((v, k) for k in range(1, c))
-        sets.append(tags)
-    labels, blocks = list(pdf.label), list(pdf.block)
+    labels, block = list(pdf.label), pdf.block.to_numpy()
     across = pdf.b1.iloc[0] != pdf.b2.iloc[0]
     parent = {x: x for x in labels}
 
@@ -187,29 +200,17 @@ def _links(pdf: pd.DataFrame) -> pd.DataFrame:
         return x
 
     top, bottom = SIMILARITY
-    members: dict = defaultdict(list)
     found = []
-    for i in sorted(range(len(sets)), key=lambda i: (len(sets[i]), i)):
-        mine, own = sets[i], root(labels[i])
-        for other in list(members):
-            if other == own:
-                continue
-            for j in reversed(members[other]):
-                size = len(sets[j])
-                if bottom * size < top * len(mine):
-                    break  # the rest of this component is shorter still
-                if across and blocks[i] == blocks[j]:
-                    continue
-                shared = len(mine & sets[j])
-                if bottom * shared >= top * (len(mine) + size - shared):
-                    found.append((labels[i], labels[j]))
-                    low, high = min(own, other), max(own, other)
-                    parent[high] = low
-                    merged = sorted(members.pop(own, []) + members.pop(other), key=lambda k: (len(sets[k]), k))
-                    members[low] = merged
-                    own = low
-                    break
-        members[own].append(i)
+    for i, shared, size in _overlaps(*windows(list(pdf.text)), len(pdf)):
+        near = bottom * shared >= top * (size[i] + size - shared)
+        near[i:] = False
+        if across:
+            near &= block != block[i]
+        for j in np.flatnonzero(near):
+            a, b = root(labels[i]), root(labels[j])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                found.append((labels[i], labels[j]))
     return pd.DataFrame(found, columns=["u", "v"])
 
 

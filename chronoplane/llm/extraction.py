@@ -3,7 +3,9 @@
 A page is cut into blocks at block-level tags.  The first pass decides blocks by
 themselves: link density, length and the share of stop words make a block good,
 bad or ambiguous.  In the second pass an ambiguous block inherits the label of
-its nearest decided neighbour.  Blocks inside elements that never hold an
+its nearest decided neighbour.  Only four languages have a stop word list; a page
+that as a whole has few of these words is judged by length and link density
+alone.  Blocks inside elements that never hold an
 article's text (menus, footers, forms, adverts, reader comments and so on, by
 tag or by class, id and role) are out before the rules apply, so they are no
 neighbours either.
@@ -56,6 +58,9 @@ OUT_NAMES = re.compile(
 )
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
+#: Scripts whose letters stand for a syllable or a word and need no spaces; each counts twice.
+WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|[^<]+|<""",
     re.S,
@@ -156,15 +161,38 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
             yield text, b.linked, b.heading, b.article
 
 
-def _first_label(text: str, linked: int, heading: bool, article: bool) -> bool | None:
+def _linked(text: str, linked: int) -> bool:
+    return linked > LINKS * len(text.replace(" ", ""))
+
+
+def _stop_words(text: str) -> tuple[int, int]:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words), len(words)
+
+
+def _is_unlisted(found: list[tuple[str, int, bool, bool]]) -> bool:
+    """Whether the stop words say nothing about a page whose text is outside article and main.
+
+    A page in a listed language has a share of HIGH or more in its text as a whole.
+    """
+    texts = [(text, article) for text, linked, _, article in found if not _linked(text, linked)]
+    if 2 * sum(len(text) for text, article in texts if article) >= sum(len(text) for text, _ in texts):
+        return False
+    counts = [_stop_words(text) for text, _ in texts if len(text) + len(WIDE.findall(text)) >= SHORT]
+    return sum(n for n, _ in counts) < HIGH * sum(n for _, n in counts)
+
+
+def _first_label(text: str, linked: int, heading: bool, article: bool, unlisted: bool = False) -> bool | None:
     """Good, bad, or None where a block alone doesn't tell."""
-    size = len(text)
-    if linked > LINKS * len(text.replace(" ", "")):
+    size = len(text) + len(WIDE.findall(text)) if unlisted else len(text)
+    if _linked(text, linked):
         return False
     if heading or size < SHORT:
         return False if linked and not article else None
-    words = text.lower().split()
-    density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    if unlisted:
+        return True
+    stops, words = _stop_words(text)
+    density = stops / words
     if size >= LONG and density >= HIGH:
         return True
     if density >= LOW or article:
@@ -207,7 +235,8 @@ def _inherit(labels: list[bool | None], flags: list[tuple[bool, bool]]) -> list[
 def main_text(page: str | None) -> str:
     """The main text of one page, blocks joined by an empty line."""
     found = list(blocks(page or ""))
-    labels = _inherit([_first_label(*b) for b in found], [(b[2], b[3]) for b in found])
+    unlisted = _is_unlisted(found)
+    labels = _inherit([_first_label(*b, unlisted) for b in found], [(b[2], b[3]) for b in found])
     return "\n\n".join(b[0] for b, good in zip(found, labels) if good)
 
 

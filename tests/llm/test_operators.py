@@ -156,6 +156,21 @@ def test_pages_without_article_tags_follow_the_rules():
     assert extraction.main_text(page) == f"Heading\n\n{long}\n\nShort one.\n\n{long}"
 
 
+UNLISTED = [
+    "Вчера в городском саду прошло большое собрание жителей, на котором обсуждали строительство нового моста через реку.",
+    "昨天下午，来自全市各个区的居民聚集在中央公园，讨论新桥的建设计划，并向市政府提出了许多具体的意见和建议，希望工程早日完成。",
+    "Wczoraj mieszkańcy miasta spotkali się w parku, żeby omówić budowę nowego mostu oraz remont starych dróg w okolicy.",
+    "Gisteren kwamen veel inwoners bijeen om te praten over de bouw van een nieuwe brug en het herstel van oude wegen.",
+]
+
+
+@pytest.mark.parametrize("text", UNLISTED)
+def test_pages_without_article_tags_in_unlisted_languages(text):
+    links = "".join(f"<li><a href=/{i}>{text[:40]}</a></li>" for i in range(5))
+    page = f"<body><ul>{links}</ul><div><h2>{text[:9]}</h2><p>{text}</p><p>{text[:20]}</p><p>{text * 3}</p></div><ul>{links}</ul></body>"
+    assert extraction.main_text(page) == "\n\n".join(x.strip() for x in (text[:9], text, text[:20], text * 3))
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
     out = extraction.extract(pages).collect()

@@ -8,14 +8,15 @@ that as a whole has few of these words is judged by length and link density
 alone.  Blocks inside elements that never hold an
 article's text (menus, footers, forms, adverts, reader comments and so on, by
 tag or by class, id and role) are out before the rules apply, so they are no
-neighbours either.
+neighbours either.  A name may also stand on an element that wraps the article:
+an element that holds it, or most of the page's good text, stays.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,6 +57,23 @@ OUT_NAMES = re.compile(
     r"|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Parts of names that say nothing about the element itself: what a page has, prefixes of page builders, heading wrappers.
+IGNORED = re.compile(
+    r"(?<!\S)(?:(?:has|no|not|with|without|hide)[-_]\S+|(?:elementor|siteorigin|so|fl|jet)-widget-?"
+    r"|(?:entry|article|post|story|content|blog|news)[-_]+header(?!\S))",
+    re.I,
+)
+#: In an article these wrap headings too.
+ARTICLE_IGNORED = re.compile(r"(?<!\S)(?:page|section|single|title|headline)[-_]+header(?!\S)", re.I)
+#: Elements that hold much text that isn't the article's; they stay only around the article itself.
+STRICT_TAGS = frozenset("nav footer aside dialog menu".split())
+STRICT_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|consent|cookies?|copyright|disclaimer|disqus|foot|footer|gdpr|modal|newsletter|overlay|popup|promo\w*"
+    r"|recommended|related|replies|reply|respond|sponsor\w*)(?:$|[\s_-])",
+    re.I,
+)
+#: How firmly an element is out.
+IN, WRAPPER, STRICT, NEVER = range(4)
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 #: Scripts whose letters stand for a syllable or a word and need no spaces; each counts twice.
@@ -69,44 +87,126 @@ _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 
 
-def _is_out(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element never holds the text of an article."""
+def _is_out(tag: str, attrs: str, in_article: bool) -> int:
+    """Whether an element never holds the text of an article, and how firmly."""
+    level = IN
     if tag in OUT_TAGS or tag == "header" and not in_article:
-        return True
+        level = STRICT if tag in STRICT_TAGS else WRAPPER if tag in ("form", "fieldset", "header") else NEVER
     if attrs and tag not in ("html", "body"):
         for name, *values in _NAMED.findall(attrs):
             name, value = name.lower(), "".join(values)
-            if name in ("class", "id") and tag not in ("main",) and OUT_NAMES.search(value) and not (in_article and value.lower() == "header"):
-                return True
-            if name == "role" and value.lower() in OUT_ROLES or name == "aria-hidden" and value.lower() == "true":
-                return True
-    return False
+            if name in ("class", "id") and tag not in ("main",) and not (in_article and value.lower() == "header"):
+                own = IGNORED.sub(" ", value)
+                if tag == "header" and level == WRAPPER and own != value and not OUT_NAMES.search(own):
+                    level = IN
+                if in_article:
+                    own = ARTICLE_IGNORED.sub(" ", own)
+                if OUT_NAMES.search(own):
+                    level = max(level, STRICT if STRICT_NAMES.search(own) else WRAPPER)
+            if name == "role" and value.lower() in OUT_ROLES:
+                level = max(level, WRAPPER if value.lower() in ("form", "search") else STRICT)
+            if name == "aria-hidden" and value.lower() == "true":
+                level = max(level, STRICT)
+    return level
+
+
+class _Out:
+    """An element that is out, below the next such element around it.
+
+    Good characters and article text in it count without inner elements that are
+    out; ``article`` and ``main`` tell whether it is or holds such an element.
+    """
+
+    __slots__ = ("parent", "level", "main", "article", "lifted", "size", "text", "sum", "any", "reach")
+
+    def __init__(self, parent: _Out | None, level: int):
+        self.parent, self.level, self.main, self.article, self.lifted = parent, level, False, False, False
+        self.size, self.text = 0, False
 
 
 class _Block:
-    __slots__ = ("parts", "linked", "heading", "article")
+    __slots__ = ("parts", "linked", "heading", "article", "out")
 
-    def __init__(self, heading: bool, article: bool):
-        self.parts, self.linked, self.heading, self.article = [], 0, heading, article
+    def __init__(self, heading: bool, article: bool, out: _Out | None):
+        self.parts, self.linked, self.heading, self.article, self.out = [], 0, heading, article, out
+
+
+def _reach(outs: list[_Out], through: Callable[[_Out], bool]) -> None:
+    """Mark the elements where they and all around them are passed through."""
+    for o in outs:
+        o.reach = through(o) and (o.parent is None or o.parent.reach)
+
+
+def _sums(outs: list[_Out], through: Callable[[_Out], bool], lifts: Callable[[_Out], bool]) -> None:
+    """Lift elements, inner ones first, by the sums over what they hold and what is passed through."""
+    for o in outs:
+        o.sum, o.any = o.size, o.text
+    for o in reversed(outs):
+        o.lifted = o.lifted or lifts(o)
+        if o.parent and through(o):
+            o.parent.sum += o.sum
+            o.parent.any |= o.any
+
+
+def _lift(rows: list[tuple[tuple[str, int, bool, bool], _Out | None]], outs: list[_Out]) -> None:
+    """Mark the elements that are out by name but hold the article.
+
+    That is a main element; an article, where no article's text is outside; or
+    most of the good text.  Strict ones need that nothing good is outside.
+    """
+    lifted = lambda o: o.lifted
+    passed = lambda o: o.lifted or o.level == WRAPPER
+    for o in outs:
+        o.lifted = o.main
+    _reach(outs, passed)
+    unlisted = _is_unlisted([row for row, out in rows if out is None or out.reach])
+    free, free_text = 0, False
+    for row, out in rows:
+        label = _first_label(*row, unlisted)
+        size = len(row[0]) if label or label is None and not row[2] and len(row[0]) >= SHORT else 0
+        text = row[3] and not _linked(row[0], row[1])
+        if out is None:
+            free, free_text = free + size, free_text or text
+        else:
+            out.size, out.text = out.size + size, out.text or text
+
+    def outside(through: Callable[[_Out], bool] = lifted) -> tuple[int, bool]:
+        _reach(outs, through)
+        return free + sum(o.size for o in outs if o.reach), free_text or any(o.text for o in outs if o.reach)
+
+    if not outside()[1]:
+        _sums(outs, lifted, lambda o: o.level == WRAPPER and o.article and o.any)
+    if not outside()[1]:
+        good = outside(passed)[0]
+        _sums(outs, passed, lambda o: o.level == WRAPPER and 2 * o.sum > good)
+    if not outside()[0]:
+        _sums(outs, lifted, lambda o: o.level == WRAPPER and o.sum > 0)
+    if not outside()[0]:
+        _sums(outs, lifted, lambda o: o.level == STRICT and o.article and o.any)
+    _reach(outs, lifted)
 
 
 def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
     """(text, characters in links, is a heading, is in an article) of each block kept."""
-    stack: list[tuple[str, bool]] = []  # open containers, and whether they are out
-    out = articles = links = 0
-    block = _Block(False, False)
+    stack: list[tuple[str, _Out | None]] = []  # open containers, and whether they are out
+    outs: list[_Out] = []
+    over: _Out | None = None
+    articles = links = never = 0
+    block = _Block(False, False, over)
     found: list[_Block] = []
 
     def new(heading: bool = False) -> None:
         nonlocal block
         if block.parts:
             found.append(block)
-        block = _Block(heading, articles > 0)
+        block = _Block(heading, articles > 0, over)
 
     def pop() -> None:
-        nonlocal out, articles
-        name, was_out = stack.pop()
-        out -= was_out
+        nonlocal over, articles, never
+        name, out = stack.pop()
+        if out:
+            over = out.parent
+            never -= out.level == NEVER
         articles -= name in ("article", "main")
 
     at = 0
@@ -114,7 +214,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
         at = token.end()
         tag = token["tag"]
         if tag is None:
-            if not out and not token[0].startswith(("<!", "<?")):
+            if not never and not token[0].startswith(("<!", "<?")):
                 text = html.unescape(token[0])
                 block.parts.append(text)
                 if links:
@@ -138,16 +238,25 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
                     pop()
             if tag in CONTAINERS:
                 if not ends:
-                    is_out = _is_out(tag, token["attrs"], articles > 0)
-                    stack.append((tag, is_out))
-                    out += is_out
+                    level = _is_out(tag, token["attrs"], articles > 0)
+                    out = _Out(over, level) if level else None
+                    stack.append((tag, out))
+                    if out:
+                        outs.append(out)
+                        over = out
+                        never += level == NEVER
+                    if tag in ("article", "main"):
+                        o = over
+                        while o and not (o.main if tag == "main" else o.article):
+                            o.article, o.main = True, o.main or tag == "main"
+                            o = o.parent
                     articles += tag in ("article", "main")
                 elif any(name == tag for name, _ in stack):
                     while stack[-1][0] != tag:
                         pop()
                     pop()
                 links = 0
-            elif not ends and token["attrs"] and not out and _is_out(tag, token["attrs"], articles > 0):
+            elif not ends and token["attrs"] and not never and _is_out(tag, token["attrs"], articles > 0):
                 # A leaf block that is out ends at its own end tag or at the next block.
                 new()
                 nxt = re.compile(rf"</{tag}\b[^>]*>|<(?=(?:{'|'.join(sorted(BLOCKS))})\b)", re.I).search(page, at)
@@ -155,10 +264,16 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
                 continue
             new(tag in HEADINGS and not ends)
     new()
+    rows = []
     for b in found:
         text = " ".join("".join(b.parts).split())
         if text:
-            yield text, b.linked, b.heading, b.article
+            rows.append(((text, b.linked, b.heading, b.article), b.out))
+    if outs:
+        _lift(rows, outs)
+    for row, out in rows:
+        if out is None or out.reach:
+            yield row
 
 
 def _linked(text: str, linked: int) -> bool:

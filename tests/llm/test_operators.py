@@ -156,6 +156,37 @@ def test_pages_without_article_tags_follow_the_rules():
     assert extraction.main_text(page) == f"Heading\n\n{long}\n\nShort one.\n\n{long}"
 
 
+LONG = "This is one of the paragraphs that are long enough to be judged by the rules on their own, since they have more than two hundred characters and many of the words that are frequent in all texts of this language."
+WRAPPERS = ["div class='site-content has-sidebar'", "div class='layout no-sidebar'", "div class='elementor-widget elementor-widget-text-editor'", "form id=aspnetForm", "div class='page sidebar'", "div id=search"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_names_of_wrappers_do_not_drop_the_text(wrapper, inner):
+    page = f"<body><div class=comments><p>{LONG}</p></div><{wrapper}><{inner}><h1>Title</h1><p>{LONG}</p></{inner}><div class=sidebar><p>Aside {LONG}</p></div><aside>{LONG}</aside></{wrapper.split()[0]}></body>"
+    want = f"Title\n\n{LONG}"
+    if inner == "div":
+        page = page.replace(f"<p>{LONG}</p></div><div class=sidebar>", f"<p>{LONG}</p><p>{LONG}</p></div><div class=sidebar>")
+        want += f"\n\n{LONG}"
+    assert extraction.main_text(page) == want
+
+
+@pytest.mark.parametrize("name", ["entry-header", "article-header", "post__header"])
+def test_heading_wrappers_stay(name):
+    for tag in ("div", "header"):
+        head = f"<{tag} class={name}><h1>Title</h1></{tag}>"
+        assert extraction.main_text(f"<article>{head}<p>{LONG}</p></article>") == f"Title\n\n{LONG}"
+        assert extraction.main_text(f"{head}<article><p>{LONG}</p></article>") == f"Title\n\n{LONG}"
+
+
+def test_names_still_drop_what_is_beside_the_text():
+    for out in ("div class=sidebar", "div class=elementor-widget-nav-menu", "div class=related", "form", "aside", "header", "div class=widget"):
+        tag = out.split()[0]
+        card = f"<{out}><article><p>Card {LONG}</p></article></{tag}>"
+        assert extraction.main_text(f"{card}<article><p>{LONG}</p></article>") == LONG
+        assert extraction.main_text(f"<{out}><p>Card {LONG}</p></{tag}><p>{LONG}</p><p>{LONG}</p>") == f"{LONG}\n\n{LONG}"
+
+
 UNLISTED = [
     "Вчера в городском саду прошло большое собрание жителей, на котором обсуждали строительство нового моста через реку.",
     "昨天下午，来自全市各个区的居民聚集在中央公园，讨论新桥的建设计划，并向市政府提出了许多具体的意见和建议，希望工程早日完成。",

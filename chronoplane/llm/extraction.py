@@ -28,7 +28,7 @@ SHORT, LONG = 70, 200
 LINKS = 0.5
 #: Shares of stop words: from HIGH a long block is good, below LOW it is bad.
 LOW, HIGH = 0.12, 0.20
-#: A heading looks this many blocks ahead.
+#: In an article a heading looks this many blocks ahead.
 AHEAD = 3
 
 #: Frequent function words of four languages, fixed values.
@@ -316,7 +316,10 @@ def _first_label(text: str, linked: int, heading: bool, article: bool, unlisted:
 
 
 def _inherit(labels: list[bool | None], flags: list[tuple[bool, bool]]) -> list[bool]:
-    """The second pass: the nearest decided label, an article's text where none is near."""
+    """The second pass: the nearest decided label, an article's text where none is near.
+
+    A heading takes the next decided label, the previous one where none follows.
+    """
     n = len(labels)
     before, after, last = [None] * n, [None] * n, None
     for i in range(n):
@@ -333,8 +336,10 @@ def _inherit(labels: list[bool | None], flags: list[tuple[bool, bool]]) -> list[
             # Neighbours outside the article say nothing about what is in it.
             prev = before[i] if before[i] is not None and (not article or flags[before[i]][1]) else None
             nxt = after[i] if after[i] is not None and (not article or flags[after[i]][1]) else None
-            if heading:
-                label = labels[nxt] if nxt is not None and nxt - i <= AHEAD else article or undecided
+            if heading and article:
+                label = labels[nxt] if nxt is not None and nxt - i <= AHEAD else True
+            elif heading and (nxt is not None or prev is not None):
+                label = labels[nxt if nxt is not None else prev]
             elif prev is None and nxt is None:
                 label = article or undecided
             elif prev is None or nxt is None:

@@ -187,6 +187,14 @@ def test_names_still_drop_what_is_beside_the_text():
         assert extraction.main_text(f"<{out}><p>Card {LONG}</p></{tag}><p>{LONG}</p><p>{LONG}</p>") == f"{LONG}\n\n{LONG}"
 
 
+def test_headings_above_long_lists_and_at_the_end_stay():
+    items = [f"Item {i}" for i in range(7)]
+    page = f"<body><div><h2>Above</h2><ul>{''.join(f'<li>{x}</li>' for x in items)}</ul><p>{LONG}</p><h2>Last</h2><p>Short.</p><p>Tail.</p></div></body>"
+    assert extraction.main_text(page) == "\n\n".join(["Above", *items, LONG, "Last", "Short.", "Tail."])
+    links = "<ul><li><a href=/x>Another page of this site</a></li></ul>"
+    assert extraction.main_text(f"<body><p>{LONG}</p><h2>More pages</h2>{links}</body>") == LONG
+
+
 UNLISTED = [
     "Вчера в городском саду прошло большое собрание жителей, на котором обсуждали строительство нового моста через реку.",
     "昨天下午，来自全市各个区的居民聚集在中央公园，讨论新桥的建设计划，并向市政府提出了许多具体的意见和建议，希望工程早日完成。",

@@ -489,3 +489,42 @@ def test_pipeline_runs_all_stages(spark, tmp_path):
     ids = {p.doc_id for r in out for p in r.pieces}
     assert ids <= set(range(120)) and len(ids) > 60
     assert all(len(r.ids) == 4 * r.n_tokens for r in out)
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rows = documents(13, 150)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    seen = {}
+
+    def keep(df, name):
+        seen[name] = materialized(df, name)
+        return seen[name]
+
+    materialized = corpus_pipeline.materialize
+    monkeypatch.setattr(corpus_pipeline, "materialize", keep)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    after = {name: collections.Counter(tuple(r) for r in df.collect()) for name, df in seen.items()}
+    # The texts are drawn alike, so the base rules alone reject.
+    good = [r for r in rows if not brute_counts(r[1])[-1]]
+    assert after["quality_rules"] == collections.Counter(good)
+    classes = collections.Counter()
+    where = {}
+    for n, ids in enumerate(brute_classes(good).values()):
+        known = [i for i in ids if i is not None]
+        classes[n] += 1
+        where |= {i: n for i in ids}
+    assert not after["near_dedup"] - collections.Counter(good)
+    assert collections.Counter(where[r[0]] for r in after["near_dedup"].elements()) == classes
+    report = {r.doc_id: r.taken // r.size for r in mixing.mix_report(seen["near_dedup"]).collect()}
+    assert after["source_mix"] == collections.Counter({r: report[r[0]] for r in after["near_dedup"] if report[r[0]]})
+    library = Tokenizer.from_file(PATH)
+    size = collections.Counter()
+    for r in out:
+        for p in r.pieces:
+            size[p.doc_id] += p.length
+    want = collections.Counter()
+    for r, n in after["source_mix"].items():
+        want[r[0]] += n * (len(library.encode(r[1], add_special_tokens=False).ids) + 1)
+    assert size == want

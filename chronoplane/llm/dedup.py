@@ -15,10 +15,12 @@ text's places, so a text costs little more than its windows.
 
 Bands.  ``BANDS`` bands of ``ROWS`` places deal texts into buckets; with 0.8 a
 pair misses all of them three times in a million.  Equal multisets are one node
-from the start.  A bucket isn't expanded into pairs: one task takes it whole, or
-in tiles of blocks when it is large, and counts overlaps by an inverted index.
-The first bands go first; later rounds look only at buckets that still hold
-different components.
+from the start.  Bands are exploded once, and only buckets that several nodes
+share are kept.  A bucket isn't expanded into pairs.  First each node is compared
+with the least node of its buckets, once for each pair however many buckets they
+share.  What a bucket still holds of different components is then compared in
+tiles of bounded blocks by an inverted index: the members of its largest
+component need only meet the others, not each other.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,9 +42,8 @@ SHINGLE = 5
 SIMILARITY = (4, 5)
 BANDS, ROWS = 32, 5
 PARTS = BANDS * ROWS
-ROUNDS = ((0, 6), (6, BANDS))
 #: Windows in one block of a bucket, and texts' windows in one signature batch.
-BLOCK = 200_000
+BLOCK = 100_000
 BATCH = 200_000
 
 _words = re.compile(WORD).findall
@@ -165,53 +165,87 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _overlaps(text: np.ndarray, value: np.ndarray, count: np.ndarray, n_texts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(i, windows shared with each text, sizes) of each text, from an inverted index.
+class _Tiles:
+    """Rows of several tiles, each tile's rows together: uid, label, side, text.
+
+    Rows of side 1 meet those of side 2 in their tile, rows of side 0 each other.
+    """
+
+    def __init__(self):
+        self.rows, self.starts, self.size, self.key = [], [], 0, None
+
+    def add(self, key: tuple, row: tuple) -> None:
+        if key != self.key:
+            self.key = key
+            self.starts.append(len(self.rows))
+        self.rows.append(row)
+        self.size += len(row[3]) + 200
+
+
+def _links(tiles: _Tiles) -> list[tuple[int, int]]:
+    """Links between the components that meet in a tile, a forest of them per tile.
 
     The k-th occurrence of a window is a feature of its own, so shared features
-    count the multiset overlap.
+    count the multiset overlap; an inverted index of features counts them.
     """
-    with np.errstate(over="ignore"):
-        nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        feature = np.repeat(value, count) + _GAMMA * nth.astype(np.uint64)
-        feature = np.where(nth > 0, _mix(feature), feature)
+    labels, sides = [r[1] for r in tiles.rows], np.array([r[2] for r in tiles.rows])
+    text, value, count = windows([r[3] for r in tiles.rows])
+    starts = np.array([*tiles.starts, len(tiles.rows)])
+    tile = np.searchsorted(starts, np.arange(len(labels)), "right") - 1
     doc = np.repeat(text, count)
-    size, ends = np.bincount(doc, minlength=n_texts), np.searchsorted(doc, np.arange(n_texts + 1))
+    with np.errstate(over="ignore"):
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        feature = _mix(_mix(np.repeat(value, count) + _GAMMA * nth.astype(np.uint64)) + _GAMMA * tile[doc].astype(np.uint64))
+    size, ends = np.bincount(doc, minlength=len(labels)), np.searchsorted(doc, np.arange(len(labels) + 1))
     _, feature = np.unique(feature, return_inverse=True)
     posting, spread = doc[np.argsort(feature, kind="stable")], np.bincount(feature)
-    start = np.cumsum(spread) - spread
-    for i in range(n_texts):
-        own = feature[ends[i] : ends[i + 1]]
-        own = own[spread[own] > 1]
-        length = spread[own]
-        at = np.repeat(start[own] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        yield i, np.bincount(posting[at], minlength=n_texts), size
-
-
-def _links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links between the components that meet in one tile of a bucket, a forest of them."""
-    labels, block = list(pdf.label), pdf.block.to_numpy()
-    across = pdf.b1.iloc[0] != pdf.b2.iloc[0]
-    parent = {x: x for x in labels}
+    first = np.cumsum(spread) - spread
+    parent = {}
 
     def root(x):
-        while parent[x] != x:
+        while parent.setdefault(x, x) != x:
             parent[x] = x = parent[parent[x]]
         return x
 
     top, bottom = SIMILARITY
     found = []
-    for i, shared, size in _overlaps(*windows(list(pdf.text)), len(pdf)):
-        near = bottom * shared >= top * (size[i] + size - shared)
-        near[i:] = False
-        if across:
-            near &= block != block[i]
-        for j in np.flatnonzero(near):
-            a, b = root(labels[i]), root(labels[j])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                found.append((labels[i], labels[j]))
-    return pd.DataFrame(found, columns=["u", "v"])
+    for t, (lo, hi) in enumerate(zip(starts[:-1], starts[1:])):
+        parent.clear()
+        target = sides[lo:hi] != 1
+        for i in np.flatnonzero(sides[lo:hi] != 2) + lo:
+            own = feature[ends[i] : ends[i + 1]]
+            own = own[spread[own] > 1]
+            length = spread[own]
+            at = np.repeat(first[own] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+            shared = np.bincount(posting[at] - lo, minlength=hi - lo)
+            near = (bottom * shared >= top * (size[i] + size[lo:hi] - shared)) & target
+            if sides[i] == 0:
+                near[i - lo :] = False
+            for j in np.flatnonzero(near) + lo:
+                a, b = root(labels[i]), root(labels[j])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    found.append((labels[i], labels[j]))
+    return found
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the tiles of a partition, whose rows come sorted by tile."""
+
+    def finish():
+        found = _links(tiles)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    tiles = _Tiles()
+    for batch in batches:
+        a, b, c, uid, label, side, text = batch.columns
+        for key, *row, body in zip(zip(a.to_pylist(), b.to_pylist(), c.to_pylist()), uid.to_pylist(), label.to_pylist(), side.to_pylist(), text):
+            if key != tiles.key and tiles.size >= 6 * BATCH:
+                yield finish()
+                tiles = _Tiles()
+            tiles.add(key, (*row, body.as_py()))
+    if tiles.rows:
+        yield finish()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -235,10 +269,13 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 def _report(signed: DataFrame, docs: DataFrame) -> DataFrame:
     heads = materialize(signed.groupBy("node").agg(F.min("uid").alias("uid")), "heads")
-    nodes = materialize(signed.join(heads.select("uid"), "uid", "left_semi").where("n > 0").select("node", "doc_id", "digest", "n", "bands"), "nodes")
+    nodes = materialize(signed.join(heads.select("uid"), "uid", "left_semi").where("n > 0").select("uid", "node", "doc_id", "digest", "n", "bands"), "nodes")
     roots = _components(nodes, docs)
-    labelled = signed.select("doc_id", "uid", "digest", "node") if roots is None else signed.select("doc_id", "uid", "digest", "node").join(roots, "node", "left")
-    label = F.col("node") if roots is None else F.coalesce("root", "node")
+    labelled, label = signed.select("doc_id", "uid", "digest", "node"), F.col("node")
+    if roots is not None:
+        every = roots.unionByName(roots.select(F.col("root").alias("uid"), "root").distinct())
+        linked = materialize(nodes.select("uid", "node").join(every, "uid").select("node", F.unhex(F.hex("root")).alias("root")), "linked")
+        labelled, label = labelled.join(linked, "node", "left"), F.coalesce("root", "node")
     labelled = labelled.withColumn("label", label)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "uid"))
     classes = labelled.groupBy("label").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size"))
@@ -247,43 +284,74 @@ def _report(signed: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _components(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """(node, root) for the nodes that links join, or None without links."""
-    buckets = nodes.select("node", F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    buckets = materialize(buckets, "buckets")
-    meeting = nodes.select("node", F.explode("bands").alias("bucket")).join(buckets, "bucket", "left_semi").select("node").distinct()
-    met = materialize(nodes.join(materialize(meeting, "meeting"), "node", "left_semi").select(F.col("node"), F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")), "met")
+    """(uid, root) for the nodes that links join to a lesser one, or None without links."""
+    entries = nodes.select("uid", F.explode("bands").alias("bucket"))
+    buckets = entries.groupBy("bucket").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    shared = materialize(entries.join(buckets, "bucket"), "shared")
+    met = nodes.join(shared.select("uid").distinct(), "uid", "left_semi").select("uid", "doc_id", "digest", "n")
+    met = materialize(met, "met")
+    texts = _texts(met, docs)
+    found = materialize(_beside_rep(shared, met, texts), "links")
+    roots = None if found.isEmpty() else _roots(found)
+    found = materialize(_beside_others(shared, met, texts, roots), "links")
+    if found.isEmpty():
+        return roots
+    return _roots(found if roots is None else found.unionByName(roots.select(F.col("uid").alias("u"), F.col("root").alias("v"))))
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return components(links).withColumnRenamed("node", "uid")
+
+
+def _texts(met: DataFrame, docs: DataFrame) -> DataFrame:
+    """(uid, text) of the nodes that share a bucket."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5(F.col("text").cast("binary")))
-    # Repeated rows bring a text twice; a tile doesn't mind.
-    texts = materialize(own.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("node", "text"), "texts")
-    roots, edges = None, None
-    for lo, hi in ROUNDS:
-        found = materialize(_round(nodes, texts, roots, lo, hi), "links")
-        if found.isEmpty():
-            continue
-        edges = found if edges is None else edges.unionByName(found)
-        roots = components(edges)
-        edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    return roots
-
-
-def _round(nodes: DataFrame, texts: DataFrame, roots: DataFrame | None, lo: int, hi: int) -> DataFrame:
-    """Links (u, v) between components that meet in the buckets of bands lo to hi."""
-    label = F.col("node").alias("label")
-    known = nodes if roots is None else nodes.join(roots, "node", "left")
-    if roots is not None:
-        label = F.coalesce("root", "node").alias("label")
-    entries = known.select("node", "n", label, F.explode(F.slice("bands", lo + 1, hi - lo)).alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(
-        F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("node")).alias("x"),
-    ).where("a <> b")
+    ids = met.select("uid", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    texts = own.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+    texts = materialize(texts.select("uid", "text"), "texts")
+    # A repeated row brings its text again; one will do.
+    return materialize(texts.groupBy("uid").agg(F.first("text").alias("text")), "texts") if texts.count() > met.count() else texts
+
+
+def _compared(tiles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) of labels in tiles, given as a, b, c (the tile), uid, label, side."""
+    rows = tiles.join(texts, "uid").select("a", "b", "c", "uid", "label", "side", "text")
+    return rows.repartition("a", "b", "c").sortWithinPartitions("a", "b", "c").mapInArrow(_verify, "u long, v long").distinct()
+
+
+def _beside_rep(shared: DataFrame, met: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between a bucket's least node and the other nodes in it.
+
+    A node that is the least of many others' buckets meets them in blocks.
+    """
+    pairs = materialize(shared.where("uid <> rep").select("uid", "rep").distinct().join(met.select("uid", "n"), "uid"), "pairs")
+    sizes = materialize(pairs.groupBy("rep").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")), "sizes")
+    zero = F.lit(0).cast("long").alias("c")
+    members = pairs.join(sizes, "rep").select(F.col("rep").alias("a"), F.pmod(F.xxhash64("uid"), F.col("blocks")).alias("b"), zero, "uid", F.col("uid").alias("label"), F.lit(2).alias("side"))
+    reps = sizes.select(F.col("rep").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), zero, F.col("rep").alias("uid"), F.col("rep").alias("label"), F.lit(1).alias("side"))
+    return _compared(members.unionByName(reps), texts)
+
+
+def _beside_others(shared: DataFrame, met: DataFrame, texts: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Links between the components that still meet in a bucket, its least node left out."""
+    rest = shared.where("uid <> rep").select("bucket", "uid").join(met.select("uid", "n"), "uid")
+    rest = rest.withColumn("label", F.col("uid")) if roots is None else rest.join(roots, "uid", "left").withColumn("label", F.coalesce("root", "uid")).drop("root")
+    rest = materialize(rest, "rest")
+    parts = rest.groupBy("bucket", "label").agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("uid")).alias("x"))
+    buckets = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("s", "label")).alias("top"), F.sum("s").alias("s"), F.sum("k").alias("k"), F.bit_xor("x").alias("x")).where("labels > 1")
     # Bands that gather the same texts need one visit.
-    buckets = materialize(buckets.groupBy("c", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("s") / BLOCK).alias("nb")), "buckets")
-    members = entries.join(buckets, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    members = members.select("bucket", "node", "label", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-    # A bucket of one block has one tile; texts of block b come to each tile of b.
-    tiles = materialize(members, "members").join(texts, "node").drop("node")
-    return tiles.groupBy("bucket", "b1", "b2").applyInPandas(_links, "u binary, v binary").distinct()
+    buckets = buckets.groupBy("s", "k", "x").agg(F.min(F.struct("bucket", F.col("top.label").alias("most"), F.col("top.s").alias("m"))).alias("v"))
+    blocks = lambda n: F.ceil(n / BLOCK)
+    whole = F.col("s") <= BLOCK
+    buckets = buckets.select(F.col("v.bucket").alias("bucket"), F.col("v.most").alias("most"), F.when(whole, 0).otherwise(blocks(F.col("v.m"))).alias("p"), F.when(whole, 1).otherwise(blocks(F.col("s") - F.col("v.m"))).alias("q"))
+    buckets = materialize(buckets, "buckets")
+    own = F.xxhash64("uid")
+    inner = (F.col("label") == F.col("most")) & (F.col("p") > 0)
+    rows = rest.join(buckets, "bucket").withColumn("block", F.when(inner, F.pmod(own, F.col("p"))).otherwise(F.col("p") + F.pmod(own, F.col("q"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(inner, F.col("p")).otherwise(F.lit(0)).cast("long"), F.col("p") + F.col("q") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") > F.col("other"), 1).otherwise(2)
+    tiles = rows.select(F.col("bucket").alias("a"), F.least("block", "other").alias("b"), F.greatest("block", "other").alias("c"), "uid", "label", side.alias("side"))
+    return _compared(materialize(tiles, "members"), texts)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -115,6 +115,7 @@ def test_signatures_are_unbiased_for_weighted_similarity():
 
 def test_large_buckets_are_tiled(spark, monkeypatch):
     monkeypatch.setattr(dedup, "BLOCK", 300)
+    monkeypatch.setattr(dedup, "BATCH", 1000)
     rng = random.Random(3)
     base = prose(rng, 120).split(" ")
     rows = []
@@ -127,6 +128,25 @@ def test_large_buckets_are_tiled(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in out} == want
 
 
+def test_repeated_rows_of_a_text_are_compared_once(spark):
+    rng = random.Random(8)
+    a = prose(rng, 120).split(" ")
+    b = a[:60] + ["other"] + a[61:]
+    rows = [(1, " ".join(a), "en", "s", None, None)] * 400 + [(2, " ".join(b), "en", "s", None, None)] * 300 + [(3, prose(rng, 90), "en", "s", None, None)]
+    out = dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert collections.Counter((r.doc_id, r.class_id, r.class_size) for r in out) == {(1, 1, 700): 400, (2, 1, 700): 300, (3, 3, 1): 1}
+
+
+def test_near_duplicates_with_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(9)
+    a = prose(rng, 150_000).split(" ")
+    b = [*a[:70_000], "other", *a[70_001:]]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, prose(rng, 60)), (4, "w " * 200_000)]
+    table = spark.createDataFrame([(*r, "x", 1, "y", b"z", 2) for r in rows], "doc_id long, text string, digest string, uid long, label string, node binary, rep int")
+    assert {r.doc_id: r.class_id for r in dedup.near_duplicates(table).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert sorted(r.doc_id for r in dedup.deduplicate(table).select("doc_id", "uid").collect()) == [1, 3, 4]
+
+
 def test_components_follow_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200)], "u long, v long")
     out = {r.node: r.root for r in graph.components(edges).collect()}

@@ -30,12 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoplane.llm.graph import components
-from chronoplane.llm.shared import WORD, materialize
+from chronoplane.llm.shared import WORD, filesystem, materialize
 
 SHINGLE = 5
 #: Similarity as a fraction, so that the comparison is exact.
@@ -160,8 +162,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n.append(int(count[own].sum()))
                 buckets.append(bands[i] if n[-1] else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))],
-                names=["doc_id", "digest", "node", "n", "bands"],
+                [batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(texts[lo:hi], pa.string()), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))],
+                names=["doc_id", "digest", "text", "node", "n", "bands"],
             )
 
 
@@ -257,20 +259,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies of each other.  A null doc_id is never a class's id unless all are
     null.  Other columns are ignored; an empty table gives no rows.
     """
-    return _report(_signed(docs), docs).select("doc_id", "class_id", "class_size", "kept")
+    return _report(_signed(docs)).select("doc_id", "class_id", "class_size", "kept")
 
 
 def _signed(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id"), "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = rows.mapInArrow(_sign, f"doc_id {kind}, digest string, node binary, n long, bands array<long>")
+    signed = rows.mapInArrow(_sign, f"doc_id {kind}, digest string, text string, node binary, n long, bands array<long>")
     return materialize(signed.withColumn("uid", F.monotonically_increasing_id()), "signed")
 
 
-def _report(signed: DataFrame, docs: DataFrame) -> DataFrame:
+def _report(signed: DataFrame) -> DataFrame:
     heads = materialize(signed.groupBy("node").agg(F.min("uid").alias("uid")), "heads")
-    nodes = materialize(signed.join(heads.select("uid"), "uid", "left_semi").where("n > 0").select("uid", "node", "doc_id", "digest", "n", "bands"), "nodes")
-    roots = _components(nodes, docs)
+    nodes = materialize(signed.join(heads.select("uid"), "uid", "left_semi").where("n > 0").select("uid", "node", "n", "bands"), "nodes")
+    roots = _components(nodes, signed)
     labelled, label = signed.select("doc_id", "uid", "digest", "node"), F.col("node")
     if roots is not None:
         every = roots.unionByName(roots.select(F.col("root").alias("uid"), "root").distinct())
@@ -283,14 +285,14 @@ def _report(signed: DataFrame, docs: DataFrame) -> DataFrame:
     return labelled.join(classes, "label").withColumn("kept", F.col("uid") == F.col("kept_uid"))
 
 
-def _components(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
+def _components(nodes: DataFrame, signed: DataFrame) -> DataFrame | None:
     """(uid, root) for the nodes that links join to a lesser one, or None without links."""
     entries = nodes.select("uid", F.explode("bands").alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     shared = materialize(entries.join(buckets, "bucket"), "shared")
-    met = nodes.join(shared.select("uid").distinct(), "uid", "left_semi").select("uid", "doc_id", "digest", "n")
+    met = nodes.join(shared.select("uid").distinct(), "uid", "left_semi").select("uid", "n")
     met = materialize(met, "met")
-    texts = _texts(met, docs)
+    texts = _texts(met, signed)
     found = materialize(_beside_rep(shared, met, texts), "links")
     roots = None if found.isEmpty() else _roots(found)
     found = materialize(_beside_others(shared, met, texts, roots), "links")
@@ -303,19 +305,43 @@ def _roots(links: DataFrame) -> DataFrame:
     return components(links).withColumnRenamed("node", "uid")
 
 
-def _texts(met: DataFrame, docs: DataFrame) -> DataFrame:
-    """(uid, text) of the nodes that share a bucket."""
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5(F.col("text").cast("binary")))
-    ids = met.select("uid", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    texts = own.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
-    texts = materialize(texts.select("uid", "text"), "texts")
-    # A repeated row brings its text again; one will do.
-    return materialize(texts.groupBy("uid").agg(F.first("text").alias("text")), "texts") if texts.count() > met.count() else texts
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts at given places, whose rows come sorted by file."""
+
+    def read(path: str, wanted: list[int]) -> Iterator[pa.RecordBatch]:
+        fs, where = filesystem(path)
+        own = pa.array(wanted, pa.int64())
+        with fs.open_input_file(where) as file:
+            for part in pq.ParquetFile(file).iter_batches(batch_size=256, columns=["uid", "text"]):
+                yield part.select(["uid", "text"]).filter(pc.is_in(part.column("uid"), value_set=own))
+
+    path, wanted = None, []
+    for batch in batches:
+        for uid, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if at != path and wanted:
+                yield from read(path, wanted)
+                wanted = []
+            path = at
+            wanted.append(uid)
+    if wanted:
+        yield from read(path, wanted)
+
+
+def _texts(met: DataFrame, signed: DataFrame) -> DataFrame:
+    """(uid, text) of the nodes that share a bucket.
+
+    ``signed`` holds a file per task, and a uid begins with the task's number, so
+    a text is read from its file.  No other text moves.
+    """
+    task = F.shiftright("uid", 33).alias("task")
+    files = signed.select(task, F.col("_metadata.file_path").alias("path")).distinct()
+    places = met.select("uid", task).join(materialize(files, "files"), "task").select("uid", "path")
+    return materialize(places.repartition("path").sortWithinPartitions("path").mapInArrow(_fetch, "uid long, text string"), "texts")
 
 
 def _compared(tiles: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (u, v) of labels in tiles, given as a, b, c (the tile), uid, label, side."""
-    rows = tiles.join(texts, "uid").select("a", "b", "c", "uid", "label", "side", "text")
+    rows = tiles.join(texts.hint("merge"), "uid").select("a", "b", "c", "uid", "label", "side", "text")
     return rows.repartition("a", "b", "c").sortWithinPartitions("a", "b", "c").mapInArrow(_verify, "u long, v long").distinct()
 
 
@@ -356,7 +382,7 @@ def _beside_others(shared: DataFrame, met: DataFrame, texts: DataFrame, roots: D
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, one of each class, with all columns."""
-    report = _report(_signed(docs), docs)
+    report = _report(_signed(docs))
     copies = report.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
     kept = materialize(copies.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "rows"), "kept")
     body = docs.select(F.struct("*").alias("row")).withColumn("digest", F.md5(F.coalesce("row.text", F.lit("")).cast("binary")))

@@ -8,9 +8,11 @@ lost executor, and its file size lets Spark choose a broadcast on a known bound
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,6 +53,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path in the shared folder, and the path on it."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + re.sub("^file:", "", uri))
+
+
 def column(name: str) -> Column:
     """A column by its literal name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")

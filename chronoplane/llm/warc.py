@@ -20,11 +20,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoplane.llm.shared import materialize, scratch_path
+from chronoplane.llm.shared import filesystem, materialize, scratch_path
 
 LEAST_REVISIT = 1000
 #: Date of all records: archives of equal pages are equal.
@@ -81,10 +80,6 @@ def write_monolithic(pages: DataFrame, path: str) -> None:
     records.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", RECORDS).text(path)
 
 
-def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + re.sub("^file:", "", uri))
-
-
 _HEADERS = re.compile(rb"^([A-Za-z-]+): *(.*?)\r$", re.M)
 
 
@@ -133,7 +128,7 @@ def _member(record: bytes) -> bytes:
 
 def _normalise(target: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rewrite each monolithic archive; a repeated task writes the same files again."""
-    fs, root = _filesystem(target)
+    fs, root = filesystem(target)
     fs.create_dir(root, recursive=True)
     for batch in batches:
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -166,7 +161,7 @@ def normalise(spark, source: str, target: str) -> DataFrame:
 
 
 def _read(target: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fs, _ = _filesystem(target)
+    fs, _ = filesystem(target)
     number = lambda x: None if x == b"null" else int(x)
     name, file = None, None
     for batch in batches:

@@ -8,8 +8,8 @@ by size: ``rate = min(MAX_COPIES, exp(multiplier * size / scale))``.  Newton
 steps find all multipliers at once, each a distributed sum over a table of
 (source, size, number of documents); a bracket catches steps that leave it.
 
-Rates become whole copies: the fractions are compared with a hash, and per
-source a threshold on the difference is chosen up to which the words taken don't
+Rates become whole copies: the fractions are compared with a hash of the
+document's id and size and, among repeated ones, its place, and per source a threshold on the difference is chosen up to which the words taken don't
 exceed the target.  The threshold is found by radix selection, 12 bits at a
 time, so no source is ever sorted in one task.  ``PICKS`` single documents of
 the size that is still missing then close the gap.  Sums are decimals, so reruns
@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoplane.llm.shared import WORD, materialize, packed
+from chronoplane.llm.shared import WORD, materialize, numbered, packed
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
-#: Newton stops when every source is this near to its target, relatively.
+#: Newton stops when every source is this near to its target, relatively, or its
+#: bracket holds no number between its ends.
 TOLERANCE = 1e-7
-MOST_STEPS = 60
 #: Bits of the rounding key and of one radix step.
 KEY_BITS = 48
 STEP_BITS = 12
@@ -50,7 +50,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
     Shares follow the weights until a source would exceed MAX_COPIES times its
     size; what is over goes to the others by weight.  In the order of
-    size / weight the sources that stop come first, so one pass decides.
+    size / weight the sources that stop come first, so one pass decides.  It
+    orders all sources in one task: a short row each, however many documents.
     """
     by_name = Window.orderBy("k")
     weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(WEIGHTS))) + 1).cast("int")).cast("long")
@@ -85,7 +86,7 @@ def solve(histogram: DataFrame, targets: DataFrame) -> DataFrame:
         F.lit(False).alias("done"),
     )
     state = materialize(state, "dual")
-    for _ in range(MOST_STEPS):
+    while True:
         words = n_words * _rate()
         slope = F.when(_rate() < MAX_COPIES, words * F.col("size") / F.col("scale")).otherwise(F.lit(0.0))
         exact = lambda c: F.sum(c.cast("decimal(38,10)")).cast("double")
@@ -93,11 +94,12 @@ def solve(histogram: DataFrame, targets: DataFrame) -> DataFrame:
         off = F.col("f") - F.col("target")
         lo, hi = F.when(off > 0, F.col("lo")).otherwise(F.col("lam")), F.when(off > 0, F.col("lam")).otherwise(F.col("hi"))
         newton = F.col("lam") - off / F.nullif(F.col("g"), F.lit(0.0))
+        middle = (lo + hi) / 2
         inside = newton.isNotNull() & (newton > lo) & (newton < hi) & ~F.coalesce(F.abs(off) > 0.5 * F.col("last"), F.lit(False))
-        near = (F.abs(off) <= TOLERANCE * F.col("target")) | (F.col("target") >= MAX_COPIES * F.col("source_size"))
+        near = (F.abs(off) <= TOLERANCE * F.col("target")) | (F.col("target") >= MAX_COPIES * F.col("source_size")) | (middle <= lo) | (middle >= hi)
         state = state.join(sums, "k", "left").select(
             "k", "source_size", "target", "scale",
-            F.when(F.col("done") | near, F.col("lam")).when(inside, newton).otherwise((lo + hi) / 2).alias("lam"),
+            F.when(F.col("done") | near, F.col("lam")).when(inside, newton).otherwise(middle).alias("lam"),
             F.when(F.col("done"), F.col("lo")).otherwise(lo).alias("lo"),
             F.when(F.col("done"), F.col("hi")).otherwise(hi).alias("hi"),
             F.abs(off).alias("last"),
@@ -113,7 +115,7 @@ def _rounding(df: DataFrame) -> DataFrame:
     """Add whole (copies at least), key (order in which a copy is added, or null) and mark."""
     out = df.withColumn("rate", F.when(F.col("size") == 0, F.lit(1.0)).otherwise(_rate()))
     out = out.withColumn("whole", F.floor("rate").cast("long"))
-    out = out.withColumn("mark", F.xxhash64("doc_id", "size"))
+    out = out.withColumn("mark", F.xxhash64("doc_id", "size", "place"))
     luck = F.shiftrightunsigned("mark", 11) / F.lit(float(1 << 53))
     order = (1.0 - (F.col("rate") - F.col("whole") - luck)) * F.lit(float(1 << (KEY_BITS - 1)))
     return out.withColumn("key", F.when(F.col("rate") > F.col("whole"), F.least(F.floor(order).cast("long"), F.lit((1 << KEY_BITS) - 1))))
@@ -151,16 +153,38 @@ def _thresholds(rows: DataFrame, model: DataFrame) -> DataFrame:
     return state.select("k", "limit", "picked")
 
 
-def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sizes of the documents, model per source) for the mix."""
+SAME = ("k", "doc_id", "size")
+
+
+def _placed(rows: DataFrame, repeated: DataFrame, *first: str) -> DataFrame:
+    """Add place: the number of a row, from 0, among those with equal k, doc_id and size.
+
+    ``repeated`` lists what several rows share; hardly any do, and only those are
+    numbered, in the order of the columns ``first``.
+    """
+    if repeated.isEmpty():
+        return rows.withColumn("place", F.lit(0).cast("long"))
+    others = repeated.select(*[F.col(c).alias(f"_{c}") for c in SAME])
+    match = (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("size") == F.col("_size"))
+    alone = rows.join(others, match, "left_anti").withColumn("place", F.lit(0).cast("long"))
+    several = rows.join(others, match, "left_semi").withColumn("same", F.struct(*SAME)).withColumn("uid", F.monotonically_increasing_id())
+    return alone.unionByName(numbered(materialize(several, "several"), "same", [*first, "uid"], "place").select(*alone.columns))
+
+
+def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sizes of the documents, what several rows share, model per source) for the mix."""
     sizes = materialize(docs.select("doc_id", source_key(F.col("source")).alias("k"), size_of(F.col("text")).alias("size")), "sizes")
+    repeated = materialize(sizes.groupBy(*SAME).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*SAME), "repeated")
+    sizes = _placed(sizes, repeated)
+    if not repeated.isEmpty():
+        sizes = materialize(sizes, "sizes")
     histogram = materialize(sizes.where("size > 0").groupBy("k", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     totals = sizes.groupBy("k").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(totals), "targets")
     model = solve(histogram, targets)
     model = materialize(targets.join(model.select("k", "scale", "lam"), "k", "left").na.fill({"scale": 1.0, "lam": 0.0}), "model")
     limits = _thresholds(_rounding(sizes.join(model, "k")), model)
-    return sizes, materialize(model.join(limits, "k", "left").na.fill({"limit": -1}).withColumn("picked", F.coalesce("picked", F.array().cast("array<long>"))), "mix")
+    return sizes, repeated, materialize(model.join(limits, "k", "left").na.fill({"limit": -1}).withColumn("picked", F.coalesce("picked", F.array().cast("array<long>"))), "mix")
 
 
 def _copies() -> Column:
@@ -173,11 +197,11 @@ def mix_report(docs: DataFrame) -> DataFrame:
     """One row per document: its size, its source's size and target, words taken.
 
     A null or empty text has size 0 and takes nothing.  A null source is the
-    last source.  Repeated rows each count.  Rows with equal id and size are
-    added or left together, which bounds the distance from a target by such a
-    group's words.  Other columns are ignored; an empty table gives no rows.
+    last source.  Repeated rows, null ids too, each count and are each taken or
+    left on their own.  Ties are broken by a hash.  Other columns are ignored; an
+    empty table gives no rows.
     """
-    sizes, model = plan(docs)
+    sizes, _, model = plan(docs)
     mixed = _rounding(sizes.join(model, "k")).withColumn("copies", _copies())
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -185,10 +209,13 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents, each as many times as the mix takes it, with all columns.
 
-    The small model meets the documents where they are; no text is shuffled.  A
-    document without words stays once.
+    The small model meets the documents where they are; of the texts only those
+    of repeated rows are shuffled.  A document without words, a null text too,
+    stays once.  Null sources and ids, repeated rows and ties are treated as in
+    ``mix_report``; columns may have any names; an empty table gives no rows.
     """
-    _, model = plan(docs)
+    _, repeated, model = plan(docs)
     body = packed(docs, "doc_id").withColumn("k", source_key(F.col("row.source"))).withColumn("size", size_of(F.col("row.text")))
+    body = _placed(body.withColumn("order", F.xxhash64("row")), repeated, "order")
     copies = _rounding(body.join(model, "k")).withColumn("copies", _copies()).select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return copies.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

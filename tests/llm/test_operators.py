@@ -404,6 +404,31 @@ def test_targets_are_met_and_capped(spark):
     assert mixed.columns == df.columns and sum(len(words(r.text)) for r in mixed.collect()) == sum(taken.values())
 
 
+def test_repeated_rows_are_taken_one_by_one(spark):
+    text = prose(random.Random(6), 10)
+    rows = [(None, text, "en", "a", None, None)] * 1000 + [(7, text, "en", "b", None, None)] * 300 + [(7, prose(random.Random(7), 10), "en", "b", None, None)] * 200
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = mixing.mix_report(df).collect()
+    taken = collections.Counter()
+    for r in out:
+        taken[r.source_size, r.target] += r.taken
+        assert r.taken <= 3 * r.size
+    assert len(out) == 1500 and len(taken) == 2
+    for (_, target), words_taken in taken.items():
+        assert abs(words_taken - target) <= 10
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and 10 * mixed.count() == sum(taken.values())
+    again = [sorted((r.text for r in x.collect())) for x in (mixed, mixing.mix(df.repartition(2)))]
+    assert again[0] == again[1]
+
+
+def test_mix_with_clashing_columns_and_a_very_long_text(spark):
+    rows = [(i, prose(random.Random(i), 30), "s", 1, 2.0, 3, "x", 4) for i in range(50)] + [(99, "w " * 300_000, "t", 1, 2.0, 3, "x", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target double, lam int, k string, place int")
+    assert {r.doc_id: r.size for r in mixing.mix_report(df).collect()}[99] == 300_000
+    assert mixing.mix(df).columns == df.columns
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix_report(empty(spark)).isEmpty() and mixing.mix(empty(spark)).isEmpty()
 

@@ -1,77 +1,121 @@
 """Sharding by balanced label propagation over documents with equal texts.
 
-Documents with equal texts are linked.  Each such group is dealt into cells by a
-hash of the document id, and cells start in the shard that their hash names.
-Then, round after round, joins find for every cell the shard that holds most of
-its group; a move is granted while the shard has quota left.  Moves into a shard
-are ordered by a hash and granted up to the quota by a histogram of that hash,
-so nothing depends on one task.  Documents without links fill what is left, and
-what exceeds a shard's quota goes with them, so the ``rows`` law holds exactly:
-the shards' counts differ by at most one.
+Documents with equal texts are linked.  Every document starts with the shard that
+its own hash names.  Round after round, joins find for each group the shard that
+most of its documents name among those with room for the whole group, or else a
+hash of such shards; a group moves as a whole, and shards grant moves up to their
+quota, larger groups first.  A refused group asks again with the room that is left,
+until no group fits anywhere.  Groups larger than ``1 / LARGE`` of a shard's quota
+go before the others, so that these leave them room.
+
+A group larger than a shard's quota takes whole shards first.  What fits nowhere
+in the end, fewer groups than there are shards, fills what room is left: only these
+groups are split.  Documents without links fill up the shards, so the ``rows`` law
+holds exactly: the shards' counts differ by at most one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import defaultdict
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chronoplane.llm.shared import materialize, numbered
 
 SHARDS = 16
-#: Cells of a group; a group larger than a shard can be spread in these steps.
-CELLS = 128
-ROUNDS = 6
-#: Bins of the hash by which moves are granted.
-BINS = 256
-
-
-def _quota_sql(rows: int, shards: int, shard: str) -> str:
-    return f"({rows // shards} + IF({shard} < {rows % shards}, 1, 0))"
-
-
-def _propagate(cells: DataFrame, rows: int, shards: int) -> DataFrame:
-    """(g, cell, n, label) after the rounds of label propagation."""
-    cells = materialize(cells, "cells")
-    every_shard = cells.sparkSession.range(shards).select(F.col("id").cast("int").alias("label"))
-    for turn in range(ROUNDS):
-        held = cells.groupBy("g", "label").agg(F.sum("n").alias("mass"))
-        used = cells.groupBy("label").agg(F.sum("n").alias("used"))
-        free = every_shard.join(used, "label", "left").select("label", (F.expr(_quota_sql(rows, shards, "label")) - F.coalesce("used", F.lit(0))).alias("free"))
-        free = materialize(free, "free")
-        # The shard with most of the group among those with quota left, one per group.
-        best = held.join(free.where("free > 0"), "label").groupBy("g").agg(F.max(F.struct("mass", -F.col("label"))).alias("b"))
-        best = materialize(best.select("g", F.col("b.mass").alias("best_mass"), (-F.col("b.col2")).cast("int").alias("to")), "best")
-        here = materialize(held, "held")
-        wish = cells.join(best, "g").join(here, ["g", "label"]).where((F.col("to") != F.col("label")) & ((F.col("best_mass") > F.col("mass")) | (F.col("best_mass") == F.col("mass")) & (F.col("to") < F.col("label"))))
-        # Whole groups go in or stay out together as far as they can: the hash is the group's first.
-        wish = wish.withColumn("bin", F.pmod(F.xxhash64("g", F.lit(turn)), F.lit(BINS))).withColumn("sub", F.pmod(F.xxhash64("g", "cell", F.lit(turn)), F.lit(BINS)))
-        wish = materialize(wish.select("g", "cell", "n", "to", "bin", "sub"), "wishes")
-        granted = _grant(_grant(wish, free, "bin"), free, "sub")
-        cells = cells.join(granted.select("g", "cell", "to"), ["g", "cell"], "left").select("g", "cell", "n", F.coalesce("to", "label").alias("label"))
-        cells = materialize(cells, "cells")
-    return cells
-
-
-def _grant(wish: DataFrame, free: DataFrame, bin: str) -> DataFrame:
-    """Moves whose bin's cumulative rows stay within the free quota of their shard.
-
-    The first pass leaves the bin that crosses the quota open; the second splits
-    it by the finer hash.
-    """
-    first = bin == "bin"
-    keys = ["to", "bin"] if first else ["to", "sub"]
-    rows = wish if first else wish.where("NOT sure")
-    sums = rows.groupBy(*keys).agg(F.sum("n").alias("w"))
-    upto = F.sum("w").over(Window.partitionBy("to").orderBy(keys[1]).rowsBetween(Window.unboundedPreceding, 0))
-    if first:
-        limits = sums.withColumn("upto", upto).join(free.withColumnRenamed("label", "to"), "to")
-        limits = limits.select("to", "bin", (F.col("upto") <= F.col("free")).alias("sure"), (F.col("upto") - F.col("w") < F.col("free")).alias("starts"), (F.col("free") - F.col("upto") + F.col("w")).alias("left"))
-        return materialize(wish.join(materialize(limits.where("starts"), "limits"), ["to", "bin"]), "granted")
-    limits = sums.withColumn("upto", upto)
-    left = wish.where("NOT sure").groupBy("to").agg(F.max("left").alias("room"))
-    fits = limits.join(left, "to").where(F.col("upto") <= F.col("room")).select("to", "sub")
-    return wish.where("sure").select("g", "cell", "to").unionByName(rows.join(materialize(fits, "fits"), ["to", "sub"]).select("g", "cell", "to"))
+#: A group is large from this share of a shard's quota on; there are at most LARGE * shards of them.
+LARGE = 64
+
+
+def quotas(rows: int, shards: int) -> list[int]:
+    return [rows // shards + (s < rows % shards) for s in range(shards)]
+
+
+def _with_room(room: list[int], n: str) -> Column:
+    """The shards with room for n rows, as an array."""
+    every = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(r).cast("long").alias("r")) for s, r in enumerate(room)])
+    return F.transform(F.filter(every, lambda x: x["r"] >= F.col(n)), lambda x: x["s"])
+
+
+def _grants(classes: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many of the groups that ask, by (shard, size), a shard takes; larger ones first."""
+    taken = {}
+    for to, n in sorted(classes, key=lambda c: (c[0], -c[1])):
+        taken[to, n] = min(classes[to, n], room[to] // n)
+        room[to] -= n * taken[to, n]
+    return taken
+
+
+def _propagate(groups: DataFrame, held: DataFrame, room: list[int]) -> list[DataFrame]:
+    """Tables (g, shard) of the groups (g, n) that move as a whole; takes from ``room``."""
+    placed, turn = [], 0
+    while True:
+        open_ = groups.withColumn("fits", _with_room(room, "n")).where(F.size("fits") > 0)
+        named = open_.join(held, "g", "left").where(F.array_contains("fits", F.col("label")))
+        most = named.groupBy("g").agg(F.max(F.struct("mass", F.xxhash64("g", "label").alias("h"), "label")).alias("m"))
+        # Room is named in proportion, so that few are refused.
+        total = sum(room)
+        spot, ends, to = F.pmod(F.xxhash64("g", F.lit(turn)), F.lit(max(1, total))), 0, F.lit(None).cast("int")
+        for s, r in enumerate(room):
+            to = F.coalesce(to, F.when((spot < ends + r) & (F.col("n") <= r), s))
+            ends += r
+        any_fit = F.element_at("fits", (F.pmod(F.xxhash64("g", F.lit(-1 - turn)), F.size("fits")) + 1).cast("int"))
+        asks = open_.join(most, "g", "left").select("g", "n", F.coalesce("m.label", to, any_fit).alias("to"))
+        asks = materialize(asks, "asks")
+        # Sizes differ: k of them need k * k / 2 rows, so a shard has at most sqrt(2 * rows) classes.
+        classes = {(r["to"], r["n"]): r["count"] for r in asks.groupBy("to", "n").count().collect()}
+        if not classes:
+            return placed
+        taken = _grants(classes, room)
+        whole = F.lit(False)
+        limits = asks.sparkSession.createDataFrame([(to, n, k, k == classes[to, n]) for (to, n), k in taken.items()], "to int, n long, k long, every boolean")
+        asks = asks.join(limits, ["to", "n"])
+        some = asks.where("NOT every AND k > 0").withColumn("class", F.struct("to", "n"))
+        if any(0 < k < classes[c] for c, k in taken.items()):
+            some = numbered(materialize(some, "some"), "class", ["g"], "i").where("i < k")
+        else:
+            some = some.where(whole)
+        moved = asks.where("every").select("g", F.col("to").alias("shard")).unionByName(some.select("g", F.col("to").alias("shard")))
+        moved = materialize(moved, "moved")
+        placed.append(moved)
+        groups = materialize(groups.join(moved, "g", "left_anti"), "open")
+        turn += 1
+
+
+def _spread(totals: list[tuple[int, int]], room: list[int]) -> list[tuple[int, int, int, int]]:
+    """(g, first, last, shard): the rows of groups (g, n) that no shard takes whole, most room first."""
+    out = []
+    for g, n in sorted(totals, key=lambda t: (-t[1], t[0])):
+        first = 0
+        while first < n:
+            s = max(range(len(room)), key=lambda i: (room[i], -i))
+            if not room[s]:
+                break
+            take = min(room[s], n - first)
+            out.append((g, first, first + take, s))
+            room[s] -= take
+            first += take
+    return out
+
+
+def place_groups(groups: DataFrame, held: DataFrame, room: list[int]) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+    """(g, shard) of whole groups, and the spread of those that must be split."""
+    quota = max(room, default=0)
+    # At most as many as there are shards hold more than a shard's quota.
+    giants = [(r["g"], r["n"]) for r in groups.where(F.col("n") > quota).collect()]
+    spread = _spread(giants, room)
+    large = F.col("n") * LARGE > quota
+    rest = groups.where(F.col("n") <= quota)
+    placed = _propagate(rest.where(large), held, room) + _propagate(rest.where(~large), held, room)
+    whole = groups.sparkSession.createDataFrame([], "g long, shard int")
+    for moved in placed:
+        whole = whole.unionByName(moved)
+    whole = materialize(whole, "whole")
+    # A large one needs more room than any shard had left; of the others fewer than shards remain,
+    # since each needs more room than any shard has, and all together no more than there is.
+    left = [(r["g"], r["n"]) for r in rest.join(whole, "g", "left_anti").collect()]
+    return whole, spread + _spread(left, room)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -81,8 +125,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     grown_shard (null under this law).  A null text has no bytes; null texts are
     equal texts of their own kind.  Repeated rows are documents each, linked by
     their text.  doc_id may be null.  Ties are broken by hashes of the values.
-    Other columns are ignored; an empty table gives no rows.  More than
-    ``shards`` copies of a text stay together up to a shard's quota.
+    Other columns are ignored; an empty table gives no rows.  A group of copies
+    is split only if it is larger than a shard or fits into no shard's rest.
     """
     kind = F.when(F.col("text").isNull(), F.lit("-")).otherwise(F.sha2("text", 256))
     facts = docs.select(
@@ -92,29 +136,33 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.xxhash64(kind).alias("g"),
         F.monotonically_increasing_id().alias("uid"),
     )
-    facts = materialize(facts.withColumn("cell", F.pmod(F.xxhash64("uid"), F.lit(CELLS)).cast("int")), "facts")
+    facts = materialize(facts, "facts")
     rows = facts.count()
-    cells = facts.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"))
-    linked = cells.groupBy("g").agg(F.sum("n").alias("total")).where("total > 1")
-    cells = cells.join(linked, "g").select("g", "cell", "n", F.pmod(F.xxhash64("g", F.col("cell") % shards), F.lit(shards)).cast("int").alias("label"))
-    placed = _propagate(cells, rows, shards)
-    known = materialize(facts.join(placed.select("g", "cell", "label"), ["g", "cell"], "left"), "known")
-    # Linked documents keep their shard up to its quota; the others fill the shards.
-    ranked = materialize(numbered(known.where("label IS NOT NULL"), "label", ["g", "uid"], "rank"), "ranked")
-    keeps = F.col("rank") < F.expr(_quota_sql(rows, shards, "label"))
-    counts = {r["label"]: r["count"] for r in ranked.where(keeps).groupBy("label").count().collect()}
-    filler = ranked.where(~keeps).drop("rank").unionByName(known.where("label IS NULL"))
-    filler = materialize(filler.withColumn("all", F.lit(0)), "filler")
-    filler = numbered(filler, "all", ["g", "uid"], "rank").drop("all")
+    groups = materialize(facts.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
+    start = F.pmod(F.xxhash64("g", "uid"), F.lit(shards)).cast("int").alias("label")
+    held = materialize(facts.select("g", start).groupBy("g", "label").agg(F.count(F.lit(1)).alias("mass")).join(groups.select("g"), "g", "left_semi"), "held")
+    room = quotas(rows, shards)
+    whole, spread = place_groups(groups, held, room)
+    known = materialize(facts.join(whole, "g", "left"), "known")
+    placed, filler = known.where("shard IS NOT NULL"), known.where("shard IS NULL")
+    if spread:
+        split = facts.sparkSession.createDataFrame(spread, "g long, first long, last long, to int")
+        several = materialize(filler.join(F.broadcast(split.select("g").distinct()), "g", "left_semi"), "several")
+        ranked = numbered(several, "g", ["uid"], "i")
+        fits = ranked.join(F.broadcast(split), "g").where("i >= first AND i < last").withColumn("shard", F.col("to")).select(*placed.columns)
+        placed = placed.unionByName(fits)
+        filler = filler.join(F.broadcast(split.select("g").distinct()), "g", "left_anti")
+    filler = numbered(materialize(filler.withColumn("all", F.lit(0)), "filler"), "all", ["uid"], "rank")
     # At most ``shards`` numbers: where each shard's share of the filler ends.
-    ends, end = [], 0
+    spans = defaultdict(lambda: (0, 0))
+    end = 0
+    for s in range(shards):
+        spans[s] = end, end + room[s]
+        end += room[s]
+    slot = F.lit(None).cast("int")
     for s in range(shards):
-        end += rows // shards + (s < rows % shards) - counts.get(s, 0)
-        ends.append(end)
-    slot = F.lit(shards - 1)
-    for s in reversed(range(shards)):
-        slot = F.when(F.col("rank") < ends[s], F.lit(s)).otherwise(slot)
-    done = ranked.where(keeps).withColumn("shard", F.col("label")).unionByName(filler.withColumn("shard", slot))
+        slot = F.coalesce(slot, F.when(F.col("rank") < spans[s][1], F.lit(s)))
+    done = placed.unionByName(filler.withColumn("shard", slot).select(*placed.columns))
     done = materialize(done.select("doc_id", "size", "text_crc32", "uid", "shard"), "placed")
     out = numbered(done, "shard", ["uid"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -334,6 +334,31 @@ def test_a_text_larger_than_a_shard_is_split(spark):
     assert sharding.shard(empty(spark)).isEmpty()
 
 
+@pytest.mark.parametrize("sizes", [[2] * 160, [8] * 50, [8] * 20 + [1] * 160, [40] * 5 + [3] * 40, [1, 2, 3, 4, 5, 6, 7] * 12])
+def test_linked_documents_are_cut_no_more_than_they_must_be(spark, sizes):
+    rows = [(i, f"text {g}") for g, n in enumerate(sizes) for i in range(n)]
+    clash = "doc_id long, text string, g int, n int, label int, shard int, uid int"
+    out = sharding.shard(spark.createDataFrame([(i, t, 1, 2, 3, 4, 5) for i, (_, t) in enumerate(rows)], clash).repartition(4)).collect()
+    counts = collections.Counter(r.shard for r in out)
+    assert len(out) == len(rows) and max(counts.values()) - min(counts.values()) <= 1
+    held = collections.defaultdict(set)
+    for r in out:
+        held[r.text_crc32].add(r.shard)
+    split = sum(len(x) > 1 for x in held.values())
+    quota = sharding.quotas(len(rows), 16)
+    # Brute force: greedy whole placement, larger first, into the fullest shard that has room.
+    room, least = sorted(quota, reverse=True), 0
+    for n in sorted((n for n in sizes if n > 1), reverse=True):
+        fits = [k for k, r in enumerate(room) if r >= n]
+        if fits:
+            room[min(fits, key=lambda k: room[k])] -= n
+        else:
+            least += 1
+            for _ in range(n):
+                room[max(range(16), key=lambda k: room[k])] -= 1
+    assert split <= max(least, 2)
+
+
 # search
 
 

@@ -6,14 +6,20 @@ counts; per language and source a minimum-covariance-determinant estimate
 gives their centre and scatter, and a vector far away by Mahalanobis distance
 is rejected.
 
-The estimate is the deterministic kind: it starts from coordinate-wise medians
-and median absolute deviations, then runs concentration steps.  A step
-measures all distances, takes the nearest ``SUPPORT`` share of the group, and
-refits on it.  Distances are binned on a fixed logarithmic grid, so the share is
-the smallest whole number of bins that holds it, and one aggregation by group
-and bin yields both the threshold and the moments.  Values are whole numbers on
-a grid of ``1 / GRID``, so their sums are exact and don't depend on the order
-of rows.  Everything is DataFrame expressions.
+The estimate is the deterministic kind.  Three starts per group (coordinate-wise
+medians and median absolute deviations; mean and covariance of all rows; the same
+of rows pulled in to two deviations) run concentration steps.  A step measures all
+distances, takes the nearest ``SUPPORT`` share of the group, and refits on it.  A
+start ends when its determinant falls no more, and the start with the least
+determinant is the group's estimate.  Distances are binned on a fixed logarithmic
+grid, so the share is the smallest whole number of bins that holds it, and one
+aggregation by group, start and bin yields both the threshold and the moments.
+Values are whole numbers on a grid of ``1 / GRID``, so their sums are exact and
+don't depend on the order of rows.  Everything is DataFrame expressions.
+
+A group with fewer than ``MIN_GROUP`` rows is judged by the estimate of its whole
+language, and a language with fewer by that of all rows, so every row that passes
+the base rules is judged.
 """
 
 from __future__ import annotations
@@ -30,18 +36,21 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "[#*$%&|<>]"
 
-#: Share of a group that a concentration step keeps, and the number of steps.
+#: Share of a group that a concentration step keeps.
 SUPPORT = 0.75
-STEPS = 5
-#: A group with fewer rows is pooled with the other small groups of its language;
-#: a pool that is still smaller rejects nothing.
+#: A smaller group is judged by the next wider estimate.
 MIN_GROUP = 60
 #: Tail of the chi-square distribution beyond which a vector is an outlier.
-TAIL = 1e-9
+TAIL = 1e-6
 GRID = 4096
-#: Least standard deviation of each coordinate; counts that are zero almost
-#: everywhere would otherwise have none.
-FLOOR = (0.6, 0.12, 0.25, 0.12, 0.12)
+#: Least standard deviation of each coordinate, used where the estimate is below.
+#: Good texts differ in length by orders of magnitude, hardly in the length of
+#: words; most counts of symbols and repeats are zero and have no deviation of
+#: their own, yet a refrain or a repeated heading is no defect.  Alone, a text goes
+#: when its words are 1.6 times as long as usual, 3 % of its characters are symbols
+#: or 80 % of its lines repeated; the base rules bound repeated windows by
+#: themselves, so these only count together with others.
+FLOOR = (1.0, 0.08, 0.25, 0.15, 0.13)
 P = len(FLOOR)
 BINS_PER_OCTAVE = 16
 
@@ -135,13 +144,15 @@ def inverse_factor_sql() -> list[tuple[str, str]]:
     """(alias, expression) in order: Cholesky factor l*, then its inverse i*, from c*."""
     out = []
     for j in range(P):
-        out.append((f"l{j}{j}", f"sqrt(c{j}{j}" + "".join(f" - l{j}{k} * l{j}{k}" for k in range(j)) + ")"))
+        # Coordinates that depend on each other leave no less than a small part of the floor.
+        out.append((f"l{j}{j}", f"sqrt(greatest(c{j}{j}" + "".join(f" - l{j}{k} * l{j}{k}" for k in range(j)) + f", {float((0.2 * FLOOR[j] * GRID) ** 2)!r}e0))"))
         for i in range(j + 1, P):
             out.append((f"l{i}{j}", f"(c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j)) + f") / l{j}{j}"))
     for j in range(P):
         out.append((f"i{j}{j}", f"1e0 / l{j}{j}"))
         for i in range(j + 1, P):
             out.append((f"i{i}{j}", "-(" + " + ".join(f"l{i}{k} * i{k}{j}" for k in range(j, i)) + f") / l{i}{i}"))
+    out.append(("d", " * ".join(f"l{j}{j}" for j in range(P))))
     return out
 
 
@@ -157,10 +168,19 @@ def _vectors(counted: DataFrame) -> DataFrame:
     return some.select(fine.alias("fine"), pool.alias("pool"), *[F.expr(x).alias(f"x{j}") for j, x in enumerate(vector_sql())])
 
 
-def _groups(vectors: DataFrame) -> DataFrame:
-    """fine -> g: the group itself, or its language's pool of small groups."""
-    sizes = vectors.groupBy("fine", "pool").agg(F.count(F.lit(1)).alias("n"))
-    return materialize(sizes.select("fine", F.when(F.col("n") >= MIN_GROUP, F.concat(F.lit("g"), F.col("fine"))).otherwise(F.concat(F.lit("p"), F.col("pool"))).alias("g")), "groups")
+def _groups(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fine -> g that judges its rows, fine -> every g that its rows feed).
+
+    One row per language and source; the few languages meet in one task.
+    """
+    sizes = materialize(vectors.groupBy("fine", "pool").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    pools = sizes.groupBy("pool").agg(F.sum("n").alias("m"))
+    own, pool = F.concat(F.lit("g"), F.col("fine")), F.concat(F.lit("p"), F.col("pool"))
+    judge = F.when(F.col("n") >= MIN_GROUP, own).when(F.col("m") >= MIN_GROUP, pool).otherwise(F.lit("a"))
+    judged = materialize(sizes.join(pools, "pool").select("fine", "pool", judge.alias("g")), "groups")
+    used = judged.select("g").distinct()
+    feeds = judged.select("fine", F.explode(F.array(own, pool, F.lit("a"))).alias("g")).join(used, "g", "left_semi")
+    return judged.select("fine", "g"), materialize(feeds, "feeds")
 
 
 def _middle(values: DataFrame) -> DataFrame:
@@ -180,48 +200,79 @@ def _long(vectors: DataFrame, *keep: str) -> DataFrame:
     return vectors.selectExpr("g", *keep, f"stack({P}, {parts}) AS (j, v)")
 
 
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+MODEL = [f"m{j}" for j in range(P)] + [f"i{i}{j}" for i, j in PAIRS] + ["d"]
+
+
 def fit(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(groups, models) for the vectors of all rows that pass the base rules."""
-    groups = _groups(vectors)
-    data = materialize(vectors.join(groups, "fine").drop("fine", "pool"), "vectors")
+    groups, feeds = _groups(vectors)
+    data = materialize(vectors.join(feeds, "fine").drop("fine", "pool"), "vectors")
+    models = materialize(_starts(data), "model")
+    while not models.where("NOT done").isEmpty():
+        open_ = models.where("NOT done")
+        new = _step(data, open_).select("g", "s", *[F.col(c).alias(f"_{c}") for c in MODEL])
+        better = F.col("_d") < F.col("d")
+        moved = models.join(new, ["g", "s"], "left").select("g", "s", *[F.when(better, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in MODEL], (~F.coalesce(better, F.lit(False))).alias("done"))
+        models = materialize(moved, "model")
+    best = models.groupBy("g").agg(F.min(F.struct("d", "s", *MODEL[:-1])).alias("best"))
+    return groups, materialize(best.select("g", *[F.col(f"best.{c}").alias(c) for c in MODEL[:-1]]), "model")
+
+
+def _starts(data: DataFrame) -> DataFrame:
+    """Per group and start s: a model of no determinant yet."""
     centre = materialize(_middle(_long(data)), "centre")
-    wide = materialize(centre.groupBy("g").agg(*[F.max(F.when(F.col("j") == j, F.col("v"))).alias(f"m{j}") for j in range(P)], F.max("n").alias("n")), "wide")
+    wide = materialize(centre.groupBy("g").agg(*[F.max(F.when(F.col("j") == j, F.col("v"))).alias(f"m{j}") for j in range(P)]), "wide")
     off = data.join(wide, "g").select("g", *[F.abs(F.col(f"x{j}") - F.col(f"m{j}")).alias(f"x{j}") for j in range(P)])
     mad = _middle(_long(off)).groupBy("g").agg(*[F.max(F.when(F.col("j") == j, F.col("v"))).alias(f"s{j}") for j in range(P)])
-    start = wide.where(F.col("n") >= MIN_GROUP).join(mad, "g").select(
-        "g",
-        *[F.col(f"m{j}").cast("double").alias(f"m{j}") for j in range(P)],
-        *[(F.lit(1.0) / F.greatest(1.4826 * F.col(f"s{j}"), F.lit(float(FLOOR[j] * GRID))) if i == j else F.lit(0.0)).alias(f"i{i}{j}") for i in range(P) for j in range(i + 1)],
-    )
-    models = materialize(start, "model")
-    for _ in range(STEPS):
-        models = materialize(_step(data, models), "model")
-    return groups, models
+    middle = materialize(wide.join(mad, "g").selectExpr("g", *[f"m{j}" for j in range(P)], *[f"{deviation_sql(j)} AS r{j}" for j in range(P)]), "middle")
+    first = middle.selectExpr("g", "0 AS s", *[f"CAST(m{j} AS DOUBLE) AS m{j}" for j in range(P)], *[(f"1e0 / r{j}" if i == j else "0e0") + f" AS i{i}{j}" for i, j in PAIRS])
+    pulled = data.join(middle, "g").selectExpr("g", "2 AS s", *[f"{pulled_sql(j)} AS x{j}" for j in range(P)])
+    others = data.selectExpr("g", "1 AS s", *[f"x{j}" for j in range(P)]).unionByName(pulled)
+    sums = others.groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"), *_moments())
+    others = _model(sums.selectExpr("g", "s", "CAST(n AS DOUBLE) AS n", *[f"CAST({t} AS DOUBLE) AS {t}" for t in _moment_names()])).select(*first.columns)
+    return first.unionByName(others).withColumn("d", F.lit(float("inf"))).withColumn("done", F.lit(False))
 
 
-def _step(data: DataFrame, models: DataFrame) -> DataFrame:
-    """One concentration step: refit each group on its nearest share."""
-    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+def deviation_sql(j: int) -> str:
+    return f"greatest(1.4826e0 * s{j}, {float(FLOOR[j] * GRID)!r}e0)"
+
+
+def pulled_sql(j: int) -> str:
+    """The coordinate, pulled in to two deviations from the median."""
+    return f"least(greatest(x{j}, m{j} - CAST(floor(2e0 * r{j}) AS BIGINT)), m{j} + CAST(floor(2e0 * r{j}) AS BIGINT))"
+
+
+def _moment_names() -> list[str]:
+    return [f"t{j}" for j in range(P)] + [f"t{i}{j}" for i, j in PAIRS]
+
+
+def _moments() -> list[Column]:
     exact = lambda e: F.expr(f"sum(CAST({e} AS DECIMAL(20, 0)))")
-    cells = data.join(models, "g").withColumn("b", F.expr(bin_sql(distance_sql()))).groupBy("g", "b").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[exact(f"x{j}").alias(f"t{j}") for j in range(P)],
-        *[exact(f"x{i} * x{j}").alias(f"t{i}{j}") for i, j in pairs],
-    )
-    before = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    near = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
-    near = near.where(F.col("before") < SUPPORT * F.col("all"))
-    sums = near.groupBy("g").agg(F.sum("n").cast("double").alias("n"), *[F.sum(f"t{j}").cast("double").alias(f"t{j}") for j in range(P)], *[F.sum(f"t{i}{j}").cast("double").alias(f"t{i}{j}") for i, j in pairs])
-    model = sums.selectExpr("g", *[f"t{j} / n AS m{j}" for j in range(P)], *[covariance_sql(i, j) + f" AS c{i}{j}" for i, j in pairs])
+    return [exact(f"x{j}").alias(f"t{j}") for j in range(P)] + [exact(f"x{i} * x{j}").alias(f"t{i}{j}") for i, j in PAIRS]
+
+
+def _model(sums: DataFrame) -> DataFrame:
+    """Means, inverse factor and determinant from the moments of n rows."""
+    model = sums.selectExpr("g", "s", *[f"t{j} / n AS m{j}" for j in range(P)], *[covariance_sql(i, j) + f" AS c{i}{j}" for i, j in PAIRS])
     for name, expr in inverse_factor_sql():
         model = model.withColumn(name, F.expr(expr))
-    return model.select("g", *[f"m{j}" for j in range(P)], *[f"i{i}{j}" for i, j in pairs])
+    return model.select("g", "s", *MODEL)
+
+
+def _step(data: DataFrame, models: DataFrame) -> DataFrame:
+    """One concentration step: refit each group and start on its nearest share."""
+    cells = data.join(models, "g").withColumn("b", F.expr(bin_sql(distance_sql()))).groupBy("g", "s", "b").agg(F.count(F.lit(1)).alias("n"), *_moments())
+    before = Window.partitionBy("g", "s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    near = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("g", "s")))
+    near = near.where(F.col("before") < SUPPORT * F.col("all"))
+    return _model(near.groupBy("g", "s").agg(F.sum("n").cast("double").alias("n"), *[F.sum(t).cast("double").alias(t) for t in _moment_names()]))
 
 
 def covariance_sql(i: int, j: int) -> str:
-    """Scatter of the kept share, made consistent; the diagonal has the floor added."""
-    floor = f" + {float((FLOOR[i] * GRID) ** 2)!r}e0" if i == j else ""
-    return f"{CONSISTENCY!r}e0 * (t{i}{j} - t{i} * t{j} / n) / n{floor}"
+    """Scatter of the kept share, made consistent; a variance is no less than its floor."""
+    scatter = f"{CONSISTENCY!r}e0 * (t{i}{j} - t{i} * t{j} / n) / n"
+    return f"greatest({scatter}, {float((FLOOR[i] * GRID) ** 2)!r}e0)" if i == j else scatter
 
 
 def _judged(counted: DataFrame, groups: DataFrame, models: DataFrame) -> DataFrame:
@@ -242,8 +293,9 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no words and fails the base rules.  A null language
     or source is a group like any other.  Repeated rows each count and each get
-    a row; ties in distance share a bin, so they are kept together.  Other
-    columns are ignored.  An empty table gives an empty result.
+    a row; ties in distance share a bin, so they are kept together.  Texts of any
+    length are counted whole.  Other columns are ignored.  An empty table gives
+    an empty result.
     """
     counted = materialize(text_counts(docs.select("doc_id", "lang", "source", "text")).drop("text"), "counts")
     groups, models = fit(_vectors(counted))
@@ -253,9 +305,10 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    The counts are computed anew beside the text for the verdict: the group
-    models are small, so no text is shuffled.
+    Nulls, empty and repeated rows and ties are treated as in ``quality_report``;
+    columns may have any names.  Rows are written once beside their counts, which
+    cost more than the writing; the models are small, so no text is shuffled.
     """
-    groups, models = fit(_vectors(materialize(text_counts(docs.select("lang", "source", "text")).drop("text"), "counts")))
-    counted = text_counts(packed(docs, "text", "lang", "source"))
+    counted = materialize(text_counts(packed(docs, "text", "lang", "source")).drop("text"), "counts")
+    groups, models = fit(_vectors(counted))
     return _judged(counted, groups, models).where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

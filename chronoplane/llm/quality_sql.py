@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronoplane.llm.quality import CUTOFF, FLOOR, GRID, MIN_GROUP, P, STEPS, SUPPORT, bin_sql, covariance_sql, distance_sql, inverse_factor_sql, vector_sql
+from chronoplane.llm.quality import CUTOFF, MIN_GROUP, P, PAIRS, SUPPORT, bin_sql, covariance_sql, deviation_sql, distance_sql, inverse_factor_sql, pulled_sql, vector_sql
 
 _COUNTS = r"""
 d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -16,31 +16,52 @@ counted AS (SELECT d.rid, doc_id, coalesce('=' || lang, '-') AS pool, coalesce('
 based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)"""
 
 
+#: Steps written out; a start that has ended repeats itself, so more do no harm.
+STEPS = 16
+
+
 def quality_sql() -> str:
     xs = ", ".join(f"{x} AS x{j}" for j, x in enumerate(vector_sql()))
-    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    every = range(P)
+    start = ["m%d" % j for j in every] + [f"i{i}{j}" for i, j in PAIRS]
+    totals = [f"t{j}" for j in every] + [f"t{i}{j}" for i, j in PAIRS]
+    sums = ", ".join([f"sum(x{j}) AS t{j}" for j in every] + [f"sum(x{i} * x{j}) AS t{i}{j}" for i, j in PAIRS])
+    doubles = ", ".join(f"CAST(sum({t}) AS DOUBLE) AS {t}" for t in totals)
+    factor = ", ".join(f"{e} AS {a}" for a, e in inverse_factor_sql())
+    covariance = ", ".join([f"t{j} / n AS m{j}" for j in every] + [f"{covariance_sql(i, j)} AS c{i}{j}" for i, j in PAIRS])
     parts = [
-        _COUNTS.strip(),
-        f"sized AS (SELECT pool, src, CASE WHEN count(*) >= {MIN_GROUP} THEN 'g' || pool || chr(1) || src ELSE 'p' || pool END AS g FROM based WHERE NOT base_failed GROUP BY 1, 2)",
-        f"v AS (SELECT b.rid, s.g, {xs} FROM based b JOIN sized s USING (pool, src) WHERE NOT b.base_failed)",
-        "mid AS (SELECT g, count(*) AS n, " + ", ".join(f"quantile_disc(x{j}, 0.5) AS m{j}" for j in range(P)) + " FROM v GROUP BY 1)",
-        "dev AS (SELECT g, " + ", ".join(f"quantile_disc(abs(x{j} - m{j}), 0.5) AS s{j}" for j in range(P)) + " FROM v JOIN mid USING (g) GROUP BY 1)",
-        "model0 AS (SELECT g, " + ", ".join(f"CAST(m{j} AS DOUBLE) AS m{j}" for j in range(P)) + ", "
-        + ", ".join(f"1e0 / greatest(1.4826e0 * s{j}, {float(FLOOR[j] * GRID)!r}e0) AS i{i}{j}" if i == j else f"0e0 AS i{i}{j}" for i, j in pairs)
-        + f" FROM mid JOIN dev USING (g) WHERE n >= {MIN_GROUP})",
-    ]
+        ("sized", "SELECT pool, src, count(*) AS n, sum(count(*)) OVER (PARTITION BY pool) AS m FROM based WHERE NOT base_failed GROUP BY 1, 2"),
+        ("judges", f"SELECT pool, src, CASE WHEN n >= {MIN_GROUP} THEN 'g' || pool || chr(1) || src WHEN m >= {MIN_GROUP} THEN 'p' || pool ELSE 'a' END AS g FROM sized"),
+        ("v", f"SELECT rid, pool, src, {xs} FROM based WHERE NOT base_failed"),
+        ("f", "SELECT v.*, e.g FROM v, (SELECT DISTINCT g FROM judges) e WHERE e.g IN ('a', 'p' || pool, 'g' || pool || chr(1) || src)"),
+        ("mid", "SELECT g, " + ", ".join(f"quantile_disc(x{j}, 0.5) AS m{j}" for j in every) + " FROM f GROUP BY 1"),
+        ("dev", "SELECT g, " + ", ".join(f"quantile_disc(abs(x{j} - m{j}), 0.5) AS s{j}" for j in every) + " FROM f JOIN mid USING (g) GROUP BY 1"),
+        ("middle", "SELECT *, " + ", ".join(f"{deviation_sql(j)} AS r{j}" for j in every) + " FROM mid JOIN dev USING (g)"),
+        ("others", "SELECT g, 1 AS s, " + ", ".join(f"x{j}" for j in every) + " FROM f UNION ALL SELECT g, 2, " + ", ".join(pulled_sql(j) for j in every) + " FROM f JOIN middle USING (g)"),
+        ("osum", f"SELECT g, s, CAST(count(*) AS DOUBLE) AS n, {', '.join(f'CAST(sum({e}) AS DOUBLE) AS {t}' for t, e in zip(totals, [f'x{j}' for j in every] + [f'x{i} * x{j}' for i, j in PAIRS]))} FROM others GROUP BY 1, 2"),
+        ("ocov", f"SELECT g, s, {covariance} FROM osum"),
+        ("omodel", f"SELECT *, {factor} FROM ocov"),
+        (
+            "model0",
+            "SELECT g, 0 AS s, " + ", ".join([f"CAST(m{j} AS DOUBLE) AS m{j}" for j in every] + [(f"1e0 / r{j}" if i == j else "0e0") + f" AS i{i}{j}" for i, j in PAIRS]) + ", CAST('inf' AS DOUBLE) AS d FROM middle "
+            f"UNION ALL SELECT g, s, {', '.join(start)}, CAST('inf' AS DOUBLE) FROM omodel",
+        ),
+    ]
     for k in range(STEPS):
-        sums = ", ".join([f"sum(x{j}) AS t{j}" for j in range(P)] + [f"sum(x{i} * x{j}) AS t{i}{j}" for i, j in pairs])
-        totals = ", ".join([f"CAST(sum(t{j}) AS DOUBLE) AS t{j}" for j in range(P)] + [f"CAST(sum(t{i}{j}) AS DOUBLE) AS t{i}{j}" for i, j in pairs])
         parts += [
-            f"cell{k} AS (SELECT g, {bin_sql(distance_sql())} AS b, count(*) AS n, {sums} FROM v JOIN model{k} USING (g) GROUP BY 1, 2)",
-            f"near{k} AS (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY b ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER (PARTITION BY g) AS every FROM cell{k})",
-            f"sum{k} AS (SELECT g, CAST(sum(n) AS DOUBLE) AS n, {totals} FROM near{k} WHERE before < {SUPPORT}e0 * every GROUP BY 1)",
-            f"cov{k} AS (SELECT g, " + ", ".join([f"t{j} / n AS m{j}" for j in range(P)] + [f"{covariance_sql(i, j)} AS c{i}{j}" for i, j in pairs]) + f" FROM sum{k})",
-            f"model{k + 1} AS (SELECT *, " + ", ".join(f"{e} AS {a}" for a, e in inverse_factor_sql()) + f" FROM cov{k})",
+            (f"cell{k}", f"SELECT g, s, {bin_sql(distance_sql())} AS b, count(*) AS n, {sums} FROM f JOIN model{k} USING (g) GROUP BY 1, 2, 3"),
+            (f"near{k}", f"SELECT *, sum(n) OVER (PARTITION BY g, s ORDER BY b ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER (PARTITION BY g, s) AS every FROM cell{k}"),
+            (f"sum{k}", f"SELECT g, s, CAST(sum(n) AS DOUBLE) AS n, {doubles} FROM near{k} WHERE before < {SUPPORT}e0 * every GROUP BY 1, 2"),
+            (f"cov{k}", f"SELECT g, s, {covariance} FROM sum{k}"),
+            (f"new{k}", f"SELECT *, {factor} FROM cov{k}"),
+            (f"model{k + 1}", "SELECT g, s, " + ", ".join(f"CASE WHEN b.d < a.d THEN b.{c} ELSE a.{c} END AS {c}" for c in [*start, "d"]) + f" FROM model{k} a JOIN new{k} b USING (g, s)"),
         ]
+    parts += [
+        ("best", f"SELECT * FROM model{STEPS} QUALIFY row_number() OVER (PARTITION BY g ORDER BY d, s) = 1"),
+        ("far", f"SELECT v.rid, {distance_sql()} AS d2 FROM v JOIN judges USING (pool, src) JOIN best USING (g)"),
+    ]
     return (
-        "WITH " + ",\n".join(parts) + f",\nfar AS (SELECT v.rid, {distance_sql()} AS d2 FROM v JOIN model{STEPS} USING (g))\n"
+        "WITH " + _COUNTS.strip() + ",\n" + ",\n".join(f"{name} AS MATERIALIZED ({query})" for name, query in parts) + "\n"
         "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, "
-        f"NOT base_failed AND coalesce(d2 <= {CUTOFF!r}e0, true) AS kept FROM based LEFT JOIN far USING (rid)"
+        f"NOT base_failed AND d2 <= {CUTOFF!r}e0 AS kept FROM based LEFT JOIN far USING (rid)"
     )

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoplane.llm.graph import components
-from chronoplane.llm.shared import WORD, filesystem, materialize
+from chronoplane.llm.shared import WORD, filesystem, materialize, passing
 
 SHINGLE = 5
 #: Similarity as a fraction, so that the comparison is exact.
@@ -272,7 +272,11 @@ def _signed(docs: DataFrame) -> DataFrame:
 def _report(signed: DataFrame) -> DataFrame:
     heads = materialize(signed.groupBy("node").agg(F.min("uid").alias("uid")), "heads")
     nodes = materialize(signed.join(heads.select("uid"), "uid", "left_semi").where("n > 0").select("uid", "node", "n", "bands"), "nodes")
-    roots = _components(nodes, signed)
+    with passing(signed.sparkSession) as made:
+        roots = _components(nodes, signed)
+        if roots is not None:
+            roots = materialize(roots, "roots")
+            made.pop()
     labelled, label = signed.select("doc_id", "uid", "digest", "node"), F.col("node")
     if roots is not None:
         every = roots.unionByName(roots.select(F.col("root").alias("uid"), "root").distinct())
@@ -381,10 +385,16 @@ def _beside_others(shared: DataFrame, met: DataFrame, texts: DataFrame, roots: D
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, one of each class, with all columns."""
-    report = _report(_signed(docs))
-    copies = report.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
-    kept = materialize(copies.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "rows"), "kept")
+    """The rows of ``docs`` that are kept, one of each class, with all columns.
+
+    Nulls, empty texts, repeated rows and ties are treated as in
+    ``near_duplicates``; columns may have any names; an empty table gives no rows.
+    """
+    with passing(docs.sparkSession) as made:
+        report = _report(_signed(docs))
+        copies = report.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+        kept = materialize(copies.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "rows"), "kept")
+        made.pop()
     body = docs.select(F.struct("*").alias("row")).withColumn("digest", F.md5(F.coalesce("row.text", F.lit("")).cast("binary")))
     chosen = body.join(kept, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
     if not kept.where("rows > 1").isEmpty():

@@ -50,7 +50,7 @@ GRID = 4096
 #: when its words are 1.6 times as long as usual, 3 % of its characters are symbols
 #: or 80 % of its lines repeated; the base rules bound repeated windows by
 #: themselves, so these only count together with others.
-FLOOR = (1.0, 0.08, 0.25, 0.15, 0.13)
+FLOOR = (1.3, 0.08, 0.25, 0.15, 0.13)
 P = len(FLOOR)
 BINS_PER_OCTAVE = 16
 

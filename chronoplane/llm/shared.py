@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,12 +38,34 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+_scopes: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Remove the scratch tables written inside at the end; what is taken from the list stays."""
+    _scopes.append(made := [])
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver's JVM ends."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 

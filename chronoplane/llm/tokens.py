@@ -53,6 +53,9 @@ class Encoder:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
+        # A file may ask for either; whole texts have neither.
+        self.library.no_truncation()
+        self.library.no_padding()
         byte = byte_of()
         special = {t.content for t in self.library.get_added_tokens_decoder().values()}
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t not in special}

@@ -112,13 +112,19 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
         del buffer[:whole]
 
 
-def _inflate(data: bytes) -> Iterator[bytes]:
-    stream, rest = zlib.decompressobj(31), data
-    while rest:
-        yield stream.decompress(rest, CHUNK)
-        rest = stream.unconsumed_tail
-        if stream.eof and stream.unused_data:
-            stream, rest = zlib.decompressobj(31), stream.unused_data
+def _inflate(file) -> Iterator[bytes]:
+    """The contents of a gzip file, of one stream or several, in pieces of bounded size."""
+    stream = zlib.decompressobj(31)
+    while data := file.read(CHUNK):
+        while data:
+            piece = stream.decompress(data, CHUNK)
+            if piece:
+                yield piece
+            data = stream.unconsumed_tail
+            if stream.eof:
+                data, stream = stream.unused_data, zlib.decompressobj(31)
+    while piece := stream.decompress(b"", CHUNK):
+        yield piece
 
 
 def _member(record: bytes) -> bytes:
@@ -127,16 +133,17 @@ def _member(record: bytes) -> bytes:
 
 
 def _normalise(target: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rewrite each monolithic archive; a repeated task writes the same files again."""
+    """Rewrite each monolithic archive, read as a stream; a repeated task writes the same files again."""
     fs, root = filesystem(target)
     fs.create_dir(root, recursive=True)
     for batch in batches:
-        for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for name in batch.column(0).to_pylist():
             base = hashlib.sha1(name.encode()).hexdigest()[:20]
             path, rows, at = f"{root}/{base}.warc.gz", [], 0
             draft = f"{path}.{uuid.uuid4().hex}"
-            with fs.open_output_stream(draft, compression=None) as out:
-                for record in split_records(_inflate(content.as_buffer())):
+            source, at_source = filesystem(name)
+            with source.open_input_stream(at_source, compression=None) as file, fs.open_output_stream(draft, compression=None) as out:
+                for record in split_records(_inflate(file)):
                     member = _member(record)
                     out.write(member)
                     rows.append((at, len(member)))
@@ -154,9 +161,11 @@ def normalise(spark, source: str, target: str) -> DataFrame:
     """Normalise all ``*.gz`` below ``source`` into ``target``; return the index.
 
     The index has a row per record: archive, offset, length.  It is also written
-    beside each archive as ``.idx``, a line per record.
+    beside each archive as ``.idx``, a line per record.  Only the names of the
+    archives are listed here; a task reads its archive in pieces, so an archive
+    may be larger than memory, a record may not.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
     return materialize(files.mapInArrow(lambda batches: _normalise(target, batches), "archive string, offset long, length long"), "index")
 
 

@@ -9,7 +9,8 @@ tree, ``FAN_IN`` at a time.
 
 Components are whole numbers, floor(64 * x).  Products are exact: they run in
 single or double precision where no sum can exceed what that holds, else in
-64-bit or unbounded integers.
+64-bit or unbounded integers.  A score beyond 63 bits counts as the largest, or
+the least but one, of 64 bits.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ from chronoplane.llm.shared import materialize
 SCALE = 64
 BLOCK = 2048
 #: Blocks of queries and of candidates that a tile holds.
-TILE_QUERIES = 1
+TILE_QUERIES = 4
 TILE_CANDIDATES = 8
 FAN_IN = 16
 
-_BLOCK_SCHEMA = "side int, dim int, block long, ids binary, data binary"
+_BLOCK_SCHEMA = "side int, dim int, block long, ids binary, width int, data binary"
+#: Bytes of a component, by what the largest in a block needs.
+_WIDTHS = {2: np.int16, 4: np.int32, 8: np.float64}
 _TOP_SCHEMA = "block long, part long, n int, k int, ids binary, best binary, scores binary"
 
 
@@ -39,8 +42,13 @@ def _pack_block(side: int):
     def run(key, table):
         dim, block = (x.as_py() for x in key)
         rows = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        row = {"side": side, "dim": dim, "block": block, "ids": table["vec_id"].to_numpy().tobytes(), "data": np.floor(SCALE * rows).tobytes()}
-        return pa.Table.from_pylist([row], schema=pa.schema([("side", pa.int32()), ("dim", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("data", pa.binary())]))
+        with np.errstate(over="ignore"):
+            # What overflows a double is as good as the largest: its scores are beyond 63 bits anyway.
+            whole = np.nan_to_num(np.floor(SCALE * rows))
+        most = np.abs(whole).max(initial=0)
+        width = 2 if most < 2**15 else 4 if most < 2**31 else 8
+        row = {"side": side, "dim": dim, "block": block, "ids": table["vec_id"].to_numpy().tobytes(), "width": width, "data": whole.astype(_WIDTHS[width]).tobytes()}
+        return pa.Table.from_pylist([row], schema=pa.schema([("side", pa.int32()), ("dim", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("width", pa.int32()), ("data", pa.binary())]))
 
     return run
 
@@ -55,7 +63,7 @@ def _exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if bound < 2**62:
         return a.astype(np.int64) @ b.astype(np.int64).T
     whole = lambda m: np.array([[int(x) for x in row] for row in m], dtype=object)
-    return whole(a) @ whole(b).T
+    return np.clip(whole(a) @ whole(b).T, 1 - 2**63, 2**63 - 1)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,18 +92,22 @@ def _pack_top(block: int, part: int, own: np.ndarray, best: np.ndarray, scores:
 _NONE = np.int64(-(2**63))
 
 
+def _components(data: bytes, width: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, _WIDTHS[width]).astype(np.float64).reshape(-1, dim)
+
+
 def _tile(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         queries, candidates = pdf[pdf.side == 1], pdf[pdf.side == 0]
         if len(candidates):
             ids = np.concatenate([np.frombuffer(x, np.int64) for x in candidates.ids])
-            data = np.concatenate([np.frombuffer(x, np.float64).reshape(-1, d) for x, d in zip(candidates["data"], candidates.dim)])
+            data = np.concatenate([_components(x, w, d) for x, w, d in zip(candidates["data"], candidates.width, candidates.dim)])
             order = np.argsort(ids, kind="stable")
             ids, data = ids[order], data[order]
             for q in queries.itertuples():
                 own = np.frombuffer(q.ids, np.int64)
-                asked = np.frombuffer(q.data, np.float64).reshape(-1, q.dim)
+                asked = _components(q.data, q.width, q.dim)
                 lists = []
                 for at in range(0, len(own), 256):
                     best, scores, used = _best(_exact_products(asked[at : at + 256], data), ids, own[at : at + 256], k)

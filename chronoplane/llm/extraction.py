@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -189,6 +190,7 @@ def _lift(rows: list[tuple[tuple[str, int, bool, bool], _Out | None]], outs: lis
 def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
     """(text, characters in links, is a heading, is in an article) of each block kept."""
     stack: list[tuple[str, _Out | None]] = []  # open containers, and whether they are out
+    open_names: Counter[str] = Counter()
     outs: list[_Out] = []
     over: _Out | None = None
     articles = links = never = 0
@@ -204,6 +206,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
     def pop() -> None:
         nonlocal over, articles, never
         name, out = stack.pop()
+        open_names[name] -= 1
         if out:
             over = out.parent
             never -= out.level == NEVER
@@ -222,8 +225,8 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
             continue
         tag, ends = tag.lower(), bool(token["end"])
         if tag in RAW and not ends:
-            close = _RAW_END[tag].search(page, at)
             if not token["attrs"].endswith("/") or tag in ("script", "style", "textarea"):
+                close = _RAW_END[tag].search(page, at)
                 at = close.end() if close else len(page)
             continue
         if tag == "a":
@@ -241,6 +244,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
                     level = _is_out(tag, token["attrs"], articles > 0)
                     out = _Out(over, level) if level else None
                     stack.append((tag, out))
+                    open_names[tag] += 1
                     if out:
                         outs.append(out)
                         over = out
@@ -251,7 +255,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
                             o.article, o.main = True, o.main or tag == "main"
                             o = o.parent
                     articles += tag in ("article", "main")
-                elif any(name == tag for name, _ in stack):
+                elif open_names[tag]:
                     while stack[-1][0] != tag:
                         pop()
                     pop()

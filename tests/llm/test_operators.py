@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import io
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -230,6 +232,13 @@ def test_pages_without_article_tags_in_unlisted_languages(text):
     assert extraction.main_text(page) == "\n\n".join(x.strip() for x in (text[:9], text, text[:20], text * 3))
 
 
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "</section>" * 40_000, "<svg/>" * 100_000, "<p class=ad>" * 40_000, "<article><header>" * 20_000 + "</footer>" * 20_000, "<a href='" * 40_000])
+def test_long_broken_pages_take_linear_time(page):
+    start = time.perf_counter()
+    extraction.main_text(page)
+    assert time.perf_counter() - start < 5
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
     out = extraction.extract(pages).collect()
@@ -256,6 +265,20 @@ def test_token_counts_equal_the_library(docs):
     assert all(r.over_limit == (r.n_tokens > 100) for r in out)
 
 
+def test_the_broadcast_table_is_of_the_corpus_and_changes_no_count(spark, docs, monkeypatch):
+    table = counting.frequent_lengths(docs, PATH).unpacked()
+    library = Tokenizer.from_file(PATH)
+    pieces = collections.Counter(p for r in documents() for p in Encoder(PATH).pieces(r[1] or ""))
+    assert set(table) == set(pieces) and all(n == len(library.encode(p, add_special_tokens=False).ids) for p, n in table.items())
+    monkeypatch.setattr(counting, "FREQUENT", 5)
+    assert set(counting.frequent_lengths(docs, PATH).unpacked()) == {p for p, _ in sorted(pieces.items(), key=lambda x: (-x[1], x[0].encode()))[:5]}
+    rows = [(1, "word  two " * 60_000, "x"), (2, None, "y"), (3, "", "z"), (4, "a<|endoftext|>b", "")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
+    want = {r[0]: len(library.encode(r[1] or "", add_special_tokens=False).ids) for r in rows}
+    assert {r.doc_id: r.n_tokens for r in counting.token_counts(odd, PATH).collect()} == want
+    assert counting.token_counts(empty(spark), PATH).isEmpty()
+
+
 def test_sentencepiece_counts(spark):
     model = public_tokenizers.path("piece_bpe_32k.model")
     out = counting.token_counts(spark.createDataFrame([(1, "Hello world"), (2, None)], "doc_id long, text string"), model).collect()
@@ -392,6 +415,12 @@ def test_top_k_of_little_and_large(spark):
     assert got == brute_top(rows, 3, 2)
 
 
+def test_scores_beyond_64_bits_are_cut(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1.7e308, 0.0]), (2, [3e20, 2.0]), (3, [-1e300, 0.0]), (4, [0.0, 3.0])]
+    got = [tuple(r) for r in search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 100, 5).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 2**63 - 1), (0, 2, 2, 2**63 - 1), (0, 3, 4, 3 * 64 * 64), (0, 4, 3, 1 - 2**63)]
+
+
 # mixing
 
 
@@ -473,11 +502,31 @@ def test_archives_round_trip(spark):
     assert warc.round_trip(empty(spark, "page_id long, url string, html string")).isEmpty()
 
 
+def test_an_archive_is_read_in_pieces(spark, tmp_path, monkeypatch):
+    import gzip
+    import resource
+
+    monkeypatch.setattr(warc, "CHUNK", 1 << 16)
+    body = b"x" * 1_000_000
+    record = b"WARC/1.0\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    raw = io.BytesIO()
+    with gzip.GzipFile(fileobj=raw, mode="wb") as out:
+        for _ in range(300):
+            out.write(record)
+    raw.seek(0)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert sum(r == record for r in warc.split_records(warc._inflate(raw))) == 300
+    # 300 MB went by.
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000
+    two = io.BytesIO(gzip.compress(b"ab" * 100_000) + gzip.compress(b"c" * 10))
+    assert b"".join(warc._inflate(two)) == b"ab" * 100_000 + b"c" * 10
+
+
 def test_normaliser_writes_a_member_per_record():
     records = [f"WARC/1.0\r\nContent-Length: {n}\r\n\r\n".encode() + b"x" * n + b"\r\n\r\n" for n in (0, 5, 70_000)]
     stream = zlib.compressobj(6, zlib.DEFLATED, 31)
     whole = stream.compress(b"".join(records)) + stream.flush()
-    found = list(warc.split_records(warc._inflate(whole)))
+    found = list(warc.split_records(warc._inflate(io.BytesIO(whole))))
     assert found == records and [zlib.decompress(warc._member(r), 31) for r in found] == records
     with pytest.raises(ValueError, match="cut off"):
         list(warc.split_records(iter([records[1][:-6]])))

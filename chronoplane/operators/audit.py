@@ -22,20 +22,6 @@ def is_material(delta: Column, limit: float = 0.05) -> Column:
     return F.coalesce(F.abs(delta) > limit + TOLERANCE, F.lit(False))
 
 
-def revisions(df: DataFrame, keys: list[str], order: list[str], value: str, mode: str, limit: float) -> DataFrame:
-    """First against latest publication per key, with the reasons that make it material."""
-    both = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_runs"),
-        F.min_by(F.struct(value, mode), F.struct(*order)).alias("a"),
-        F.max_by(F.struct(value, mode), F.struct(*order)).alias("b"),
-    )
-    delta = F.col(f"b.{value}") - F.col(f"a.{value}")
-    changed = ~F.col(f"a.{mode}").eqNullSafe(F.col(f"b.{mode}"))
-    out = both.select(*keys, "n_runs", F.col(f"a.{value}").alias("first_value"), F.col(f"b.{value}").alias("latest_value"), delta.alias("delta"), changed.alias("mode_changed"), is_material(delta, limit).alias("value_moved"))
-    reasons = F.array_compact(F.array(F.when(F.col("mode_changed"), F.lit("mode")), F.when(F.col("value_moved"), F.lit("value"))))
-    return out.withColumn("reasons", F.array_join(reasons, ";")).withColumn("is_material", F.col("mode_changed") | F.col("value_moved"))
-
-
 def runs(df: DataFrame, key: str, order: list[str], label: str) -> DataFrame:
     """Maximal stretches of equal labels: (key, run, label, start, finish, steps)."""
     by = Window.partitionBy(key).orderBy(*order)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronoplane.operators.audit import is_material
+
 #: How levels rank, fixed values.
 LEVELS = {"ok": 0, "warn": 1, "degrade": 2, "block": 3}
 #: Section of the run book for each code, fixed values; others are in the first.
@@ -28,8 +30,6 @@ SECTIONS = {
     "material_revision_latest_week": "§4.1",
 }
 CATEGORIES = ("signal_validity", "execution_readiness", "data_health")
-#: A change of a score counts from here on; one this near to it doesn't.
-MATERIAL, NEARLY = 0.05, 1e-12
 
 
 def _lookup(key: Column, table: dict[str, object], default: object) -> Column:
@@ -101,7 +101,7 @@ def revision_audit(snapshots: DataFrame, keys: list[str]) -> DataFrame:
         *[d.alias(f"delta_{c}") for c, d in delta.items()], largest.alias("max_abs_p_delta"), (~p_same).alias("p_t_changed"),
         (~F.col("a.drift_flag").eqNullSafe(F.col("b.drift_flag"))).alias("drift_flag_changed"),
     )
-    moved = lambda c: F.coalesce(F.abs(f"delta_{c}") > MATERIAL + NEARLY, F.lit(False))
+    moved = lambda c: is_material(F.col(f"delta_{c}"))
     mode, k = ~F.col("initial_mode").eqNullSafe(F.col("latest_mode")), ~F.col("initial_k_hat").eqNullSafe(F.col("latest_k_hat"))
     reasons = [(mode, "mode_changed"), (k, "k_hat_t_changed")] + [(moved(c), f"delta_{c}_gt_0.05") for c in ("s", "h", "rho")] + [(F.col("p_t_changed"), "p_t_changed"), (F.col("drift_flag_changed"), "drift_flag_changed")]
     out = out.withColumn("revision_reason", F.concat_ws(";", *[F.when(c, F.lit(name)) for c, name in reasons]))

@@ -15,7 +15,7 @@ def day_ordinals(panel: DataFrame, day: str) -> DataFrame:
 
 def member_ages(panel: DataFrame, day: str, member: str, grace: int = 3) -> DataFrame:
     """Age of each member present: its presences since it was last gone for more than ``grace`` days."""
-    seen = panel.join(F.broadcast(day_ordinals(panel, day)), day)
+    seen = panel.join(day_ordinals(panel, day), day)
     by = Window.partitionBy(member).orderBy("ordinal")
     fresh = F.when(F.col("ordinal") - F.lag("ordinal").over(by) - 1 > grace, 1).otherwise(0)
     spans = seen.withColumn("_f", fresh).withColumn("span", F.sum("_f").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
@@ -62,7 +62,7 @@ def concentration(panel: DataFrame, day: str, member: str, price: str, weight: s
     returns, so two aggregations replace the pairs.  Members need all n returns,
     on the same days, and a spread.
     """
-    ordered = panel.join(F.broadcast(day_ordinals(panel, day)), day)
+    ordered = panel.join(day_ordinals(panel, day), day)
     by = Window.partitionBy(member).orderBy("ordinal")
     step = ordered.withColumn("_r", F.when(F.col("ordinal") - F.lag("ordinal").over(by) == 1, F.col(price) / F.lag(price).over(by) - 1))
     last = by.rowsBetween(-(n - 1), 0)

@@ -1,19 +1,10 @@
-"""Freshness, execution state, decisions, alerts and status of a weekly run."""
+"""Freshness, execution state and decisions of a weekly run."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How severities rank, fixed values.
-SEVERITY = {"info": 0, "warn": 1, "block": 2}
-
-
-def severity_rank(c: Column) -> Column:
-    return reduce(lambda acc, kv: acc.when(c == kv[0], F.lit(kv[1])), list(SEVERITY.items())[1:], F.when(c == "info", F.lit(0)))
-
 
 def freshness(observed: DataFrame, source: str, ts: str, required: Column, blocking: list[str]) -> DataFrame:
     """Per source its last observation, whether it reaches the required day, and the level if not."""
@@ -35,31 +26,6 @@ def backfill_decision(proof: Column, verdict: Column) -> Column:
     return F.when(proof & (verdict == "passed_strict"), "strict").when(verdict.isin("passed_strict", "passed_degraded_only"), "degraded").otherwise("block")
 
 
-def alerts(df: DataFrame, keys: list[str], rules: list[tuple[str, str, str, Column]]) -> DataFrame:
-    """A row per rule (category, code, severity, condition) that holds, in one pass."""
-    fired = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(cat).alias("category"), F.lit(code).alias("code"), F.lit(sev).alias("severity"))) for cat, code, sev, c in rules]), lambda x: x.isNotNull())
-    return df.select(*keys, F.explode(fired).alias("a")).select(*keys, "a.*")
-
-
-def status(alert_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The worst severity per category with its codes."""
-    rank = severity_rank(F.col("severity"))
-    return alert_rows.groupBy(*keys, "category").agg(F.max_by("severity", rank).alias("worst"), F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
-
-
-def proof_verdict(host_ok: Column, sealed_hash: Column, payload: Column, published_at: Column, cutoff: Column, immutable: Column) -> Column:
-    """Why a publication proof holds or fails: the first reason that applies."""
-    return (
-        F.when(~F.coalesce(host_ok, F.lit(False)), "source_not_allowed")
-        .when(sealed_hash.isNull(), "hash_missing")
-        .when(F.sha2(payload, 256) != sealed_hash, "hash_mismatch")
-        .when(published_at.isNull(), "time_missing")
-        .when(published_at > cutoff, "published_late")
-        .when(F.coalesce(immutable, F.lit(False)), "proven_immutable")
-        .otherwise("proven")
-    )
-
-
 def order_lines(df: DataFrame, keys: list[str], amount: str) -> DataFrame:
     """Orders as text with fixed decimals, the form in which they are written."""
     return df.select(F.concat_ws(",", *[F.col(k).cast("string") for k in keys], F.printf(F.lit("%.10f"), F.col(amount))).alias("line"))

@@ -100,12 +100,43 @@ def adjusted_window(prices: DataFrame, actions: DataFrame, key: str, day: str, p
     return held.select(key, day, F.transform("w", lambda x: x["p"] * F.exp(F.col("c") - x["c"])).alias("window"))
 
 
-def resolve_renames(asked: DataFrame, renames: DataFrame, symbol: str, day: str, asof: Column) -> DataFrame:
-    """The symbol under which each (symbol, day) was listed then.
+def fixture_close(bars: DataFrame, price: str, factor: str) -> DataFrame:
+    """Add adj_close: the price times the cumulative factor of its own day."""
+    return bars.withColumn("adj_close", F.col(price) * F.col(factor))
 
-    A rename that takes effect after the day sends the new symbol back to the
-    old one, if it was known at ``asof``; of several the latest known counts.
+
+def basis_window(bars: DataFrame, key: str, day: str, price: str, factor: str, n: int, relative: bool) -> DataFrame:
+    """(key, day, status, window): the last n prices up to each day on the last bar's basis.
+
+    ``relative`` divides by each bar's own cumulative factor; otherwise one
+    constant basis multiplies all.  Fewer bars are ``insufficient_history``.
+    """
+    last = Window.partitionBy(key).orderBy(day).rowsBetween(-(n - 1), 0)
+    held = bars.withColumn("_w", F.collect_list(F.struct(F.col(price).alias("p"), F.col(factor).alias("c"))).over(last))
+    price_of = (lambda x: x["p"] * (F.col(factor) / x["c"])) if relative else (lambda x: x["p"] * F.col(factor))
+    full = F.size("_w") == n
+    return held.select(key, day, F.when(full, "ok").otherwise("insufficient_history").alias("status"), F.when(full, F.transform("_w", price_of)).alias("window"))
+
+
+def ledger_window(asked: DataFrame, prices: DataFrame, actions: DataFrame, renames: DataFrame, n: int) -> DataFrame:
+    """(ticker, end_day, status, window of (symbol, price)) for each (ticker, end_day) asked.
+
+    ``prices`` (symbol, day, raw), ``actions`` (symbol, day, factor) and
+    ``renames`` (old_symbol, new_symbol, effective_date) hold what is known.  A day
+    before a rename on which the ticker has no price takes the old symbol's.  Each
+    price is carried to the end day's basis by its own symbol's factors.
     """
-    links = renames.where(F.col("identity_type") == "pure_rename").select("old_symbol", F.col("new_symbol").alias("_new"), "effective_date", F.col("known_at").alias("_known"))
-    hit = asked.join(links, (F.col(symbol) == F.col("_new")) & (F.col("effective_date") > F.col(day)) & (F.col("_known") <= asof), "left")
-    return hit.groupBy(*asked.columns).agg(F.coalesce(F.max_by("old_symbol", F.struct("effective_date", "_known")), F.col(symbol)).alias("listed_as"))
+    old = prices.join(renames, F.col("symbol") == F.col("old_symbol")).where(F.col("effective_date") > F.col("day")).select(F.col("new_symbol").alias("ticker"), "symbol", "day", "raw")
+    direct = prices.select(F.col("symbol").alias("ticker"), "symbol", "day", "raw")
+    own = direct.unionByName(old.join(direct.select("ticker", "day"), ["ticker", "day"], "left_anti"))
+    index = log_factor_index(actions, "symbol", "day", "factor")
+    based = asof_backward(own, index, "symbol", "day", ["cum"]).withColumn("c", F.coalesce("cum", F.lit(0.0)))
+    last = Window.partitionBy("ticker").orderBy("day").rowsBetween(-(n - 1), 0)
+    held = based.select("ticker", "day", F.collect_list(F.struct("day", "symbol", "raw", "c")).over(last).alias("w"))
+    found = asof_backward(asked.withColumnRenamed("end_day", "day"), held, "ticker", "day", ["w"]).select("ticker", F.col("day").alias("end_day"), "w").where("w IS NOT NULL")
+    each = found.select("ticker", "end_day", F.size("w").alias("n"), F.explode("w").alias("x")).select("ticker", "end_day", "n", F.col("x.day").alias("_day"), "x.symbol", "x.raw", "x.c")
+    ends = asof_backward(each.withColumnRenamed("end_day", "day"), index, "symbol", "day", ["cum"])
+    price = F.col("raw") * F.exp(F.coalesce("cum", F.lit(0.0)) - F.col("c"))
+    rows = ends.groupBy("ticker", F.col("day").alias("end_day"), "n").agg(F.array_sort(F.collect_list(F.struct("_day", "symbol", price.alias("price")))).alias("_w"))
+    full = F.col("n") == n
+    return rows.select("ticker", "end_day", F.when(full, "ok").otherwise("insufficient_history").alias("status"), F.when(full, F.transform("_w", lambda x: F.struct(x["symbol"].alias("symbol"), x["price"].alias("price")))).alias("window"))

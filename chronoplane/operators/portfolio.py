@@ -1,4 +1,4 @@
-"""Backtests, performance, target weights and a paper-only order simulation."""
+"""Backtests, performance and changes of weights."""
 
 from __future__ import annotations
 
@@ -44,52 +44,9 @@ def performance(rows: DataFrame, key: str, order: str) -> DataFrame:
     )
 
 
-def window_metrics(prices: DataFrame, key: str, day: str, price: str, days: int, forward: bool) -> DataFrame:
-    """Return, volatility and worst fall over the calendar days before or after each day."""
-    at = F.datediff(day, F.lit("1970-01-01").cast("date"))
-    w = Window.partitionBy(key).orderBy("_d")
-    span = w.rangeBetween(1, days) if forward else w.rangeBetween(-(days - 1), 0)
-    step = prices.withColumn("_d", at).withColumn("_r", F.log(F.col(price) / F.lag(price).over(w)))
-    held = step.withColumn("_p", F.collect_list(price).over(span)).withColumn("vol", F.stddev_samp("_r").over(span) * F.sqrt(F.lit(float(PERIODS))))
-    start = F.col(price) if forward else F.get("_p", F.lit(0))
-    zero = F.struct(start.alias("peak"), F.lit(0.0).alias("fall"))
-    fall = F.aggregate("_p", zero, lambda acc, p: F.struct(F.greatest(acc["peak"], p).alias("peak"), F.greatest(acc["fall"], 1 - p / F.greatest(acc["peak"], p)).alias("fall")), lambda acc: acc["fall"])
-    total = F.element_at("_p", -1) / start - 1
-    return held.where(F.size("_p") > 0).select(key, day, F.size("_p").alias("n"), total.alias("ret"), "vol", fall.alias("mdd"))
-
-
-def target_weights(df: DataFrame, score: str, bucket: str, weights: list[float]) -> DataFrame:
-    """The policy's weight of each bucket; an unknown bucket holds cash."""
-    table = F.array(*[F.lit(w) for w in weights])
-    return df.withColumn("target", F.coalesce(F.get(table, F.col(bucket)), F.lit(0.0)))
-
-
 def portfolio_delta(current: DataFrame, target: DataFrame, keys: list[str], symbol: str, floor: float) -> DataFrame:
     """Weight changes by symbol with the account's turnover; small ones aren't traded."""
     both = current.join(target, [*keys, symbol], "full_outer").na.fill(0.0, ["weight", "target"])
     change = F.col("target") - F.col("weight")
     turnover = F.sum(F.abs(change)).over(Window.partitionBy(*keys)) / 2
     return both.withColumn("delta", change).withColumn("turnover", turnover).withColumn("trades", F.col("turnover") >= floor - 1e-12)
-
-
-class OrderLedger:
-    """Orders of one account in sequence: sells fund buys, cash never goes below zero.
-
-    A buy keeps a buffer for friction but is charged slippage only.  Nothing
-    leaves the engine: orders are rows.
-    """
-
-    def __init__(self, cash: float = 0.0, slippage: float = 0.0005, buffer: float = 0.001, least: float = 50.0):
-        self.cash, self.slippage, self.buffer, self.least = cash, slippage, buffer, least
-
-    def step(self, notional):
-        if notional is None or abs(notional) < self.least:
-            return 0.0, self.cash, "skipped"
-        if notional < 0:
-            self.cash += -notional * (1 - self.slippage)
-            return notional, self.cash, "sell"
-        size = min(notional, self.cash / (1 + self.slippage + self.buffer))
-        if size < self.least:
-            return 0.0, self.cash, "unfunded"
-        self.cash -= size * (1 + self.slippage)
-        return size, self.cash, "buy"

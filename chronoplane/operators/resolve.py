@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def clean_upper(c: Column) -> Column:
@@ -33,27 +32,6 @@ def cascade(raw: DataFrame, steps: list[tuple[str, str, DataFrame, str]]) -> Dat
     return out.withColumn("instrument_id", F.coalesce(*found)).withColumn("source", source.otherwise("unresolved")).drop(*found, *[f"_k{i}" for i in range(len(steps))])
 
 
-def unit_weights(df: DataFrame, by: list[str], weight: str) -> DataFrame:
-    """Weights as shares: totals near 1 stay, near 100 are divided, others are unknown."""
-    total = F.sum(weight).over(Window.partitionBy(*by))
-    unit = F.when(F.abs(total - 1) <= 0.05, 1.0).when(F.abs(total - 100) <= 5, 100.0)
-    return df.withColumn("unit", unit).withColumn("share", F.col(weight) / unit)
-
-
-def validation(df: DataFrame, by: list[str], share: str, priced: Column) -> DataFrame:
-    """Weight sum, unresolved weight, coverage by prices, and the verdict per group."""
-    total = F.sum(share)
-    lost = F.sum(F.when(F.col("instrument_id").isNull(), F.col(share)).otherwise(0.0))
-    out = df.groupBy(*by).agg(
-        total.alias("weight_sum"), lost.alias("unresolved"), F.coalesce(F.sum(F.when(priced, F.col(share)).otherwise(0.0)) / F.nullif(total, F.lit(0.0)), F.lit(1.0)).alias("coverage"),
-        (F.count("instrument_id") - F.count_distinct("instrument_id")).alias("n_repeated"),
-    )
-    strict = F.col("weight_sum").between(0.99, 1.01) & (F.col("coverage") >= 0.99) & (F.col("unresolved") <= 0.01)
-    degraded = F.col("weight_sum").between(0.98, 1.02) & (F.col("coverage") >= 0.95) & (F.col("unresolved") <= 0.01)
-    verdict = F.when(F.col("n_repeated") > 0, "repeated_id").when(strict, "passed_strict").when(degraded, "passed_degraded_only").otherwise("failed")
-    return out.withColumn("verdict", verdict)
-
-
 def store_gate(weights: DataFrame, members: DataFrame, by: str, key: str, weight: str) -> DataFrame:
     """Per group: whether all weighted keys are members and the weights sum to one."""
     stray = weights.join(members, [by, key], "left_anti").groupBy(by).agg(F.count(F.lit(1)).alias("n_stray"))

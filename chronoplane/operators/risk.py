@@ -34,14 +34,6 @@ def bucket(x: Column, bounds: list[float]) -> Column:
     return out.otherwise(F.lit(len(bounds) - 2))
 
 
-def first_reason(*rules: tuple[Column, str]) -> Column:
-    """The first failing rule's reason, or ``eligible``; unknown conditions fail."""
-    out = F.when(F.coalesce(rules[0][0], F.lit(True)), F.lit(rules[0][1]))
-    for condition, reason in rules[1:]:
-        out = out.when(F.coalesce(condition, F.lit(True)), F.lit(reason))
-    return out.otherwise(F.lit("eligible"))
-
-
 def normal_tail(z: Column) -> Column:
     """Two-sided tail of the normal distribution, by a rational approximation (1.5e-7)."""
     x = F.abs(z) / F.sqrt(F.lit(2.0))

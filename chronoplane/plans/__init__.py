@@ -1,9 +1,9 @@
 """The catalogue of the engine's own queries."""
 
-from chronoplane.plans import cycles, evidence, market, records, reports, series
+from chronoplane.plans import cycles, evidence, holdings, market, policies, records, reports, research, series
 from chronoplane.plans.registry import CATALOGUE
 
-__all__ = ["cycles", "evidence", "market", "records", "reports", "series"]
+__all__ = ["cycles", "evidence", "holdings", "market", "policies", "records", "reports", "research", "series"]
 
 
 def queries() -> dict:

@@ -68,12 +68,12 @@ _HAS = {c: f"{c} IS NOT NULL AS {c}_available" for c in ("h_t", "rho_t", "k_hat"
 
 
 @query(
-    "signal_eligibility",
+    "signal_gate",
     f"""WITH {_SNAPS}, r AS (SELECT *, CASE WHEN backfill_mode = 'degraded_backfill' THEN 'degraded_backfill_signal' WHEN backfill_mode = 'block' THEN 'block_signal' WHEN mode <> 'strict' THEN 'not_strict_mode' WHEN NOT execution_permitted THEN 'execution_not_permitted'
     WHEN NOT strict_gate_passed THEN 'strict_gate_failed' WHEN h_t IS NULL THEN 'h_t_missing' WHEN rho_t IS NULL THEN 'rho_t_missing' WHEN k_hat IS NULL THEN 'k_hat_t_missing' WHEN s_t IS NULL THEN 's_t_missing' WHEN backfill_mode = 'other' THEN 'not_strict_mode'
     ELSE 'eligible_strict_signal' END AS reason FROM snaps) SELECT run_id, reason, reason = 'eligible_strict_signal' AS signal_eligible, {', '.join(_HAS.values())} FROM r""",
 )
-def signal_eligibility(spark, sf_dir):
+def signal_gate(spark, sf_dir):
     return cycles.signal_eligibility(snapshots(spark, sf_dir)).select("run_id", "reason", "signal_eligible", *[f"{c}_available" for c in _HAS])
 
 
@@ -81,18 +81,18 @@ _DETAIL = "run_count, first_published_at, latest_published_at, initial_mode, lat
 _DELTAS = ("delta_s", "delta_h", "delta_rho", "max_abs_p_delta")
 
 
-@query("revision_audit", f"WITH {_SNAPS}, {_AUDIT} SELECT book, week_end, " + _DETAIL.format(", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _DELTAS)) + " FROM audit")
-def revision_audit(spark, sf_dir):
+@query("revision_detail", f"WITH {_SNAPS}, {_AUDIT} SELECT book, week_end, " + _DETAIL.format(", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _DELTAS)) + " FROM audit")
+def revision_detail(spark, sf_dir):
     return cycles.revision_audit(snapshots(spark, sf_dir), ["book", "week_end"]).withColumns({c: neat(c) for c in _DELTAS})
 
 
 @query(
-    "revision_totals",
+    "revision_summary",
     f"""WITH {_SNAPS}, {_AUDIT} SELECT count(*) AS weeks_total, count(*) FILTER (run_count > 1) AS weeks_with_multiple_runs, count(*) FILTER (material_revision) AS material_revision_weeks, count(*) FILTER (m) AS mode_changed_weeks, count(*) FILTER (kk) AS k_hat_changed_weeks,
     count(*) FILTER (p_t_changed) AS p_t_changed_weeks, count(*) FILTER (drift_flag_changed) AS drift_flag_changed_weeks, {', '.join(f'round(coalesce(max(abs(delta_{c})), 0), 6) + 0.0 AS max_abs_delta_{c}' for c in ('s', 'h', 'rho'))},
     bool_and(first_published_at <= latest_published_at) AS earliest_latest_selection_works, bool_or(run_count > 1) AS same_week_multiple_runs_supported FROM audit""",
 )
-def revision_totals(spark, sf_dir):
+def revision_summary(spark, sf_dir):
     out = cycles.revision_totals(cycles.revision_audit(snapshots(spark, sf_dir), ["book", "week_end"]))
     return out.withColumns({f"max_abs_delta_{c}": neat(f"max_abs_delta_{c}") for c in ("s", "h", "rho")})
 
@@ -102,8 +102,8 @@ def required_week(spark, sf_dir):
     return _checks(spark, sf_dir).withColumn("required_week_end", cycles.required_week(F.col("now")))
 
 
-@query("weekly_alerts", f"WITH {_SNAPS}, {_LATEST}, {_AUDIT}, {_CHECKS}, {_FIRED} SELECT * EXCLUDE (source_place) FROM alerts")
-def weekly_alerts(spark, sf_dir):
+@query("alert_log", f"WITH {_SNAPS}, {_LATEST}, {_AUDIT}, {_CHECKS}, {_FIRED} SELECT * EXCLUDE (source_place) FROM alerts")
+def alert_log(spark, sf_dir):
     return cycles.weekly_alerts(_checks(spark, sf_dir), snapshots(spark, sf_dir), "book").drop("source_place")
 
 
@@ -111,14 +111,14 @@ _WORST = "['ok', 'warn', 'degrade', 'block'][1 + coalesce(max(CASE WHEN {0} THEN
 
 
 @query(
-    "cycle_status",
+    "ops_status",
     f"""WITH {_SNAPS}, {_LATEST}, {_AUDIT}, {_CHECKS}, {_FIRED}, g AS (SELECT book, now, {', '.join(_WORST.format(f"category = '{c}'") + f' AS {c}' for c in cycles.CATEGORIES)}, upper({_WORST.format('true')}) AS current_status,
       string_agg(DISTINCT section, ',' ORDER BY section) AS sections, count(*) AS n_alerts FROM alerts GROUP BY 1, 2),
     s AS (SELECT *, CASE WHEN found THEN published_at <= CAST(required_week_end AS TIMESTAMP) + INTERVAL 36 HOUR END AS published_by_sla, coalesce(len(list_filter(freshness, lambda x: NOT x.fresh)), 0) AS stale, coalesce(len(freshness), 0) AS every_source FROM atw)
     SELECT book, now, required_week_end, published_by_sla, CAST(stale AS INTEGER) AS stale_source_count, CAST(every_source - stale AS INTEGER) AS fresh_source_count, {', '.join(f"coalesce({c}, 'ok') AS {c}" for c in cycles.CATEGORIES)},
     coalesce(current_status, 'OK') AS current_status, coalesce(sections, '§1.1') AS sections, coalesce(n_alerts, 0) AS n_alerts FROM s LEFT JOIN g USING (book, now)""",
 )
-def cycle_status(spark, sf_dir):
+def ops_status(spark, sf_dir):
     return cycles.cycle_status(_checks(spark, sf_dir), snapshots(spark, sf_dir), "book")
 
 

@@ -1,36 +1,24 @@
-"""Queries on evidence and prediction: proofs, canonical payloads, splices by regression."""
+"""Queries on evidence and prediction: canonical payloads, order lines, splices by regression, warm-up."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronoplane.functions import canonical, scalars
+from chronoplane.functions import canonical
 from chronoplane.operators import ops, stats
 from chronoplane.operators.rolling import Frames
 from chronoplane.plans.inputs import WEEKS_SQL, weeks
 from chronoplane.plans.registry import neat, query, table
 
-_PROOF = """p AS (SELECT page_id, url, html, CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 0 THEN sha256('other') ELSE sha256(html) END AS sealed,
-    CASE WHEN page_id % 11 = 0 THEN NULL ELSE TIMESTAMP '2024-01-05 00:00:00' + to_hours(CAST(page_id % 72 AS INTEGER)) END AS published_at FROM pages)"""
+_DOCS = """d AS (SELECT event_id, '{"holdings":[{"weight":"' || CAST(json_extract_string(props, '$.k') AS INTEGER) || '"},{"weight":"0.25"}],"k":"' || json_extract_string(props, '$.k') || '","t":"\\u00e9' || event_type || '"}' AS payload, json_extract_string(props, '$.k') AS k FROM events)"""
 
 
-@query(
-    "publication_proof",
-    f"""WITH {_PROOF} SELECT page_id, CASE WHEN NOT regexp_matches(url, '^https?://([^/]*\\.)?example\\.(com|org)([/:?#]|$)') THEN 'source_not_allowed' WHEN sealed IS NULL THEN 'hash_missing' WHEN sha256(html) <> sealed THEN 'hash_mismatch'
-    WHEN published_at IS NULL THEN 'time_missing' WHEN published_at > TIMESTAMP '2024-01-07 00:00:00' THEN 'published_late' WHEN page_id % 3 = 0 THEN 'proven_immutable' ELSE 'proven' END AS verdict FROM p""",
-)
-def publication_proof(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    sealed = F.when(F.col("page_id") % 7 == 0, F.lit(None).cast("string")).when(F.col("page_id") % 5 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("html", 256))
-    start = F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")
-    published = F.when(F.col("page_id") % 11 != 0, start + F.make_dt_interval(hours=(F.col("page_id") % 72).cast("int")))
-    verdict = ops.proof_verdict(scalars.host_allowed(F.col("url"), ["example.com", "example.org"]), sealed, F.col("html"), published, F.lit("2024-01-07 00:00:00").cast("timestamp_ntz"), F.col("page_id") % 3 == 0)
-    return p.select("page_id", verdict.alias("verdict"))
-
-
-@query("canonical_payload", "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS payload, sha256('{\"k\":' || json_extract_string(props, '$.k') || '}') AS payload_sha256 FROM events")
+@query("canonical_payload", f"WITH {_DOCS} SELECT event_id, payload, sha256(payload) AS payload_sha256, 'holdings,k,t,weight' AS fields, CAST(2 AS BIGINT) AS payload_rows, CAST(CAST(k AS DECIMAL(18,2)) + 0.25 AS VARCHAR) AS payload_weight_sum FROM d")
 def canonical_payload(spark, sf_dir):
-    return canonical.with_canonical(table(spark, sf_dir, "events").select("event_id", "props"), "props", "payload").drop("props")
+    k = F.get_json_object("props", "$.k")
+    raw = F.concat(F.lit('{"t": "é'), "event_type", F.lit('", "k" : '), k, F.lit('.000, "holdings": [{"weight": '), k, F.lit('.0}, {"weight": 2.5e-1}]}'))
+    out = canonical.with_canonical(table(spark, sf_dir, "events").select("event_id", raw.alias("raw")), "raw", "payload").drop("raw")
+    return out.withColumn("fields", F.array_join("payload_fields", ",")).drop("payload_fields")
 
 
 @query("order_lines", "SELECT CAST(event_id AS VARCHAR) || ',' || event_type || ',' || printf('%.10f', value) AS line FROM events")

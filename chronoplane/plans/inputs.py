@@ -46,15 +46,15 @@ WEEKS_SQL = f"weeks AS (SELECT o_orderpriority AS series_id, {FRIDAY.format('CAS
 
 
 def vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values by supplier and order day with the day each became known."""
+    """Values by supplier and order day with the day each became known, the order day at the earliest."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.to_date("l_shipdate").alias("known_at"), "l_extendedprice", "l_discount")
-    both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).where("known_at >= day")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.to_date("l_shipdate").alias("shipped"), "l_extendedprice", "l_discount")
+    both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("known_at", F.greatest("shipped", "day"))
     return both.select(F.col("l_suppkey").alias("ticker"), "day", "known_at", F.col("l_extendedprice").alias("value"), "l_discount")
 
 
-VINTAGES_SQL = """vintages AS (SELECT l_suppkey AS ticker, CAST(o_orderdate AS DATE) AS day, CAST(l_shipdate AS DATE) AS known_at,
-  l_extendedprice AS value, l_discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE))"""
+VINTAGES_SQL = """vintages AS (SELECT l_suppkey AS ticker, CAST(o_orderdate AS DATE) AS day, greatest(CAST(l_shipdate AS DATE), CAST(o_orderdate AS DATE)) AS known_at,
+  l_extendedprice AS value, l_discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,3 +72,14 @@ PANEL_SQL = f"""panel AS (SELECT day, ticker, CAST(money AS DOUBLE) / CAST(piece
   CAST(money AS DOUBLE) / CAST(sum(money) OVER (PARTITION BY day) AS DOUBLE) AS weight FROM (
   SELECT {FRIDAY.format('CAST(l_shipdate AS DATE)')} AS day, s_nationkey AS ticker, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS money, sum(CAST(l_quantity AS DECIMAL(18,2))) AS pieces
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2))"""
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly weights of suppliers, who come and go: (day, ticker, weight)."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ticker"), "l_extendedprice", week_end(F.to_date("l_shipdate")).alias("day"))
+    sums = lines.groupBy("day", "ticker").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("money"))
+    return sums.select("day", "ticker", (F.col("money").cast("double") / F.sum("money").over(Window.partitionBy("day")).cast("double")).alias("weight"))
+
+
+MEMBERS_SQL = f"""members AS (SELECT day, ticker, CAST(money AS DOUBLE) / CAST(sum(money) OVER (PARTITION BY day) AS DOUBLE) AS weight FROM (
+  SELECT {FRIDAY.format('CAST(l_shipdate AS DATE)')} AS day, l_suppkey AS ticker, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS money FROM lineitem GROUP BY 1, 2))"""

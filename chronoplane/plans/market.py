@@ -8,40 +8,35 @@ from pyspark.sql.window import Window
 from chronoplane.functions import recursions as rec
 from chronoplane.operators import micro, portfolio, risk, stats
 from chronoplane.operators.folds import run_fold
-from chronoplane.plans.inputs import DAYS_SQL, PANEL_SQL, WEEKS_SQL, days, panel, weeks
+from chronoplane.plans.inputs import MEMBERS_SQL, PANEL_SQL, WEEKS_SQL, members, panel, weeks
 from chronoplane.plans.registry import neat, query, table
 
-_AGES = f"""{PANEL_SQL}, thin AS (SELECT * FROM panel WHERE weight > 0.02), d AS (SELECT day, row_number() OVER (ORDER BY day) AS o FROM (SELECT DISTINCT day FROM thin)),
-    s AS (SELECT thin.*, o, CASE WHEN o - lag(o) OVER (PARTITION BY ticker ORDER BY o) - 1 > 3 THEN 1 ELSE 0 END AS f FROM thin JOIN d USING (day)),
+_AGES = f"""{MEMBERS_SQL}, d AS (SELECT day, row_number() OVER (ORDER BY day) AS o FROM (SELECT DISTINCT day FROM members)),
+    s AS (SELECT members.*, o, CASE WHEN o - lag(o) OVER (PARTITION BY ticker ORDER BY o) - 1 > 3 THEN 1 ELSE 0 END AS f FROM members JOIN d USING (day)),
     g AS (SELECT *, sum(f) OVER (PARTITION BY ticker ORDER BY o ROWS UNBOUNDED PRECEDING) AS span FROM s),
     ages AS (SELECT *, row_number() OVER (PARTITION BY ticker, span ORDER BY o) AS age FROM g)"""
 
 
-def _thin(spark, sf_dir):
-    # Small weights come and go, which gives members that leave and return.
-    return panel(spark, sf_dir).where("weight > 0.02")
-
-
 @query("member_ages", f"WITH {_AGES} SELECT day, ticker, CAST(age AS INTEGER) AS age FROM ages")
 def member_ages(spark, sf_dir):
-    return micro.member_ages(_thin(spark, sf_dir), "day", "ticker").select("day", "ticker", "age")
+    return micro.member_ages(members(spark, sf_dir), "day", "ticker").select("day", "ticker", "age")
 
 
 @query("mature_sets", f"WITH {_AGES} SELECT day, count(*) FILTER (age >= 20) AS n_first, count(*) FILTER (age >= 60) AS n_second, count(*) AS n_members FROM ages GROUP BY 1")
 def mature_sets(spark, sf_dir):
-    return micro.mature_counts(micro.member_ages(_thin(spark, sf_dir), "day", "ticker"), "day")
+    return micro.mature_counts(micro.member_ages(members(spark, sf_dir), "day", "ticker"), "day")
 
 
 @query(
     "giant_weight_guard",
     f"""WITH {_AGES}, n AS (SELECT *, coalesce(lead(o) OVER (PARTITION BY ticker ORDER BY o), o + 4) AS nxt FROM ages),
     a AS (SELECT n.o + k AS o, weight FROM n, (VALUES (1), (2), (3)) t(k) WHERE n.o + k < nxt), l AS (SELECT o, sum(weight) AS missing FROM a GROUP BY 1),
-    f AS (SELECT day, list_sort(list(weight), 'DESC')[5] AS fifth FROM thin GROUP BY 1)
+    f AS (SELECT day, list_sort(list(weight), 'DESC')[5] AS fifth FROM members GROUP BY 1)
     SELECT d.day, round(coalesce(missing, 0), 6) + 0.0 AS missing, round(fifth, 6) + 0.0 AS fifth, coalesce(coalesce(missing, 0) > 0.5 * fifth, false) AS hold FROM d LEFT JOIN l USING (o) JOIN f ON f.day = d.day""",
 )
 def giant_weight_guard(spark, sf_dir):
-    thin = _thin(spark, sf_dir)
-    out = micro.missing_weight_guard(micro.member_ages(thin, "day", "ticker"), thin, "day", "ticker", "weight")
+    held = members(spark, sf_dir)
+    out = micro.missing_weight_guard(micro.member_ages(held, "day", "ticker"), held, "day", "ticker", "weight")
     return out.withColumn("missing", neat("missing")).withColumn("fifth", neat("fifth"))
 
 
@@ -101,24 +96,26 @@ def risk_scores(spark, sf_dir):
     return scored.select("user_id", "day", neat("omega").alias("omega"), neat("rho").alias("rho"), risk.bucket(F.col("rho"), [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]).alias("bucket"))
 
 
-_TWO = f"""{WEEKS_SQL}, two AS (SELECT week_end, max(price) FILTER (series_id = '1-URGENT') AS a, max(price) FILTER (series_id = '2-HIGH') AS b, 1 - least(1.0, greatest(0.0, max(open_share) FILTER (series_id = '1-URGENT'))) AS w
-    FROM weeks GROUP BY 1 HAVING max(price) FILTER (series_id = '1-URGENT') > 0 AND max(price) FILTER (series_id = '2-HIGH') > 0),
-    g AS (SELECT *, w * (lead(a) OVER t / a - 1) + (1 - w) * (lead(b) OVER t / b - 1) AS gross, coalesce(abs(w - lag(w) OVER t), 0.0) AS turnover FROM two WINDOW t AS (ORDER BY week_end)),
+_TWO = f"""{WEEKS_SQL}, two AS (SELECT x.series_id AS run, x.week_end, x.price AS a, y.price AS b, 1 - least(1.0, greatest(0.0, x.open_share)) AS w FROM weeks x JOIN weeks y ON y.week_end = x.week_end AND left(y.series_id, 1) = CAST(CAST(left(x.series_id, 1) AS INTEGER) % 5 + 1 AS VARCHAR)),
+    g AS (SELECT *, w * (lead(a) OVER t / a - 1) + (1 - w) * (lead(b) OVER t / b - 1) AS gross, coalesce(abs(w - lag(w) OVER t), 0.0) AS turnover FROM two WINDOW t AS (PARTITION BY run ORDER BY week_end)),
     n AS (SELECT *, turnover * 5.0 / 10000 AS cost, gross - turnover * 5.0 / 10000 AS ret FROM g WHERE gross IS NOT NULL),
-    v AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY week_end)) AS nav FROM n),
-    x AS (SELECT *, 1 - nav / max(nav) OVER (ORDER BY week_end) AS dd, CASE WHEN count(*) OVER f = 4 THEN exp(sum(ln(1 + ret)) OVER f) - 1 END AS r4 FROM v WINDOW f AS (ORDER BY week_end ROWS 3 PRECEDING))"""
+    v AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY run ORDER BY week_end)) AS nav FROM n),
+    x AS (SELECT *, 1 - nav / max(nav) OVER (PARTITION BY run ORDER BY week_end) AS dd, CASE WHEN count(*) OVER f = 4 THEN exp(sum(ln(1 + ret)) OVER f) - 1 END AS r4 FROM v WINDOW f AS (PARTITION BY run ORDER BY week_end ROWS 3 PRECEDING))"""
 
 
 def _two(spark, sf_dir):
-    pick = lambda s, c: F.max(F.when(F.col("series_id") == s, F.col(c)))
-    wide = weeks(spark, sf_dir).groupBy("week_end").agg(pick("1-URGENT", "price").alias("a"), pick("2-HIGH", "price").alias("b"), (1 - risk.unit(pick("1-URGENT", "open_share"))).alias("w"))
-    return wide.where("a > 0 AND b > 0").withColumn("run", F.lit("base"))
+    """A run per series: its price against that of the next one, weighted by its open share."""
+    own = weeks(spark, sf_dir)
+    number = F.left("series_id", F.lit(1)).cast("int")
+    other = own.select(number.alias("_n"), "week_end", F.col("price").alias("b"))
+    first = own.select(F.col("series_id").alias("run"), (number % 5 + 1).alias("_n"), "week_end", F.col("price").alias("a"), (1 - risk.unit(F.col("open_share"))).alias("w"))
+    return first.join(other, ["_n", "week_end"]).drop("_n")
 
 
-@query("backtest", f"WITH {_TWO} SELECT week_end, round(gross, 6) + 0.0 AS gross, round(turnover, 6) + 0.0 AS turnover, round(cost, 8) + 0.0 AS cost, round(ln(nav), 6) + 0.0 AS log_nav, round(dd, 6) + 0.0 AS drawdown FROM x")
+@query("backtest", f"WITH {_TWO} SELECT run, week_end, round(gross, 6) + 0.0 AS gross, round(turnover, 6) + 0.0 AS turnover, round(cost, 8) + 0.0 AS cost, round(ln(nav), 6) + 0.0 AS log_nav, round(dd, 6) + 0.0 AS drawdown FROM x")
 def backtest(spark, sf_dir):
     rows = portfolio.backtest(_two(spark, sf_dir), "run", "week_end", "w", "a", "b").withColumn("dd", portfolio.drawdown("run", "week_end", F.col("nav")))
-    return rows.select("week_end", neat("gross").alias("gross"), neat("turnover").alias("turnover"), neat("cost", 8).alias("cost"), neat(F.log("nav")).alias("log_nav"), neat("dd").alias("drawdown"))
+    return rows.select("run", "week_end", neat("gross").alias("gross"), neat("turnover").alias("turnover"), neat("cost", 8).alias("cost"), neat(F.log("nav")).alias("log_nav"), neat("dd").alias("drawdown"))
 
 
 _MEASURES = {
@@ -136,42 +133,32 @@ _MEASURES = {
 }
 
 
-@query("performance_metrics", f"WITH {_TWO} SELECT " + ", ".join(f"round({e}, 6) + 0.0 AS {m}" for m, e in _MEASURES.items()) + " FROM x")
+@query("performance_metrics", f"WITH {_TWO} SELECT run, " + ", ".join(f"round({e}, 6) + 0.0 AS {m}" for m, e in _MEASURES.items()) + " FROM x GROUP BY 1")
 def performance_metrics(spark, sf_dir):
     rows = portfolio.backtest(_two(spark, sf_dir), "run", "week_end", "w", "a", "b")
-    return portfolio.performance(rows, "run", "week_end").select(*[neat(m).alias(m) for m in _MEASURES])
+    return portfolio.performance(rows, "run", "week_end").select("run", *[neat(m).alias(m) for m in _MEASURES])
+
+
+_COMPARED = ("annual_return", "annual_vol", "sharpe", "sortino", "max_drawdown", "calmar", "hit_ratio", "worst_week", "worst_four")
 
 
 @query(
     "comparison_table",
-    f"WITH {_TWO}, p AS (SELECT week_end, unnest(['strategy', 'first', 'second', 'blend']) AS portfolio, unnest([ret, lead(a) OVER t / a - 1, lead(b) OVER t / b - 1, 0.6 * (lead(a) OVER t / a - 1) + 0.4 * (lead(b) OVER t / b - 1)]) AS r FROM x WINDOW t AS (ORDER BY week_end)) SELECT portfolio, count(r) AS n, round(avg(r) * 52, 6) + 0.0 AS mean, round(stddev_samp(r) * sqrt(52.0), 6) + 0.0 AS vol FROM p GROUP BY 1",
+    f"""WITH {_TWO}, p AS (SELECT run, week_end, unnest(['strategy', 'first', 'second', 'blend']) AS portfolio, unnest([ret, a1, b1, 0.6 * a1 + 0.4 * b1]) AS ret FROM (SELECT *, lead(a) OVER t / a - 1 AS a1, lead(b) OVER t / b - 1 AS b1 FROM g WINDOW t AS (PARTITION BY run ORDER BY week_end)) JOIN (SELECT run, week_end, ret FROM n) USING (run, week_end)),
+    q AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY run, portfolio ORDER BY week_end)) AS nav FROM p), z AS (SELECT *, 1 - nav / max(nav) OVER (PARTITION BY run, portfolio ORDER BY week_end) AS dd, CASE WHEN count(*) OVER f = 4 THEN exp(sum(ln(1 + ret)) OVER f) - 1 END AS r4 FROM q WINDOW f AS (PARTITION BY run, portfolio ORDER BY week_end ROWS 3 PRECEDING))
+    SELECT run, portfolio, {', '.join(f'round({_MEASURES[m]}, 6) + 0.0 AS {m}' for m in _COMPARED)} FROM z GROUP BY 1, 2""",
 )
 def comparison_table(spark, sf_dir):
+    """All measures of the strategy beside holding either side, or a fixed blend of both."""
     w = Window.partitionBy("run").orderBy("week_end")
-    rows = portfolio.backtest(_two(spark, sf_dir), "run", "week_end", "w", "a", "b")
-    wide = rows.withColumn("first", F.lead("a").over(w) / F.col("a") - 1).withColumn("second", F.lead("b").over(w) / F.col("b") - 1).withColumn("strategy", F.col("ret"))
-    wide = wide.withColumn("blend", 0.6 * F.col("first") + 0.4 * F.col("second"))
-    long = wide.unpivot(["week_end"], ["strategy", "first", "second", "blend"], "portfolio", "r")
-    return long.groupBy("portfolio").agg(F.count("r").alias("n"), neat(F.avg("r") * 52).alias("mean"), neat(F.stddev_samp("r") * F.sqrt(F.lit(52.0))).alias("vol"))
-
-
-def _window_sql(join: str, start: str, extra: str) -> str:
-    return f"""WITH {DAYS_SQL}, s AS (SELECT *, ln(price / lag(price) OVER (PARTITION BY series_id ORDER BY day)) AS r FROM days),
-    w AS (SELECT a.series_id, a.day, a.price AS p0, b.day AS bd, b.price AS p, b.r FROM s a JOIN s b ON a.series_id = b.series_id AND {join}),
-    k AS (SELECT *, max(p) OVER (PARTITION BY series_id, day ORDER BY bd) AS peak, row_number() OVER (PARTITION BY series_id, day ORDER BY bd) AS i FROM w)
-    SELECT series_id, day, CAST(count(*) AS INTEGER) AS n, round(arg_max(p, bd) / {start} - 1, 6) + 0.0 AS ret, round(stddev_samp(r) * sqrt(52.0), 6) + 0.0 AS vol, round(max(1 - p / {extra}), 6) + 0.0 AS mdd FROM k GROUP BY 1, 2"""
-
-
-@query("realized_metrics", _window_sql("b.day BETWEEN a.day - 55 AND a.day", "arg_min(p, bd)", "peak"))
-def realized_metrics(spark, sf_dir):
-    out = portfolio.window_metrics(days(spark, sf_dir), "series_id", "day", "price", 56, False)
-    return out.withColumns({c: neat(c) for c in ("ret", "vol", "mdd")})
-
-
-@query("forward_metrics", _window_sql("b.day BETWEEN a.day + 1 AND a.day + 28", "any_value(p0)", "greatest(peak, p0)"))
-def forward_metrics(spark, sf_dir):
-    out = portfolio.window_metrics(days(spark, sf_dir), "series_id", "day", "price", 28, True)
-    return out.withColumns({c: neat(c) for c in ("ret", "vol", "mdd")})
+    ahead = {"first": F.lead("a").over(w) / F.col("a") - 1, "second": F.lead("b").over(w) / F.col("b") - 1}
+    prices = _two(spark, sf_dir)
+    wide = portfolio.backtest(prices, "run", "week_end", "w", "a", "b").select("run", "week_end", F.col("ret").alias("strategy")).join(prices.withColumns(ahead).select("run", "week_end", "first", "second"), ["run", "week_end"])
+    long = wide.withColumn("blend", 0.6 * F.col("first") + 0.4 * F.col("second")).unpivot(["run", "week_end"], ["strategy", "first", "second", "blend"], "portfolio", "ret")
+    long = long.withColumn("cell", F.concat_ws("|", "run", "portfolio")).withColumns({"turnover": F.lit(0.0), "cost": F.lit(0.0)})
+    value = Window.partitionBy("cell").orderBy("week_end").rowsBetween(Window.unboundedPreceding, 0)
+    out = portfolio.performance(long.withColumn("nav", F.exp(F.sum(F.log(1 + F.col("ret"))).over(value))), "cell", "week_end")
+    return out.select(F.split_part("cell", F.lit("|"), F.lit(1)).alias("run"), F.split_part("cell", F.lit("|"), F.lit(2)).alias("portfolio"), *[neat(m).alias(m) for m in _COMPARED])
 
 
 _RANKS = """k AS (SELECT event_type, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS r, value FROM events),

@@ -27,37 +27,6 @@ def latest_per_key(spark, sf_dir):
     return audit.latest_per_key(_events(spark, sf_dir), ["user_id", "day"], ["ts", "event_id"], ["value", "event_type"])
 
 
-_REVISIONS = """r AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n_runs, arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS latest_value,
-    arg_min(event_type, (ts, event_id)) AS m0, arg_max(event_type, (ts, event_id)) AS m1 FROM events GROUP BY 1, 2),
-    d AS (SELECT *, latest_value - first_value AS delta, m0 IS DISTINCT FROM m1 AS mode_changed, abs(latest_value - first_value) > 5.0 + 1e-12 AS value_moved FROM r)"""
-
-
-def _revised(spark, sf_dir):
-    return audit.revisions(_events(spark, sf_dir), ["user_id", "day"], ["ts", "event_id"], "value", "event_type", 5.0)
-
-
-@query(
-    "revision_detail",
-    f"""WITH {_REVISIONS} SELECT user_id, day, n_runs, first_value, latest_value, round(delta, 6) + 0.0 AS delta, mode_changed, value_moved,
-    concat_ws(';', CASE WHEN mode_changed THEN 'mode' END, CASE WHEN value_moved THEN 'value' END) AS reasons, mode_changed OR value_moved AS is_material FROM d""",
-)
-def revision_detail(spark, sf_dir):
-    return _revised(spark, sf_dir).withColumn("delta", neat("delta"))
-
-
-@query(
-    "revision_summary",
-    f"""WITH {_REVISIONS} SELECT count(*) AS n_keys, count(*) FILTER (n_runs > 1) AS n_multi, count(*) FILTER (mode_changed OR value_moved) AS n_material,
-    count(*) FILTER (mode_changed) AS n_mode, round(coalesce(max(abs(delta)), 0), 6) + 0.0 AS max_abs_delta, bool_and(n_runs > 0) AS complete FROM d""",
-)
-def revision_summary(spark, sf_dir):
-    d = _revised(spark, sf_dir)
-    return d.agg(
-        F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("n_runs") > 1).alias("n_multi"), F.count_if("is_material").alias("n_material"), F.count_if("mode_changed").alias("n_mode"),
-        neat(F.coalesce(F.max(F.abs("delta")), F.lit(0.0))).alias("max_abs_delta"), F.bool_and(F.col("n_runs") > 0).alias("complete"),
-    )
-
-
 @query("regime_runs", f"WITH {_RUNS} SELECT * FROM runs")
 def regime_runs(spark, sf_dir):
     return audit.runs(_events(spark, sf_dir), "user_id", ["ts", "event_id"], "event_type")
@@ -118,13 +87,13 @@ def distribution(spark, sf_dir):
 
 @query(
     "source_sensitivity",
-    f"""WITH {WEEKS_SQL}, a AS (SELECT * FROM weeks WHERE n_orders % 3 <> 0), b AS (SELECT series_id, week_end, price * 1.01 AS price FROM weeks WHERE n_orders % 4 <> 0)
+    f"""WITH {WEEKS_SQL}, a AS (SELECT * FROM weeks), b AS (SELECT series_id, week_end + 14 AS week_end, price * 1.01 AS price FROM weeks)
     SELECT series_id, count(*) AS n_weeks, count(*) FILTER (a.price IS NULL) AS only_b, count(*) FILTER (b.price IS NULL) AS only_a, round(avg(abs(a.price - b.price)), 4) + 0.0 AS mean_abs_diff FROM a FULL OUTER JOIN b USING (series_id, week_end) GROUP BY 1""",
 )
 def source_sensitivity(spark, sf_dir):
     base = weeks(spark, sf_dir)
-    a, b = base.where("n_orders % 3 <> 0"), base.where("n_orders % 4 <> 0").withColumn("price", F.col("price") * 1.01)
-    both = audit.sensitivity(a, b, ["series_id", "week_end"], "price")
+    b = base.withColumn("week_end", F.date_add("week_end", 14)).withColumn("price", F.col("price") * 1.01)
+    both = audit.sensitivity(base, b, ["series_id", "week_end"], "price")
     return both.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("n_weeks"), F.count_if(F.col("price_a").isNull()).alias("only_b"), F.count_if(F.col("price_b").isNull()).alias("only_a"), neat(F.avg(F.abs(F.col("price_a") - F.col("price_b"))), 4).alias("mean_abs_diff")
     )
@@ -132,14 +101,13 @@ def source_sensitivity(spark, sf_dir):
 
 @query(
     "splice_anti_union",
-    f"""WITH {WEEKS_SQL}, a AS (SELECT series_id, week_end, spread, 'primary' AS origin FROM weeks WHERE n_orders % 3 <> 0), b AS (SELECT series_id, week_end, spread, 'supplement' AS origin FROM weeks WHERE n_orders % 4 <> 0)
+    f"""WITH {WEEKS_SQL}, a AS (SELECT series_id, week_end, spread, 'primary' AS origin FROM weeks), b AS (SELECT series_id, week_end + 21 AS week_end, spread, 'supplement' AS origin FROM weeks)
     SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.series_id = b.series_id AND a.week_end = b.week_end)""",
 )
 def splice_anti_union(spark, sf_dir):
-    base = weeks(spark, sf_dir).select("series_id", "week_end", "spread", "n_orders")
-    a = base.where("n_orders % 3 <> 0").drop("n_orders").withColumn("origin", F.lit("primary"))
-    b = base.where("n_orders % 4 <> 0").drop("n_orders").withColumn("origin", F.lit("supplement"))
-    return audit.spliced(a, b, ["series_id", "week_end"])
+    base = weeks(spark, sf_dir).select("series_id", "week_end", "spread")
+    later = base.withColumn("week_end", F.date_add("week_end", 21)).withColumn("origin", F.lit("supplement"))
+    return audit.spliced(base.withColumn("origin", F.lit("primary")), later, ["series_id", "week_end"])
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Queries on entities, gates, alerts, orders, scalars and the full decision chain."""
+"""Queries on entities, freshness, decisions, scalars and the full decision chain."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from chronoplane.functions import recursions as rec
 from chronoplane.functions import scalars
-from chronoplane.operators import ops, portfolio, resolve, risk, state
+from chronoplane.operators import holdings, ops, resolve, state
 from chronoplane.operators.folds import run_fold
 from chronoplane.plans.inputs import DAYS_SQL, PANEL_SQL, days, panel
 from chronoplane.plans.registry import neat, query, table
@@ -38,26 +38,15 @@ def namespace_cascade(spark, sf_dir):
     return _resolved(spark, sf_dir).select("row_id", "instrument_id", "source")
 
 
-@query(
-    "join_coverage",
-    f"""WITH {_RAW}, v AS (SELECT book, sum(weight) AS weight_sum, sum(CASE WHEN instrument_id IS NULL THEN weight ELSE 0 END) AS unresolved, sum(CASE WHEN source = 'isin' THEN weight ELSE 0 END) / sum(weight) AS coverage, count(instrument_id) - count(DISTINCT instrument_id) AS n_repeated FROM resolved GROUP BY 1)
-    SELECT book, round(weight_sum, 6) + 0.0 AS weight_sum, round(unresolved, 6) + 0.0 AS unresolved, round(coverage, 6) + 0.0 AS coverage, n_repeated, CASE WHEN n_repeated > 0 THEN 'repeated_id' WHEN weight_sum BETWEEN 0.99 AND 1.01 AND coverage >= 0.99 AND unresolved <= 0.01 THEN 'passed_strict'
-    WHEN weight_sum BETWEEN 0.98 AND 1.02 AND coverage >= 0.95 AND unresolved <= 0.01 THEN 'passed_degraded_only' ELSE 'failed' END AS verdict FROM v""",
-)
-def join_coverage(spark, sf_dir):
-    out = resolve.validation(_resolved(spark, sf_dir), ["book"], "weight", F.col("source") == "isin")
-    return out.withColumns({c: neat(c) for c in ("weight_sum", "unresolved", "coverage")})
-
-
 @query(
     "weight_unit",
     f"""WITH {PANEL_SQL}, p AS (SELECT day, ticker, CASE WHEN month(day) % 3 = 0 THEN 100 * weight WHEN month(day) % 3 = 1 THEN weight ELSE 7 * weight END AS w FROM panel), t AS (SELECT *, sum(w) OVER (PARTITION BY day) AS total FROM p)
-    SELECT day, ticker, CASE WHEN abs(total - 1) <= 0.05 THEN 1.0::DOUBLE WHEN abs(total - 100) <= 5 THEN 100.0::DOUBLE END AS unit, round(w / CASE WHEN abs(total - 1) <= 0.05 THEN 1.0::DOUBLE WHEN abs(total - 100) <= 5 THEN 100.0::DOUBLE END, 6) + 0.0 AS share FROM t""",
+    SELECT day, ticker, CASE WHEN total BETWEEN 0.99 AND 1.01 THEN 1.0::DOUBLE WHEN total BETWEEN 99 AND 101 THEN 100.0::DOUBLE END AS unit, round(w / CASE WHEN total BETWEEN 0.99 AND 1.01 THEN 1.0::DOUBLE WHEN total BETWEEN 99 AND 101 THEN 100.0::DOUBLE END, 6) + 0.0 AS share FROM t""",
 )
 def weight_unit(spark, sf_dir):
     m = F.month("day") % 3
     raw = panel(spark, sf_dir).select("day", "ticker", (F.when(m == 0, 100 * F.col("weight")).when(m == 1, F.col("weight")).otherwise(7 * F.col("weight"))).alias("w"))
-    return resolve.unit_weights(raw, ["day"], "w").select("day", "ticker", "unit", neat("share").alias("share"))
+    return holdings.unit_of(raw, ["day"], "w").select("day", "ticker", "unit", neat("share").alias("share"))
 
 
 @query(
@@ -70,15 +59,6 @@ def store_gate(spark, sf_dir):
     return resolve.store_gate(p, p.where(F.col("ticker") != F.month("day")).select("day", "ticker"), "day", "ticker", "weight").select("day", "n", "n_stray", "open")
 
 
-_GATE = "CASE WHEN coalesce(n_orders < 1, true) THEN 'no_signal' WHEN coalesce(open_share > 0.9, true) THEN 'not_final' WHEN coalesce(price IS NULL, true) THEN 'no_price' WHEN coalesce(price > 400000, true) THEN 'price_limit' WHEN coalesce(spread > 300000, true) THEN 'spread_limit' ELSE 'eligible' END"
-
-
-@query("signal_gate", f"WITH {DAYS_SQL} SELECT series_id, day, {_GATE} AS reason FROM days")
-def signal_gate(spark, sf_dir):
-    reason = risk.first_reason((F.col("n_orders") < 1, "no_signal"), (F.col("open_share") > 0.9, "not_final"), (F.col("price").isNull(), "no_price"), (F.col("price") > 400000, "price_limit"), (F.col("spread") > 300000, "spread_limit"))
-    return days(spark, sf_dir).select("series_id", "day", reason.alias("reason"))
-
-
 _FRESH = """f AS (SELECT user_id, event_type, CAST(max(ts) AS DATE) AS last_seen FROM events GROUP BY 1, 2), l AS (SELECT *, last_seen >= DATE '2024-01-24' AS fresh,
     CASE WHEN last_seen >= DATE '2024-01-24' THEN 'ok' WHEN event_type IN ('purchase') THEN 'block' ELSE 'degrade' END AS level FROM f),
     x AS (SELECT user_id, CASE WHEN bool_or(level = 'block') THEN 'block' WHEN bool_or(level = 'degrade') THEN 'degrade' ELSE 'execute' END AS state, coalesce(string_agg(event_type || ':' || level, ';' ORDER BY event_type) FILTER (level <> 'ok'), '') AS reasons FROM l GROUP BY 1)"""
@@ -110,61 +90,6 @@ def backfill_decision(spark, sf_dir):
     return _execution(spark, sf_dir).select("user_id", ops.backfill_decision(F.col("state") == "execute", verdict).alias("scheme"))
 
 
-_ALERTS = """u AS (SELECT user_id, count(*) AS n, max(value) AS hi, min(value) AS lo, count(*) FILTER (event_type = 'error') AS bad FROM events GROUP BY 1),
-    a AS (SELECT user_id, 'data' AS category, 'few_events' AS code, 'warn' AS severity FROM u WHERE n < 60 UNION ALL SELECT user_id, 'data', 'low_value', 'info' FROM u WHERE lo < 1 UNION ALL SELECT user_id, 'risk', 'high_value', 'warn' FROM u WHERE hi > 99 UNION ALL SELECT user_id, 'risk', 'errors', 'block' FROM u WHERE bad > 15)"""
-
-
-def _alerts(spark, sf_dir):
-    u = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.count_if(F.col("event_type") == "error").alias("bad"))
-    return ops.alerts(u, ["user_id"], [("data", "few_events", "warn", F.col("n") < 60), ("data", "low_value", "info", F.col("lo") < 1), ("risk", "high_value", "warn", F.col("hi") > 99), ("risk", "errors", "block", F.col("bad") > 15)])
-
-
-@query("alert_log", f"WITH {_ALERTS} SELECT * FROM a")
-def alert_log(spark, sf_dir):
-    return _alerts(spark, sf_dir)
-
-
-@query("ops_status", f"WITH {_ALERTS} SELECT user_id, category, arg_max(severity, CASE severity WHEN 'info' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END) AS worst, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM a GROUP BY 1, 2")
-def ops_status(spark, sf_dir):
-    return ops.status(_alerts(spark, sf_dir), ["user_id"])
-
-
-_BOOKS = f"""{PANEL_SQL}, c AS (SELECT day, ticker, weight FROM panel WHERE ticker % 2 = 0), t AS (SELECT day + 7 AS day, ticker, weight AS target FROM panel WHERE ticker % 3 = 0),
-    b AS (SELECT day, ticker, coalesce(weight, 0.0) AS weight, coalesce(target, 0.0) AS target FROM c FULL OUTER JOIN t USING (day, ticker))"""
-
-
-def _books(spark, sf_dir):
-    p = panel(spark, sf_dir)
-    target = p.where("ticker % 3 = 0").select(F.date_add("day", 7).alias("day"), "ticker", F.col("weight").alias("target"))
-    return portfolio.portfolio_delta(p.where("ticker % 2 = 0").select("day", "ticker", "weight"), target, ["day"], "ticker", 0.3)
-
-
-@query("portfolio_delta", f"WITH {_BOOKS} SELECT day, ticker, round(target - weight, 6) + 0.0 AS delta, round(sum(abs(target - weight)) OVER (PARTITION BY day) / 2, 6) + 0.0 AS turnover, sum(abs(target - weight)) OVER (PARTITION BY day) / 2 >= 0.3 - 1e-12 AS trades FROM b")
-def portfolio_delta(spark, sf_dir):
-    return _books(spark, sf_dir).select("day", "ticker", neat("delta").alias("delta"), neat("turnover").alias("turnover"), "trades")
-
-
-@query(
-    "order_ledger",
-    f"""WITH RECURSIVE {_BOOKS}, o AS (SELECT day, ticker, 1000 * (target - weight) AS d, row_number() OVER (PARTITION BY day ORDER BY target - weight >= 0, ticker) AS i FROM b),
-    f AS (SELECT DISTINCT day, CAST(NULL AS INTEGER) AS ticker, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS filled, 0.0::DOUBLE AS cash, '' AS side FROM o UNION ALL
-      SELECT o.day, o.ticker, o.i, CASE WHEN abs(o.d) < 50 THEN 0 WHEN o.d < 0 THEN o.d WHEN least(o.d, f.cash / 1.0015) < 50 THEN 0 ELSE least(o.d, f.cash / 1.0015) END,
-        CASE WHEN abs(o.d) < 50 THEN f.cash WHEN o.d < 0 THEN f.cash - o.d * 0.9995 WHEN least(o.d, f.cash / 1.0015) < 50 THEN f.cash ELSE f.cash - least(o.d, f.cash / 1.0015) * 1.0005 END,
-        CASE WHEN abs(o.d) < 50 THEN 'skipped' WHEN o.d < 0 THEN 'sell' WHEN least(o.d, f.cash / 1.0015) < 50 THEN 'unfunded' ELSE 'buy' END FROM f JOIN o ON o.day = f.day AND o.i = f.i + 1)
-    SELECT day, ticker, round(filled, 4) + 0.0 AS filled, round(cash, 4) + 0.0 AS cash, side FROM f WHERE i > 0""",
-)
-def order_ledger(spark, sf_dir):
-    orders = _books(spark, sf_dir).withColumn("notional", 1000 * F.col("delta")).withColumn("place", F.when(F.col("delta") >= 0, F.lit(1_000_000)).otherwise(F.lit(0)) + F.col("ticker"))
-    out = run_fold(orders, "day", "place", portfolio.OrderLedger, ["notional"], "filled double, cash double, side string", keep=["ticker"])
-    return out.select("day", "ticker", neat("filled", 4).alias("filled"), neat("cash", 4).alias("cash"), "side")
-
-
-@query("target_weights", f"WITH {DAYS_SQL}, r AS (SELECT series_id, day, CAST(CASE WHEN open_share < 0.25 THEN 0 WHEN open_share < 0.5 THEN 1 WHEN open_share < 0.75 THEN 2 ELSE 3 END AS INTEGER) AS bucket FROM days) SELECT series_id, day, bucket, CAST([1.0, 0.7, 0.4, 0.0][bucket + 1] AS DOUBLE) AS target FROM r")
-def target_weights(spark, sf_dir):
-    base = days(spark, sf_dir).withColumn("bucket", risk.bucket(F.col("open_share"), [0.0, 0.25, 0.5, 0.75, 1.0]))
-    return portfolio.target_weights(base, "open_share", "bucket", [1.0, 0.7, 0.4, 0.0]).select("series_id", "day", "bucket", "target")
-
-
 @query(
     "scalar_functions",
     """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, sha256(concat_ws('|', CAST(event_id AS VARCHAR), event_type)) AS digest, CASE WHEN length(props) > 7 THEN left(props, 4) || '...' ELSE props END AS short,

@@ -176,21 +176,6 @@ def adjusted_window(spark, sf_dir):
     return out.select("ticker", "day", neat(mean / last).alias("mean_ratio"), neat(first / last).alias("first_ratio"))
 
 
-@query(
-    "rename_bridge",
-    f"""WITH {_MONTHLY}, q AS (SELECT DISTINCT 'NEW' || ticker AS symbol, day FROM prices),
-    r AS (SELECT 'OLD' || s_suppkey AS old_symbol, 'NEW' || s_suppkey AS new_symbol, DATE '1997-06-01' + CAST(s_suppkey % 700 AS INTEGER) AS effective_date, DATE '1997-05-01' + CAST(s_suppkey % 900 AS INTEGER) AS known_at FROM supplier)
-    SELECT q.symbol, q.day, coalesce(arg_max(r.old_symbol, (r.effective_date, r.known_at)), q.symbol) AS listed_as FROM q LEFT JOIN r ON r.new_symbol = q.symbol AND r.effective_date > q.day AND r.known_at <= DATE '1998-12-01' GROUP BY 1, 2""",
-)
-def rename_bridge(spark, sf_dir):
-    prices, _ = _monthly(spark, sf_dir)
-    s = table(spark, sf_dir, "supplier")
-    moved = lambda start, span: F.date_add(F.lit(start).cast("date"), (F.col("s_suppkey") % span).cast("int"))
-    renames = s.select(F.concat(F.lit("OLD"), "s_suppkey").alias("old_symbol"), F.concat(F.lit("NEW"), "s_suppkey").alias("new_symbol"), moved("1997-06-01", 700).alias("effective_date"), moved("1997-05-01", 900).alias("known_at"), F.lit("pure_rename").alias("identity_type"))
-    asked = prices.select(F.concat(F.lit("NEW"), F.col("ticker")).alias("symbol"), "day").distinct()
-    return pit.resolve_renames(asked, renames, "symbol", "day", F.lit("1998-12-01").cast("date"))
-
-
 _W = "OVER (PARTITION BY series_id ORDER BY day ROWS BETWEEN {0} PRECEDING AND {1})"
 _last = lambda n: _W.format(n - 1, "CURRENT ROW")
 _prior = lambda n: _W.format(n, "1 PRECEDING")

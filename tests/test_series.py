@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronoplane.functions import canonical
 from chronoplane.functions import recursions as rec
-from chronoplane.operators import audit, micro, pit, portfolio, risk, stats, timeaxis
+from chronoplane.operators import audit, cycles, holdings, micro, pit, policy, portfolio, risk, stats, timeaxis
 from chronoplane.operators.folds import run_fold
 from chronoplane.operators.rolling import Frames
 
@@ -37,8 +38,12 @@ def test_adjusted_window_chains_factors(spark):
 def test_rename_sends_new_symbol_back(spark):
     asked = spark.createDataFrame([("NEW", D(2024, 1, 30)), ("NEW", D(2024, 2, 2))], "symbol string, day date")
     links = spark.createDataFrame([("OLD", "NEW", D(2024, 2, 1), D(2024, 1, 31), "pure_rename")], "old_symbol string, new_symbol string, effective_date date, known_at date, identity_type string")
-    out = pit.resolve_renames(asked, links, "symbol", "day", F.lit("2024-03-01").cast("date"))
-    assert {r.day: r.listed_as for r in out.collect()} == {D(2024, 1, 30): "OLD", D(2024, 2, 2): "NEW"}
+    out = holdings.resolve_listing(asked, links, "symbol", "day", F.lit("2024-03-01").cast("date"))
+    assert {r.day: (r.listed_as, r.status) for r in out.collect()} == {D(2024, 1, 30): ("OLD", "renamed"), D(2024, 2, 2): ("NEW", "unchanged")}
+    early = holdings.resolve_listing(asked, links, "symbol", "day", F.lit("2024-01-30").cast("date"))
+    assert {r.day: (r.listed_as, r.status) for r in early.collect()} == {D(2024, 1, 30): (None, "not_visible"), D(2024, 2, 2): ("NEW", "unchanged")}
+    merged = holdings.resolve_listing(asked, links.withColumn("identity_type", F.lit("merger")), "symbol", "day", F.lit("2024-03-01").cast("date"))
+    assert {r.status for r in merged.collect()} == {"not_bridgeable", "unchanged"}
 
 
 def test_latest_vintage_flavours_differ(spark):
@@ -154,9 +159,36 @@ def test_backtest_first_rows(spark):
 
 
 def test_order_ledger_sells_fund_buys():
-    ledger = portfolio.OrderLedger()
-    sold, bought = ledger.step(-400.0), ledger.step(400.0)
-    assert sold[2] == "sell" and bought[2] == "buy" and bought[0] < 400 and bought[1] >= 0
+    ledger = policy.OrderSimulation(commission=1.0)
+    sold, bought, small = ledger.step(-400.0, 20.0), ledger.step(400.0, 10.0), ledger.step(-49.0, 1.0)
+    assert sold[0] == "SELL" and sold[2] == 20 and sold[5] == pytest.approx(1.2) and sold[7] == pytest.approx(398.8)
+    assert bought[0] == "BUY" and bought[1] == pytest.approx(397.8 / 1.0015) and bought[6] == 2 and bought[7] >= 0
+    assert small[0] is None and small[7] == bought[7]
+
+
+def test_target_weights_need_a_bucket(spark):
+    df = spark.createDataFrame([(True, None, None, "x"), (False, None, None, "x")], "signal_eligible boolean, bucket string, prior map<string,double>, reason string")
+    out = policy.target_weights(df.where("NOT signal_eligible"), {"b": {"EQ": 1.0}}, ["EQ", "CASH"], "CASH", "prior").first()
+    assert out.target == {"EQ": 0.0, "CASH": 1.0} and out.target_reason == "no_prior_target_defensive_cash_proxy"
+    with pytest.raises(Exception, match="no bucket"):
+        policy.target_weights(df, {"b": {"EQ": 1.0}}, ["EQ", "CASH"], "CASH", "prior").collect()
+    with pytest.raises(ValueError):
+        policy.target_weights(df, {"b": {"EQ": 0.9}}, ["EQ", "CASH"], "CASH", "prior")
+
+
+def test_required_week_turns_at_the_cutoff(spark):
+    times = ["2024-01-05 00:00:00", "2024-01-06 11:59:00", "2024-01-06 12:00:00", "2024-01-11 23:00:00"]
+    df = spark.createDataFrame([(x,) for x in times], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+    got = [r[0] for r in df.orderBy("t").select(cycles.required_week(F.col("t"))).collect()]
+    assert got == [D(2023, 12, 29), D(2023, 12, 29), D(2024, 1, 5), D(2024, 1, 5)]
+
+
+def test_canonical_payloads_quote_numbers():
+    assert canonical.canonical('{"b": 1.50, "a": [-0.0, 1e2, "\u00e9", null, true]}') == '{"a":["0","100","\\u00e9",null,true],"b":"1.5"}'
+    assert canonical.field_set('{"b": [{"c": 1}], "a": {}}') == ["a", "b", "c"]
+    assert canonical.holdings_totals('{"holdings": [{"weight": 0.1}, {"weight": "0.20"}, {}]}') == (3, "0.3")
+    with pytest.raises(ValueError):
+        canonical.canonical("{")
 
 
 def test_materiality_boundary(spark):

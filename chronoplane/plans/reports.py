@@ -114,15 +114,54 @@ def _inputs(spark, sf_dir):
     return d.withColumn("lines", F.log1p(F.col("n_orders").cast("double") + F.col("spread") / 1e5)).withColumn("tilt", F.col("price") / 1e5 + F.col("open_share")).withColumn("wide", F.log1p("spread") + F.col("price") / 1e6)
 
 
-@query("state_factors")
+_USED = ["tilt", "move", "wide", "open_share", "u_short", "u_long", "u_trend", "rv", "spread"]
+_AT = "OVER (PARTITION BY series_id ORDER BY day ROWS BETWEEN {0} PRECEDING AND {1})"
+
+
+def _deviation(n: int) -> str:
+    w = _AT.format(n - 1, "CURRENT ROW")
+    return f"CASE WHEN count(price) {w} = {n} THEN price / avg(price) {w} - 1 END"
+
+
+_RAW_FACTORS = f"""{DAYS_SQL}, inp AS (SELECT *, ln(1 + n_orders + spread / 1e5) AS lines, price / 1e5 + open_share AS tilt, ln(1 + spread) + price / 1e6 AS wide, ln(price / lag(price) OVER (PARTITION BY series_id ORDER BY day)) AS step FROM days),
+    fac AS (SELECT series_id, day, tilt, wide, open_share, spread, lines - lag(lines, 4) OVER (PARTITION BY series_id ORDER BY day) AS move, {_deviation(26)} AS u_short, {_deviation(78)} AS u_long, {_deviation(20)} AS u_trend,
+      CASE WHEN count(step) {_AT.format(19, 'CURRENT ROW')} = 20 THEN stddev_samp(step) {_AT.format(19, 'CURRENT ROW')} * sqrt(52.0) END AS rv FROM inp),
+    cells AS (SELECT series_id, day, unnest([{', '.join(f"'{c}'" for c in _USED)}]) AS c, unnest([{', '.join(_USED)}]) AS x FROM fac)"""
+_HALF = "(2e0 ** (-1e0 / 104))"
+_STATES = f"""{_RAW_FACTORS}, rob AS (SELECT series_id, day, c, CASE WHEN count(x) OVER w = 52 THEN (x - quantile_cont(x, 0.5) OVER w) / (1.4826 * mad(x) OVER w + 1e-12) END AS z FROM cells WINDOW w AS (PARTITION BY series_id, c ORDER BY day ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING)),
+    known AS (SELECT *, row_number() OVER (PARTITION BY series_id, c ORDER BY day) AS i FROM cells WHERE x IS NOT NULL),
+    ew AS (SELECT series_id, day, c, i, x AS m, 0e0 AS v, CAST(NULL AS DOUBLE) AS z FROM known WHERE i = 1 UNION ALL SELECT k.series_id, k.day, k.c, k.i, {_HALF} * ew.m + (1 - {_HALF}) * k.x, {_HALF} * ew.v + (1 - {_HALF}) * (k.x - ew.m) ** 2,
+      (k.x - ({_HALF} * ew.m + (1 - {_HALF}) * k.x)) / sqrt({_HALF} * ew.v + (1 - {_HALF}) * (k.x - ew.m) ** 2 + 1e-12) FROM ew JOIN known k ON k.series_id = ew.series_id AND k.c = ew.c AND k.i = ew.i + 1),
+    dual AS (SELECT series_id, day, c, 0.5 * rob.z + 0.5 * CASE WHEN ew.i > 26 THEN ew.z END AS d FROM rob LEFT JOIN ew USING (series_id, day, c)),
+    wide_ AS (SELECT series_id, day, {', '.join(f"max(d) FILTER (c = '{c}') AS {c}" for c in _USED)} FROM dual GROUP BY 1, 2),
+    mixed AS (SELECT series_id, day, -0.25 * (tilt + move + wide + open_share) AS liquidity, 0.5 * (u_short + u_long) AS heat, (u_trend - spread - rv) / 3 AS taste FROM wide_),
+    states AS (SELECT *, 0.40 * liquidity + 0.35 * heat + 0.25 * taste AS h, 0.50 * (liquidity - lag(liquidity, 4) OVER w) + 0.30 * (heat - lag(heat, 4) OVER w) + 0.20 * (taste - lag(taste, 4) OVER w) AS i FROM mixed WINDOW w AS (PARTITION BY series_id ORDER BY day))"""
+
+
+_FACTORS = ("liquidity", "heat", "taste", "h", "i")
+
+
+@query("state_factors", f"WITH RECURSIVE {_STATES} SELECT series_id, day, " + ", ".join(f"round(CASE WHEN {c} IS NOT NULL THEN greatest(-1e6, least(1e6, {c})) END, 6) + 0.0 AS {c}" for c in _FACTORS) + " FROM states")
 def state_factors(spark, sf_dir):
     out = state.state(_inputs(spark, sf_dir), "series_id", "day", "price", ["tilt", "lines", "wide", "open_share"], "spread", _SHORT)
-    return out.select("series_id", "day", *[neat(c).alias(c) for c in ("liquidity", "heat", "taste", "h", "i")])
+    # A flat window has no spread, so its scores are of the order of 1 / EPS: cut for the comparison.
+    cut = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(-1e6), F.least(F.lit(1e6), F.col(c))))
+    return out.select("series_id", "day", *[neat(cut(c)).alias(c) for c in _FACTORS])
+
+
+_DRIFT = f"""{_RAW_FACTORS}, held AS (SELECT *, list(x) FILTER (x IS NOT NULL) OVER (PARTITION BY series_id, c ORDER BY day ROWS BETWEEN 155 PRECEDING AND CURRENT ROW) AS w FROM cells),
+    share AS (SELECT series_id, day, c, CASE WHEN x IS NOT NULL THEN CAST(len(list_filter(w, lambda v: v <= x)) AS DOUBLE) / len(w) END AS s FROM held), sh AS (SELECT series_id, day, {', '.join(f"max(s) FILTER (c = '{c}') AS {c}" for c in _USED)} FROM share GROUP BY 1, 2),
+    lev AS (SELECT series_id, day, 0.40e0 * -0.25e0 * (tilt + move + wide + open_share) + 0.35e0 * 0.5e0 * (u_short + u_long) + 0.25e0 * (u_trend - spread - rv) / 3 AS level FROM sh),
+    kl AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY day) AS i FROM lev WHERE level IS NOT NULL),
+    sl AS (SELECT series_id, day, i, level AS slow FROM kl WHERE i = 1 UNION ALL SELECT k.series_id, k.day, k.i, {_HALF} * sl.slow + (1 - {_HALF}) * k.level FROM sl JOIN kl k ON k.series_id = sl.series_id AND k.i = sl.i + 1),
+    al AS (SELECT l.series_id, l.day, last_value(slow IGNORE NULLS) OVER (PARTITION BY l.series_id ORDER BY l.day) AS slow, quantile_cont(level, 0.5) OVER w AS med, 1.4826 * mad(level) OVER w AS sc FROM lev l LEFT JOIN sl USING (series_id, day) WINDOW w AS (PARTITION BY l.series_id ORDER BY l.day ROWS BETWEEN 155 PRECEDING AND CURRENT ROW)),
+    drift AS (SELECT series_id, day, (slow - med) / (sc + 1e-12) AS drift FROM al)"""
 
 
-@query("drift_probe")
+@query("drift_probe", f"WITH RECURSIVE {_DRIFT} SELECT series_id, day, round(drift, 6) + 0.0 AS drift, CAST(coalesce(abs(drift) >= 1.8, false) AS INTEGER) AS drift_flag FROM drift")
 def drift_probe(spark, sf_dir):
-    return state.drift(_inputs(spark, sf_dir), "series_id", "day", "price", ["tilt", "lines", "wide", "open_share"], "spread", _SHORT)
+    out = state.drift(_inputs(spark, sf_dir), "series_id", "day", "price", ["tilt", "lines", "wide", "open_share"], "spread", _SHORT)
+    return out.withColumn("drift", neat("drift"))
 
 
 @query("pipeline_full")

@@ -263,13 +263,13 @@ class Prototypes:
 
 
 class SmoothedWeights:
-    """Exponentially smoothed lagged weight; a rule day leaves it as it is."""
+    """Exponentially smoothed lagged weight, from nothing; a rule day leaves it as it is."""
 
     def __init__(self, half_life: float = 5):
         self.rho, self.value, self.lag = decay(half_life), None, None
 
     def step(self, weight, is_rule):
         if not is_rule and self.lag is not None:
-            self.value = self.lag if self.value is None else self.rho * self.value + (1 - self.rho) * self.lag
+            self.value = self.rho * (self.value or 0.0) + (1 - self.rho) * self.lag
         out, self.lag = self.value, weight
         return (out,)

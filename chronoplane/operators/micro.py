@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronoplane.functions.recursions import SmoothedWeights
+from chronoplane.operators.folds import run_fold
+from chronoplane.operators.rolling import logistic, weighted_median
+
 
 def day_ordinals(panel: DataFrame, day: str) -> DataFrame:
     """A running number of the days that have a snapshot; one row per day."""
@@ -74,3 +78,91 @@ def concentration(panel: DataFrame, day: str, member: str, price: str, weight: s
     total = z.groupBy(day, "x.o").agg(F.sum("z").alias("z")).groupBy(day).agg(F.var_samp("z").alias("v"))
     squares = full.groupBy(day).agg(F.sum(F.col("_share") * F.col("_share")).alias("s"), F.count(F.lit(1)).alias("n_members"))
     return total.join(squares.where("n_members > 1"), day).select(day, "n_members", ((F.col("v") - F.col("s")) / (1 - F.col("s") + 1e-12)).alias("concentration"))
+
+
+def membership_changes(ages: DataFrame, day: str, member: str) -> DataFrame:
+    """Per day whether its members differ from those of the day before, and whether any member is in grace."""
+    by = Window.partitionBy(member).orderBy("ordinal")
+    stayed = ages.withColumn("_stayed", (F.col("ordinal") - F.lag("ordinal").over(by) == 1).cast("int"))
+    counts = stayed.groupBy(day, "ordinal").agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("_stayed"), F.lit(0)).alias("_kept"))
+    # One row per day: their order needs one task.
+    days = Window.partitionBy(F.lit(0)).orderBy("ordinal")
+    before = F.lag("_n").over(days)
+    return counts.select(day, "ordinal", F.coalesce((F.col("_n") != before) | (F.col("_kept") != before), F.lit(False)).alias("changed"))
+
+
+def in_grace(ages: DataFrame, member: str, grace: int = 3) -> DataFrame:
+    """(ordinal, member) on the days after a member's last presence, up to ``grace`` and its return."""
+    by = Window.partitionBy(member).orderBy("ordinal")
+    gaps = ages.select(member, "ordinal", F.coalesce(F.lead("ordinal").over(by), F.col("ordinal") + grace + 1).alias("_next"))
+    return gaps.select(member, F.explode(F.expr(f"filter(sequence(ordinal + 1, ordinal + {grace}), o -> o < _next)")).alias("ordinal"))
+
+
+def common_concentration(held: DataFrame, day: str, member: str) -> DataFrame:
+    """(day, c): weighted mean correlation off the diagonal of each day's members.
+
+    ``held`` has a row per day and member with its weight v and the window w of
+    (ordinal, price).  Returns count on days on which all members have one.  Fewer
+    than two members or returns, or a member without spread, give null.
+    """
+    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.when(b["ordinal"] - a["ordinal"] == 1, F.struct(b["ordinal"].alias("o"), (b["price"] / a["price"] - 1).alias("r"))))
+    sizes = held.groupBy(day).agg(F.count(F.lit(1)).alias("_m"), F.sum("v").alias("_total"))
+    rows = held.join(sizes.where("_m > 1"), day).select(day, member, "_m", (F.col("v") / (F.col("_total") + 1e-12)).alias("_share"), F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("x"))
+    shared = rows.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(day, "x.o"))).where("_k = _m")
+    own = Window.partitionBy(day, member)
+    z = shared.withColumns({"_mean": F.avg("x.r").over(own), "_sd": F.stddev_samp("x.r").over(own)})
+    z = z.withColumn("_z", F.col("_share") * (F.col("x.r") - F.col("_mean")) / F.nullif("_sd", F.lit(0.0)))
+    total = z.groupBy(day, "x.o").agg(F.when(F.count("_z") == F.count(F.lit(1)), F.sum("_z")).alias("_z")).groupBy(day).agg(F.when((F.count("_z") == F.count(F.lit(1))) & (F.count("_z") > 1), F.var_samp("_z")).alias("_v"))
+    squares = held.join(sizes, day).groupBy(day).agg(F.sum(F.pow(F.col("v") / (F.col("_total") + 1e-12), 2)).alias("_s"))
+    return total.join(squares, day).select(day, ((F.col("_v") - F.col("_s")) / (1 - F.col("_s") + 1e-12)).alias("c"))
+
+
+def daily_frame(panel: DataFrame, day: str, member: str, price: str, weight: str, young: int = 20, old: int = 60, grace: int = 3) -> DataFrame:
+    """Per day breadth b, concentration c, z_weight and hold.
+
+    Members count for b from age ``young`` and for c from age ``old``, over windows of as
+    many prices, under lagged smoothed weights.  Days whose members changed, or on
+    which a member is in grace, weigh 0.3.  A day that lacks too much weight holds
+    the last values.  The first day has none.
+    """
+    ages = member_ages(panel, day, member, grace)
+    changes = membership_changes(ages, day, member)
+    grid = dense(panel, day, member, weight).join(changes, day)
+    smooth = run_fold(grid, member, day, SmoothedWeights, [weight, "changed"], "v double", keep=["ordinal"])
+    away = in_grace(ages, member, grace).join(smooth.select(member, "ordinal", "v"), [member, "ordinal"]).groupBy("ordinal").agg(F.sum(F.coalesce("v", F.lit(0.0))).alias("_lost"), F.count(F.lit(1)).alias("_away"))
+    # A member is in the ranking from its first lagged weight on.
+    fifth = smooth.where("v > 0").groupBy("ordinal").agg(F.get(F.sort_array(F.collect_list("v"), asc=False), F.lit(4)).alias("_fifth"))
+    last = lambda n: Window.partitionBy(member).orderBy("ordinal").rowsBetween(-(n - 1), 0)
+    held = ages.withColumns({"_ma": F.avg(price).over(last(young)), "w": F.collect_list(F.struct("ordinal", F.col(price).alias("price"))).over(last(old))})
+    held = held.join(smooth.select(member, "ordinal", "v").where("v > 0"), [member, "ordinal"])
+    b = held.where(F.col("age") >= young).groupBy(day).agg(F.sum("v").alias("_t"), F.sum(F.when(F.col(price) > F.col("_ma"), F.col("v")).otherwise(0.0)).alias("_u"))
+    raw = 1 - F.col("_u") / (F.col("_t") + 1e-12)
+    b = b.select(day, F.when(F.col("_t") > 1e-12, F.when(F.abs(raw) <= 1e-10, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)))).alias("b"))
+    c = common_concentration(held.where(F.col("age") >= old), day, member)
+    out = changes.join(away, "ordinal", "left").join(fifth, "ordinal", "left").join(b, day, "left").join(c, day, "left")
+    hold = F.coalesce(F.coalesce("_lost", F.lit(0.0)) > 0.5 * F.col("_fifth"), F.lit(False))
+    out = out.withColumn("hold", hold & (F.col("ordinal") > 1)).withColumn("z_weight", F.when((F.col("ordinal") > 1) & (F.col("changed") | F.col("_away").isNotNull() | F.col("hold")), 0.3).otherwise(1.0))
+    upto = Window.partitionBy(F.lit(0)).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    own = lambda x: F.when(~F.col("hold") & (F.col("ordinal") > 1), F.col(x))
+    out = out.withColumns({"_b": own("b"), "_c": own("c")})
+    carried = lambda x: F.when(F.col("hold"), F.last(x, ignorenulls=True).over(upto)).otherwise(F.col(x))
+    return out.select(day, carried("_b").alias("b"), carried("_c").alias("c"), "z_weight", "hold")
+
+
+def weekly_score(daily: DataFrame, week: str, window: int = 156) -> DataFrame:
+    """(week, b, c, z_weight, h): weekly medians, the least weight of the week, and the score of both robust scores.
+
+    Each score measures a week by the weighted median and deviation of the weeks before it.
+    """
+    weeks = daily.groupBy(week).agg(F.median("b").alias("b"), F.median("c").alias("c"), F.min("z_weight").alias("z_weight"))
+    prior = Window.partitionBy(F.lit(0)).orderBy(week).rowsBetween(-window, -1)
+    held = weeks.withColumns({f"_{x}": F.filter(F.collect_list(F.struct(F.col(x).alias("v"), F.col("z_weight").alias("w"))).over(prior), lambda p: p["v"].isNotNull()) for x in ("b", "c")})
+
+    def distances(x: str) -> Column:
+        return F.transform(f"_{x}", lambda p: F.struct(F.abs(p["v"] - F.col(f"_m{x}")).alias("v"), p["w"].alias("w")))
+
+    for x in ("b", "c"):
+        held = held.withColumn(f"_m{x}", weighted_median(F.col(f"_{x}")))
+        held = held.withColumn(f"_s{x}", weighted_median(distances(x)))
+        held = held.withColumn(f"_z{x}", (F.col(x) - F.col(f"_m{x}")) / (1.4826 * F.col(f"_s{x}") + 1e-12))
+    return held.select(week, "b", "c", "z_weight", logistic(0.5 * F.col("_zb") + 0.5 * F.col("_zc")).alias("h"))

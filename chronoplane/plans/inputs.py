@@ -75,11 +75,12 @@ PANEL_SQL = f"""panel AS (SELECT day, ticker, CAST(money AS DOUBLE) / CAST(piece
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly weights of suppliers, who come and go: (day, ticker, weight)."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ticker"), "l_extendedprice", week_end(F.to_date("l_shipdate")).alias("day"))
-    sums = lines.groupBy("day", "ticker").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("money"))
-    return sums.select("day", "ticker", (F.col("money").cast("double") / F.sum("money").over(Window.partitionBy("day")).cast("double")).alias("weight"))
+    """Weekly prices and weights of suppliers, who come and go: (day, ticker, price, weight)."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ticker"), "l_extendedprice", "l_quantity", week_end(F.to_date("l_shipdate")).alias("day"))
+    sums = lines.groupBy("day", "ticker").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("money"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("pieces"))
+    total = F.sum("money").over(Window.partitionBy("day")).cast("double")
+    return sums.select("day", "ticker", (F.col("money").cast("double") / F.col("pieces").cast("double")).alias("price"), (F.col("money").cast("double") / total).alias("weight"))
 
 
-MEMBERS_SQL = f"""members AS (SELECT day, ticker, CAST(money AS DOUBLE) / CAST(sum(money) OVER (PARTITION BY day) AS DOUBLE) AS weight FROM (
-  SELECT {FRIDAY.format('CAST(l_shipdate AS DATE)')} AS day, l_suppkey AS ticker, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS money FROM lineitem GROUP BY 1, 2))"""
+MEMBERS_SQL = f"""members AS (SELECT day, ticker, CAST(money AS DOUBLE) / CAST(pieces AS DOUBLE) AS price, CAST(money AS DOUBLE) / CAST(sum(money) OVER (PARTITION BY day) AS DOUBLE) AS weight FROM (
+  SELECT {FRIDAY.format('CAST(l_shipdate AS DATE)')} AS day, l_suppkey AS ticker, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS money, sum(CAST(l_quantity AS DECIMAL(18,2))) AS pieces FROM lineitem GROUP BY 1, 2))"""

@@ -40,12 +40,56 @@ def giant_weight_guard(spark, sf_dir):
     return out.withColumn("missing", neat("missing")).withColumn("fifth", neat("fifth"))
 
 
+_DAILY = f"""{_AGES}, nd AS (SELECT d.day, d.o, count(*) AS n, count(*) FILTER (kept) AS k FROM (SELECT *, o - lag(o) OVER (PARTITION BY ticker ORDER BY o) = 1 AS kept FROM ages) a JOIN d USING (day) GROUP BY 1, 2),
+    ch AS (SELECT day, o, coalesce(n <> lag(n) OVER (ORDER BY o) OR k <> lag(n) OVER (ORDER BY o), false) AS changed FROM nd),
+    gr AS (SELECT ch.o, t.ticker, coalesce(m.weight, 0.0) AS w, changed FROM ch CROSS JOIN (SELECT DISTINCT ticker FROM members) t LEFT JOIN members m ON m.day = ch.day AND m.ticker = t.ticker),
+    sm AS (SELECT ticker, o, w, NULL::DOUBLE AS v FROM gr WHERE o = 1 UNION ALL SELECT g.ticker, g.o, g.w, CASE WHEN g.changed THEN sm.v ELSE 2 ** (-0.2) * coalesce(sm.v, 0.0) + (1 - 2 ** (-0.2)) * sm.w END FROM sm JOIN gr g ON g.ticker = sm.ticker AND g.o = sm.o + 1),
+    nx AS (SELECT ticker, o, coalesce(lead(o) OVER (PARTITION BY ticker ORDER BY o), o + 4) AS nxt FROM ages), aw AS (SELECT nx.o + k AS o, nx.ticker FROM nx, (VALUES (1), (2), (3)) t(k) WHERE nx.o + k < nxt),
+    lost AS (SELECT aw.o, sum(coalesce(sm.v, 0.0)) AS lost FROM aw JOIN sm ON sm.o = aw.o AND sm.ticker = aw.ticker GROUP BY 1), ff AS (SELECT o, list_sort(list(v), 'DESC')[5] AS fifth FROM sm WHERE v > 0 GROUP BY 1),
+    hd AS (SELECT a.day, a.o, a.ticker, a.price, a.age, sm.v, avg(a.price) OVER (PARTITION BY a.ticker ORDER BY a.o ROWS 9 PRECEDING) AS ma, row_number() OVER (PARTITION BY a.ticker ORDER BY a.o) AS p FROM ages a JOIN sm ON sm.o = a.o AND sm.ticker = a.ticker),
+    bb AS (SELECT o, CASE WHEN sum(v) > 1e-12 THEN least(1.0, greatest(0.0, 1 - sum(CASE WHEN price > ma THEN v ELSE 0 END) / (sum(v) + 1e-12))) END AS b0 FROM hd WHERE age >= 10 AND v > 0 GROUP BY 1),
+    mm AS (SELECT o, ticker, v, p, count(*) OVER (PARTITION BY o) AS m, v / (sum(v) OVER (PARTITION BY o) + 1e-12) AS sh FROM hd WHERE age >= 15 AND v > 0),
+    rr AS (SELECT mm.o, mm.ticker, mm.m, mm.sh, y.o AS t, y.price / x.price - 1 AS r FROM mm JOIN hd y ON y.ticker = mm.ticker AND y.p BETWEEN mm.p - 13 AND mm.p JOIN hd x ON x.ticker = y.ticker AND x.p = y.p - 1 AND x.o = y.o - 1 WHERE mm.m > 1),
+    rs AS (SELECT *, count(*) OVER (PARTITION BY o, t) AS k FROM rr), rk AS (SELECT * FROM rs WHERE k = m),
+    cp AS (SELECT a.o, a.sh AS wa, b.sh AS wb, corr(a.r, b.r) AS rho, count(*) AS n FROM rk a JOIN rk b ON a.o = b.o AND a.t = b.t AND a.ticker < b.ticker GROUP BY a.o, a.ticker, b.ticker, a.sh, b.sh),
+    cc AS (SELECT cp.o, CASE WHEN min(n) > 1 AND bool_and(isfinite(rho)) AND count(rho) = count(*) THEN 2 * sum(wa * wb * rho) / (1 - any_value(sq) + 1e-12) END AS c0 FROM cp JOIN (SELECT o, sum(sh * sh) AS sq FROM mm GROUP BY 1) s USING (o) GROUP BY 1),
+    al AS (SELECT ch.day, ch.o, coalesce(coalesce(lost, 0.0) > 0.5 * fifth, false) AND ch.o > 1 AS hold, changed, lost.o IS NOT NULL AS away, b0, c0 FROM ch LEFT JOIN lost USING (o) LEFT JOIN ff USING (o) LEFT JOIN bb USING (o) LEFT JOIN cc USING (o)),
+    ow AS (SELECT *, CASE WHEN NOT hold AND o > 1 THEN b0 END AS b1, CASE WHEN NOT hold AND o > 1 THEN c0 END AS c1 FROM al),
+    daily AS (SELECT day, CASE WHEN hold THEN last_value(b1 IGNORE NULLS) OVER w ELSE b1 END AS b, CASE WHEN hold THEN last_value(c1 IGNORE NULLS) OVER w ELSE c1 END AS c, CASE WHEN o > 1 AND (changed OR away OR hold) THEN 0.3 ELSE 1.0 END AS z_weight, hold FROM ow WINDOW w AS (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+def _daily(spark, sf_dir):
+    return micro.daily_frame(members(spark, sf_dir), "day", "ticker", "price", "weight", 10, 15)
+
+
+@query("micro_daily", f"WITH RECURSIVE {_DAILY} SELECT day, round(b, 6) + 0.0 AS b, round(c, 6) + 0.0 AS c, CAST(z_weight AS DOUBLE) AS z_weight, hold FROM daily")
+def micro_daily(spark, sf_dir):
+    return _daily(spark, sf_dir).withColumns({x: neat(x) for x in ("b", "c")})
+
+
+def _score_sql(x: str) -> str:
+    return f"""p{x} AS (SELECT a.week, a.{x} AS cur, b.{x} AS v, b.z_weight AS w, b.week AS j FROM wk a JOIN wk b ON b.i BETWEEN a.i - 52 AND a.i - 1 AND b.{x} IS NOT NULL), q{x} AS (SELECT *, sum(w) OVER (PARTITION BY week ORDER BY v, w, j ROWS UNBOUNDED PRECEDING) AS u, sum(w) OVER (PARTITION BY week) AS t FROM p{x}),
+    m{x} AS (SELECT week, any_value(cur) AS cur, min(v) FILTER (u >= 0.5 * t) AS med FROM q{x} GROUP BY 1), d{x} AS (SELECT p.week, abs(p.v - m.med) AS v, w, j FROM p{x} p JOIN m{x} m USING (week)), e{x} AS (SELECT *, sum(w) OVER (PARTITION BY week ORDER BY v, w, j ROWS UNBOUNDED PRECEDING) AS u, sum(w) OVER (PARTITION BY week) AS t FROM d{x}),
+    z{x} AS (SELECT m.week, (any_value(cur) - any_value(med)) / (1.4826 * min(v) FILTER (u >= 0.5 * t) + 1e-12) AS z FROM e{x} e JOIN m{x} m USING (week) GROUP BY 1)"""
+
+
+@query(
+    "micro_weekly",
+    f"""WITH RECURSIVE {_DAILY}, wk AS (SELECT *, row_number() OVER (ORDER BY week) AS i FROM (SELECT CAST(date_trunc('month', day) AS DATE) AS week, median(b) AS b, median(c) AS c, min(CAST(z_weight AS DOUBLE)) AS z_weight FROM daily GROUP BY 1)), {_score_sql('b')}, {_score_sql('c')}
+    SELECT wk.week, round(b, 6) + 0.0 AS b, round(c, 6) + 0.0 AS c, z_weight, round(1 / (1 + exp(-(0.5 * zb.z + 0.5 * zc.z))), 5) + 0.0 AS h FROM wk LEFT JOIN zb USING (week) LEFT JOIN zc USING (week)""",
+)
+def micro_weekly(spark, sf_dir):
+    """The panel's days are weeks, so its weeks are months here."""
+    out = micro.weekly_score(_daily(spark, sf_dir).withColumn("week", F.trunc("day", "month")), "week", 52)
+    return out.select("week", neat("b").alias("b"), neat("c").alias("c"), "z_weight", neat("h", 5).alias("h"))
+
+
 @query(
     "smoothed_weights",
     f"""WITH RECURSIVE {PANEL_SQL}, g AS (SELECT a.day, b.ticker, coalesce(p.weight, 0.0) AS w FROM (SELECT DISTINCT day FROM panel) a CROSS JOIN (SELECT DISTINCT ticker FROM panel) b LEFT JOIN panel p ON p.day = a.day AND p.ticker = b.ticker),
     s AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) AS i, month(day) = 6 AS rule FROM g),
     f AS (SELECT ticker, day, i, w, NULL::DOUBLE AS v FROM s WHERE i = 1 UNION ALL
-      SELECT s.ticker, s.day, s.i, s.w, CASE WHEN s.rule THEN f.v WHEN f.v IS NULL THEN f.w ELSE 2 ** (-0.2) * f.v + (1 - 2 ** (-0.2)) * f.w END FROM f JOIN s ON s.ticker = f.ticker AND s.i = f.i + 1)
+      SELECT s.ticker, s.day, s.i, s.w, CASE WHEN s.rule THEN f.v ELSE 2 ** (-0.2) * coalesce(f.v, 0.0) + (1 - 2 ** (-0.2)) * f.w END FROM f JOIN s ON s.ticker = f.ticker AND s.i = f.i + 1)
     SELECT day, ticker, round(v, 6) + 0.0 AS smoothed FROM f""",
 )
 def smoothed_weights(spark, sf_dir):

@@ -327,14 +327,16 @@ def weekly_weights(spark, sf_dir):
     d AS (SELECT p.series_id, p.i, abs(p.v - m.med) AS v, p.w, p.j FROM p JOIN m USING (series_id, i)),
     e AS (SELECT *, sum(w) OVER (PARTITION BY series_id, i ORDER BY v, w, j ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY series_id, i) AS total FROM d),
     k AS (SELECT series_id, i, min(v) FILTER (upto >= 0.5 * total) AS mad FROM e GROUP BY 1, 2)
-    SELECT series_id, week_end, CASE WHEN mad > 0 THEN round((cur - med) / (1.4826 * mad + 1e-12), 6) + 0.0 END AS z FROM m JOIN k USING (series_id, i)""",
+    SELECT series_id, week_end, round(greatest(-1e6, least(1e6, (cur - med) / (1.4826 * mad + 1e-12))), 6) + 0.0 AS z FROM m JOIN k USING (series_id, i)""",
 )
 def weighted_robust_z(spark, sf_dir):
     f = Frames("series_id", "week_end")
     held = weeks(spark, sf_dir).withColumn("held", F.collect_list(F.struct(F.col("price").alias("v"), F.col("n_orders").cast("double").alias("w"))).over(f.prior(26))).where(F.size("held") > 0)
     middle = held.withColumn("med", weighted_median(F.col("held")))
     spread = middle.withColumn("mad", weighted_median(F.transform("held", lambda p: F.struct(F.abs(p["v"] - F.col("med")).alias("v"), p["w"].alias("w")))))
-    return spread.select("series_id", "week_end", F.when(F.col("mad") > 0, neat((F.col("price") - F.col("med")) / (1.4826 * F.col("mad") + 1e-12))).alias("z"))
+    # No deviation leaves EPS alone below the line: cut for the comparison.
+    score = (F.col("price") - F.col("med")) / (1.4826 * F.col("mad") + 1e-12)
+    return spread.select("series_id", "week_end", neat(F.greatest(F.lit(-1e6), F.least(F.lit(1e6), score))).alias("z"))
 
 
 @query("micro_score", f"WITH {WEEKS_SQL} SELECT series_id, week_end, round(1 / (1 + exp(-(0.5 * (price - 250000) / 50000 + 0.5 * (open_share - 0.5)))), 6) + 0.0 AS h FROM weeks")

@@ -12,7 +12,7 @@ import pytest
 from chronoplane import plans
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["asof_backward", "adjustment_factor", "rob_z", "ew_z", "lead_envelope", "revision_detail", "transition_matrix", "correlation_concentration", "backtest", "dunn_holm", "ols_hac", "order_ledger", "cov2d_state", "alert_log", "ops_status", "signal_gate", "rename_bridge", "holdings_resolution", "holdings_validation", "publication_proof", "adjusted_window_ledger", "canonical_payload", "realized_metrics", "forward_metrics", "state_pairs", "state_separation", "predictive_rows", "bucket_sets", "bucket_lookup", "target_weights", "order_summary"]
+SAMPLE = ["asof_backward", "adjustment_factor", "rob_z", "ew_z", "lead_envelope", "revision_detail", "transition_matrix", "correlation_concentration", "backtest", "dunn_holm", "ols_hac", "order_ledger", "cov2d_state", "alert_log", "ops_status", "signal_gate", "rename_bridge", "holdings_resolution", "holdings_validation", "publication_proof", "adjusted_window_ledger", "canonical_payload", "realized_metrics", "forward_metrics", "state_pairs", "state_separation", "predictive_rows", "bucket_sets", "bucket_lookup", "target_weights", "order_summary", "micro_daily", "state_factors", "drift_probe", "health_counts", "window_coverage", "semantic_labels", "strict_days", "exogenous_memory", "backtest", "comparison_table"]
 
 
 def _canonical(df: pd.DataFrame) -> list:

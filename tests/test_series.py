@@ -191,6 +191,68 @@ def test_canonical_payloads_quote_numbers():
         canonical.canonical("{")
 
 
+def test_chain_equals_plain_loops():
+    """The recursion of covariance and clusters against a version with matrices written out."""
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(400, 2)) @ np.array([[1.0, 0.4], [0.0, 0.7]])
+    points[200] = [9.0, -9.0]
+    cov, rho = rec.HuberCovariance(points[:30]), 2 ** (-1 / 78)
+    mean, raw = points[:30].mean(0), np.cov(points[:30].T) + 1e-8 * np.eye(2)
+
+    def regular(m):
+        (a, b), (_, d) = m
+        middle, half = (a + d) / 2, np.hypot((a - d) / 2, b)
+        big, small = max(middle + half, 1e-8), middle - half
+        small = max(small, 1e-4 * (middle + half), 1e-8)
+        angle = 0.5 * np.arctan2(2 * b, a - d)
+        q = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+        return q @ np.diag([big, small]) @ q.T, q @ np.diag([big**0.5, small**0.5]) @ q.T, q @ np.diag([big**-0.5, small**-0.5]) @ q.T
+
+    for x in points[30:60]:
+        cov.update(x)
+    for x in points[30:60]:
+        gap = x - mean
+        weight = min(1.0, 2.5 / max(np.sqrt(gap @ np.linalg.inv(regular(raw)[0]) @ gap), 1e-12))
+        mean, raw = rho * mean + (1 - rho) * x, rho * raw + (1 - rho) * weight**2 * np.outer(gap, gap)
+    assert cov.mean == pytest.approx(mean) and cov.reg == pytest.approx(regular(raw)[0])
+    clusters = rec.Prototypes(points[:60])
+    history = points[:60]
+    bins = np.array_split(history[np.argsort(history[:, 0])], 5)
+    centres, mass = [b.mean(0) for b in bins], [float(len(b)) for b in bins]
+    offsets = [regular(np.cov(history.T) + 1e-8 * np.eye(2))[2] @ (c - history.mean(0)) for c in centres]
+    last, waiting = [0] * 5, [[] for _ in range(5)]
+    for t, x in enumerate(points[60:], 60):
+        before = (cov.reg, cov.root(0.5))
+        cov.update(x)
+        nearest, shares = clusters.update(x, t, before, cov)
+        old = regular(raw)
+        gap = x - mean
+        weight = min(1.0, 2.5 / max(np.sqrt(gap @ np.linalg.inv(old[0]) @ gap), 1e-12))
+        mean, raw = rho * mean + (1 - rho) * x, rho * raw + (1 - rho) * weight**2 * np.outer(gap, gap)
+        best = min(range(5), key=lambda k: (centres[k] - x) @ np.linalg.inv(old[0]) @ (centres[k] - x))
+        for k in range(5):
+            if k != best:
+                mass[k] *= rho
+                centres[k] = mean + old[1] @ offsets[k]
+            elif t - last[k] >= 26:
+                waiting[k].append(x)
+                if len(waiting[k]) == 4:
+                    mass[k] *= rho ** (t - last[k])
+                    for y in waiting[k]:
+                        centres[k], mass[k] = (rho * mass[k] * centres[k] + y) / (rho * mass[k] + 1), rho * mass[k] + 1
+                    waiting[k], last[k] = [], t
+                else:
+                    mass[k] *= rho
+            else:
+                centres[k], mass[k], last[k] = (rho * mass[k] * centres[k] + x) / (rho * mass[k] + 1), rho * mass[k] + 1, t
+        now = regular(raw)
+        offsets = [now[2] @ (c - mean) for c in centres]
+        d2 = np.array([(c - x) @ np.linalg.inv(now[0]) @ (c - x) for c in centres])
+        want = np.exp(-0.5 * (d2 - d2.min()))
+        assert nearest == best and shares == pytest.approx(want / want.sum(), rel=1e-6), t
+    assert clusters.centres == pytest.approx(np.array(centres)) and clusters.mass == pytest.approx(mass)
+
+
 def test_materiality_boundary(spark):
     df = spark.createDataFrame([(0.05,), (0.06,), (None,)], "d double")
     assert [r[0] for r in df.select(audit.is_material(F.col("d"))).collect()] == [False, True, False]

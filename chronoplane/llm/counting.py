@@ -59,8 +59,8 @@ def frequent_lengths(docs: DataFrame, path: str) -> LengthTable:
     rows = docs.count()
     sample = docs.select("text").sample(min(1.0, SAMPLE / max(1, rows)), 7)
     counted = sample.mapInArrow(lambda batches: _count_pieces(path, batches), "piece string, n long")
-    # The sample bounds the number of pre-tokens; one task ranks them, so one list reaches the driver.
-    top = counted.groupBy("piece").agg(F.sum("n").alias("n")).coalesce(1).orderBy(F.desc("n"), "piece").limit(FREQUENT)
+    # The sample bounds the number of pre-tokens met again; one task ranks them, so one list reaches the driver.
+    top = counted.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1").repartition(1).orderBy(F.desc("n"), "piece").limit(FREQUENT)
     own = encoder(path)
     return LengthTable({r["piece"]: len(own.by_library(r["piece"])) // 4 for r in top.select("piece").collect()})
 

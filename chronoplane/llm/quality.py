@@ -52,6 +52,8 @@ GRID = 4096
 #: themselves, so these only count together with others.
 FLOOR = (1.3, 0.08, 0.25, 0.15, 0.13)
 P = len(FLOOR)
+#: A group's rows meet its model in this many parts, so no task takes a group whole.
+PARTS = 32
 BINS_PER_OCTAVE = 16
 
 
@@ -207,7 +209,8 @@ MODEL = [f"m{j}" for j in range(P)] + [f"i{i}{j}" for i, j in PAIRS] + ["d"]
 def fit(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(groups, models) for the vectors of all rows that pass the base rules."""
     groups, feeds = _groups(vectors)
-    data = materialize(vectors.join(feeds, "fine").drop("fine", "pool"), "vectors")
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PARTS)).alias("part")
+    data = materialize(vectors.join(feeds, "fine").drop("fine", "pool").select("*", part), "vectors")
     models = materialize(_starts(data), "model")
     while not models.where("NOT done").isEmpty():
         open_ = models.where("NOT done")
@@ -219,15 +222,21 @@ def fit(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups, materialize(best.select("g", *[F.col(f"best.{c}").alias(c) for c in MODEL[:-1]]), "model")
 
 
+def _beside(data: DataFrame, models: DataFrame) -> DataFrame:
+    """Rows beside their group's models, joined by group and part."""
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part")
+    return data.join(models.select("*", parts), ["g", "part"])
+
+
 def _starts(data: DataFrame) -> DataFrame:
     """Per group and start s: a model of no determinant yet."""
     centre = materialize(_middle(_long(data)), "centre")
     wide = materialize(centre.groupBy("g").agg(*[F.max(F.when(F.col("j") == j, F.col("v"))).alias(f"m{j}") for j in range(P)]), "wide")
-    off = data.join(wide, "g").select("g", *[F.abs(F.col(f"x{j}") - F.col(f"m{j}")).alias(f"x{j}") for j in range(P)])
+    off = _beside(data, wide).select("g", *[F.abs(F.col(f"x{j}") - F.col(f"m{j}")).alias(f"x{j}") for j in range(P)])
     mad = _middle(_long(off)).groupBy("g").agg(*[F.max(F.when(F.col("j") == j, F.col("v"))).alias(f"s{j}") for j in range(P)])
     middle = materialize(wide.join(mad, "g").selectExpr("g", *[f"m{j}" for j in range(P)], *[f"{deviation_sql(j)} AS r{j}" for j in range(P)]), "middle")
     first = middle.selectExpr("g", "0 AS s", *[f"CAST(m{j} AS DOUBLE) AS m{j}" for j in range(P)], *[(f"1e0 / r{j}" if i == j else "0e0") + f" AS i{i}{j}" for i, j in PAIRS])
-    pulled = data.join(middle, "g").selectExpr("g", "2 AS s", *[f"{pulled_sql(j)} AS x{j}" for j in range(P)])
+    pulled = _beside(data, middle).selectExpr("g", "2 AS s", *[f"{pulled_sql(j)} AS x{j}" for j in range(P)])
     others = data.selectExpr("g", "1 AS s", *[f"x{j}" for j in range(P)]).unionByName(pulled)
     sums = others.groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"), *_moments())
     others = _model(sums.selectExpr("g", "s", "CAST(n AS DOUBLE) AS n", *[f"CAST({t} AS DOUBLE) AS {t}" for t in _moment_names()])).select(*first.columns)
@@ -262,7 +271,7 @@ def _model(sums: DataFrame) -> DataFrame:
 
 def _step(data: DataFrame, models: DataFrame) -> DataFrame:
     """One concentration step: refit each group and start on its nearest share."""
-    cells = data.join(models, "g").withColumn("b", F.expr(bin_sql(distance_sql()))).groupBy("g", "s", "b").agg(F.count(F.lit(1)).alias("n"), *_moments())
+    cells = _beside(data, models).withColumn("b", F.expr(bin_sql(distance_sql()))).groupBy("g", "s", "b").agg(F.count(F.lit(1)).alias("n"), *_moments())
     before = Window.partitionBy("g", "s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     near = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("g", "s")))
     near = near.where(F.col("before") < SUPPORT * F.col("all"))

@@ -83,11 +83,11 @@ def _counter(path: str, frequent, key: str) -> tuple[_Tier, _Tier]:
     """Counts by pre-token, and by what stands between two spaces."""
     if key not in _counters:
         table, own = frequent.value.unpacked(), encoder(path)
-        known = _Tier(table, PreTokens(lambda p: len(own.piece(p)) // 4))
+        known = _Tier(table, PreTokens(own.n_ids))
         # What follows a space up to the next may be one pre-token, or several.
         after = {p[1:]: n for p, n in table.items() if p[0] == " " and p[1:].strip(" ") == p[1:] != ""}
         _counters.clear()
-        _counters[key] = known, _Tier(after, PreTokens(lambda x: sum(known[p] for p in own.pieces(" " + x))))
+        _counters[key] = known, _Tier(after, PreTokens(lambda x: sum(known[p] for p in own.after(x))))
     return _counters[key]
 
 

@@ -1,19 +1,22 @@
-"""Token ids as a public tokenizer library gives them, with caches of pre-tokens.
-
-A byte-level BPE encodes each pre-token on its own, so a text's ids are those of
-its pre-tokens in a row.  A worker remembers the ids of pre-tokens, and of what
-stands between two spaces, and encodes only what is new.  Single spaces are safe
-to cut at: a pre-token starts at a space unless more white space follows.  Texts
-with such runs are split by the tokenizer's own pattern.  Texts with characters
-that two regular expression engines may class differently, and texts that may
-hold the string of a special token, go to the library whole.
+"""Token ids as a public tokenizer library gives them.
+
+The vocabulary's merges run on bytes, in a compiled encoder that takes a text
+whole and hands its ids back as bytes, so nothing is kept between texts.  It
+can't split a run of hundreds of thousands of white space characters; such texts
+are split by the same pattern in another engine.  Texts with characters that two
+regular expression engines may class differently, and texts that may hold the
+string of a special token, go to the library whole.
+
+Counting looks pre-tokens up instead, and what stands between two spaces.  Single
+spaces are safe to cut at: a pre-token starts at a space unless more white space
+follows.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import regex
 import tiktoken
@@ -60,26 +63,31 @@ class Encoder:
         special = {t.content for t in self.library.get_added_tokens_decoder().values()}
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t not in special}
         # The same merges on bytes, without the library's cost per call.
-        self._merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self._core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self._split = regex.compile(PATTERN).findall
         self._odd, self._runs = re.compile(ODD).search, re.compile(r" (?:\s|\Z)").search
-        self._known = PreTokens(self.piece)
-        self._between = PreTokens(lambda x: b"".join(map(self._known.__getitem__, self._split(" " + x))))
 
     def by_library(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def piece(self, piece: str) -> bytes:
-        ids = self._merge(piece)
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _foreign(self, text: str) -> bool:
+        """Whether only the library knows the ids of a text."""
+        return "<|" in text or self._odd(text) is not None
+
+    def n_ids(self, piece: str) -> int:
+        return len(self._core.encode_single_piece(piece.encode()))
 
     def pieces(self, text: str) -> list[str]:
         return self._split(text)
 
-    def values(self, text: str, known: PreTokens, between: PreTokens) -> list | None:
+    def after(self, x: str) -> list[str]:
+        """The pre-tokens of a space and what follows it up to the next; letters alone are one."""
+        return [" " + x] if x.isalpha() else self._split(" " + x)
+
+    def values(self, text: str, known: Mapping, between: Mapping) -> list | None:
         """The values of a text's parts, or None where the library must see it whole."""
-        if "<|" in text or self._odd(text):
+        if self._foreign(text):
             return None
         if self._runs(text):
             return [known[p] for p in self._split(text)]
@@ -87,8 +95,13 @@ class Encoder:
         return [known[p] for p in self._split(first)] + [between[x] for x in rest]
 
     def ids(self, text: str) -> bytes:
-        values = self.values(text, self._known, self._between)
-        return self.by_library(text) if values is None else b"".join(values)
+        if self._foreign(text):
+            return self.by_library(text)
+        try:
+            return bytes(self._core.encode_to_tiktoken_buffer(text, set()))
+        except ValueError:  # white space beyond the engine's stack
+            ids = [i for p in self._split(text) for i in self._core.encode_single_piece(p.encode())]
+            return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _encoders: dict[str, Encoder] = {}

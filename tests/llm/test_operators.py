@@ -249,7 +249,7 @@ def test_extract_rows(spark):
 # tokens, counts, packing
 
 
-def test_cached_ids_equal_the_library():
+def test_ids_equal_the_library():
     own, rng = Encoder(PATH), random.Random(1)
     letters = list("ab C1é'  \n\t.,s'll\x0b\xa0ü中<|>") + ["<|endoftext|>", "😀", "́", "ŉ", "ß"]
     for _ in range(4000):
@@ -257,6 +257,12 @@ def test_cached_ids_equal_the_library():
         assert own.ids(text) == own.by_library(text), repr(text)
 
 
+def test_long_runs_have_the_ids_of_the_library():
+    own = Encoder(PATH)
+    for text in (" " * 300_000 + "a", "\n " * 200_000, "ab" * 100_000, "1" * 100_000):
+        assert own.ids(text) == own.by_library(text)
+
+
 def test_token_counts_equal_the_library(docs):
     library = Tokenizer.from_file(PATH)
     want = collections.Counter((r[0], len((r[1] or "").encode()), len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in documents())

@@ -31,6 +31,57 @@ def test_contract_rejects_hindsight_and_missing_columns(spark, tmp_path):
         contracts.read_contract(spark, _csv(tmp_path, "ticker\nx\n"), "weights")
 
 
+MACRO = "trade_date,ticker,close,source_name,fetch_timestamp,price_basis\n"
+
+
+def test_macro_closes_are_positive_of_one_basis_and_for_replay_only(spark, tmp_path):
+    row = "2024-01-0{},qq,{},{},2024-02-0{} 00:00:00,{}\n"
+    good = MACRO + row.format(2, 5, "", 1, PRICE) + row.format(2, 6, "v", 2, PRICE) + row.format(3, "x", "v", 1, PRICE) + row.format(4, 7, "v", 1, PRICE)
+    rows = contracts.read_macro_closes(spark, _csv(tmp_path, good))
+    assert rows.count() == 3
+    assert [(str(r.trade_date), r.close) for r in contracts.closes_between(rows, "QQ", "2024-01-02", "2024-01-03").collect()] == [("2024-01-02", 6.0)]
+    with pytest.raises(contracts.ContractError, match="micro"):
+        contracts.read_macro_closes(spark, _csv(tmp_path, good), "micro_layer")
+    for bad in ("", row.format(2, 0, "v", 1, PRICE), row.format(2, 5, "v", 1, "other"), row.format(2, 5, "v", 1, PRICE) + row.format(3, 5, "v", 1, "official_market_close")):
+        with pytest.raises(contracts.ContractError, match="basis"):
+            contracts.read_macro_closes(spark, _csv(tmp_path, MACRO + bad))
+
+
+PRICE = "vendor_raw_close"
+
+
+def test_override_days_increase_and_values_are_finite(spark, tmp_path):
+    head, row = "trade_date,value,source_name,source_timestamp,license_tag\n", "2024-01-0{},{},s,2024-02-01 00:00:00,l\n"
+    (made,) = contracts.override_manifest(contracts.read_override(spark, _csv(tmp_path, head + row.format(2, 1.5) + row.format(3, 2)))).collect()
+    assert (made.row_count, made.coverage_ok, made.reason_if_rejected, str(made.min_date), made.license_tag) == (2, False, "Insufficient coverage: 2 < 525 rows", "2024-01-02", "l")
+    for bad in (row.format(3, 1) + row.format(2, 1), row.format(2, 1) + row.format(2, 1), row.format(2, "x"), row.format(2, "NaN"), row.format(2, "Infinity"), row.format("", 1)):
+        with pytest.raises(contracts.ContractError):
+            contracts.read_override(spark, _csv(tmp_path, head + bad))
+
+
+def test_ticker_files_are_named_by_their_ticker(spark, tmp_path):
+    for t in ("AB", "C D"):
+        (tmp_path / f"{t}.csv").write_text(f"trade_date,asof_timestamp,raw_close,adj_close\n2024-01-02,2024-01-03 00:00:00,{len(t)},1\n")
+    assert sorted((r.ticker, r.raw_close) for r in contracts.read_ticker_files(spark, str(tmp_path)).collect()) == [("AB", 2.0), ("C D", 3.0)]
+
+
+def test_holdings_reject_pages_and_payloads_without_rows(spark, tmp_path):
+    for text in ("  <!DOCTYPE html><p>x", "{}", '{"effectiveDate": "2024-01-05", "holdings": []}'):
+        (tmp_path / "h.json").write_text(text)
+        with pytest.raises(contracts.ContractError, match="holdings"):
+            contracts.read_holdings(spark, str(tmp_path / "h.json"))
+
+
+def test_snapshots_need_their_fields_and_a_time_zone(spark, tmp_path):
+    read = lambda: contracts.read_snapshots(spark, str(tmp_path / "s.json"), "week_end string, published_at string", ["week_end"], "published_at")
+    (tmp_path / "s.json").write_text('{"week_end": "2024-01-05", "published_at": "2024-01-05T10:00:00+02:00"}')
+    assert read().selectExpr("string(published_at)").first()[0] == "2024-01-05 08:00:00"
+    for text in ('{"week_end": "2024-01-05", "published_at": "2024-01-05T10:00:00"}', '{"published_at": "2024-01-05T10:00:00Z"}'):
+        (tmp_path / "s.json").write_text(text)
+        with pytest.raises(contracts.ContractError):
+            read()
+
+
 def test_holdings_rows_keep_their_order(spark, tmp_path):
     path = tmp_path / "h.json"
     path.write_text(json.dumps({"effectiveDate": "2024-01-05", "holdings": [{"ticker": "B", "percentageOfTotalNetAssets": 60.0}, {"ticker": "A", "percentageOfTotalNetAssets": 40.0}]}))

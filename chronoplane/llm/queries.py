@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoplane.llm import chat, counting, dedup, extraction, mixing, packing, quality, search, sharding, warc
+from chronoplane.llm import chat, counting, dedup, extraction, mixing, packing, phrases, quality, search, sharding, warc
 from chronoplane.llm.quality_sql import quality_sql
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -129,6 +129,37 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of every language."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+f AS (
+  SELECT lang, m, phrase, count(*) AS a
+  FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS m))
+  GROUP BY ALL
+), total AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND a >= 10),
+cut AS (
+  SELECT c.lang, c.m, c.phrase, c.a, k, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.m = k AND x.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.m = c.m - k AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+), s AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE m = 3) GROUP BY ALL)
+SELECT lang, CAST(row_number() OVER best AS INTEGER) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM s LEFT JOIN inner_ USING (lang, phrase) JOIN total USING (lang)
+WHERE longer IS NULL OR m > 2 OR 100 * longer < 50 * a
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER best <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
@@ -141,8 +172,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mixing": op8_source_mixing,
         "op9_warc": op9_warc,
         "op10_quality_rules": op10_quality_rules,
+        "op11_phrase_mining": op11_phrase_mining,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op6_top_k_search": OP6_SQL, "op9_warc": OP9_SQL, "op10_quality_rules": quality_sql()}
+    return {"op1_near_dedup": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op6_top_k_search": OP6_SQL, "op9_warc": OP9_SQL, "op10_quality_rules": quality_sql(), "op11_phrase_mining": OP11_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoplane.llm import chat, counting, dedup, extraction, mixing, packing, phrases, quality, search, sharding, warc
+from chronoplane.llm import chat, counting, dedup, extraction, merkle, mixing, packing, phrases, quality, search, sharding, warc
 from chronoplane.llm.quality_sql import quality_sql
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -160,6 +160,11 @@ QUALIFY row_number() OVER best <= 2000
 """
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest, proof and verdict of every document."""
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
@@ -173,6 +178,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op10_quality_rules": op10_quality_rules,
         "op11_phrase_mining": op11_phrase_mining,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 

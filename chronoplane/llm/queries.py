@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoplane.llm import chat, counting, dedup, extraction, merkle, mixing, packing, phrases, quality, search, sharding, warc
+from chronoplane.llm import ann, chat, counting, dedup, extraction, merkle, mixing, packing, phrases, quality, search, sharding, warc
 from chronoplane.llm.quality_sql import quality_sql
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -165,6 +165,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
@@ -179,6 +184,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_rules": op10_quality_rules,
         "op11_phrase_mining": op11_phrase_mining,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_nearest_neighbours": op13_nearest_neighbours,
     }
 
 

@@ -2,26 +2,25 @@
 
 Every row is a leaf.  Per language the leaves stand in the order of their ids, and
 every ``FANOUT`` consecutive nodes have a parent, until one node is left; the
-languages' nodes are the leaves of one more tree.  A vertex is keyed by (tree,
-level, index).  In an upward superstep children message their parents, and a
-parent that has heard all its children hashes and becomes the next level.  In a
-downward superstep a parent messages each child the digests beside its path; a
-leaf folds its own digest with what it is told and compares the root.
-
-Vertices are placed by the subtree they belong to: a subtree of ``LAYER`` levels is
-one unit of partitioning.  Paths grow on their way down, so it matters that only
-every ``LAYER``-th downward superstep shuffles them, one path per subtree; within a
-subtree they stay where they are.  Levels are written to the shared folder on the
-way up; a lost executor costs the superstep at hand.
+languages' nodes are the leaves of one more tree.  In an upward superstep children
+message their parents, and a parent that has heard all its children hashes and
+sends on.  In a downward superstep a parent tells each child the digests beside its
+path; a leaf folds its own digest with what it is told and compares the root.
+
+Vertices are placed by subtree: a block holds ``FANOUT ** LAYER`` nodes and what is
+above them up to one.  Messages within a block are delivered where they are; only
+every ``LAYER``-th superstep shuffles, upwards one digest and downwards one path for
+a block.  Each layer is written to the shared folder on the way up; a lost
+executor costs the layer at hand.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark import RDD
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
@@ -29,8 +28,8 @@ from pyspark.sql.window import Window
 from chronoplane.llm.shared import materialize, passing
 
 FANOUT = 8
-#: Levels of a subtree that is placed as a whole: FANOUT ** (LAYER - 1) leaves.
-LAYER = 5
+#: Supersteps within a block, which so holds FANOUT ** LAYER nodes at most.
+LAYER = 4
 ROWS_PER_PART = 50_000
 #: The tree over the languages.
 TOP = -1
@@ -54,20 +53,9 @@ def digest(parts: list[str]) -> str:
     return hashlib.sha256("".join(parts).encode()).hexdigest()
 
 
-def width(n: int, level: int) -> int:
-    """The nodes on a level of a tree of n leaves."""
-    return -(-n // FANOUT**level)
-
-
-def place(key: tuple[int, int, int]) -> int:
-    """A hash of the subtree that holds a vertex; whole numbers hash alike in every process."""
-    tree, level, index = key
-    return hash((tree, level // LAYER, index // FANOUT ** (LAYER - 1 - level % LAYER)))
-
-
-def _stays(level: int) -> bool:
-    """Whether a node and its parent on the next level are in one subtree."""
-    return level % LAYER < LAYER - 1
+def place(key: tuple[int, int]) -> int:
+    """A hash of a block; whole numbers hash alike in every process."""
+    return hash(key)
 
 
 def ordered_numbers(df: DataFrame, tree: str, order: list[str], name: str) -> DataFrame:
@@ -89,54 +77,75 @@ def ordered_numbers(df: DataFrame, tree: str, order: list[str], name: str) -> Da
     return own.join(starts, [tree, "_part"]).withColumn(name, F.col("_start") + F.col("_i")).drop("_start", "_i", "_part")
 
 
-def _messages(level: int, rows: Iterator) -> Iterator:
-    """What the children on ``level`` send: ((tree, level + 1, parent), (n, [(place among its children, digest)]))."""
-    for (tree, _, index), (n, own) in rows:
-        if width(n, level) > 1:
-            yield (tree, level + 1, index // FANOUT), (n, [(index % FANOUT, own)])
+def supersteps(n: int, layer: int) -> int:
+    """Supersteps in a block of a tree that has n nodes at the layer's bottom."""
+    steps = 0
+    while n > 1 and steps < layer:
+        n, steps = -(-n // FANOUT), steps + 1
+    return steps
 
 
-def _levels(spark: SparkSession, leaves: RDD, height: int, parts: int) -> list[DataFrame]:
-    """Upward supersteps from the leaves ((tree, 0, index), (n, digest)): the written levels (tree, index, n, children)."""
-    out, vertices = [], leaves
-    for level in range(height):
-        sent = vertices.mapPartitions(lambda rows, level=level: _messages(level, rows))
-        heard = sent.reduceByKey(lambda a, b: (a[0], a[1] + b[1]), parts, place)
-        rows = heard.map(lambda v: (v[0][0], v[0][2], v[1][0], [d for _, d in sorted(v[1][1])]))
-        table = spark.createDataFrame(rows, "tree int, index long, n long, children array<string>", verifySchema=False)
-        out.append(materialize(table, f"level{level + 1}"))
-        vertices = _vertices(out[-1], level + 1).mapValues(lambda v: (v[0], digest(v[1])))
-    return out
+def climb(digests: list[str], steps: int) -> list[list[str]]:
+    """A block's levels, lowest first; children send their digests to the parents of the next."""
+    levels = [digests]
+    for _ in range(steps):
+        heard: dict[int, list[str]] = {}
+        for i, own in enumerate(levels[-1]):
+            heard.setdefault(i // FANOUT, []).append(own)
+        levels.append([digest(heard[i]) for i in range(len(heard))])
+    return levels
+
+
+def descend(levels: list[list[str]], path: tuple | None) -> list[tuple | None]:
+    """What each node at the bottom hears: ((own place, digests beside), what its parent heard)."""
+    told = [path]
+    for nodes in reversed(levels[:-1]):
+        heard = []
+        for i in range(len(nodes)):
+            run, at = nodes[i - i % FANOUT : i - i % FANOUT + FANOUT], i % FANOUT
+            heard.append(((at, run[:at] + run[at + 1 :]), told[i // FANOUT]))
+        told = heard
+    return told
 
 
-def _vertices(table: DataFrame, level: int) -> RDD:
-    return table.rdd.map(lambda r: ((r["tree"], level, r["index"]), (r["n"], r["children"])))
+def _blocks(rows: RDD, parts: int, size: int) -> RDD:
+    """Rows ((tree, index), value) by block: ((tree, block), [(index in the block, value)]), at most ``size`` of them."""
+    return rows.map(lambda r: ((r[0][0], r[0][1] // size), (r[0][1] % size, r[1]))).groupByKey(parts, place).mapValues(sorted)
 
 
-def _meet(a: RDD, b: RDD, parts: int) -> RDD:
-    """Both values of a key, one from each side; what is placed already isn't moved."""
-    both = a.mapValues(lambda v: (0, v)).partitionBy(parts, place).union(b.mapValues(lambda v: (1, v)).partitionBy(parts, place))
-    return both.groupByKey(parts, place).mapValues(lambda found: [v for _, v in sorted(found, key=lambda x: x[0])])
+def _ascend(leaves: DataFrame, most: int, parts: int, layer: int) -> list[DataFrame]:
+    """Layers (tree, index, n, node) from the leaves to one node a tree; n counts the tree's nodes on the layer."""
+    spark, layers, size = leaves.sparkSession, [leaves], FANOUT**layer
+    while most > 1:
 
+        def top(block: tuple) -> tuple:
+            (tree, index), members = block
+            n = members[0][1][0]
+            return tree, index, -(-n // size), climb([own for _, (_, own) in members], supersteps(n, layer))[-1][0]
 
-def _told(level: int, parents: RDD, told: RDD, parts: int) -> RDD:
-    """A downward superstep: the children on ``level`` hear (path, subroot), path = ((own place, digests beside), path of the parent)."""
+        rows = layers[-1].rdd.map(lambda r: ((r["tree"], r["index"]), (r["n"], r["node"])))
+        above = spark.createDataFrame(_blocks(rows, parts, size).map(top), "tree int, index long, n long, node string", verifySchema=False)
+        layers.append(materialize(above, f"layer{len(layers)}"))
+        most = -(-most // size)
+    return layers
 
-    def tell(rows: Iterator) -> Iterator:
-        for (tree, _, index), ((_, children), (path, subroot)) in rows:
-            for i in range(len(children)):
-                beside = children[:i] + children[i + 1 :]
-                yield (tree, level, index * FANOUT + i), (((i, beside), path), subroot)
 
-    stays = level % LAYER < LAYER - 1
-    return _meet(parents, told, parts).mapPartitions(tell, preservesPartitioning=stays)
+def _tell(rows: RDD, told: RDD, parts: int, layer: int, answer: Callable) -> RDD:
+    """``answer`` of each row ((tree, index), (n, node, more)) and the path it hears by way of its block."""
+    size = FANOUT**layer
+    nodes = _blocks(rows.mapValues(lambda v: (0, v)), parts, size)
+    # Both sides are placed alike, so nothing but the paths of blocks moves.
+    both = nodes.union(told.partitionBy(parts, place)).groupByKey(parts, place)
 
+    def deliver(block: tuple) -> Iterator:
+        (tree, index), found = block
+        members = next(v for v in found if isinstance(v, list))
+        path, note = next(v for v in found if isinstance(v, tuple))
+        levels = climb([v[1] for _, (_, v) in members], supersteps(members[0][1][1][0], layer))
+        for (i, (_, v)), heard in zip(members, descend(levels, path)):
+            yield answer(tree, index * size + i, v, heard, note)
 
-def _height(n: int) -> int:
-    level = 0
-    while width(n, level) > 1:
-        level += 1
-    return level
+    return both.flatMap(deliver)
 
 
 def _unrolled(path: tuple | None) -> Iterator[tuple[int, list[str]]]:
@@ -156,7 +165,7 @@ def proof(path: tuple | None) -> str:
     return digest([d for _, beside in _unrolled(path) for d in beside])
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, layer: int = LAYER) -> DataFrame:
     """One row per document: leaf, subroot, root, proof_sha256, folded_root, verified.
 
     Nulls have an encoding of their own, empty texts another.  Leaves without an
@@ -171,46 +180,37 @@ def manifest(docs: DataFrame) -> DataFrame:
         facts = materialize(facts, "leaves")
         # A row per language; nulls first, then by the bytes of the name.
         langs = materialize(facts.select("lang").distinct().withColumn("all", F.lit(0)), "langs")
-        named = ordered_numbers(langs, "all", ["lang"], "tree").select(F.col("lang").alias("name"), F.col("tree").cast("int").alias("tree"), F.col("n").alias("trees"))
+        named = ordered_numbers(langs, "all", ["lang"], "tree").select(F.col("lang").alias("name"), F.col("tree").cast("int").alias("tree"))
         named = materialize(named, "trees")
         numbered = ordered_numbers(facts.join(named, F.col("lang").eqNullSafe(F.col("name"))), "tree", ["doc_id", "leaf", "uid"], "index")
-        leaves = materialize(numbered.select("doc_id", "leaf", "tampered", "tree", "index", "n", "trees"), "numbered")
-        bounds = leaves.agg(F.max("n").alias("n"), F.max("trees").alias("trees"), F.count(F.lit(1)).alias("rows")).first()
+        leaves = materialize(numbered.select("doc_id", "leaf", "tampered", "tree", "index", "n"), "numbered")
+        bounds = leaves.agg(F.max("n").alias("n"), F.max("tree").alias("last"), F.count(F.lit(1)).alias("rows")).first()
         if not bounds["rows"]:
             return _empty(docs)
-        parts = max(spark.sparkContext.defaultParallelism, -(-bounds["rows"] // ROWS_PER_PART))
-
-        own = leaves.select("tree", "index", "n", "leaf").rdd.map(lambda r: ((r["tree"], 0, r["index"]), (r["n"], r["leaf"])))
-        levels = _levels(spark, own, _height(bounds["n"]), parts)
-
-        # The node that is left of a tree is a leaf of the top tree.
-        left = leaves.where("n = 1").select("tree", F.col("leaf").alias("node"), "n")
-        for level, table in enumerate(levels, 1):
-            last = table.where((F.col("n") <= FANOUT**level) & (F.col("n") > FANOUT ** (level - 1)))
-            left = left.unionByName(last.select("tree", F.sha2(F.concat_ws("", "children"), 256).alias("node"), "n"))
-        left = materialize(left, "left")
-        trees = bounds["trees"]
-        above = _levels(spark, left.rdd.map(lambda r: ((TOP, 0, r["tree"]), (trees, r["node"]))), _height(trees), parts)
-        root = digest(above[-1].first()["children"]) if above else left.first()["node"]
-
-        told = spark.sparkContext.parallelize([((TOP, len(above), 0), (None, None))], 1)
-        for level in reversed(range(len(above))):
-            told = _told(level, _vertices(above[level], level + 1), told, parts)
-        # From here on trees hear at the level where they end.
-        ends = left.rdd.map(lambda r: ((TOP, 0, r["tree"]), (_height(r["n"]), r["node"])))
-        told = _meet(ends, told, parts).map(lambda v: ((v[0][2], v[1][0][0], 0), (v[1][1][0], v[1][0][1]))).partitionBy(parts, place)
-        for level in reversed(range(len(levels))):
-            waiting = told.filter(lambda v, level=level: v[0][1] != level + 1)
-            asked = told.filter(lambda v, level=level: v[0][1] == level + 1)
-            told = _told(level, _vertices(levels[level], level + 1), asked, parts).union(waiting)
-        rows = leaves.select("tree", "index", "doc_id", "leaf", "tampered").rdd.map(lambda r: ((r["tree"], 0, r["index"]), tuple(r)[2:]))
-
-        def verified(value: list) -> tuple:
-            (doc_id, leaf, fake), (path, subroot) = value
+        parts, trees = max(spark.sparkContext.defaultParallelism, -(-bounds["rows"] // ROWS_PER_PART)), bounds["last"] + 1
+
+        layers = _ascend(leaves.select("tree", "index", "n", F.col("leaf").alias("node")), bounds["n"], parts, layer)
+        # The node left of each tree is a leaf of the top tree.
+        tops = layers[-1].select(F.lit(TOP).alias("tree"), F.col("tree").cast("long").alias("index"), F.lit(trees).cast("long").alias("n"), "node")
+        above = _ascend(tops, trees, parts, layer)
+        root = above[-1].first()["node"]
+
+        told = spark.sparkContext.parallelize([((TOP, 0), (None, root))], 1)
+        nodes = lambda table: table.rdd.map(lambda r: ((r["tree"], r["index"]), (r["n"], r["node"])))
+        for table in reversed(above[:-1]):
+            told = _tell(nodes(table), told, parts, layer, lambda tree, i, v, path, _: ((tree, i), (path, v[1])))
+        # A language's tree hears the path of its node, and keeps its node as the subroot.
+        told = told.map(lambda v: ((v[0][1], 0), v[1]))
+        for table in reversed(layers[1:-1]):
+            told = _tell(nodes(table), told, parts, layer, lambda tree, i, v, path, subroot: ((tree, i), (path, subroot)))
+        rows = leaves.rdd.map(lambda r: ((r["tree"], r["index"]), (r["n"], r["leaf"], r["tampered"], r["doc_id"])))
+
+        def verified(tree: int, i: int, v: tuple, path: tuple | None, subroot: str) -> tuple:
+            _, leaf, fake, doc_id = v
             folded = fold(fake or leaf, path)
             return doc_id, leaf, subroot, root, proof(path), folded, folded == root
 
-        out = spark.createDataFrame(_meet(rows, told, parts).values().map(verified), _empty(docs).schema, verifySchema=False)
+        out = spark.createDataFrame(_tell(rows, told, parts, layer, verified), _empty(docs).schema, verifySchema=False)
         out = materialize(out, "manifest")
         scope.pop()
     return out

@@ -135,11 +135,11 @@ def keyed(found):
     return sorted(found, key=lambda r: [(x is not None, x) for x in r])
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 130, 700])
-def test_manifest_matches_plain_trees(spark, n, monkeypatch):
+@pytest.mark.parametrize("n, layer", [(0, 4), (1, 4), (2, 1), (130, 4), (700, 1), (700, 2)])
+def test_manifest_matches_plain_trees(spark, n, layer, monkeypatch):
     monkeypatch.setattr(merkle, "ROWS_PER_PART", 60)
     docs = (rows(n) if n > 2 else rows()[:n]) + [(10_000 + i, None, f"lang{i}", None, None, None, None, None, None) for i in range(9 if n == 700 else 0)]
-    got = merkle.manifest(spark.createDataFrame(docs, SCHEMA)).collect()
+    got = merkle.manifest(spark.createDataFrame(docs, SCHEMA), layer).collect()
     assert keyed(map(tuple, got)) == keyed(manifest([r[:5] for r in docs]))
     assert n < 100 or 0 < sum(r["verified"] for r in got) < len(got)
 

@@ -43,9 +43,9 @@ ROUNDS = 8
 CALIBRATION = 384
 TARGET = 0.94
 #: Rows of a bin of several leaves; rows and queries of a tile.
-ROWS_PER_BIN = 2048
-ROWS_PER_TILE = 4096
-QUERIES_PER_TILE = 1024
+ROWS_PER_BIN = 8192
+ROWS_PER_TILE = 16_384
+QUERIES_PER_TILE = 512
 SEED = 7
 
 _INDEX = "dim int, leaf int, vec_id long, uid long, embedding array<double>"

@@ -1,23 +1,29 @@
 """Quality rules: fixed base rules, then robust multivariate outliers.
 
-Every text gets counts (words, symbols, repeated lines, repeated 3-word
-windows).  Texts that pass the base rules become vectors of transformed
-counts; per language and source a minimum-covariance-determinant estimate
-gives their centre and scatter, and a vector far away by Mahalanobis distance
-is rejected.
+Every text gets counts (words, distinct words, marks, symbols, repeated lines,
+repeated 3-word windows).  Texts that pass the base rules become vectors of logs:
+length, word length, share of marks, distinct words.  Each varies in ordinary texts,
+so each has a scatter to estimate: per language and source a
+minimum-covariance-determinant estimate gives their centre and scatter, and a vector
+far away by Mahalanobis distance is rejected.  How many distinct words a text should
+have follows from its length by their covariance.
+
+A short text's shares are noisy: its squared distance counts by the share
+``n_words / (n_words + SHORT)``.  Equal vectors of a group count once in the estimate,
+so copies of a text don't make a group look tighter than it is.
 
 The estimate is the deterministic kind.  Three starts per group (coordinate-wise
 medians and median absolute deviations; mean and covariance of all rows; the same
 of rows pulled in to two deviations) run concentration steps.  A step measures all
 distances, takes the nearest ``SUPPORT`` share of the group, and refits on it.  A
-start ends when its determinant falls no more, and the start with the least
+start ends when its determinant hardly falls any more, and the start with the least
 determinant is the group's estimate.  Distances are binned on a fixed logarithmic
 grid, so the share is the smallest whole number of bins that holds it, and one
 aggregation by group, start and bin yields both the threshold and the moments.
 Values are whole numbers on a grid of ``1 / GRID``, so their sums are exact and
 don't depend on the order of rows.  Everything is DataFrame expressions.
 
-A group with fewer than ``MIN_GROUP`` rows is judged by the estimate of its whole
+A group with fewer than ``MIN_GROUP`` distinct vectors is judged by the estimate of its whole
 language, and a language with fewer by that of all rows, so every row that passes
 the base rules is judged.
 """
@@ -43,15 +49,16 @@ MIN_GROUP = 60
 #: Tail of the chi-square distribution beyond which a vector is an outlier.
 TAIL = 1e-6
 GRID = 4096
-#: Least standard deviation of each coordinate, used where the estimate is below.
-#: Good texts differ in length by orders of magnitude, hardly in the length of
-#: words; most counts of symbols and repeats are zero and have no deviation of
-#: their own, yet a refrain or a repeated heading is no defect.  Alone, a text goes
-#: when its words are 1.6 times as long as usual, 3 % of its characters are symbols
-#: or 80 % of its lines repeated; the base rules bound repeated windows by
-#: themselves, so these only count together with others.
-FLOOR = (1.3, 0.08, 0.25, 0.15, 0.13)
-P = len(FLOOR)
+#: Least deviations, for groups whose texts hardly differ, which would have no inverse: 1 % in
+#: length, word length and distinct words; and a mark in 600 characters, where texts have none.
+LEAST = (0.01, 0.01, 0.03, 0.01)
+P = len(LEAST)
+#: Words at which a text's distance counts by half.
+SHORT = 200
+#: ASCII marks that are no letters, digits or spaces.
+MARKS = r"[!-/:-@\[-`{-~]"
+#: A start ends when a step lowers its determinant by no more than this part.
+FALL = 0.001
 #: A group's rows meet its model in this many parts, so no task takes a group whole.
 PARTS = 32
 BINS_PER_OCTAVE = 16
@@ -111,9 +118,10 @@ def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return (
         out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
         .withColumn("word_chars", F.length(F.array_join("w", "")).cast("long"))
+        .withColumn("n_distinct", F.size(F.array_distinct("w")).cast("long"))
+        .withColumn("n_marks", F.regexp_count(body, F.lit(MARKS)).cast("long"))
         .withColumn("n_symbols", F.regexp_count(body, F.lit(SYMBOLS)).cast("long"))
         .withColumn("lines", lines)
-        .withColumn("n_lines", F.size("lines").cast("long"))
         .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
         .drop("w", "h", "s", "lines")
@@ -125,9 +133,8 @@ def vector_sql() -> list[str]:
     raw = [
         "ln(1e0 + n_words)",
         "ln(CAST(word_chars AS DOUBLE) / n_words)",
-        "ln(1e0 + 100e0 * n_symbols / word_chars)",
-        "sqrt(CAST(n_dup_lines AS DOUBLE) / n_lines)",
-        "sqrt(CAST(n_repeat_words AS DOUBLE) / n_words)",
+        "ln(0.05e0 + CAST(n_marks AS DOUBLE) / word_chars)",
+        "ln(1e0 + n_distinct)",
     ]
     return [f"CAST(floor({GRID}e0 * CAST({x} AS DOUBLE) + 0.5e0) AS BIGINT)" for x in raw]
 
@@ -146,8 +153,7 @@ def inverse_factor_sql() -> list[tuple[str, str]]:
     """(alias, expression) in order: Cholesky factor l*, then its inverse i*, from c*."""
     out = []
     for j in range(P):
-        # Coordinates that depend on each other leave no less than a small part of the floor.
-        out.append((f"l{j}{j}", f"sqrt(greatest(c{j}{j}" + "".join(f" - l{j}{k} * l{j}{k}" for k in range(j)) + f", {float((0.2 * FLOOR[j] * GRID) ** 2)!r}e0))"))
+        out.append((f"l{j}{j}", f"sqrt(greatest(c{j}{j}" + "".join(f" - l{j}{k} * l{j}{k}" for k in range(j)) + f", {float((LEAST[j] * GRID) ** 2)!r}e0))"))
         for i in range(j + 1, P):
             out.append((f"l{i}{j}", f"(c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j)) + f") / l{j}{j}"))
     for j in range(P):
@@ -207,7 +213,8 @@ MODEL = [f"m{j}" for j in range(P)] + [f"i{i}{j}" for i, j in PAIRS] + ["d"]
 
 
 def fit(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(groups, models) for the vectors of all rows that pass the base rules."""
+    """(groups, models) for the vectors of all rows that pass the base rules; equal ones of a group count once."""
+    vectors = materialize(vectors.distinct(), "distinct")
     groups, feeds = _groups(vectors)
     part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PARTS)).alias("part")
     data = materialize(vectors.join(feeds, "fine").drop("fine", "pool").select("*", part), "vectors")
@@ -215,13 +222,18 @@ def fit(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     while not models.where("NOT done").isEmpty():
         open_ = models.where("NOT done")
         new = _step(data, open_).select("g", "s", *[F.col(c).alias(f"_{c}") for c in MODEL])
-        better = F.col("_d") < F.col("d")
+        better = F.expr(better_sql("_d", "d"))
         moved = models.join(new, ["g", "s"], "left").select("g", "s", *[F.when(better, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in MODEL], (~F.coalesce(better, F.lit(False))).alias("done"))
         models = materialize(moved, "model")
     best = models.groupBy("g").agg(F.min(F.struct("d", "s", *MODEL[:-1])).alias("best"))
     return groups, materialize(best.select("g", *[F.col(f"best.{c}").alias(c) for c in MODEL[:-1]]), "model")
 
 
+def better_sql(new: str, old: str) -> str:
+    """Whether a step made the determinant fall by more than a part of FALL."""
+    return f"{new} < {1 - FALL!r}e0 * {old}"
+
+
 def _beside(data: DataFrame, models: DataFrame) -> DataFrame:
     """Rows beside their group's models, joined by group and part."""
     parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part")
@@ -244,7 +256,7 @@ def _starts(data: DataFrame) -> DataFrame:
 
 
 def deviation_sql(j: int) -> str:
-    return f"greatest(1.4826e0 * s{j}, {float(FLOOR[j] * GRID)!r}e0)"
+    return f"greatest(1.4826e0 * s{j}, {float(LEAST[j] * GRID)!r}e0)"
 
 
 def pulled_sql(j: int) -> str:
@@ -279,9 +291,13 @@ def _step(data: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def covariance_sql(i: int, j: int) -> str:
-    """Scatter of the kept share, made consistent; a variance is no less than its floor."""
-    scatter = f"{CONSISTENCY!r}e0 * (t{i}{j} - t{i} * t{j} / n) / n"
-    return f"greatest({scatter}, {float((FLOOR[i] * GRID) ** 2)!r}e0)" if i == j else scatter
+    """Scatter of the kept share, made consistent."""
+    return f"{CONSISTENCY!r}e0 * (t{i}{j} - t{i} * t{j} / n) / n"
+
+
+def verdict_sql(d2: str) -> str:
+    """Whether a text is near enough to its group."""
+    return f"({d2}) * n_words <= {CUTOFF!r}e0 * (n_words + {SHORT}e0)"
 
 
 def _judged(counted: DataFrame, groups: DataFrame, models: DataFrame) -> DataFrame:
@@ -294,7 +310,7 @@ def _judged(counted: DataFrame, groups: DataFrame, models: DataFrame) -> DataFra
     out = out.join(materialize(model, "verdicts"), F.col("fine") == F.col("_fine"), "left")
     # One expression over both sides: a part of it pushed below the counts would
     # be computed by substitution, once for every word.
-    return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.expr(distance_sql()) <= CUTOFF, F.lit(True))))
+    return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.expr(verdict_sql(distance_sql())), F.lit(True))))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

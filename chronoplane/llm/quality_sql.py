@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronoplane.llm.quality import CUTOFF, MIN_GROUP, P, PAIRS, SUPPORT, bin_sql, covariance_sql, deviation_sql, distance_sql, inverse_factor_sql, pulled_sql, vector_sql
+from chronoplane.llm.quality import MIN_GROUP, P, PAIRS, SUPPORT, better_sql, bin_sql, covariance_sql, deviation_sql, distance_sql, inverse_factor_sql, pulled_sql, vector_sql, verdict_sql
 
 _COUNTS = r"""
 d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -11,13 +11,14 @@ grams AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM
 twice AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM grams),
 cover AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM twice WHERE n > 1) GROUP BY 1),
 counted AS (SELECT d.rid, doc_id, coalesce('=' || lang, '-') AS pool, coalesce('=' || source, '-') AS src, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
-    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(t) - length(regexp_replace(t, '[!-/:-@\[-`{-~]', '', 'g')) AS BIGINT) AS n_marks,
+    CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN cover c ON c.rid = d.rid),
 based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)"""
 
 
 #: Steps written out; a start that has ended repeats itself, so more do no harm.
-STEPS = 16
+STEPS = 24
 
 
 def quality_sql() -> str:
@@ -30,10 +31,11 @@ def quality_sql() -> str:
     factor = ", ".join(f"{e} AS {a}" for a, e in inverse_factor_sql())
     covariance = ", ".join([f"t{j} / n AS m{j}" for j in every] + [f"{covariance_sql(i, j)} AS c{i}{j}" for i, j in PAIRS])
     parts = [
-        ("sized", "SELECT pool, src, count(*) AS n, sum(count(*)) OVER (PARTITION BY pool) AS m FROM based WHERE NOT base_failed GROUP BY 1, 2"),
+        ("v", f"SELECT rid, pool, src, n_words, {xs} FROM based WHERE NOT base_failed"),
+        ("u", "SELECT DISTINCT pool, src, " + ", ".join(f"x{j}" for j in every) + " FROM v"),
+        ("sized", "SELECT pool, src, count(*) AS n, sum(count(*)) OVER (PARTITION BY pool) AS m FROM u GROUP BY 1, 2"),
         ("judges", f"SELECT pool, src, CASE WHEN n >= {MIN_GROUP} THEN 'g' || pool || chr(1) || src WHEN m >= {MIN_GROUP} THEN 'p' || pool ELSE 'a' END AS g FROM sized"),
-        ("v", f"SELECT rid, pool, src, {xs} FROM based WHERE NOT base_failed"),
-        ("f", "SELECT v.*, e.g FROM v, (SELECT DISTINCT g FROM judges) e WHERE e.g IN ('a', 'p' || pool, 'g' || pool || chr(1) || src)"),
+        ("f", "SELECT u.*, e.g FROM u, (SELECT DISTINCT g FROM judges) e WHERE e.g IN ('a', 'p' || pool, 'g' || pool || chr(1) || src)"),
         ("mid", "SELECT g, " + ", ".join(f"quantile_disc(x{j}, 0.5) AS m{j}" for j in every) + " FROM f GROUP BY 1"),
         ("dev", "SELECT g, " + ", ".join(f"quantile_disc(abs(x{j} - m{j}), 0.5) AS s{j}" for j in every) + " FROM f JOIN mid USING (g) GROUP BY 1"),
         ("middle", "SELECT *, " + ", ".join(f"{deviation_sql(j)} AS r{j}" for j in every) + " FROM mid JOIN dev USING (g)"),
@@ -54,14 +56,14 @@ def quality_sql() -> str:
             (f"sum{k}", f"SELECT g, s, CAST(sum(n) AS DOUBLE) AS n, {doubles} FROM near{k} WHERE before < {SUPPORT}e0 * every GROUP BY 1, 2"),
             (f"cov{k}", f"SELECT g, s, {covariance} FROM sum{k}"),
             (f"new{k}", f"SELECT *, {factor} FROM cov{k}"),
-            (f"model{k + 1}", "SELECT g, s, " + ", ".join(f"CASE WHEN b.d < a.d THEN b.{c} ELSE a.{c} END AS {c}" for c in [*start, "d"]) + f" FROM model{k} a JOIN new{k} b USING (g, s)"),
+            (f"model{k + 1}", "SELECT g, s, " + ", ".join(f"CASE WHEN {better_sql('b.d', 'a.d')} THEN b.{c} ELSE a.{c} END AS {c}" for c in [*start, "d"]) + f" FROM model{k} a JOIN new{k} b USING (g, s)"),
         ]
     parts += [
         ("best", f"SELECT * FROM model{STEPS} QUALIFY row_number() OVER (PARTITION BY g ORDER BY d, s) = 1"),
-        ("far", f"SELECT v.rid, {distance_sql()} AS d2 FROM v JOIN judges USING (pool, src) JOIN best USING (g)"),
+        ("far", f"SELECT v.rid, {verdict_sql(distance_sql())} AS near FROM v JOIN judges USING (pool, src) JOIN best USING (g)"),
     ]
     return (
         "WITH " + _COUNTS.strip() + ",\n" + ",\n".join(f"{name} AS MATERIALIZED ({query})" for name, query in parts) + "\n"
         "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, "
-        f"NOT base_failed AND d2 <= {CUTOFF!r}e0 AS kept FROM based LEFT JOIN far USING (rid)"
+        "NOT base_failed AND near AS kept FROM based LEFT JOIN far USING (rid)"
     )

@@ -35,6 +35,35 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, ts: str, values:
     return _unfolded(both, left, ts, values, F.col("_last"), within)
 
 
+def asof_frame(left: DataFrame, right: DataFrame, key: str, ts: str, limits: dict[str, str | None], span: str = "quarter") -> DataFrame:
+    """Every column's own latest known value at or before each row of ``left``.
+
+    ``limits`` maps the columns to intervals (or None): a value that is older than
+    its column's limit counts as none.  Each comes with ``<column>_at``, the time it
+    was observed.  Of several rows of a key at one time the largest known value
+    counts.  A key's time is cut into spans, each a window of its own; what was known
+    before a span is carried in from one row per span, so a long or hot key isn't one
+    task's work.
+    """
+    known = right.groupBy(F.col(key).alias("_k"), F.col(ts).alias("_t")).agg(*[F.max(c).alias(c) for c in limits])
+    known = known.select("_k", "_t", F.lit(0).alias("_side"), *[F.when(F.col(c).isNotNull(), F.struct(F.col("_t").alias("at"), F.col(c).alias("v"))).alias(f"_{c}") for c in limits])
+    asked = left.select(F.struct("*").alias("_l"), F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(1).alias("_side"))
+    both = known.unionByName(asked, allowMissingColumns=True).withColumn("_s", F.date_trunc(span, "_t"))
+    ends = both.groupBy("_k", "_s").agg(*[F.max(f"_{c}").alias(f"_{c}") for c in limits])
+    earlier = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("_k").alias("_ck"), F.col("_s").alias("_cs"), *[F.last(f"_{c}", ignorenulls=True).over(earlier).alias(f"_c_{c}") for c in limits])
+    within = Window.partitionBy("_k", "_s").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    last = both.withColumns({f"_{c}": F.last(f"_{c}", ignorenulls=True).over(within) for c in limits}).where("_side = 1")
+    met = last.join(carried, F.col("_k").eqNullSafe(F.col("_ck")) & (F.col("_s") == F.col("_cs")))
+    out = []
+    for c, limit in limits.items():
+        found = F.coalesce(F.col(f"_{c}"), F.col(f"_c_{c}"))
+        if limit is not None:
+            found = F.when(found["at"] >= F.col("_t") - F.expr(f"interval {limit}"), found)
+        out += [found["v"].alias(c), found["at"].alias(f"{c}_at")]
+    return met.select(*[F.col("_l").getField(c).alias(c) for c in left.columns], *out)
+
+
 def asof_forward(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str], strict: bool = True) -> DataFrame:
     """The earliest row of ``right`` after each row of ``left``, or at it unless strict."""
     order = ["_t", "_side"] if strict else ["_t", F.desc("_side")]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoplane.functions.recursions import EwMean, EwZ, HuberCovariance, LeadEnvelope, Prototypes, Stress
+from chronoplane.operators.eigen import EIGEN_COLUMNS, eigen_diagnostics
 from chronoplane.operators.folds import run_fold
 from chronoplane.operators.risk import risk_score, state_weight
 from chronoplane.operators.rolling import Frames, logistic
@@ -106,39 +107,91 @@ class _Chain:
         warm, before = self.cov.count >= self.n.warmup, (self.cov.reg, self.cov.root(0.5))
         stress = self.stress.step(*(x if ok else (None, None)))
         self.cov.update(x if ok else None)
-        cluster, shares = None, None
+        cluster, shares, centres = None, None, None
         if ok and warm:
             if self.prototypes is None:
                 self.prototypes = Prototypes(np.array(self.history))
             cluster, shares = self.prototypes.update(x, self.t, before, self.cov)
+            centres = [{"h": float(h), "i": float(i)} for h, i in self.prototypes.centres]
         if ok:
             self.history.append(x)
-        return [cluster, shares, stress[4], self.cov.distance, self.cov.weight, self.cov.count]
+        raw = self.cov.raw
+        return [cluster, shares, centres, stress[2], stress[3], stress[4], self.cov.distance, self.cov.weight, self.cov.count, float(raw[0, 0]), float(raw[0, 1]), float(raw[1, 1])]
 
 
-def decision_records(df: DataFrame, key: str, order: str, price: str, rates: list[str], fear: str, exo: str, micro: str, n: Lengths) -> DataFrame:
-    """The full record per step: state, cluster and shares, stress, drift, lead and risk.
+_MADE = "cluster int, shares array<double>, centres array<struct<h: double, i: double>>, d double, a double, g_raw double, distance double, weight double, n_seen int, cov_hh double, cov_hi double, cov_ii double"
 
-    Until the covariance is warm the mode is ``warmup`` and there is no score.
-    """
-    f = Frames(key, order)
-    states = state(df, key, order, price, rates, fear, n)
-    made_by_chain = T._parse_datatype_string("h double, i double, cluster int, shares array<double>, g_raw double, distance double, weight double, n_seen int")
-    schema = T.StructType([*df.select(key, order, exo, micro).schema.fields, *made_by_chain.fields])
+
+def _passed(states: DataFrame, key: str, order: str, keep: list[str], n: Lengths) -> DataFrame:
+    """The rows' h and i with what one ordered pass over each key makes of them."""
+    made_by_chain = T._parse_datatype_string("h double, i double, " + _MADE)
+    schema = T.StructType([*states.select(key, order, *keep).schema.fields, *made_by_chain.fields])
+    names = [f.name for f in made_by_chain.fields[2:]]
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         points = pdf[["h", "i"]].to_numpy(float)
         machine = _Chain(points, n)
-        made = pd.DataFrame([machine.step(x) for x in points], columns=["cluster", "shares", "g_raw", "distance", "weight", "n_seen"])
+        made = pd.DataFrame([machine.step(x) for x in points], columns=names)
         made["cluster"] = made["cluster"].astype("Int32")
-        made["g_raw"] = made["g_raw"].astype(float)
+        for c in ("d", "a", "g_raw"):
+            made[c] = made[c].astype(float)
         return pd.concat([pdf, made], axis=1)
 
-    passed = states.select(key, order, exo, micro, "h", "i").groupBy(key).applyInPandas(chain, schema)
-    passed = passed.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("h", "i", "g_raw")})
+    passed = states.select(key, order, *keep, "h", "i").groupBy(key).applyInPandas(chain, schema)
+    return passed.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("h", "i", "d", "a", "g_raw")})
+
+
+def _stressed(passed: DataFrame, key: str, order: str, exo: str, n: Lengths) -> DataFrame:
+    """Add g, the stress of the state and of the outside together, and its logistic s."""
+    f = Frames(key, order)
     g = 0.5 * f.robust_z(F.col("g_raw"), n.stress) + 0.5 * f.robust_z(F.col(exo), n.stress)
-    stressed = passed.withColumn("g", g).withColumn("s", logistic(F.col("g")))
+    return passed.withColumn("g", g).withColumn("s", logistic(F.col("g")))
+
+
+def semantic_label(centres: Column, cluster: Column) -> Column:
+    """The name of one of five clusters by all their centres, an array of (h, i).
+
+    By level the two lowest are S1 and S2, the lower impulse first, the middle is S3,
+    and of the two highest the one with the higher impulse is S4; ties go by place.
+    """
+    by_level = F.array_sort(F.transform(centres, lambda c, k: F.struct(c["h"].alias("h"), k.alias("k"), c["i"].alias("i"))))
+    pair = lambda at, sign: F.array_sort(F.transform(F.slice(by_level, at, 2), lambda c, p: F.struct((sign * c["i"]).alias("i"), p.alias("p"), c["k"].alias("k"))))
+    names = F.concat(F.transform(pair(1, 1), lambda c: c["k"]), F.transform(F.slice(by_level, 3, 1), lambda c: c["k"]), F.transform(pair(4, -1), lambda c: c["k"]))
+    return F.when(cluster.isNotNull(), F.concat(F.lit("S"), F.array_position(names, cluster).cast("string")))
+
+
+def replay_table(df: DataFrame, key: str, order: str, price: str, rates: list[str], fear: str, exo: str, n: Lengths) -> DataFrame:
+    """The diagnostic record per step, 26 columns beside the key: factors, shares and label, stress, drift, and the covariance's health.
+
+    Distance and weight are those of the last known step; until the covariance is
+    warm the label is ``WARMUP``.  The label is that of the most probable cluster.
+    """
+    states = state(df, key, order, price, rates, fear, n)
+    passed = _passed(states, key, order, list(dict.fromkeys([exo, "liquidity", "heat", "taste"])), n)
+    full = eigen_diagnostics(_stressed(passed, key, order, exo, n), "cov_hh", "cov_hi", "cov_ii").join(drift(df, key, order, price, rates, fear, n), [key, order])
+    most = F.array_position("shares", F.array_max("shares")).cast("int") - 1
+    return full.select(
+        key,
+        F.col(order).alias("week_end"),
+        *[F.col(c).alias(name) for c, name in (("liquidity", "l_t"), ("heat", "t_t"), ("taste", "p_t"), (exo, "e_t"), ("h", "h_t"), ("i", "i_t"))],
+        F.to_json(F.transform("shares", lambda x: F.round(x, 10))).alias("state_probs_json"),
+        F.coalesce(semantic_label(F.col("centres"), most), F.lit("WARMUP")).alias("state_label"),
+        *[F.col(c).alias(name) for c, name in (("d", "d_t"), ("a", "a_t"), ("g_raw", "g_t_raw"), ("g", "g_t_stress"), ("s", "s_t"), ("drift", "drift_probe_raw"))],
+        "drift_flag",
+        F.col("cov_ok").alias("state_ok"),
+        (F.col("n_seen") >= n.warmup).alias("is_warm"),
+        *[F.when(F.col("n_seen") > 0, F.col(c)).alias(name) for c, name in (("distance", "maha"), ("weight", "huber_weight"), *[(e, e) for e in EIGEN_COLUMNS])],
+    )
+
+
+def decision_records(df: DataFrame, key: str, order: str, price: str, rates: list[str], fear: str, exo: str, micro: str, n: Lengths) -> DataFrame:
+    """The full record per step: state, cluster and shares, stress, drift, lead and risk.
+
+    Until the covariance is warm the mode is ``warmup`` and there is no score.
+    """
+    states = state(df, key, order, price, rates, fear, n)
+    stressed = _stressed(_passed(states, key, order, list(dict.fromkeys([exo, micro])), n), key, order, exo, n)
     led = run_fold(stressed, key, order, LeadEnvelope, [micro], "lead double, calm int, lead_status string", keep=["h", "i", "cluster", "shares", "distance", "weight", "n_seen", "s"])
     full = led.join(drift(df, key, order, price, rates, fear, n), [key, order])
     scored = full.withColumn("omega", F.when(F.col("shares").isNotNull(), state_weight(F.col("shares"), F.coalesce("drift", F.lit(0.0)))))

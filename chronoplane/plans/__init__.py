@@ -1,9 +1,9 @@
 """The catalogue of the engine's own queries."""
 
-from chronoplane.plans import cycles, evidence, health, holdings, market, policies, records, reports, research, series
+from chronoplane.plans import continuity, cycles, evidence, health, holdings, market, policies, records, reports, research, series
 from chronoplane.plans.registry import CATALOGUE
 
-__all__ = ["cycles", "evidence", "health", "holdings", "market", "policies", "records", "reports", "research", "series"]
+__all__ = ["continuity", "cycles", "evidence", "health", "holdings", "market", "policies", "records", "reports", "research", "series"]
 
 
 def queries() -> dict:

@@ -106,10 +106,10 @@ def host_allow_list(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", scalars.host_allowed(F.col("url"), ["example.com"]).alias("allowed"))
 
 
-_SHORT = state.Lengths(robust=52, half_life=104, short_mean=26, long_mean=78, trend_mean=20, rank=156, stress=78, warmup=130)
+SHORT = state.Lengths(robust=52, half_life=104, short_mean=26, long_mean=78, trend_mean=20, rank=156, stress=78, warmup=130)
 
 
-def _inputs(spark, sf_dir):
+def chain_inputs(spark, sf_dir):
     d = days(spark, sf_dir)
     return d.withColumn("lines", F.log1p(F.col("n_orders").cast("double") + F.col("spread") / 1e5)).withColumn("tilt", F.col("price") / 1e5 + F.col("open_share")).withColumn("wide", F.log1p("spread") + F.col("price") / 1e6)
 
@@ -123,12 +123,12 @@ def _deviation(n: int) -> str:
     return f"CASE WHEN count(price) {w} = {n} THEN price / avg(price) {w} - 1 END"
 
 
-_RAW_FACTORS = f"""{DAYS_SQL}, inp AS (SELECT *, ln(1 + n_orders + spread / 1e5) AS lines, price / 1e5 + open_share AS tilt, ln(1 + spread) + price / 1e6 AS wide, ln(price / lag(price) OVER (PARTITION BY series_id ORDER BY day)) AS step FROM days),
+RAW_FACTORS_SQL = f"""{DAYS_SQL}, inp AS (SELECT *, ln(1 + n_orders + spread / 1e5) AS lines, price / 1e5 + open_share AS tilt, ln(1 + spread) + price / 1e6 AS wide, ln(price / lag(price) OVER (PARTITION BY series_id ORDER BY day)) AS step FROM days),
     fac AS (SELECT series_id, day, tilt, wide, open_share, spread, lines - lag(lines, 4) OVER (PARTITION BY series_id ORDER BY day) AS move, {_deviation(26)} AS u_short, {_deviation(78)} AS u_long, {_deviation(20)} AS u_trend,
       CASE WHEN count(step) {_AT.format(19, 'CURRENT ROW')} = 20 THEN stddev_samp(step) {_AT.format(19, 'CURRENT ROW')} * sqrt(52.0) END AS rv FROM inp),
     cells AS (SELECT series_id, day, unnest([{', '.join(f"'{c}'" for c in _USED)}]) AS c, unnest([{', '.join(_USED)}]) AS x FROM fac)"""
 _HALF = "(2e0 ** (-1e0 / 104))"
-_STATES = f"""{_RAW_FACTORS}, rob AS (SELECT series_id, day, c, CASE WHEN count(x) OVER w = 52 THEN (x - quantile_cont(x, 0.5) OVER w) / (1.4826 * mad(x) OVER w + 1e-12) END AS z FROM cells WINDOW w AS (PARTITION BY series_id, c ORDER BY day ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING)),
+STATES_SQL = f"""{RAW_FACTORS_SQL}, rob AS (SELECT series_id, day, c, CASE WHEN count(x) OVER w = 52 THEN (x - quantile_cont(x, 0.5) OVER w) / (1.4826 * mad(x) OVER w + 1e-12) END AS z FROM cells WINDOW w AS (PARTITION BY series_id, c ORDER BY day ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING)),
     known AS (SELECT *, row_number() OVER (PARTITION BY series_id, c ORDER BY day) AS i FROM cells WHERE x IS NOT NULL),
     ew AS (SELECT series_id, day, c, i, x AS m, 0e0 AS v, CAST(NULL AS DOUBLE) AS z FROM known WHERE i = 1 UNION ALL SELECT k.series_id, k.day, k.c, k.i, {_HALF} * ew.m + (1 - {_HALF}) * k.x, {_HALF} * ew.v + (1 - {_HALF}) * (k.x - ew.m) ** 2,
       (k.x - ({_HALF} * ew.m + (1 - {_HALF}) * k.x)) / sqrt({_HALF} * ew.v + (1 - {_HALF}) * (k.x - ew.m) ** 2 + 1e-12) FROM ew JOIN known k ON k.series_id = ew.series_id AND k.c = ew.c AND k.i = ew.i + 1),
@@ -141,15 +141,15 @@ _STATES = f"""{_RAW_FACTORS}, rob AS (SELECT series_id, day, c, CASE WHEN count(
 _FACTORS = ("liquidity", "heat", "taste", "h", "i")
 
 
-@query("state_factors", f"WITH RECURSIVE {_STATES} SELECT series_id, day, " + ", ".join(f"round(CASE WHEN {c} IS NOT NULL THEN greatest(-1e6, least(1e6, {c})) END, 6) + 0.0 AS {c}" for c in _FACTORS) + " FROM states")
+@query("state_factors", f"WITH RECURSIVE {STATES_SQL} SELECT series_id, day, " + ", ".join(f"round(CASE WHEN {c} IS NOT NULL THEN greatest(-1e6, least(1e6, {c})) END, 6) + 0.0 AS {c}" for c in _FACTORS) + " FROM states")
 def state_factors(spark, sf_dir):
-    out = state.state(_inputs(spark, sf_dir), "series_id", "day", "price", ["tilt", "lines", "wide", "open_share"], "spread", _SHORT)
+    out = state.state(chain_inputs(spark, sf_dir), "series_id", "day", "price", ["tilt", "lines", "wide", "open_share"], "spread", SHORT)
     # A flat window has no spread, so its scores are of the order of 1 / EPS: cut for the comparison.
     cut = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(-1e6), F.least(F.lit(1e6), F.col(c))))
     return out.select("series_id", "day", *[neat(cut(c)).alias(c) for c in _FACTORS])
 
 
-_DRIFT = f"""{_RAW_FACTORS}, held AS (SELECT *, list(x) FILTER (x IS NOT NULL) OVER (PARTITION BY series_id, c ORDER BY day ROWS BETWEEN 155 PRECEDING AND CURRENT ROW) AS w FROM cells),
+DRIFT_SQL = f"""{RAW_FACTORS_SQL}, held AS (SELECT *, list(x) FILTER (x IS NOT NULL) OVER (PARTITION BY series_id, c ORDER BY day ROWS BETWEEN 155 PRECEDING AND CURRENT ROW) AS w FROM cells),
     share AS (SELECT series_id, day, c, CASE WHEN x IS NOT NULL THEN CAST(len(list_filter(w, lambda v: v <= x)) AS DOUBLE) / len(w) END AS s FROM held), sh AS (SELECT series_id, day, {', '.join(f"max(s) FILTER (c = '{c}') AS {c}" for c in _USED)} FROM share GROUP BY 1, 2),
     lev AS (SELECT series_id, day, 0.40e0 * -0.25e0 * (tilt + move + wide + open_share) + 0.35e0 * 0.5e0 * (u_short + u_long) + 0.25e0 * (u_trend - spread - rv) / 3 AS level FROM sh),
     kl AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY day) AS i FROM lev WHERE level IS NOT NULL),
@@ -158,18 +158,18 @@ _DRIFT = f"""{_RAW_FACTORS}, held AS (SELECT *, list(x) FILTER (x IS NOT NULL) O
     drift AS (SELECT series_id, day, (slow - med) / (sc + 1e-12) AS drift FROM al)"""
 
 
-@query("drift_probe", f"WITH RECURSIVE {_DRIFT} SELECT series_id, day, round(drift, 6) + 0.0 AS drift, CAST(coalesce(abs(drift) >= 1.8, false) AS INTEGER) AS drift_flag FROM drift")
+@query("drift_probe", f"WITH RECURSIVE {DRIFT_SQL} SELECT series_id, day, round(drift, 6) + 0.0 AS drift, CAST(coalesce(abs(drift) >= 1.8, false) AS INTEGER) AS drift_flag FROM drift")
 def drift_probe(spark, sf_dir):
-    out = state.drift(_inputs(spark, sf_dir), "series_id", "day", "price", ["tilt", "lines", "wide", "open_share"], "spread", _SHORT)
+    out = state.drift(chain_inputs(spark, sf_dir), "series_id", "day", "price", ["tilt", "lines", "wide", "open_share"], "spread", SHORT)
     return out.withColumn("drift", neat("drift"))
 
 
 @query("pipeline_full")
 def pipeline_full(spark, sf_dir):
-    return state.decision_records(_inputs(spark, sf_dir), "series_id", "day", "price", ["tilt", "lines", "wide", "open_share"], "spread", "wide", "open_share", _SHORT)
+    return state.decision_records(chain_inputs(spark, sf_dir), "series_id", "day", "price", ["tilt", "lines", "wide", "open_share"], "spread", "wide", "open_share", SHORT)
 
 
-_COV = f"""{DAYS_SQL}, s AS (SELECT series_id, day, price / 100000 AS x, ln(1 + n_orders + price / 300000) AS y, row_number() OVER (PARTITION BY series_id ORDER BY day) AS i FROM days),
+COV_SQL = f"""{DAYS_SQL}, s AS (SELECT series_id, day, price / 100000 AS x, ln(1 + n_orders + price / 300000) AS y, row_number() OVER (PARTITION BY series_id ORDER BY day) AS i FROM days),
     z AS (SELECT series_id, avg(x) AS mx, avg(y) AS my, var_samp(x) + 1e-8 AS a, covar_samp(x, y) AS b, var_samp(y) + 1e-8 AS c FROM s WHERE i <= 20 GROUP BY 1),
     f AS (SELECT series_id, DATE '1900-01-01' AS day, CAST(0 AS BIGINT) AS i, mx, my, a, b, c, 0.0::DOUBLE AS dist FROM z UNION ALL
       SELECT series_id, day, i, r * mx + (1 - r) * x, r * my + (1 - r) * y, r * a + (1 - r) * w * w * dx * dx, r * b + (1 - r) * w * w * dx * dy, r * c + (1 - r) * w * w * dy * dy, dist FROM (
@@ -178,8 +178,7 @@ _COV = f"""{DAYS_SQL}, s AS (SELECT series_id, day, price / 100000 AS x, ln(1 +
             sqrt((f.c * (s.x - f.mx) ** 2 - 2 * f.b * (s.x - f.mx) * (s.y - f.my) + f.a * (s.y - f.my) ** 2) / (f.a * f.c - f.b * f.b)) AS dist FROM f JOIN s ON s.series_id = f.series_id AND s.i = f.i + 1)))"""
 
 
-@query("cov2d_state", f"WITH RECURSIVE {_COV} SELECT series_id, day, round(mx, 6) + 0.0 AS mean_x, round(my, 6) + 0.0 AS mean_y, round(a, 6) + 0.0 AS var_x, round(b, 6) + 0.0 AS cov_xy, round(c, 6) + 0.0 AS var_y, round(dist, 5) + 0.0 AS distance FROM f WHERE i > 0")
-def cov2d_state(spark, sf_dir):
+def covariance_rows(spark, sf_dir):
     """The covariance of price and activity, seeded by each series' first 20 steps."""
     base = days(spark, sf_dir).select("series_id", "day", (F.col("price") / 100000).alias("x"), F.log(1 + F.col("n_orders") + F.col("price") / 300000).alias("y"))
 
@@ -196,5 +195,10 @@ def cov2d_state(spark, sf_dir):
     ahead = Window.partitionBy("series_id").orderBy("day").rowsBetween(0, 19)
     by = Window.partitionBy("series_id").orderBy("day")
     seeded = base.withColumn("seed", F.when(F.row_number().over(by) == 1, F.collect_list(F.struct("x", "y")).over(ahead)))
-    out = run_fold(seeded, "series_id", "day", Seeded, ["x", "y", "seed"], "mean_x double, mean_y double, var_x double, cov_xy double, var_y double, distance double")
+    return run_fold(seeded, "series_id", "day", Seeded, ["x", "y", "seed"], "mean_x double, mean_y double, var_x double, cov_xy double, var_y double, distance double")
+
+
+@query("cov2d_state", f"WITH RECURSIVE {COV_SQL} SELECT series_id, day, round(mx, 6) + 0.0 AS mean_x, round(my, 6) + 0.0 AS mean_y, round(a, 6) + 0.0 AS var_x, round(b, 6) + 0.0 AS cov_xy, round(c, 6) + 0.0 AS var_y, round(dist, 5) + 0.0 AS distance FROM f WHERE i > 0")
+def cov2d_state(spark, sf_dir):
+    out = covariance_rows(spark, sf_dir)
     return out.select("series_id", "day", *[neat(c).alias(c) for c in ("mean_x", "mean_y", "var_x", "cov_xy", "var_y")], neat("distance", 5).alias("distance"))

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fixed value: the name of this canonical form in proofs.
+METHOD = "json_ast_decimal/v1"
+
+
 def plain_decimal(x: Decimal) -> str:
     """A number without exponent, trailing zeros or negative zero."""
     text = format(x, "f")
@@ -35,7 +39,7 @@ def canonical(payload: str) -> str:
     try:
         return json.dumps(_plain(_parsed(payload)), ensure_ascii=True, separators=(",", ":"))
     except ValueError as bad:
-        raise ValueError("payload is not canonicalizable JSON") from bad
+        raise ValueError(f"no JSON document: {bad}") from bad
 
 
 def field_set(payload: str) -> list[str]:

@@ -108,10 +108,11 @@ def validate_holdings(holdings: DataFrame, by: list[str], priced: DataFrame) ->
     return out.withColumn("validation_reason", reason).withColumn("strict_validation_ok", F.col("validation_reason") == PASSED_STRICT).drop("_again", "_apart", "_unknown")
 
 
-def proof_reason(fields: Column, cutoff: Column, proof: dict[str, Column], payload_hash: Column, canonical_hash: Column, host_ok: Column) -> Column:
+def proof_reason(fields: Column, cutoff: Column, proof: dict[str, Column], payload_hash: Column, canonical_hash: Column, host_ok: Column, method: str) -> Column:
     """Why a publication proof is strict, or the first reason against it.
 
     ``fields`` are the names of the proof's fields; ``proof`` has its columns by name.
+    A canonical hash counts only if it was made by ``method``.
     """
     p = proof
     text = lambda c: F.coalesce(p[c], F.lit("")) != ""
@@ -124,7 +125,7 @@ def proof_reason(fields: Column, cutoff: Column, proof: dict[str, Column], paylo
     direct = kind == "direct_http_capture_at_or_before_sla"
     out = F.when(F.exists(fields, lambda f: F.lower(f).rlike("|".join(FORBIDDEN))), F.lit("simulated_field_detected"))
     out = out.when(cutoff.isNull(), F.lit("missing_sla_cutoff")).when(~text("content_sha256"), missing)
-    out = out.when(text("canonical_content_sha256") & ~(text("canonicalization_method") & text("canonicalization_version")), missing)
+    out = out.when(text("canonical_content_sha256") & ~(F.coalesce(p["canonicalization_method"] == method, F.lit(False)) & text("canonicalization_version")), missing)
     out = out.when(payload_hash.isNotNull() & ~raw_ok & ~canonical_ok, F.lit("hash_mismatch"))
     out = out.when(p["evidence_timestamp_utc"].isNull(), missing).when(p["evidence_timestamp_utc"] > cutoff, F.lit("evidence_after_sla_cutoff"))
     out = out.when(~kind.isin(*EVIDENCE), missing).when(~third & ~F.coalesce(host_ok, F.lit(False)), F.lit("source_not_allowed"))

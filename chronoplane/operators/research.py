@@ -156,17 +156,18 @@ def separation_passes(tests: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.agg(ok("sigma4w").alias("sigma_ok"), ok("mdd8w").alias("mdd_ok"), F.coalesce(F.bool_or("far"), F.lit(False)).alias("low_high_ok")).withColumn("passed", F.col("sigma_ok") & F.col("mdd_ok") & F.col("low_high_ok"))
 
 
-def predictive_rows(df: DataFrame, order: str, signals: list[str], horizons: list[int], bases: list[str], high_confidence: Column) -> DataFrame:
-    """A row per signal, horizon, target and subsample: rank correlation, robust slope, terciles.
+def predictive_rows(df: DataFrame, order: str, signals: list[str], horizons: list[int], bases: list[str], high_confidence: Column, by: str | None = None) -> DataFrame:
+    """A row per signal, horizon, target and subsample (and key ``by``): rank correlation, robust slope, terciles.
 
     Targets are columns ``<base>_<horizon>w``.  Fewer than ten pairs give nulls.
     """
     targets = [(h, f"{b}_{h}w") for h in horizons for b in bases]
     grid = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("x"), F.lit(h).alias("horizon_weeks"), F.lit(t).alias("target"), F.col(t).alias("y")) for s in signals for h, t in targets])).alias("g")
-    rows = df.select(order, F.coalesce(high_confidence, F.lit(False)).alias("_hc"), grid).select(order, "_hc", "g.*").where("x IS NOT NULL AND y IS NOT NULL")
+    keys = [by] if by else []
+    rows = df.select(*keys, order, F.coalesce(high_confidence, F.lit(False)).alias("_hc"), grid).select(*keys, order, "_hc", "g.*").where("x IS NOT NULL AND y IS NOT NULL")
     rows = rows.withColumn("subsample", F.explode(F.when(F.col("_hc"), F.array(F.lit("full"), F.lit("high_conf"))).otherwise(F.array(F.lit("full")))))
-    cell = ["signal", "horizon_weeks", "target", "subsample"]
-    rows = rows.withColumn("cell", F.concat_ws("|", *cell))
+    cell = [*keys, "signal", "horizon_weeks", "target", "subsample"]
+    rows = rows.withColumn("cell", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cell]))
     sizes = rows.groupBy("cell", *cell).agg(F.count(F.lit(1)).alias("n_obs"), F.percentile("x", 0.333).alias("_lo"), F.percentile("x", 0.667).alias("_hi"))
     enough = rows.join(sizes.where("n_obs >= 10").select("cell"), "cell", "left_semi")
     slopes = None
@@ -178,10 +179,11 @@ def predictive_rows(df: DataFrame, order: str, signals: list[str], horizons: lis
     return out.drop("cell").withColumn("tercile_spread", F.col("tercile_top_median") - F.col("tercile_bottom_median"))
 
 
-def predictive_passes(rows: DataFrame, signals: list[str]) -> DataFrame:
-    """One row: whether a signal predicts deviation or fall 4 or 8 weeks ahead, upwards, in both subsamples."""
+def predictive_passes(rows: DataFrame, signals: list[str], by: str | None = None) -> DataFrame:
+    """One row (per key ``by``): whether a signal predicts deviation or fall 4 or 8 weeks ahead, upwards, in both subsamples."""
+    keys = [by] if by else []
     full = rows.where(F.col("subsample") == "full")
-    other = rows.where(F.col("subsample") == "high_conf").select("signal", "horizon_weeks", "target", F.col("ols_beta").alias("_other"))
+    other = rows.where(F.col("subsample") == "high_conf").select(*keys, "signal", "horizon_weeks", "target", F.col("ols_beta").alias("_other"))
     asked = full.where(F.col("signal").isin(*signals) & F.col("horizon_weeks").isin(4, 8) & F.col("target").rlike("^fwd_(vol|mdd)_"))
     good = (F.col("ols_beta") > 0) & (F.col("hac_pvalue") < 0.10) & (F.col("tercile_spread") > 0) & ~F.coalesce(F.col("_other") * F.col("ols_beta") < 0, F.lit(False))
-    return asked.join(other, ["signal", "horizon_weeks", "target"]).agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if(good).alias("n_passing"), F.coalesce(F.bool_or(good), F.lit(False)).alias("passed"))
+    return asked.join(other, [*keys, "signal", "horizon_weeks", "target"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if(good).alias("n_passing"), F.coalesce(F.bool_or(good), F.lit(False)).alias("passed"))

@@ -43,7 +43,7 @@ _AUDIT = """ends AS (SELECT book, week_end, count(*) AS run_count, arg_min(s, (s
     audit AS (SELECT *, concat_ws(';', CASE WHEN m THEN 'mode_changed' END, CASE WHEN kk THEN 'k_hat_t_changed' END, CASE WHEN ds THEN 'delta_s_gt_0.05' END, CASE WHEN dh THEN 'delta_h_gt_0.05' END, CASE WHEN dr THEN 'delta_rho_gt_0.05' END,
       CASE WHEN p_t_changed THEN 'p_t_changed' END, CASE WHEN drift_flag_changed THEN 'drift_flag_changed' END) AS revision_reason, m OR kk OR ds OR dh OR dr AS material_revision FROM flags)"""
 #: Every week's check is at a local time of its own, around the week's cutoff.
-_CHECKS = """checks AS (SELECT DISTINCT book, CAST(week_end AS TIMESTAMP) + to_hours(CAST(dayofyear(week_end) * 7 % 60 AS INTEGER)) AS now FROM snaps WHERE NOT (dayofyear(week_end) = 100)),
+_CHECKS = """checks AS (SELECT DISTINCT book, CAST(week_end AS TIMESTAMP) + to_hours(CAST(dayofyear(week_end) * 7 % 60 AS INTEGER)) AS now FROM snaps),
     due AS (SELECT *, CASE WHEN now >= CAST(f AS TIMESTAMP) + INTERVAL 36 HOUR THEN f ELSE f - 7 END AS required_week_end FROM (SELECT *, CAST(now AS DATE) - CAST((dayofweek(now) + 2) % 7 AS INTEGER) AS f FROM checks)),
     atw AS (SELECT d.book, d.now, d.required_week_end, l.run_id IS NOT NULL AS found, l.* EXCLUDE (book, week_end), a.material_revision, (SELECT max(week_end) FROM latest x WHERE x.book = d.book) AS latest_week_end
       FROM due d LEFT JOIN latest l ON l.book = d.book AND l.week_end = d.required_week_end LEFT JOIN audit a ON a.book = d.book AND a.week_end = d.required_week_end)"""
@@ -61,7 +61,7 @@ _FIRED = f"""fired AS (SELECT book, now, required_week_end, latest_week_end AS s
 
 def _checks(spark, sf_dir):
     now = F.col("week_end").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.dayofyear("week_end") * 7 % 60).cast("int"))
-    return snapshots(spark, sf_dir).where(F.dayofyear("week_end") != 100).select("book", now.alias("now")).distinct()
+    return snapshots(spark, sf_dir).select("book", now.alias("now")).distinct()
 
 
 _HAS = {c: f"{c} IS NOT NULL AS {c}_available" for c in ("h_t", "rho_t", "k_hat", "s_t")}

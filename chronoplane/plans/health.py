@@ -111,18 +111,16 @@ def frame_digest(spark, sf_dir):
 
 @query(
     "weights_last_row",
-    "SELECT CAST(l_shipdate AS DATE) AS day, l_suppkey AS ticker, arg_max(l_discount, l_orderkey * 10 + l_linenumber) AS weight FROM lineitem WHERE CAST(l_shipdate AS DATE) - 3 <= DATE '1999-06-30' GROUP BY 1, 2 HAVING count(DISTINCT l_orderkey * 10 + l_linenumber) = count(*)",
+    "SELECT CAST(l_shipdate AS DATE) AS day, l_suppkey AS ticker, arg_max(l_discount, (l_orderkey * 10 + l_linenumber, l_discount)) AS weight FROM lineitem WHERE CAST(l_shipdate AS DATE) - 3 <= DATE '1999-06-30' GROUP BY 1, 2",
 )
 def weights_last_row(spark, sf_dir):
-    """Rows with equal places in the file would have no last one; such keys are left out on both sides."""
-    place = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    """Of rows with equal places in the file the larger weight is the last one."""
+    place = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), F.col("l_discount").alias("weight"))
     facts = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("day"), F.col("l_suppkey").alias("ticker"), F.date_sub(F.to_date("l_shipdate"), 3).alias("known_at"), place.alias("place"), F.col("l_discount").alias("weight"))
-    out = health.weights_at(facts, ["day", "ticker"], "known_at", "place", "weight", F.lit("1999-06-30").cast("date"))
-    seen = facts.where("known_at <= DATE'1999-06-30'").groupBy("day", "ticker").agg((F.count_distinct("place") == F.count(F.lit(1))).alias("clear"))
-    return out.join(seen.where("clear").drop("clear"), ["day", "ticker"])
+    return health.weights_at(facts, ["day", "ticker"], "known_at", "place", "weight", F.lit("1999-06-30").cast("date"))
 
 
-_STRICT = f"""{MEMBERS_SQL}, d AS (SELECT DISTINCT day FROM members UNION SELECT DISTINCT day + 1000 FROM members), w AS (SELECT day, ticker, weight * CASE WHEN month(day) = 7 THEN 1.2e0 ELSE 1e0 END AS weight FROM members WHERE month(day) <> 3),
+_STRICT = f"""{MEMBERS_SQL}, d AS (SELECT DISTINCT day FROM members UNION SELECT DISTINCT day + 1000 FROM members), w AS (SELECT CASE WHEN month(day) = 3 THEN day + 5000 ELSE day END AS day, ticker, weight * CASE WHEN month(day) = 7 THEN 1.2e0 ELSE 1e0 END AS weight FROM members),
     p AS (SELECT day, ticker FROM (SELECT day, ticker, row_number() OVER (PARTITION BY ticker ORDER BY day) AS i FROM members) WHERE i >= 20),
     g AS (SELECT day FROM w GROUP BY 1 HAVING abs(sum(weight) - 1) <= 0.01), u AS (SELECT m.day, count(*) AS used, count(*) FILTER (p.ticker IS NULL) AS bare FROM members m JOIN w USING (day, ticker) JOIN g USING (day) LEFT JOIN p ON p.day = m.day AND p.ticker = m.ticker WHERE w.weight > 0 GROUP BY 1),
     n AS (SELECT DISTINCT day FROM members), b AS (SELECT d.day, concat_ws(',', CASE WHEN n.day IS NULL THEN 'historical_constituent_coverage_incomplete' END, CASE WHEN n.day IS NOT NULL AND u.day IS NULL THEN 'historical_weight_coverage_incomplete' END,
@@ -133,7 +131,8 @@ _STRICT = f"""{MEMBERS_SQL}, d AS (SELECT DISTINCT day FROM members UNION SELECT
 def strict_days(spark, sf_dir):
     m = members(spark, sf_dir)
     every = m.select("day").distinct().union(m.select(F.date_add("day", 1000)).distinct())
-    weights = m.where(F.month("day") != 3).withColumn("weight", F.col("weight") * F.when(F.month("day") == 7, 1.2).otherwise(1.0))
+    # Weights of March are dated years later, so March has none.
+    weights = m.withColumn("weight", F.col("weight") * F.when(F.month("day") == 7, 1.2).otherwise(1.0)).withColumn("day", F.when(F.month("day") == 3, F.date_add("day", 5000)).otherwise(F.col("day")))
     windows = m.withColumn("i", F.row_number().over(Window.partitionBy("ticker").orderBy("day"))).where("i >= 20")
     return health.strict_days(every, m, weights, windows, "day", "ticker", "weight")
 

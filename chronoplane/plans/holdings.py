@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoplane.functions import scalars
+from chronoplane.functions import canonical, scalars
 from chronoplane.operators import holdings, pit
 from chronoplane.plans.inputs import VINTAGES_SQL, vintages
 from chronoplane.plans.registry import neat, query, table
@@ -76,8 +76,8 @@ def holdings_resolution(spark, sf_dir):
 
 @query(
     "holdings_validation",
-    f"""WITH {_HELD}, n AS (SELECT r.book, r.instrument_id, share, normalization_status = 'unresolved' AS lost, coalesce(m.price_join_required, true) AS need, coalesce(m.aggregation_allowed, false) AS many, r.instrument_id IN (SELECT instrument_id FROM master WHERE place % 50 <> 7) AS priced
-      FROM shared r LEFT JOIN master m USING (instrument_id) WHERE r.row_id % 25 <> 3 OR normalization_status <> 'unresolved'), k AS (SELECT *, need AND NOT lost AND instrument_id <> '' AS scope FROM n),
+    f"""WITH {_HELD}, n AS (SELECT r.book, r.instrument_id, CASE WHEN r.row_id % 25 = 3 AND normalization_status = 'unresolved' THEN 0 ELSE share END AS share, normalization_status = 'unresolved' AS lost, coalesce(m.price_join_required, true) AS need, coalesce(m.aggregation_allowed, false) AS many, r.instrument_id IN (SELECT instrument_id FROM master WHERE place % 50 <> 7) AS priced
+      FROM shared r LEFT JOIN master m USING (instrument_id)), k AS (SELECT *, need AND NOT lost AND instrument_id <> '' AS scope FROM n),
     t AS (SELECT *, scope AND sum(CAST(scope AS INTEGER)) OVER (PARTITION BY book, instrument_id) > 1 AS again FROM k),
     v AS (SELECT book, sum(share) AS weight_sum, coalesce(sum(share) FILTER (lost), 0) AS unresolved_weight_sum, CASE WHEN coalesce(sum(share) FILTER (need), 0) = 0 THEN 1 ELSE coalesce(sum(share) FILTER (need AND priced), 0) / sum(share) FILTER (need) END AS join_coverage_weight, bool_or(again) AS again, bool_or(scope AND NOT many) AS apart FROM t GROUP BY 1),
     x AS (SELECT *, CASE WHEN again AND apart THEN 'duplicate_instrument_id' WHEN NOT weight_sum BETWEEN 0.98 AND 1.02 THEN 'weight_sum_violation' WHEN unresolved_weight_sum > 0.01 THEN 'unresolved_weight_violation' WHEN join_coverage_weight < 0.95 THEN 'insufficient_join_coverage'
@@ -86,7 +86,7 @@ def holdings_resolution(spark, sf_dir):
 )
 def holdings_validation(spark, sf_dir):
     facts = _master(spark, sf_dir).select("instrument_id", "price_join_required", "aggregation_allowed", "place")
-    rows = _resolved(spark, sf_dir).where((F.col("row_id") % 25 != 3) | (F.col("normalization_status") != "unresolved")).withColumnRenamed("share", "normalized_weight").join(facts.drop("place"), "instrument_id", "left")
+    rows = _resolved(spark, sf_dir).withColumn("normalized_weight", F.when((F.col("row_id") % 25 == 3) & (F.col("normalization_status") == "unresolved"), 0.0).otherwise(F.col("share"))).drop("share").join(facts.drop("place"), "instrument_id", "left")
     out = holdings.validate_holdings(rows, ["book"], facts.where("place % 50 <> 7"))
     return out.withColumns({c: neat(c, 9) for c in ("weight_sum", "unresolved_weight_sum", "join_coverage_weight")})
 
@@ -99,7 +99,7 @@ _TEXTS = {"content_sha256": 7, "canonical_content_sha256": 0, "audit_log_sha256"
     "publication_proof",
     f"""WITH p AS (SELECT page_id, page_id AS i, [{', '.join(f"'{c}'" for c in _CLASSES)}][1 + page_id // 2 % 5] AS kind, CASE WHEN page_id % 7 = 0 THEN '' WHEN page_id % 5 = 0 THEN 'other' ELSE sha256(html) END AS sealed, CASE WHEN page_id % 15 = 0 THEN sha256(html || '') ELSE '' END AS canon, sha256(html) AS own,
       regexp_matches(url, '^https?://([^/]*\\.)?example\\.(com|org)([/:?#]|$)') AS host, CASE WHEN page_id % 11 <> 0 THEN page_id % 72 END AS hours FROM pages)
-    SELECT page_id, CASE WHEN i % 41 = 0 THEN 'simulated_field_detected' WHEN i % 37 = 0 THEN 'missing_sla_cutoff' WHEN sealed = '' THEN 'missing_machine_evidence' WHEN canon <> '' AND i % 30 = 0 THEN 'missing_machine_evidence' WHEN sealed <> own AND canon <> own THEN 'hash_mismatch'
+    SELECT page_id, CASE WHEN i % 41 = 0 THEN 'simulated_field_detected' WHEN i % 37 = 0 THEN 'missing_sla_cutoff' WHEN sealed = '' THEN 'missing_machine_evidence' WHEN canon <> '' AND (i % 30 = 0 OR i % 45 = 0) THEN 'missing_machine_evidence' WHEN sealed <> own AND canon <> own THEN 'hash_mismatch'
       WHEN hours IS NULL THEN 'missing_machine_evidence' WHEN hours > 60 THEN 'evidence_after_sla_cutoff' WHEN kind = 'hearsay' THEN 'missing_machine_evidence' WHEN kind <> '{_CLASSES[3]}' AND NOT host THEN 'source_not_allowed' WHEN kind = '{_CLASSES[0]}' AND i % 3 = 0 THEN 'http_status_not_success'
       WHEN kind = '{_CLASSES[3]}' AND (i % 8 = 0 OR i % 9 = 0 OR i % 10 = 0) THEN 'missing_machine_evidence' WHEN kind = '{_CLASSES[3]}' AND i % 2 = 1 AND i % 13 < 6 THEN 'missing_machine_evidence' WHEN kind = '{_CLASSES[1]}' AND i % 4 = 0 THEN 'missing_machine_evidence'
       WHEN kind = '{_CLASSES[2]}' AND i % 6 = 0 THEN 'missing_machine_evidence' {' '.join(f"WHEN kind = '{a}' THEN '{b}'" for a, b in holdings.EVIDENCE.items())} END AS reason FROM p""",
@@ -110,12 +110,12 @@ def publication_proof(spark, sf_dir):
     there = {c: F.when(i % n != 0, "x").otherwise("") for c, n in _TEXTS.items() if n}
     proof = there | {
         "content_sha256": F.when(i % 7 == 0, "").when(i % 5 == 0, "other").otherwise(F.sha2("html", 256)), "canonical_content_sha256": F.when(i % 15 == 0, F.sha2("html", 256)).otherwise(""),
-        "canonicalization_method": F.lit("sorted"), "canonicalization_version": F.when(i % 30 != 0, "1"), "evidence_class": F.get(F.array(*[F.lit(c) for c in _CLASSES]), (F.floor(i / 2) % 5).cast("int")),
+        "canonicalization_method": F.when(i % 45 == 0, "sorted").otherwise(canonical.METHOD), "canonicalization_version": F.when(i % 30 != 0, "1"), "evidence_class": F.get(F.array(*[F.lit(c) for c in _CLASSES]), (F.floor(i / 2) % 5).cast("int")),
         "evidence_timestamp_utc": F.when(i % 11 != 0, start + F.make_dt_interval(hours=(i % 72).cast("int"))), "http_status": F.when(i % 3 == 0, 404).otherwise(200), "wrapper_detected": i % 2 == 1, "wrapper_removed": i % 13 >= 6,
     }
     fields = F.when(i % 41 == 0, F.array(F.lit("Simulated_at"))).otherwise(F.array(F.lit("evidence_class")))
     cutoff = F.when(i % 37 != 0, start + F.make_dt_interval(hours=F.lit(60)))
-    reason = holdings.proof_reason(fields, cutoff, proof, F.sha2("html", 256), F.sha2("html", 256), scalars.host_allowed(F.col("url"), ["example.com", "example.org"]))
+    reason = holdings.proof_reason(fields, cutoff, proof, F.sha2("html", 256), F.sha2("html", 256), scalars.host_allowed(F.col("url"), ["example.com", "example.org"]), canonical.METHOD)
     return p.select("page_id", reason.alias("reason"))
 
 
@@ -176,10 +176,10 @@ def adjusted_window_constant(spark, sf_dir):
 
 
 _LEDGER = f"""{VINTAGES_SQL}, px AS (SELECT CASE WHEN ticker % 2 = 0 THEN 'NEW' ELSE 'OLD' END || (ticker - ticker % 2) AS symbol, day, arg_max(value, (known_at, value)) AS raw, max(known_at) AS known FROM vintages GROUP BY 1, 2),
-    ok AS (SELECT * FROM px WHERE known <= DATE '1998-06-01'), ren AS (SELECT 'OLD' || s_suppkey AS old_symbol, 'NEW' || s_suppkey AS new_symbol, DATE '1996-01-01' + CAST(s_suppkey * 13 % 900 AS INTEGER) AS effective_date FROM supplier WHERE s_suppkey % 2 = 0),
-    acts AS (SELECT CASE WHEN ticker % 2 = 0 THEN 'NEW' ELSE 'OLD' END || (ticker - ticker % 2) AS symbol, day, 1 - l_discount AS factor FROM vintages WHERE l_discount > 0.08 AND known_at <= DATE '1998-06-01'),
+    ok AS (SELECT * FROM px WHERE known <= DATE '1998-06-01'), ren AS (SELECT 'OLD' || s_suppkey AS old_symbol, 'NEW' || s_suppkey AS new_symbol, DATE '1996-01-01' + CAST(s_suppkey * 13 % 900 AS INTEGER) AS effective_date FROM supplier),
+    acts AS (SELECT CASE WHEN ticker % 2 = 0 THEN 'NEW' ELSE 'OLD' END || (ticker - ticker % 2) AS symbol, day, CASE WHEN l_discount > 0.08 THEN 1 - l_discount ELSE 1 END AS factor FROM vintages WHERE known_at <= DATE '1998-06-01'),
     own AS (SELECT symbol AS ticker, symbol, day, raw FROM ok UNION ALL SELECT r.new_symbol, o.symbol, o.day, o.raw FROM ok o JOIN ren r ON r.old_symbol = o.symbol AND r.effective_date > o.day WHERE NOT EXISTS (SELECT 1 FROM ok d WHERE d.symbol = r.new_symbol AND d.day = o.day)),
-    ask AS (SELECT DISTINCT symbol AS ticker, date_trunc('month', day)::DATE + 14 AS end_day FROM ok WHERE symbol LIKE 'NEW%'),
+    ask AS (SELECT DISTINCT symbol AS ticker, date_trunc('month', day)::DATE + 14 AS end_day FROM ok),
     b AS (SELECT a.ticker, a.end_day, o.symbol, o.day, o.raw, row_number() OVER (PARTITION BY a.ticker, a.end_day ORDER BY o.day DESC) AS back FROM ask a JOIN own o ON o.ticker = a.ticker AND o.day <= a.end_day),
     f AS (SELECT b.*, coalesce((SELECT exp(sum(ln(factor))) FROM acts x WHERE x.symbol = b.symbol AND x.day > b.day AND x.day <= b.end_day), 1) AS factor FROM b WHERE back <= 4)"""
 
@@ -194,9 +194,9 @@ def adjusted_window_ledger(spark, sf_dir):
     symbol = F.concat(F.when(F.col("ticker") % 2 == 0, "NEW").otherwise("OLD"), F.col("ticker") - F.col("ticker") % 2)
     prices = pit.latest_then_checked(v.withColumn("symbol", symbol), ["symbol", "day"], "known_at", "value", asof)
     k = F.col("s_suppkey")
-    renames = table(spark, sf_dir, "supplier").where(k % 2 == 0).select(F.concat(F.lit("OLD"), k).alias("old_symbol"), F.concat(F.lit("NEW"), k).alias("new_symbol"), F.date_add(F.lit("1996-01-01").cast("date"), (k * 13 % 900).cast("int")).alias("effective_date"))
-    actions = v.where("l_discount > 0.08").where(F.col("known_at") <= asof).select(symbol.alias("symbol"), "day", (1 - F.col("l_discount")).alias("factor"))
-    asked = prices.where("symbol LIKE 'NEW%'").select(F.col("symbol").alias("ticker"), F.date_add(F.trunc("day", "month"), 14).alias("end_day")).distinct()
+    renames = table(spark, sf_dir, "supplier").select(F.concat(F.lit("OLD"), k).alias("old_symbol"), F.concat(F.lit("NEW"), k).alias("new_symbol"), F.date_add(F.lit("1996-01-01").cast("date"), (k * 13 % 900).cast("int")).alias("effective_date"))
+    actions = v.where(F.col("known_at") <= asof).select(symbol.alias("symbol"), "day", F.when(F.col("l_discount") > 0.08, 1 - F.col("l_discount")).otherwise(1.0).alias("factor"))
+    asked = prices.select(F.col("symbol").alias("ticker"), F.date_add(F.trunc("day", "month"), 14).alias("end_day")).distinct()
     out = pit.ledger_window(asked, prices.select("symbol", "day", F.col("value").alias("raw")), actions, renames, 4)
     text = F.when(F.col("status") == "ok", F.array_join(F.transform("window", lambda x: F.concat(x["symbol"], F.lit(":"), F.printf(F.lit("%.8f"), x["price"]))), ","))
     return out.select("ticker", "end_day", "status", text.alias("window_text"))

@@ -51,12 +51,12 @@ def weight_unit(spark, sf_dir):
 
 @query(
     "store_gate",
-    f"""WITH {PANEL_SQL}, m AS (SELECT day, ticker FROM panel WHERE ticker <> month(day)), s AS (SELECT p.day, count(*) AS k FROM panel p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.day = p.day AND m.ticker = p.ticker) GROUP BY 1)
+    f"""WITH {PANEL_SQL}, m AS (SELECT day, CASE WHEN ticker = month(day) THEN ticker + 1000 ELSE ticker END AS ticker FROM panel), s AS (SELECT p.day, count(*) AS k FROM panel p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.day = p.day AND m.ticker = p.ticker) GROUP BY 1)
     SELECT p.day, count(*) AS n, coalesce(any_value(k), 0) AS n_stray, coalesce(any_value(k), 0) = 0 AND sum(weight) BETWEEN 0.99 AND 1.01 AS open FROM panel p LEFT JOIN s USING (day) GROUP BY 1""",
 )
 def store_gate(spark, sf_dir):
     p = panel(spark, sf_dir)
-    return resolve.store_gate(p, p.where(F.col("ticker") != F.month("day")).select("day", "ticker"), "day", "ticker", "weight").select("day", "n", "n_stray", "open")
+    return resolve.store_gate(p, p.select("day", F.when(F.col("ticker") == F.month("day"), F.col("ticker") + 1000).otherwise(F.col("ticker")).alias("ticker")), "day", "ticker", "weight").select("day", "n", "n_stray", "open")
 
 
 _FRESH = """f AS (SELECT user_id, event_type, CAST(max(ts) AS DATE) AS last_seen FROM events GROUP BY 1, 2), l AS (SELECT *, last_seen >= DATE '2024-01-24' AS fresh,

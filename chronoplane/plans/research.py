@@ -119,38 +119,38 @@ _SIGNALS = ["spread", "open_share", "n_orders"]
 
 def _grid(spark, sf_dir):
     signals = weeks(spark, sf_dir).select("series_id", F.col("week_end").alias("day"), *_SIGNALS)
-    return _forward(spark, sf_dir).join(signals, ["series_id", "day"]).where("series_id = '1-URGENT'")
+    return _forward(spark, sf_dir).join(signals, ["series_id", "day"])
 
 
-_ROWS = f"""{_AXIS}, {_FWD}, base AS (SELECT f.*, w.spread, w.open_share, w.n_orders FROM forward f JOIN weeks w ON w.series_id = f.series_id AND w.week_end = f.day WHERE f.series_id = '1-URGENT'),
-    grid AS ({' UNION ALL '.join(f"SELECT day, open_share > 0.3 AS hc, '{s}' AS signal, CAST({s} AS DOUBLE) AS x, {h} AS h, '{t}' AS target, {t} AS y FROM base" for s in _SIGNALS for h in _HORIZONS for t in _TARGETS if t.endswith(f'_{h}w'))}),
+_ROWS = f"""{_AXIS}, {_FWD}, base AS (SELECT f.*, w.spread, w.open_share, w.n_orders FROM forward f JOIN weeks w ON w.series_id = f.series_id AND w.week_end = f.day),
+    grid AS ({' UNION ALL '.join(f"SELECT series_id, day, open_share > 0.3 AS hc, '{s}' AS signal, CAST({s} AS DOUBLE) AS x, {h} AS h, '{t}' AS target, {t} AS y FROM base" for s in _SIGNALS for h in _HORIZONS for t in _TARGETS if t.endswith(f'_{h}w'))}),
     cells AS (SELECT *, 'full' AS subsample FROM grid WHERE x IS NOT NULL AND y IS NOT NULL UNION ALL SELECT *, 'high_conf' FROM grid WHERE x IS NOT NULL AND y IS NOT NULL AND hc),
-    lines AS (SELECT signal, h, target, subsample, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(x) AS mx, quantile_cont(x, 0.333) AS lo, quantile_cont(x, 0.667) AS hi FROM cells GROUP BY 1, 2, 3, 4),
-    res AS (SELECT c.*, l.n, l.b, l.lo, l.hi, c.x - mx AS cx, (c.x - mx) * (c.y - a - b * c.x) AS g FROM cells c JOIN lines l USING (signal, h, target, subsample)),
-    lag_ AS (SELECT *, {', '.join(f'coalesce(lag(g, {j}) OVER w, 0) AS l{j}' for j in range(1, 8))} FROM res WINDOW w AS (PARTITION BY signal, h, target, subsample ORDER BY day)),
-    se AS (SELECT signal, h, target, subsample, any_value(n) AS n, any_value(b) AS b, sqrt(sum(g * g) + CASE WHEN h = 8 THEN {' + '.join(f'{2 * (1 - j / 8)!r}e0 * sum(g * l{j})' for j in range(1, 8))} ELSE {' + '.join(f'{2 * (1 - j / 5)!r}e0 * sum(g * l{j})' for j in range(1, 5))} END) / sum(cx * cx) AS se,
-      median(y) FILTER (x <= lo) AS bot, median(y) FILTER (x >= hi) AS top FROM lag_ GROUP BY 1, 2, 3, 4),
-    rk AS (SELECT signal, h, target, subsample, rank() OVER (w ORDER BY x) + (count(*) OVER (PARTITION BY signal, h, target, subsample, x) - 1) / 2e0 AS rx, rank() OVER (w ORDER BY y) + (count(*) OVER (PARTITION BY signal, h, target, subsample, y) - 1) / 2e0 AS ry FROM cells WINDOW w AS (PARTITION BY signal, h, target, subsample)),
-    rho AS (SELECT signal, h, target, subsample, corr(rx, ry) AS rho FROM rk GROUP BY 1, 2, 3, 4),
-    rows_ AS (SELECT signal, h, target, subsample, n, CASE WHEN n >= 10 THEN rho END AS rho, CASE WHEN n >= 10 THEN b END AS b, CASE WHEN n >= 10 THEN b / se END AS t, CASE WHEN n >= 10 THEN {_tail('(b / se)')} END AS p, CASE WHEN n >= 10 THEN bot END AS bot, CASE WHEN n >= 10 THEN top END AS top FROM se JOIN rho USING (signal, h, target, subsample))"""
+    lines AS (SELECT series_id, signal, h, target, subsample, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(x) AS mx, quantile_cont(x, 0.333) AS lo, quantile_cont(x, 0.667) AS hi FROM cells GROUP BY 1, 2, 3, 4, 5),
+    res AS (SELECT c.*, l.n, l.b, l.lo, l.hi, c.x - mx AS cx, (c.x - mx) * (c.y - a - b * c.x) AS g FROM cells c JOIN lines l USING (series_id, signal, h, target, subsample)),
+    lag_ AS (SELECT *, {', '.join(f'coalesce(lag(g, {j}) OVER w, 0) AS l{j}' for j in range(1, 8))} FROM res WINDOW w AS (PARTITION BY series_id, signal, h, target, subsample ORDER BY day)),
+    se AS (SELECT series_id, signal, h, target, subsample, any_value(n) AS n, any_value(b) AS b, sqrt(sum(g * g) + CASE WHEN h = 8 THEN {' + '.join(f'{2 * (1 - j / 8)!r}e0 * sum(g * l{j})' for j in range(1, 8))} ELSE {' + '.join(f'{2 * (1 - j / 5)!r}e0 * sum(g * l{j})' for j in range(1, 5))} END) / sum(cx * cx) AS se,
+      median(y) FILTER (x <= lo) AS bot, median(y) FILTER (x >= hi) AS top FROM lag_ GROUP BY 1, 2, 3, 4, 5),
+    rk AS (SELECT series_id, signal, h, target, subsample, rank() OVER (w ORDER BY x) + (count(*) OVER (PARTITION BY series_id, signal, h, target, subsample, x) - 1) / 2e0 AS rx, rank() OVER (w ORDER BY y) + (count(*) OVER (PARTITION BY series_id, signal, h, target, subsample, y) - 1) / 2e0 AS ry FROM cells WINDOW w AS (PARTITION BY series_id, signal, h, target, subsample)),
+    rho AS (SELECT series_id, signal, h, target, subsample, corr(rx, ry) AS rho FROM rk GROUP BY 1, 2, 3, 4, 5),
+    rows_ AS (SELECT series_id, signal, h, target, subsample, n, CASE WHEN n >= 10 THEN rho END AS rho, CASE WHEN n >= 10 THEN b END AS b, CASE WHEN n >= 10 THEN b / se END AS t, CASE WHEN n >= 10 THEN {_tail('(b / se)')} END AS p, CASE WHEN n >= 10 THEN bot END AS bot, CASE WHEN n >= 10 THEN top END AS top FROM se JOIN rho USING (series_id, signal, h, target, subsample))"""
 
 
 @query(
     "predictive_rows",
-    f"""WITH {_ROWS} SELECT signal, CAST(h AS INTEGER) AS horizon_weeks, target, subsample, n AS n_obs, round(rho, 6) + 0.0 AS spearman_rho, round(b, 9) + 0.0 AS ols_beta, round(t, 5) + 0.0 AS hac_tstat, round(p, 5) + 0.0 AS hac_pvalue,
+    f"""WITH {_ROWS} SELECT series_id, signal, CAST(h AS INTEGER) AS horizon_weeks, target, subsample, n AS n_obs, round(rho, 6) + 0.0 AS spearman_rho, round(b, 9) + 0.0 AS ols_beta, round(t, 5) + 0.0 AS hac_tstat, round(p, 5) + 0.0 AS hac_pvalue,
     round(bot, 6) + 0.0 AS tercile_bottom_median, round(top, 6) + 0.0 AS tercile_top_median, round(top - bot, 6) + 0.0 AS tercile_spread FROM rows_""",
 )
 def predictive_rows(spark, sf_dir):
-    out = research.predictive_rows(_grid(spark, sf_dir), "day", _SIGNALS, _HORIZONS, ["fwd_ret", "fwd_vol", "fwd_mdd"], F.col("open_share") > 0.3)
+    out = research.predictive_rows(_grid(spark, sf_dir), "day", _SIGNALS, _HORIZONS, ["fwd_ret", "fwd_vol", "fwd_mdd"], F.col("open_share") > 0.3, "series_id")
     digits = {"ols_beta": 9, "hac_tstat": 5, "hac_pvalue": 5}
     return out.withColumns({c: neat(c, digits.get(c, 6)) for c in ("spearman_rho", "ols_beta", "hac_tstat", "hac_pvalue", "tercile_bottom_median", "tercile_top_median", "tercile_spread")})
 
 
 @query(
     "predictive_verdict",
-    f"""WITH {_ROWS}, f AS (SELECT a.*, o.b AS other FROM rows_ a JOIN rows_ o USING (signal, h, target) WHERE a.subsample = 'full' AND o.subsample = 'high_conf' AND h IN (4, 8) AND regexp_matches(target, '^fwd_(vol|mdd)_')),
-    g AS (SELECT coalesce(b > 0 AND p < 0.10 AND top - bot > 0 AND NOT coalesce(other * b < 0, false), false) AS good FROM f) SELECT count(*) AS n_candidates, count(*) FILTER (good) AS n_passing, bool_or(good) AS passed FROM g""",
+    f"""WITH {_ROWS}, f AS (SELECT a.*, o.b AS other FROM rows_ a JOIN rows_ o USING (series_id, signal, h, target) WHERE a.subsample = 'full' AND o.subsample = 'high_conf' AND h IN (4, 8) AND regexp_matches(target, '^fwd_(vol|mdd)_')),
+    g AS (SELECT coalesce(b > 0 AND p < 0.10 AND top - bot > 0 AND NOT coalesce(other * b < 0, false), false) AS good, series_id FROM f) SELECT series_id, count(*) AS n_candidates, count(*) FILTER (good) AS n_passing, bool_or(good) AS passed FROM g GROUP BY 1""",
 )
 def predictive_verdict(spark, sf_dir):
-    rows = research.predictive_rows(_grid(spark, sf_dir), "day", _SIGNALS, _HORIZONS, ["fwd_ret", "fwd_vol", "fwd_mdd"], F.col("open_share") > 0.3)
-    return research.predictive_passes(rows, _SIGNALS)
+    rows = research.predictive_rows(_grid(spark, sf_dir), "day", _SIGNALS, _HORIZONS, ["fwd_ret", "fwd_vol", "fwd_mdd"], F.col("open_share") > 0.3, "series_id")
+    return research.predictive_passes(rows, _SIGNALS, "series_id")

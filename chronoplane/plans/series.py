@@ -88,7 +88,7 @@ def asof_tolerance(spark, sf_dir):
 
 @query(
     "asof_nearest",
-    f"""WITH {_EVENT_DAYS}, o AS (SELECT user_id, day, max(value) AS value FROM events_d WHERE value > 50 GROUP BY 1, 2), d AS (SELECT DISTINCT user_id, day FROM events_d),
+    f"""WITH {_EVENT_DAYS}, o AS (SELECT user_id, CAST(day + CASE WHEN value > 50 THEN 0 ELSE 3 END AS DATE) AS day, max(value) AS value FROM events_d GROUP BY 1, 2), d AS (SELECT DISTINCT user_id, day FROM events_d),
     b AS (SELECT d.*, o.day AS bd, o.value AS bv FROM d ASOF LEFT JOIN o ON d.user_id = o.user_id AND d.day >= o.day),
     f AS (SELECT d.*, o.day AS fd, o.value AS fv FROM d ASOF LEFT JOIN o ON d.user_id = o.user_id AND d.day <= o.day),
     m AS (SELECT user_id, day, CASE WHEN bd IS NOT NULL AND (fd IS NULL OR day - bd <= fd - day) THEN bd ELSE fd END AS md, CASE WHEN bd IS NOT NULL AND (fd IS NULL OR day - bd <= fd - day) THEN bv ELSE fv END AS v FROM b JOIN f USING (user_id, day))
@@ -96,7 +96,8 @@ def asof_tolerance(spark, sf_dir):
 )
 def asof_nearest(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    known = events.where("value > 50").groupBy("user_id", "day").agg(F.max("value").alias("value"))
+    # Small values are known three days late.
+    known = events.withColumn("day", F.date_add("day", F.when(F.col("value") > 50, 0).otherwise(3))).groupBy("user_id", "day").agg(F.max("value").alias("value"))
     return pit.asof_nearest(events.select("user_id", "day").distinct(), known, "user_id", "day", ["value"], 5)
 
 

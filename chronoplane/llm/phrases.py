@@ -6,8 +6,9 @@ bucket below the least frequency proves that none of its phrases is frequent, so
 the next pass counts a phrase only if its bucket is full and both its parts of m
 words are frequent; only such phrases enter the buckets, too.
 
-What is broadcast has a fixed size whatever the corpus holds: two bitmaps of
-``2 ** bits`` bits, one of full buckets, one of the hashes of frequent phrases.
+What is broadcast has a fixed size whatever the corpus holds: bitmaps of
+``2 ** bits`` bits, of the full buckets and of the hashes of the frequent words and
+phrases.
 Bitmaps only prune; counts come from the phrases themselves, so a collision costs
 time and nothing else.  A task holds one table of bucket counts, which stop at the
 least frequency; tables are added up in two steps, first by task, then by block.
@@ -16,10 +17,12 @@ least frequency; tables are added up in two steps, first by task, then by block.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -32,12 +35,12 @@ LEAST = 10
 LONGEST = 3
 TOP = 2000
 #: Log of the number of buckets; a bitmap takes 2 ** BITS / 8 bytes.
-BITS = 24
+BITS = 25
 #: Buckets of a table travel in blocks of so many.
 BLOCK = 1 << 16
 #: Words that a task handles at once, and distinct words it remembers.
-SLICE = 1 << 20
-KNOWN = 1 << 20
+SLICE = 1 << 17
+KNOWN = 1 << 18
 SALT = 8
 
 _END = b"\xff"
@@ -45,7 +48,6 @@ _END = b"\xff"
 _TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _END * 10)
 _PARTIALS = "lang string, phrase binary, n long, part int, block int, data binary"
 _ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64()), ("part", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
-_NO_BLOCK = [None, None, None]
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -63,41 +65,60 @@ def word_hash(lang: str, word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang))
 
 
+class _Numbers(dict):
+    """Numbers of a language's words; a new word gets the task's next, a rare one that of the end mark."""
+
+    def __init__(self, lang: str, vocabulary: _Vocabulary):
+        super().__init__({_END: 0})
+        self.lang, self.vocabulary = lang, vocabulary
+
+    def __missing__(self, word: bytes) -> int:
+        known, h = self.vocabulary, word_hash(self.lang, word)
+        if known.common is not None:
+            at = h >> known.shift
+            if not known.common[at >> 3] >> (at & 7) & 1:
+                self[word] = 0
+                return 0
+        known.langs.append(self.lang)
+        known.hashes.append(h)
+        known.words.append(word)
+        self[word] = number = len(known.words) - 1
+        return number
+
+
 class _Vocabulary:
-    """Numbers of the words that a task has met, by language; 0 is the end mark."""
+    """Numbers of the words that a task has met, by language; 0 is the end mark.
 
-    def __init__(self):
-        self.words, self.langs, self.hashes, self._by_lang = [_END], [""], [0], {}
+    No phrase with a rare word is frequent, so rare words, too, end what is looked at.
+    """
+
+    def __init__(self, common: bytes | None, bits: int):
+        self.words, self.langs, self.hashes, self._by_lang = [_END], [""], array("Q", [0]), {}
+        self.common, self.shift = common, 64 - bits
+
+    def __len__(self) -> int:
+        return sum(map(len, self._by_lang.values()))
 
     def numbers(self, lang: str, found: list[bytes]) -> np.ndarray:
-        known = self._by_lang.get(lang)
-        if known is None:
-            known = self._by_lang[lang] = {_END: 0}
-        for word in set(found).difference(known):
-            known[word] = len(self.words)
-            self.words.append(word)
-            self.langs.append(lang)
-            self.hashes.append(word_hash(lang, word))
-        return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        if lang not in self._by_lang:
+            self._by_lang[lang] = _Numbers(lang, self)
+        return np.fromiter(map(self._by_lang[lang].__getitem__, found), np.int64, len(found))
 
 
 class _Counts:
-    """Exact counts of phrases as packed word numbers, merged whenever they grow long."""
+    """Exact counts of phrases as packed word numbers, merged whenever they have doubled."""
 
     def __init__(self):
-        self.keys, self.counts, self.waiting = [], [], 0
+        self.keys, self.counts, self.waiting, self.limit = [], [], 0, 4 * SLICE
 
     def add(self, keys: np.ndarray) -> None:
-        self._take(*np.unique(keys, return_counts=True))
-
-    def _take(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.waiting += len(keys)
-        if self.waiting > 2 * SLICE and len(self.keys) > 1:
-            merged = self.merged()
-            self.__init__()
-            self._take(*merged)
+        found, n = np.unique(keys, return_counts=True)
+        self.keys.append(found)
+        self.counts.append(n)
+        self.waiting += len(found)
+        if self.waiting > self.limit:
+            found, n = self.merged()
+            self.keys, self.counts, self.waiting, self.limit = [found], [n], len(found), 2 * len(found) + 4 * SLICE
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.keys:
@@ -118,9 +139,10 @@ class _Buckets:
         self.table[at] = np.minimum(self.table[at].astype(np.int64) + n, self.least)
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
+        """The blocks that hold a count; most counts are zero or small, so they pack well."""
         for i, block in enumerate(self.table.reshape(-1, min(BLOCK, len(self.table)))):
             if block.any():
-                yield i, block.tobytes()
+                yield i, _packed(block)
 
 
 def _bits_set(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -134,28 +156,39 @@ _ROOM = 21
 class _Pass:
     """One task's share of the pass for phrases of ``m`` words."""
 
-    def __init__(self, m: int, frequent: np.ndarray | None, full: np.ndarray | None, bits: int, least: int, longest: int):
-        self.m, self.frequent, self.full, self.shift = m, frequent, full, np.uint64(64 - bits)
+    def __init__(self, m: int, common: bytes | None, frequent: bytes | None, full: bytes | None, bits: int, least: int, longest: int):
+        bitmap = lambda b: None if b is None else np.frombuffer(b, np.uint8)
+        self.m, self.common, self.frequent, self.full, self.bits, self.shift = m, common, bitmap(frequent), bitmap(full), bits, np.uint64(64 - bits)
         self.longest = longest
         self.buckets = _Buckets(bits, least) if m < longest else None
+        self.waiting, self.words_waiting = {}, 0
         self._start()
 
     def _start(self) -> None:
-        self.vocabulary, self.counts = _Vocabulary(), _Counts()
+        self.vocabulary, self.counts = _Vocabulary(self.common, self.bits), _Counts()
         self.hashes = np.zeros(1, np.uint64)
 
     def text(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
+        """Texts of a language wait until there are enough words."""
         found = tokens(text)
-        for at in range(0, len(found), SLICE):
-            if len(self.vocabulary.words) > KNOWN:
-                yield from self.flush()
-            # The words before the slice are met again, for phrases that begin there.
-            before = min(at, self.longest - 1)
-            self._slice(self.vocabulary.numbers(lang, found[at - before : at + SLICE]), before)
+        self.waiting.setdefault(lang, []).extend(found)
+        self.words_waiting += len(found)
+        if self.words_waiting >= SLICE:
+            yield from self.catch_up()
+
+    def catch_up(self) -> Iterator[pa.RecordBatch]:
+        for lang, found in self.waiting.items():
+            for at in range(0, len(found), SLICE):
+                if len(self.vocabulary) > KNOWN:
+                    yield from self.flush()
+                # The words before the slice are met again, for phrases that begin there.
+                before = min(at, self.longest - 1)
+                self._slice(self.vocabulary.numbers(lang, found[at - before : at + SLICE]), before)
+        self.waiting, self.words_waiting = {}, 0
 
     def _slice(self, ids: np.ndarray, before: int) -> None:
         if len(self.hashes) < len(self.vocabulary.hashes):
-            self.hashes = np.concatenate([self.hashes, np.array(self.vocabulary.hashes[len(self.hashes) :], np.uint64)])
+            self.hashes = np.array(self.vocabulary.hashes)
         h = self.hashes[ids]
         if self.m == 1:
             own = ids[before:]
@@ -198,14 +231,16 @@ class _Pass:
     def flush(self) -> Iterator[pa.RecordBatch]:
         """Rows (lang, phrase, n), after which the words met are forgotten."""
         keys, counts = self.counts.merged()
-        words, langs = self.vocabulary.words, self.vocabulary.langs
+        words, langs = pa.array(self.vocabulary.words, pa.binary()), pa.array(self.vocabulary.langs, pa.string())
         for start in range(0, len(keys), 100_000):
             part = keys[start : start + 100_000]
-            columns = [((part >> (_ROOM * k)) & ((1 << _ROOM) - 1)).tolist() for k in reversed(range(self.m))]
-            phrases = [b" ".join([words[i] for i in row]) for row in zip(*columns)]
+            columns = [pa.array((part >> (_ROOM * k)) & ((1 << _ROOM) - 1)) for k in reversed(range(self.m))]
+            phrases = words.take(columns[0])
+            if self.m > 1:
+                phrases = pc.binary_join_element_wise(phrases, *[words.take(c) for c in columns[1:]], pa.scalar(b" ", pa.binary()))
             n = len(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([langs[i] for i in columns[0]], pa.string()), pa.array(phrases, pa.binary()), pa.array(counts[start : start + n]), *[pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary())]],
+                [langs.take(columns[0]), phrases, pa.array(counts[start : start + n]), *[pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary())]],
                 schema=_ARROW,
             )
         self._start()
@@ -216,88 +251,125 @@ class _Pass:
             yield pa.RecordBatch.from_pylist([{"part": part, "block": block, "data": data}], schema=_ARROW)
 
 
-def _counting(m: int, frequent, full, bits: int, least: int, longest: int) -> Callable:
+def _counting(m: int, common, frequent, full, bits: int, least: int, longest: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = lambda b: None if b is None else np.frombuffer(b.value, np.uint8)
-        task = _Pass(m, bitmap(frequent), bitmap(full), bits, least, longest)
+        bitmaps = [None if b is None else b.value for b in (common, frequent, full)]
+        task = _Pass(m, *bitmaps, bits, least, longest)
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
                 yield from task.text(lang.as_py(), text.as_py())
+        yield from task.catch_up()
         yield from task.flush()
         yield from task.tables()
 
     return run
 
 
-def _adding(least: int, as_bits: bool) -> Callable:
+_BLOCKS = "part int, block int, data binary"
+
+
+def _block(part: int, block: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["part", "block", "data"])
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.tobytes(), codec="lz4_raw", asbytes=True)
+
+
+def _unpacked(data: pa.Buffer, kind: type, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, size * np.dtype(kind).itemsize, codec="lz4_raw"), kind)
+
+
+def _adding(least: int, size: int, as_bits: bool) -> Callable:
     """Adds up blocks of bucket counts; at last a bit says whether a bucket is full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, part = {}, TaskContext.get().partitionId()
         for batch in batches:
             for block, data in zip(batch.column(1).to_pylist(), batch.column(2)):
-                counts = np.frombuffer(data.as_buffer(), np.uint8 if least < 256 else np.uint32)
+                counts = _unpacked(data.as_buffer(), np.uint8 if least < 256 else np.uint32, size)
                 known = sums.get(block)
                 sums[block] = counts if known is None else np.minimum(known.astype(np.int64) + counts, least).astype(counts.dtype)
         for block, counts in sums.items():
-            data = np.packbits(counts >= least, bitorder="little").tobytes() if as_bits else counts.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["part", "block", "data"])
+            yield _block(part, block, np.packbits(counts >= least, bitorder="little").tobytes() if as_bits else _packed(counts))
 
     return run
 
 
-def _bitmap(tables: DataFrame, bits: int, least: int):
-    """The bitmap of full buckets, broadcast; its size is fixed by ``bits``."""
-    spark, schema = tables.sparkSession, "part int, block int, data binary"
-    rows = tables.where("block IS NOT NULL").select("part", "block", "data")
-    parts = rows.agg(F.count_distinct("part")).first()[0]
-    if parts > 16:
-        rows = rows.repartition(math.isqrt(parts), "part").mapInArrow(_adding(least, False), schema)
-    added = rows.repartition(min(16, max(1, parts)), "block").mapInArrow(_adding(least, True), schema)
-    bitmap, width = bytearray((1 << bits) // 8), min(BLOCK, 1 << bits) // 8
-    for row in added.select("block", "data").collect():
-        bitmap[row["block"] * width : (row["block"] + 1) * width] = row["data"]
-    return spark.sparkContext.broadcast(bytes(bitmap))
+def _uniting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of bitmaps, united."""
+    sums, part = {}, TaskContext.get().partitionId()
+    for batch in batches:
+        for block, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            bits = np.frombuffer(data, np.uint8)
+            sums[block] = sums[block] | bits if block in sums else bits
+    for block, bits in sums.items():
+        yield _block(part, block, bits.tobytes())
 
 
-def _marking(bits: int, least: int) -> Callable:
-    """A table of buckets that is full exactly where frequent phrases hash to."""
+def _marking(bits: int) -> Callable:
+    """A bitmap of where phrases hash to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full, task = np.zeros(1 << bits, np.uint8 if least < 256 else np.uint32), _Buckets(0, least)
+        bitmap, width, part = np.zeros((1 << bits) // 8, np.uint8), min(BLOCK, 1 << bits) // 8, TaskContext.get().partitionId()
         for batch in batches:
             for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = [np.array([word_hash(lang, w)], np.uint64) for w in phrase.split(b" ")]
                 whole = h[0]
                 for x in h[1:]:
                     whole = mixed(whole, x)
-                full[whole >> np.uint64(64 - bits)] = least
-        task.table, part = full, TaskContext.get().partitionId()
-        for block, data in task.blocks():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["part", "block", "data"])
+                at = int(whole[0]) >> (64 - bits)
+                bitmap[at >> 3] |= 1 << (at & 7)
+        for i, block in enumerate(bitmap.reshape(-1, width)):
+            if block.any():
+                yield _block(part, i, block.tobytes())
 
     return run
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = BITS) -> tuple[list[DataFrame], DataFrame]:
+def _broadcast(blocks: DataFrame, bits: int):
+    """A bitmap from its blocks; its size is fixed by ``bits``."""
+    bitmap, width = bytearray((1 << bits) // 8), min(BLOCK, 1 << bits) // 8
+    for row in blocks.select("block", "data").collect():
+        bitmap[row["block"] * width : (row["block"] + 1) * width] = row["data"]
+    return blocks.sparkSession.sparkContext.broadcast(bytes(bitmap))
+
+
+def _in_two_steps(rows: DataFrame, first: Callable, last: Callable) -> DataFrame:
+    """Blocks merged by the task that made them, so that no step reads many tables, then by their numbers."""
+    parts = rows.agg(F.count_distinct("part")).first()[0]
+    if parts > 16:
+        rows = rows.repartition(math.isqrt(parts), "part").mapInArrow(first, _BLOCKS)
+    return rows.repartition(min(16, max(1, parts)), "block").mapInArrow(last, _BLOCKS)
+
+
+def frequent_phrases(docs: DataFrame, scope: list[str], least: int = LEAST, longest: int = LONGEST, bits: int = BITS) -> tuple[list[DataFrame], DataFrame]:
     """Written tables (lang, phrase, a) of the frequent phrases of 1, 2, ... words, and (lang, n): all its words.
 
-    Languages without a word have no rows.
+    Languages without a word have no rows.  The tables' paths go to ``scope``; what a
+    pass writes for itself is removed after it.
     """
     if not 2 <= longest <= 63 // _ROOM:
         raise ValueError(f"phrases may have 2 to {63 // _ROOM} words")
+    spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    tables, totals, frequent, full = [], None, None, None
+    tables, totals, common, frequent, full = [], None, None, None, None
     for m in range(1, longest + 1):
-        met = materialize(texts.mapInArrow(_counting(m, frequent, full, bits, least, longest), _PARTIALS), f"phrases{m}")
-        counted = met.where("phrase IS NOT NULL")
-        if m == 1:
-            totals = materialize(counted.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-        table = materialize(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least), f"frequent{m}")
-        tables.append(table.withColumn("phrase", F.col("phrase").cast("string")))
-        if m < longest:
-            marks = table.select("lang", "phrase").mapInArrow(_marking(bits, least), "part int, block int, data binary")
-            frequent, full = _bitmap(marks, bits, least), _bitmap(met, bits, least)
+        with passing(spark) as spent:
+            met = materialize(texts.mapInArrow(_counting(m, common, frequent, full, bits, least, longest), _PARTIALS), f"phrases{m}")
+            counted = met.where("phrase IS NOT NULL")
+            if m == 1:
+                totals = materialize(counted.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+                scope.append(spent.pop())
+            table = materialize(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least), f"frequent{m}")
+            scope.append(spent.pop())
+            tables.append(table.withColumn("phrase", F.col("phrase").cast("string")))
+            if m < longest:
+                counts = met.where("block IS NOT NULL").select("part", "block", "data")
+                full = _broadcast(_in_two_steps(counts, _adding(least, min(BLOCK, 1 << bits), False), _adding(least, min(BLOCK, 1 << bits), True)), bits)
+                marks = materialize(table.select("lang", "phrase").mapInArrow(_marking(bits), _BLOCKS), "marks")
+                frequent = _broadcast(_in_two_steps(marks, _uniting, _uniting), bits)
+                common = common or frequent
     return tables, totals
 
 
@@ -330,7 +402,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     """
     spark = docs.sparkSession
     with passing(spark) as scope:
-        tables, totals = frequent_phrases(docs, least, longest, bits)
+        tables, totals = frequent_phrases(docs, scope, least, longest, bits)
         counts = tables[0]
         for table in tables[1:]:
             counts = counts.unionByName(table)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronoplane.operators.ranking import quantiles
+
 TOLERANCE = 1e-12
 
 
@@ -77,9 +79,11 @@ def nth_known(df: DataFrame, key: str, order: str, value: str, n: int) -> DataFr
 
 
 def distribution(df: DataFrame, by: str, value: str) -> DataFrame:
-    shares = [0.01, 0.05, 0.5, 0.95, 0.99]
-    out = df.groupBy(by).agg(F.count(value).alias("n"), F.percentile(value, shares).alias("p"))
-    return out.select(by, "n", *[F.get("p", F.lit(i)).alias(f"p{round(100 * s):02d}") for i, s in enumerate(shares)])
+    """Known values and five exact quantiles per group; a group without a known value has none of either."""
+    known = quantiles(df, [by], value, {f"p{round(100 * s):02d}": s for s in (0.01, 0.05, 0.5, 0.95, 0.99)})
+    every = df.select(F.col(by).alias("_by")).distinct()
+    out = every.join(known, F.col("_by").eqNullSafe(F.col(by)), "left")
+    return out.select(F.col("_by").alias(by), F.coalesce("n", F.lit(0)).alias("n"), *known.columns[2:])
 
 
 def sensitivity(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronoplane.operators.ranking import cumulative, split_points
 from chronoplane.operators.risk import chi2_tail_even, normal_tail
 
 
@@ -20,11 +21,14 @@ def value_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Per group its size and rank sum, with the whole sample's size and tie term."""
-    one = df.withColumn("_one", F.lit(1))
-    ranks = value_ranks(one, ["_one"], value)
+    """Per group its size and rank sum, with the whole sample's size and tie term.
+
+    The whole sample is ranked in ranges of values, so no task orders it.
+    """
+    counted = cumulative(df, [], value, split_points(df, value))
+    ranks = counted.select(value, "n", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
     whole = ranks.agg(F.sum("n").alias("total"), F.sum((F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double")).alias("ties"))
-    held = one.join(ranks.select(value, "rank"), value).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum("rank").alias("rank_sum"))
+    held = df.join(ranks.select(value, "rank"), value).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum("rank").alias("rank_sum"))
     return held.crossJoin(F.broadcast(whole))
 
 

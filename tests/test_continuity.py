@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoplane.functions.recursions import Covariance2D, EwMean, EwZ
-from chronoplane.operators import eigen, pit, regimes, scenarios, splices, state, warmup
+from chronoplane.operators import audit, eigen, pit, ranking, regimes, scenarios, splices, state, stats, warmup
 from chronoplane.operators.folds import run_fold
 from chronoplane.streaming import state as streams
 
@@ -307,3 +307,32 @@ def test_a_covariance_recursion_survives_its_seed(rocks):
     for r, w in zip(rows[6:], want[6:]):
         assert machine.step(*r[2:])[:9] == pytest.approx(tuple(w)[2:11])
     assert seeds[0].at == rows[5][1] and pd.isna(seeds[0].tail).all() if len(seeds[0].tail) else True
+
+
+# ranks and quantiles by ranges
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 64])
+def test_ranges_change_no_rank_and_no_quantile(spark, ranges):
+    rng = np.random.default_rng(5)
+    rows = [(k, float(v) if v is not None else None) for k in ("a", "b", None) for v in [*np.round(rng.lognormal(size=80), 1), None, 3.0, 3.0]] + [("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    frame = pd.DataFrame(rows, columns=["k", "v"]).dropna(subset=["v"])
+    want = {(k, v): (int((g == v).sum()), int((g < v).sum()), len(g)) for k in ("a", "b", None) for g in [frame.v[frame.k.isna() if k is None else frame.k == k]] for v in g}
+    counted = ranking.cumulative(df, ["k"], "v", ranking.split_points(df, "v", ranges)).collect()
+    assert {(r.k, r.v): tuple(r)[2:] for r in counted} == want and len(counted) == len(want)
+    got = {r.k: tuple(r)[1:] for r in ranking.quantiles(df, ["k"], "v", {"lo": 0.05, "mid": 0.5, "top": 1.0}, ranges).collect()}
+    for k, (n, *values) in got.items():
+        g = frame.v[frame.k.isna() if k is None else frame.k == k]
+        assert n == len(g) and values == pytest.approx(np.quantile(g, [0.05, 0.5, 1.0]).tolist())
+    assert set(got) == {"a", "b", None}
+
+
+def test_rank_tests_order_no_sample_in_one_task(spark):
+    df = spark.createDataFrame([("a" if i % 2 else "b", float(i)) for i in range(200)], "g string, v double")
+    plan = stats.rank_sums(df, "g", "v")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
+    # One is over ranges, the other over the ranges' totals.
+    assert len(windows) >= 2 and sum("_r#" in line.split("windowspecdefinition")[1].split("specifiedwindowframe")[0] for line in windows) >= 2
+    assert {r.g: (r.n, r.rank_sum) for r in stats.rank_sums(df, "g", "v").collect()} == {"a": (100, 10100.0), "b": (100, 10000.0)}
+    assert {r.g: r.n for r in audit.distribution(df.unionByName(spark.createDataFrame([("c", None)], df.schema)), "g", "v").collect()} == {"a": 100, "b": 100, "c": 0}

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoplane.operators import eigen, pit, regimes, scenarios, splices, state, warmup
+from chronoplane.operators import eigen, pit, regimes, routing, scenarios, splices, state, warmup
 from chronoplane.operators.rolling import Frames
+from chronoplane.plans.cycles import SNAPS_SQL, snapshots
 from chronoplane.plans.inputs import DAYS_SQL, WEEKS_SQL, days, weeks
 from chronoplane.plans.registry import neat, query, table
 from chronoplane.plans.reports import COV_SQL, DRIFT_SQL, SHORT, STATES_SQL, chain_inputs, covariance_rows
@@ -321,3 +322,16 @@ def warmup_chain(spark, sf_dir):
     inputs = ["price", "lines", "spread", *_RATES]
     rows = chain_inputs(spark, sf_dir).select("series_id", "day", *inputs)
     return warmup.explained(warmup.dependency_map(rows, "series_id", "day", inputs, STAGES), "series_id", "shares")
+
+
+@query(
+    "week_routes",
+    f"""WITH {SNAPS_SQL} SELECT run_id, CASE WHEN backfill_mode IS NULL THEN CASE WHEN k_hat IS NOT NULL THEN 'legacy_cache_micro' ELSE 'none' END WHEN backfill_mode = 'strict_recovery' AND strict_gate_passed THEN 'stores_strict' WHEN backfill_mode = 'degraded_backfill' THEN 'stores_backfill' ELSE 'controlled_block' END AS store,
+    CASE WHEN backfill_mode = 'degraded_backfill' THEN backfill_mode WHEN backfill_mode = 'strict_recovery' AND strict_gate_passed THEN backfill_mode WHEN backfill_mode IS NOT NULL THEN 'block' END AS scheme, coalesce(backfill_mode = 'strict_recovery' AND strict_gate_passed, false) AS strict_ok,
+    CASE WHEN backfill_mode IS NULL THEN CASE WHEN k_hat IS NOT NULL THEN 'legacy_cache_micro_used_for_non_controlled_week' ELSE 'legacy_cache_micro_missing' END WHEN backfill_mode = 'strict_recovery' THEN CASE WHEN strict_gate_passed THEN 'strict_store_gate_passed' ELSE 'strict_store_gate_failed:' || execution_state END
+      WHEN backfill_mode = 'degraded_backfill' THEN 'controlled_degraded_backfill_freezes_micro' ELSE 'controlled_block_prevents_strict_contracts' END AS reason FROM snaps""",
+)
+def week_routes(spark, sf_dir):
+    """The store that every run of every week is read from."""
+    runs = snapshots(spark, sf_dir).withColumn("has_legacy", F.col("k_hat").isNotNull())
+    return routing.routed(runs, "backfill_mode", "strict_gate_passed", "execution_state", "has_legacy").select("run_id", "store", "scheme", "strict_ok", "reason")

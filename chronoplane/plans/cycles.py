@@ -27,7 +27,7 @@ def snapshots(spark, sf_dir):
 
 
 _SOURCE = "{{'source': '{0}', 'fresh': k % {2} <> 0, 'level': CASE (c + {1}) % 3 WHEN 0 THEN 'warn' WHEN 1 THEN 'degrade' ELSE 'block' END}}"
-_SNAPS = f"""o AS (SELECT *, o_orderkey AS k, o_custkey AS c, {FRIDAY.format('CAST(o_orderdate AS DATE)')} AS f FROM orders),
+SNAPS_SQL = f"""o AS (SELECT *, o_orderkey AS k, o_custkey AS c, {FRIDAY.format('CAST(o_orderdate AS DATE)')} AS f FROM orders),
     snaps AS (SELECT o_orderpriority AS book, f AS week_end, k AS run_id, CAST(f AS TIMESTAMP) + to_hours(CAST(k % 60 AS INTEGER)) AS published_at, CASE k % 10 WHEN 0 THEN 'warmup' WHEN 1 THEN 'degraded' ELSE 'strict' END AS mode,
       CASE k % 9 WHEN 0 THEN 'degraded_backfill' WHEN 1 THEN 'block' WHEN 2 THEN 'strict_recovery' WHEN 3 THEN 'other' END AS backfill_mode, k % 6 <> 0 AS execution_permitted, c % 8 <> 0 AS strict_gate_passed,
       CASE WHEN c % 11 <> 0 THEN (c % 100) / 100e0 END AS h_t, CASE WHEN c % 12 <> 0 THEN (k % 100) / 100e0 END AS rho_t, CASE WHEN k % 13 <> 0 THEN ((k + c) % 100) / 100e0 END AS s_t, CASE WHEN c % 14 <> 0 THEN CAST(c % 5 AS INTEGER) END AS k_hat,
@@ -69,7 +69,7 @@ _HAS = {c: f"{c} IS NOT NULL AS {c}_available" for c in ("h_t", "rho_t", "k_hat"
 
 @query(
     "signal_gate",
-    f"""WITH {_SNAPS}, r AS (SELECT *, CASE WHEN backfill_mode = 'degraded_backfill' THEN 'degraded_backfill_signal' WHEN backfill_mode = 'block' THEN 'block_signal' WHEN mode <> 'strict' THEN 'not_strict_mode' WHEN NOT execution_permitted THEN 'execution_not_permitted'
+    f"""WITH {SNAPS_SQL}, r AS (SELECT *, CASE WHEN backfill_mode = 'degraded_backfill' THEN 'degraded_backfill_signal' WHEN backfill_mode = 'block' THEN 'block_signal' WHEN mode <> 'strict' THEN 'not_strict_mode' WHEN NOT execution_permitted THEN 'execution_not_permitted'
     WHEN NOT strict_gate_passed THEN 'strict_gate_failed' WHEN h_t IS NULL THEN 'h_t_missing' WHEN rho_t IS NULL THEN 'rho_t_missing' WHEN k_hat IS NULL THEN 'k_hat_t_missing' WHEN s_t IS NULL THEN 's_t_missing' WHEN backfill_mode = 'other' THEN 'not_strict_mode'
     ELSE 'eligible_strict_signal' END AS reason FROM snaps) SELECT run_id, reason, reason = 'eligible_strict_signal' AS signal_eligible, {', '.join(_HAS.values())} FROM r""",
 )
@@ -81,14 +81,14 @@ _DETAIL = "run_count, first_published_at, latest_published_at, initial_mode, lat
 _DELTAS = ("delta_s", "delta_h", "delta_rho", "max_abs_p_delta")
 
 
-@query("revision_detail", f"WITH {_SNAPS}, {_AUDIT} SELECT book, week_end, " + _DETAIL.format(", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _DELTAS)) + " FROM audit")
+@query("revision_detail", f"WITH {SNAPS_SQL}, {_AUDIT} SELECT book, week_end, " + _DETAIL.format(", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _DELTAS)) + " FROM audit")
 def revision_detail(spark, sf_dir):
     return cycles.revision_audit(snapshots(spark, sf_dir), ["book", "week_end"]).withColumns({c: neat(c) for c in _DELTAS})
 
 
 @query(
     "revision_summary",
-    f"""WITH {_SNAPS}, {_AUDIT} SELECT count(*) AS weeks_total, count(*) FILTER (run_count > 1) AS weeks_with_multiple_runs, count(*) FILTER (material_revision) AS material_revision_weeks, count(*) FILTER (m) AS mode_changed_weeks, count(*) FILTER (kk) AS k_hat_changed_weeks,
+    f"""WITH {SNAPS_SQL}, {_AUDIT} SELECT count(*) AS weeks_total, count(*) FILTER (run_count > 1) AS weeks_with_multiple_runs, count(*) FILTER (material_revision) AS material_revision_weeks, count(*) FILTER (m) AS mode_changed_weeks, count(*) FILTER (kk) AS k_hat_changed_weeks,
     count(*) FILTER (p_t_changed) AS p_t_changed_weeks, count(*) FILTER (drift_flag_changed) AS drift_flag_changed_weeks, {', '.join(f'round(coalesce(max(abs(delta_{c})), 0), 6) + 0.0 AS max_abs_delta_{c}' for c in ('s', 'h', 'rho'))},
     bool_and(first_published_at <= latest_published_at) AS earliest_latest_selection_works, bool_or(run_count > 1) AS same_week_multiple_runs_supported FROM audit""",
 )
@@ -97,12 +97,12 @@ def revision_summary(spark, sf_dir):
     return out.withColumns({f"max_abs_delta_{c}": neat(f"max_abs_delta_{c}") for c in ("s", "h", "rho")})
 
 
-@query("required_week", f"WITH {_SNAPS}, {_LATEST}, {_AUDIT}, {_CHECKS} SELECT book, now, required_week_end FROM due")
+@query("required_week", f"WITH {SNAPS_SQL}, {_LATEST}, {_AUDIT}, {_CHECKS} SELECT book, now, required_week_end FROM due")
 def required_week(spark, sf_dir):
     return _checks(spark, sf_dir).withColumn("required_week_end", cycles.required_week(F.col("now")))
 
 
-@query("alert_log", f"WITH {_SNAPS}, {_LATEST}, {_AUDIT}, {_CHECKS}, {_FIRED} SELECT * EXCLUDE (source_place) FROM alerts")
+@query("alert_log", f"WITH {SNAPS_SQL}, {_LATEST}, {_AUDIT}, {_CHECKS}, {_FIRED} SELECT * EXCLUDE (source_place) FROM alerts")
 def alert_log(spark, sf_dir):
     return cycles.weekly_alerts(_checks(spark, sf_dir), snapshots(spark, sf_dir), "book").drop("source_place")
 
@@ -112,7 +112,7 @@ _WORST = "['ok', 'warn', 'degrade', 'block'][1 + coalesce(max(CASE WHEN {0} THEN
 
 @query(
     "ops_status",
-    f"""WITH {_SNAPS}, {_LATEST}, {_AUDIT}, {_CHECKS}, {_FIRED}, g AS (SELECT book, now, {', '.join(_WORST.format(f"category = '{c}'") + f' AS {c}' for c in cycles.CATEGORIES)}, upper({_WORST.format('true')}) AS current_status,
+    f"""WITH {SNAPS_SQL}, {_LATEST}, {_AUDIT}, {_CHECKS}, {_FIRED}, g AS (SELECT book, now, {', '.join(_WORST.format(f"category = '{c}'") + f' AS {c}' for c in cycles.CATEGORIES)}, upper({_WORST.format('true')}) AS current_status,
       string_agg(DISTINCT section, ',' ORDER BY section) AS sections, count(*) AS n_alerts FROM alerts GROUP BY 1, 2),
     s AS (SELECT *, CASE WHEN found THEN published_at <= CAST(required_week_end AS TIMESTAMP) + INTERVAL 36 HOUR END AS published_by_sla, coalesce(len(list_filter(freshness, lambda x: NOT x.fresh)), 0) AS stale, coalesce(len(freshness), 0) AS every_source FROM atw)
     SELECT book, now, required_week_end, published_by_sla, CAST(stale AS INTEGER) AS stale_source_count, CAST(every_source - stale AS INTEGER) AS fresh_source_count, {', '.join(f"coalesce({c}, 'ok') AS {c}" for c in cycles.CATEGORIES)},
@@ -124,7 +124,7 @@ def ops_status(spark, sf_dir):
 
 @query(
     "mode_coverage",
-    f"""WITH {_SNAPS}, {_LATEST} SELECT book, count(*) AS n_rows, count(*) FILTER (mode = 'strict') AS n_strict, count(*) FILTER (mode = 'degraded') AS n_degraded, count(*) FILTER (mode = 'warmup') AS n_warmup, min(week_end) FILTER (mode = 'strict') AS first_strict,
+    f"""WITH {SNAPS_SQL}, {_LATEST} SELECT book, count(*) AS n_rows, count(*) FILTER (mode = 'strict') AS n_strict, count(*) FILTER (mode = 'degraded') AS n_degraded, count(*) FILTER (mode = 'warmup') AS n_warmup, min(week_end) FILTER (mode = 'strict') AS first_strict,
     max(week_end) FILTER (mode = 'strict') AS last_strict, min(week_end) FILTER (mode <> 'warmup') AS first_warm FROM latest GROUP BY 1""",
 )
 def mode_coverage(spark, sf_dir):

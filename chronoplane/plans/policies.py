@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronoplane.operators import cycles, policy, portfolio
 from chronoplane.operators.folds import run_fold
-from chronoplane.plans.cycles import _LATEST, _SNAPS, snapshots
+from chronoplane.plans.cycles import _LATEST, SNAPS_SQL, snapshots
 from chronoplane.plans.inputs import PANEL_SQL, panel
 from chronoplane.plans.registry import neat, query, table
 
@@ -54,7 +54,7 @@ _GATE = """gated AS (SELECT *, CASE WHEN backfill_mode = 'degraded_backfill' THE
 
 @query(
     "target_weights",
-    f"""WITH {_SNAPS}, {_LATEST}, {_GATE}, g AS (SELECT *, reason = 'eligible_strict_signal' AS ok, CASE WHEN rho_t < 0.3e0 THEN 'calm' WHEN rho_t < 0.7e0 THEN 'mid' WHEN rho_t IS NOT NULL THEN 'high' END AS bucket, run_id % 4 = 0 AS fresh FROM gated)
+    f"""WITH {SNAPS_SQL}, {_LATEST}, {_GATE}, g AS (SELECT *, reason = 'eligible_strict_signal' AS ok, CASE WHEN rho_t < 0.3e0 THEN 'calm' WHEN rho_t < 0.7e0 THEN 'mid' WHEN rho_t IS NOT NULL THEN 'high' END AS bucket, run_id % 4 = 0 AS fresh FROM gated)
     SELECT book, week_end, CASE WHEN ok THEN bucket END AS bucket, {', '.join(f"CASE WHEN ok THEN CASE bucket {' '.join(f'''WHEN '{b}' THEN {float(w.get(s, 0.0))!r}e0''' for b, w in _WEIGHTS.items())} END WHEN fresh THEN {1.0 if s == 'CASH' else 0.0!r}e0 ELSE {dict(EQ=0.25, BD=0.75, CASH=0.0)[s]!r}e0 END AS {s}" for s in _SYMBOLS)},
     CASE WHEN ok THEN 'policy_bucket_mapping' ELSE 'hold_prior_or_policy_default' END AS generation_mode, CASE WHEN ok THEN 'eligible_strict_signal' WHEN fresh THEN 'no_prior_target_defensive_cash_proxy' ELSE reason END AS target_reason, 1e0 AS gross_exposure, 1e0 AS net_exposure FROM g""",
 )

@@ -1,12 +1,15 @@
 """Sharding by balanced label propagation over documents with equal texts.
 
-Documents with equal texts are linked.  Every document starts with the shard that
-its own hash names.  Round after round, joins find for each group the shard that
-most of its documents name among those with room for the whole group, or else a
-hash of such shards; a group moves as a whole, and shards grant moves up to their
-quota, larger groups first.  A refused group asks again with the room that is left,
-until no group fits anywhere.  Groups larger than ``1 / LARGE`` of a shard's quota
-go before the others, so that these leave them room.
+Documents with equal texts are linked.  Every document starts with a label, the
+shard that its own hash names.  In each round the documents of a group look at their
+neighbours' labels: the group asks for the shard that most of them name among those
+with room for it, or else for one by hash in proportion to the room.  A shard grants
+what it is asked for, larger groups first, up to its quota: running sums over buckets
+of asks, of which only the buckets' totals meet.  Granted groups settle.  In the
+others, documents whose shard has no room left take the label that their group asked
+for, and the next round starts from these labels; each settles a group at least, and
+the rounds end when no group fits anywhere.  Groups larger than ``1 / LARGE`` of a
+shard's quota go before the others, so that these leave them room.
 
 A group larger than a shard's quota takes whole shards first.  What fits nowhere
 in the end, fewer groups than there are shards, fills what room is left: only these
@@ -20,6 +23,7 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronoplane.llm.shared import materialize, numbered
 
@@ -38,22 +42,38 @@ def _with_room(room: list[int], n: str) -> Column:
     return F.transform(F.filter(every, lambda x: x["r"] >= F.col(n)), lambda x: x["s"])
 
 
-def _grants(classes: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
-    """How many of the groups that ask, by (shard, size), a shard takes; larger ones first."""
-    taken = {}
-    for to, n in sorted(classes, key=lambda c: (c[0], -c[1])):
-        taken[to, n] = min(classes[to, n], room[to] // n)
-        room[to] -= n * taken[to, n]
-    return taken
+def _by_shard(values: list[int], shard: str) -> Column:
+    """The shard's value."""
+    return F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.col(shard))
 
 
-def _propagate(groups: DataFrame, held: DataFrame, room: list[int]) -> list[DataFrame]:
-    """Tables (g, shard) of the groups (g, n) that move as a whole; takes from ``room``."""
-    placed, turn = [], 0
+def _granted(asks: DataFrame, room: list[int], groups: int) -> DataFrame:
+    """The asks (g, n, to) that fit, larger ones first, by running sums of n per shard.
+
+    Asks of one shard are dealt into buckets by the power of two of their size and a
+    hash, so no task takes a shard's asks whole; only the buckets' totals meet.
+    """
+    dealt = max(1, -(-groups // 20_000))
+    bucket = (63 - F.floor(F.log2("n"))) * dealt + F.pmod(F.xxhash64("g"), F.lit(dealt))
+    asks = asks.withColumn("bucket", bucket.cast("long"))
+    totals = asks.groupBy("to", "bucket").agg(F.sum("n").alias("total"))
+    before = Window.partitionBy("to").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("to").alias("_to"), F.col("bucket").alias("_b"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+    upto = Window.partitionBy("to", "bucket").orderBy(F.desc("n"), "g").rowsBetween(Window.unboundedPreceding, 0)
+    summed = asks.withColumn("upto", F.sum("n").over(upto)).join(starts, (F.col("to") == F.col("_to")) & (F.col("bucket") == F.col("_b")))
+    return summed.where(F.col("start") + F.col("upto") <= _by_shard(room, "to")).select("g", "n", F.col("to").alias("shard"))
+
+
+def _propagate(groups: DataFrame, labels: DataFrame, room: list[int]) -> list[DataFrame]:
+    """Tables (g, shard) of the groups (g, n) that settle whole; takes from ``room``.
+
+    ``labels`` has (g, label, mass): how many documents of a group bear a label.
+    """
+    settled, turn = [], 0
     while True:
-        open_ = groups.withColumn("fits", _with_room(room, "n")).where(F.size("fits") > 0)
-        named = open_.join(held, "g", "left").where(F.array_contains("fits", F.col("label")))
-        most = named.groupBy("g").agg(F.max(F.struct("mass", F.xxhash64("g", "label").alias("h"), "label")).alias("m"))
+        fits = groups.withColumn("fits", _with_room(room, "n")).where(F.size("fits") > 0)
+        borne = fits.select("g", "fits").join(labels, "g")
+        most = borne.where(F.array_contains("fits", F.col("label"))).groupBy("g").agg(F.max(F.struct("mass", F.xxhash64("g", "label").alias("h"), "label")).alias("m"))
         # Room is named in proportion, so that few are refused.
         total = sum(room)
         spot, ends, to = F.pmod(F.xxhash64("g", F.lit(turn)), F.lit(max(1, total))), 0, F.lit(None).cast("int")
@@ -61,25 +81,20 @@ def _propagate(groups: DataFrame, held: DataFrame, room: list[int]) -> list[Data
             to = F.coalesce(to, F.when((spot < ends + r) & (F.col("n") <= r), s))
             ends += r
         any_fit = F.element_at("fits", (F.pmod(F.xxhash64("g", F.lit(-1 - turn)), F.size("fits")) + 1).cast("int"))
-        asks = open_.join(most, "g", "left").select("g", "n", F.coalesce("m.label", to, any_fit).alias("to"))
-        asks = materialize(asks, "asks")
-        # Sizes differ: k of them need k * k / 2 rows, so a shard has at most sqrt(2 * rows) classes.
-        classes = {(r["to"], r["n"]): r["count"] for r in asks.groupBy("to", "n").count().collect()}
-        if not classes:
-            return placed
-        taken = _grants(classes, room)
-        whole = F.lit(False)
-        limits = asks.sparkSession.createDataFrame([(to, n, k, k == classes[to, n]) for (to, n), k in taken.items()], "to int, n long, k long, every boolean")
-        asks = asks.join(limits, ["to", "n"])
-        some = asks.where("NOT every AND k > 0").withColumn("class", F.struct("to", "n"))
-        if any(0 < k < classes[c] for c, k in taken.items()):
-            some = numbered(materialize(some, "some"), "class", ["g"], "i").where("i < k")
-        else:
-            some = some.where(whole)
-        moved = asks.where("every").select("g", F.col("to").alias("shard")).unionByName(some.select("g", F.col("to").alias("shard")))
-        moved = materialize(moved, "moved")
-        placed.append(moved)
-        groups = materialize(groups.join(moved, "g", "left_anti"), "open")
+        asks = materialize(fits.join(most, "g", "left").select("g", "n", F.coalesce("m.label", to, any_fit).alias("to")), "asks")
+        open_ = asks.count()
+        if not open_:
+            return settled
+        moved = materialize(_granted(asks, room, open_), "moved")
+        # One row per shard.
+        for r in moved.groupBy("shard").agg(F.sum("n").alias("n")).collect():
+            room[r["shard"]] -= r["n"]
+        settled.append(moved.select("g", "shard"))
+        refused = asks.join(moved.select("g"), "g", "left_anti")
+        # Documents of refused groups leave shards without room for their group and follow its ask.
+        follow = F.when(F.col("n") <= _by_shard(room, "label"), F.col("label")).otherwise(F.col("to"))
+        labels = materialize(labels.join(refused, "g").select("g", follow.alias("label"), "mass").groupBy("g", "label").agg(F.sum("mass").alias("mass")), "labels")
+        groups = materialize(groups.join(moved.select("g"), "g", "left_anti"), "open")
         turn += 1
 
 
@@ -99,7 +114,7 @@ def _spread(totals: list[tuple[int, int]], room: list[int]) -> list[tuple[int, i
     return out
 
 
-def place_groups(groups: DataFrame, held: DataFrame, room: list[int]) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+def place_groups(groups: DataFrame, labels: DataFrame, room: list[int]) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
     """(g, shard) of whole groups, and the spread of those that must be split."""
     quota = max(room, default=0)
     # At most as many as there are shards hold more than a shard's quota.
@@ -107,7 +122,7 @@ def place_groups(groups: DataFrame, held: DataFrame, room: list[int]) -> tuple[D
     spread = _spread(giants, room)
     large = F.col("n") * LARGE > quota
     rest = groups.where(F.col("n") <= quota)
-    placed = _propagate(rest.where(large), held, room) + _propagate(rest.where(~large), held, room)
+    placed = _propagate(rest.where(large), labels, room) + _propagate(rest.where(~large), labels, room)
     whole = groups.sparkSession.createDataFrame([], "g long, shard int")
     for moved in placed:
         whole = whole.unionByName(moved)
@@ -140,9 +155,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = facts.count()
     groups = materialize(facts.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
     start = F.pmod(F.xxhash64("g", "uid"), F.lit(shards)).cast("int").alias("label")
-    held = materialize(facts.select("g", start).groupBy("g", "label").agg(F.count(F.lit(1)).alias("mass")).join(groups.select("g"), "g", "left_semi"), "held")
+    labels = materialize(facts.select("g", start).groupBy("g", "label").agg(F.count(F.lit(1)).alias("mass")).join(groups.select("g"), "g", "left_semi"), "labels")
     room = quotas(rows, shards)
-    whole, spread = place_groups(groups, held, room)
+    whole, spread = place_groups(groups, labels, room)
     known = materialize(facts.join(whole, "g", "left"), "known")
     placed, filler = known.where("shard IS NOT NULL"), known.where("shard IS NULL")
     if spread:

@@ -9,7 +9,11 @@ alone.  Blocks inside elements that never hold an
 article's text (menus, footers, forms, adverts, reader comments and so on, by
 tag or by class, id and role) are out before the rules apply, so they are no
 neighbours either.  A name may also stand on an element that wraps the article:
-an element that holds it, or most of the page's good text, stays.
+an element that holds it, or most of the page's good text, stays.  Inside an article
+few names decide by themselves: there a section may well be called ``menu`` or
+``related-work``.  Other names only make their short blocks and links bad; headings
+and paragraphs are never out by name in an article.  What is hidden (``hidden``,
+``display: none``, ``visibility: hidden``) is out anywhere.
 """
 
 from __future__ import annotations
@@ -73,6 +77,17 @@ STRICT_NAMES = re.compile(
     r"|recommended|related|replies|reply|respond|sponsor\w*)(?:$|[\s_-])",
     re.I,
 )
+#: In an article only these names decide: notices, adverts, comments and the like, as words of a name,
+#: and a few others as a name of their own, before a word for what they hold, or as its last word.
+DECIDING_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:advert\w*|comments?|consent|cookies?|copyright|disclaimer|disqus|foot|footer|gdpr|modal|newsletter|notices?|overlay|popup|promo\w*|replies|respond|sidebar|signup|sponsor\w*|subscribe)(?:$|[\s_-])"
+    r"|(?:^|[\s_-])(?:ads?|related|recommended|reply)(?:(?!\S)|[-_](?:articles?|banner|block|box|container|content|items?|links?|list|news|pages?|posts?|products?|slot|stories|topics?|unit|wrapper)(?!\S))",
+    re.I,
+)
+#: Leaf blocks of running text are out by names of their own only.
+OWN_NAMES = re.compile(r"(?<!\S)(?:ads?|advert\w*|breadcrumbs?|comments?|consent|cookies?|copyright|disclaimer|footer|newsletter|notices?|pagination|promo\w*|related|share|sharing|sponsor\w*|subscribe)(?!\S)", re.I)
+RUNNING = frozenset("p blockquote pre".split())
+_HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 #: How firmly an element is out.
 IN, WRAPPER, STRICT, NEVER = range(4)
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
@@ -84,31 +99,53 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|[^<]+|<""",
     re.S,
 )
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 
 
-def _is_out(tag: str, attrs: str, in_article: bool) -> int:
-    """Whether an element never holds the text of an article, and how firmly."""
-    level = IN
+def _attributes(attrs: str) -> list[tuple[str, str]]:
+    return [(name.lower(), "".join(values)) for name, *values in _ATTRIBUTE.findall(attrs)]
+
+
+def _is_hidden(attrs: str) -> bool:
+    """Whether an element says that it isn't shown; most have no attribute that could."""
+    low = attrs.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    return any(name == "hidden" or name == "style" and _HIDING.search(value) for name, value in _attributes(attrs))
+
+
+def _is_out(tag: str, attrs: str, in_article: bool) -> tuple[int, bool]:
+    """Whether an element never holds the text of an article, and how firmly; else whether its name is suspect."""
+    level, suspect = IN, False
     if tag in OUT_TAGS or tag == "header" and not in_article:
         level = STRICT if tag in STRICT_TAGS else WRAPPER if tag in ("form", "fieldset", "header") else NEVER
     if attrs and tag not in ("html", "body"):
-        for name, *values in _NAMED.findall(attrs):
-            name, value = name.lower(), "".join(values)
+        if _is_hidden(attrs):
+            return NEVER, False
+        for name, value in _attributes(attrs):
             if name in ("class", "id") and tag not in ("main",) and not (in_article and value.lower() == "header"):
                 own = IGNORED.sub(" ", value)
                 if tag == "header" and level == WRAPPER and own != value and not OUT_NAMES.search(own):
                     level = IN
                 if in_article:
                     own = ARTICLE_IGNORED.sub(" ", own)
-                if OUT_NAMES.search(own):
-                    level = max(level, STRICT if STRICT_NAMES.search(own) else WRAPPER)
+                if tag in HEADINGS or tag in RUNNING and in_article:
+                    # Text of its own: the rules alone decide.
+                    suspect |= bool(tag in RUNNING and OWN_NAMES.search(own))
+                elif tag in RUNNING:
+                    level = max(level, WRAPPER if OWN_NAMES.search(own) else IN)
+                elif OUT_NAMES.search(own):
+                    if in_article and not DECIDING_NAMES.search(own):
+                        suspect = True
+                    else:
+                        level = max(level, STRICT if STRICT_NAMES.search(own) else WRAPPER)
             if name == "role" and value.lower() in OUT_ROLES:
                 level = max(level, WRAPPER if value.lower() in ("form", "search") else STRICT)
             if name == "aria-hidden" and value.lower() == "true":
                 level = max(level, STRICT)
-    return level
+    return level, suspect
 
 
 class _Out:
@@ -126,10 +163,10 @@ class _Out:
 
 
 class _Block:
-    __slots__ = ("parts", "linked", "heading", "article", "out")
+    __slots__ = ("parts", "linked", "heading", "article", "suspect", "out")
 
-    def __init__(self, heading: bool, article: bool, out: _Out | None):
-        self.parts, self.linked, self.heading, self.article, self.out = [], 0, heading, article, out
+    def __init__(self, heading: bool, article: bool, suspect: bool, out: _Out | None):
+        self.parts, self.linked, self.heading, self.article, self.suspect, self.out = [], 0, heading, article, suspect, out
 
 
 def _reach(outs: list[_Out], through: Callable[[_Out], bool]) -> None:
@@ -149,7 +186,7 @@ def _sums(outs: list[_Out], through: Callable[[_Out], bool], lifts: Callable[[_O
             o.parent.any |= o.any
 
 
-def _lift(rows: list[tuple[tuple[str, int, bool, bool], _Out | None]], outs: list[_Out]) -> None:
+def _lift(rows: list[tuple[tuple[str, int, bool, bool, bool], _Out | None]], outs: list[_Out]) -> None:
     """Mark the elements that are out by name but hold the article.
 
     That is a main element; an article, where no article's text is outside; or
@@ -187,25 +224,27 @@ def _lift(rows: list[tuple[tuple[str, int, bool, bool], _Out | None]], outs: lis
     _reach(outs, lifted)
 
 
-def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
-    """(text, characters in links, is a heading, is in an article) of each block kept."""
-    stack: list[tuple[str, _Out | None]] = []  # open containers, and whether they are out
+def blocks(page: str) -> Iterator[tuple[str, int, bool, bool, bool]]:
+    """(text, characters in links, is a heading, is in an article, has a suspect name) of each block kept."""
+    stack: list[tuple[str, _Out | None, bool]] = []  # open containers, whether they are out, or suspect
+    unclosed: set[str] = set()
     open_names: Counter[str] = Counter()
     outs: list[_Out] = []
     over: _Out | None = None
-    articles = links = never = 0
-    block = _Block(False, False, over)
+    articles = links = never = suspects = 0
+    block = _Block(False, False, False, over)
     found: list[_Block] = []
 
-    def new(heading: bool = False) -> None:
+    def new(heading: bool = False, suspect: bool = False) -> None:
         nonlocal block
         if block.parts:
             found.append(block)
-        block = _Block(heading, articles > 0, over)
+        block = _Block(heading, articles > 0, suspect or suspects > 0, over)
 
     def pop() -> None:
-        nonlocal over, articles, never
-        name, out = stack.pop()
+        nonlocal over, articles, never, suspects
+        name, out, suspect = stack.pop()
+        suspects -= suspect
         open_names[name] -= 1
         if out:
             over = out.parent
@@ -241,9 +280,10 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
                     pop()
             if tag in CONTAINERS:
                 if not ends:
-                    level = _is_out(tag, token["attrs"], articles > 0)
+                    level, suspect = _is_out(tag, token["attrs"], articles > 0)
                     out = _Out(over, level) if level else None
-                    stack.append((tag, out))
+                    suspects += suspect
+                    stack.append((tag, out, suspect))
                     open_names[tag] += 1
                     if out:
                         outs.append(out)
@@ -260,19 +300,25 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
                         pop()
                     pop()
                 links = 0
-            elif not ends and token["attrs"] and not never and _is_out(tag, token["attrs"], articles > 0):
+            leaf = _is_out(tag, token["attrs"], articles > 0) if tag not in CONTAINERS and not ends and token["attrs"] and not never else (IN, False)
+            if leaf[0]:
                 # A leaf block that is out ends at its own end tag or at the next block.
                 new()
                 nxt = re.compile(rf"</{tag}\b[^>]*>|<(?=(?:{'|'.join(sorted(BLOCKS))})\b)", re.I).search(page, at)
                 at = (nxt.end() if nxt[0].startswith("</") else nxt.start()) if nxt else len(page)
                 continue
-            new(tag in HEADINGS and not ends)
+            new(tag in HEADINGS and not ends, leaf[1])
+        elif token["attrs"] and not ends and tag not in _VOID and tag not in unclosed and _is_hidden(token["attrs"]):
+            at = _past(page, at, tag)
+            if at < 0:
+                at = token.end()
+                unclosed.add(tag)
     new()
     rows = []
     for b in found:
         text = " ".join("".join(b.parts).split())
         if text:
-            rows.append(((text, b.linked, b.heading, b.article), b.out))
+            rows.append(((text, b.linked, b.heading, b.article, b.suspect), b.out))
     if outs:
         _lift(rows, outs)
     for row, out in rows:
@@ -280,6 +326,16 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
             yield row
 
 
+def _past(page: str, at: int, tag: str) -> int:
+    """Where an inline element that is open ends, inner ones of its name included; -1 if it never does."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.end()
+    return -1
+
+
 def _linked(text: str, linked: int) -> bool:
     return linked > LINKS * len(text.replace(" ", ""))
 
@@ -289,23 +345,25 @@ def _stop_words(text: str) -> tuple[int, int]:
     return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words), len(words)
 
 
-def _is_unlisted(found: list[tuple[str, int, bool, bool]]) -> bool:
+def _is_unlisted(found: list[tuple[str, int, bool, bool, bool]]) -> bool:
     """Whether the stop words say nothing about a page whose text is outside article and main.
 
     A page in a listed language has a share of HIGH or more in its text as a whole.
     """
-    texts = [(text, article) for text, linked, _, article in found if not _linked(text, linked)]
+    texts = [(text, article) for text, linked, _, article, _ in found if not _linked(text, linked)]
     if 2 * sum(len(text) for text, article in texts if article) >= sum(len(text) for text, _ in texts):
         return False
     counts = [_stop_words(text) for text, _ in texts if len(text) + len(WIDE.findall(text)) >= SHORT]
     return sum(n for n, _ in counts) < HIGH * sum(n for _, n in counts)
 
 
-def _first_label(text: str, linked: int, heading: bool, article: bool, unlisted: bool = False) -> bool | None:
+def _first_label(text: str, linked: int, heading: bool, article: bool, suspect: bool = False, unlisted: bool = False) -> bool | None:
     """Good, bad, or None where a block alone doesn't tell."""
     size = len(text) + len(WIDE.findall(text)) if unlisted else len(text)
     if _linked(text, linked):
         return False
+    if suspect and not heading and size < SHORT:
+        return False
     if heading or size < SHORT:
         return False if linked and not article else None
     if unlisted:

@@ -2,19 +2,23 @@
 
 import collections
 import hashlib
+import html.parser
 import io
 import math
+import os
 import random
 import re
+import threading
 import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from chronoplane.llm import chat, counting, dedup, extraction, graph, mixing, packing, quality, search, sharding, warc
+from chronoplane.llm import chat, counting, dedup, extraction, graph, mixing, packing, quality, search, shared, sharding, warc
 from chronoplane.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +59,36 @@ def empty(spark, schema=SCHEMA):
     return spark.createDataFrame([], schema)
 
 
+# shared pieces
+
+
+def test_scopes_of_two_threads_are_apart(spark):
+    """The scope that ends first removes its own tables only."""
+    gate, made = threading.Barrier(2), {}
+
+    def run(name, waits):
+        with shared.passing(spark):
+            made[name] = shared.materialize(spark.range(3), name)
+            gate.wait(60)
+            if waits:
+                gate.wait(60)
+                made["rows"] = made[name].count()
+        if not waits:
+            gate.wait(60)
+
+    threads = [threading.Thread(target=run, args=x) for x in (("first", False), ("second", True))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert made["rows"] == 3
+
+
+@pytest.mark.parametrize("uri, path", [("file:///a/b", "/a/b"), ("/a/b", "/a/b"), ("file:/a/b", "/a/b"), ("dbfs:/a/b", "/dbfs/a/b")])
+def test_local_paths_by_any_name(uri, path):
+    assert shared.filesystem(uri)[1] == path
+
+
 # near-duplicates
 
 
@@ -239,8 +273,74 @@ def test_long_broken_pages_take_linear_time(page):
     assert time.perf_counter() - start < 5
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        (f'<article><p>{LONG}</p><p class="ad-free">{LONG}</p></article>', [LONG, LONG]),
+        (f'<article><p>{LONG}</p><p class="related-work">{LONG}</p></article>', [LONG, LONG]),
+        (f'<article><p>{LONG}</p><h2 id="search">Search algorithms</h2><p>{LONG}</p></article>', [LONG, "Search algorithms", LONG]),
+        (f'<article><p>{LONG}</p><section id="related-work"><h2>Related work</h2><p>{LONG}</p></section></article>', [LONG, "Related work", LONG]),
+        (f'<main><p>{LONG}</p><section id="menu"><p>{LONG}</p></section></main>', [LONG, LONG]),
+        (f'<h1 class="page-header">Title</h1><p>{LONG}</p><p>{LONG}</p>', ["Title", LONG, LONG]),
+        (f"<article><p>{LONG}</p><p hidden>{LONG}</p></article>", [LONG]),
+        (f'<article><p>{LONG}</p><div style="display : NONE"><p>{LONG}</p></div></article>', [LONG]),
+        (f'<article><p>{LONG} <span style="visibility:hidden">no <span>one</span> sees</span></p></article>', [LONG]),
+        (f"<article><p><span hidden>{LONG}</p></article>", [LONG]),
+        (f'<article><p title="hidden, display:none" data-hidden="1">{LONG}</p></article>', [LONG]),
+        # A menu, shares and short lines under a suspect name go by the rules; comments, adverts and lists of articles by their names.
+        (f'<main><p>{LONG}</p><div class="menu"><ul><li><a href="x">One</a></li><li>Two</li></ul></div><p>{LONG}</p></main>', [LONG, LONG]),
+        (f'<article><p>{LONG}</p><div class="post-comments"><p>{LONG}</p></div><div class="ad"><p>{LONG}</p></div><div class="related-posts"><p>{LONG}</p></div></article>', [LONG]),
+    ],
+)
+def test_names_need_support_in_an_article_and_hidden_text_goes(body, want):
+    assert extraction.main_text(f"<body>{body}</body>") == "\n\n".join(want)
+
+
+def test_ties_between_neighbours():
+    """Equally near a good and a bad block, an article's short block stays, another one goes."""
+    bad = '<p><a href="x">' + "link " * 30 + "</a></p>"
+    for tag, kept in (("article", True), ("div", False)):
+        page = f"<body><{tag}><p>{LONG}</p><p>Short.</p>{bad}</{tag}></body>"
+        assert extraction.main_text(page) == (f"{LONG}\n\nShort." if kept else LONG)
+
+
+class Reader(html.parser.HTMLParser):
+    """An article's blocks by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.blocks.append("")
+        self.handle_data(" " if tag == "br" else "")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "article"):
+            self.blocks.append("")
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_tables_pages_read_by_another_parser():
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables here")
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    for page in pages:
+        reader = Reader()
+        reader.feed(page or "")
+        assert extraction.main_text(page) == "\n\n".join(t for b in reader.blocks if (t := " ".join(b.split())))
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
+    clashing = extraction.extract(pages.selectExpr("*", "1 AS text", "2 AS n_chars"))
+    assert clashing.columns == ["page_id", "url", "text", "n_chars"] and clashing.count() == pages.count()
     out = extraction.extract(pages).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in out) == [(0, 0), (1, len(extraction.main_text(PAGE))), (1, len(extraction.main_text(PAGE)))]
     assert extraction.extract(empty(spark, "page_id long, url string, html string")).isEmpty()

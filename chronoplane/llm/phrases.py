@@ -120,7 +120,19 @@ class _Counts:
             found, n = self.merged()
             self.keys, self.counts, self.waiting, self.limit = [found], [n], len(found), 2 * len(found) + 4 * SLICE
 
+    def add_numbers(self, ids: np.ndarray) -> None:
+        """Single words, whose numbers are dense: counted in place; the end mark doesn't count."""
+        n = np.bincount(ids)
+        n[0] = 0
+        if not self.keys or len(self.counts[0]) < len(n):
+            held = self.counts[0] if self.keys else n[:0]
+            self.keys, self.counts = [np.arange(len(n))], [np.concatenate([held, np.zeros(len(n) - len(held), np.int64)])]
+        self.counts[0][: len(n)] += n
+
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) == 1:
+            met = self.counts[0] > 0
+            return self.keys[0][met], self.counts[0][met]
         if not self.keys:
             return np.array([], np.int64), np.array([], np.int64)
         keys, where = np.unique(np.concatenate(self.keys), return_inverse=True)
@@ -131,11 +143,13 @@ class _Buckets:
     """How often each bucket was met, up to ``least``."""
 
     def __init__(self, bits: int, least: int):
+        if not 1 <= bits <= 32:
+            raise ValueError("from 2 to 2 ** 32 buckets")
         self.least = least
         self.table = np.zeros(1 << bits, np.uint8 if least < 256 else np.uint32)
 
     def add(self, buckets: np.ndarray) -> None:
-        at, n = np.unique(buckets, return_counts=True)
+        at, n = np.unique(buckets.astype(np.uint32), return_counts=True)
         self.table[at] = np.minimum(self.table[at].astype(np.int64) + n, self.least)
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
@@ -191,8 +205,7 @@ class _Pass:
             self.hashes = np.array(self.vocabulary.hashes)
         h = self.hashes[ids]
         if self.m == 1:
-            own = ids[before:]
-            self.counts.add(own[own > 0])
+            self.counts.add_numbers(ids[before:])
             wanted = (ids[:-1] > 0) & (ids[1:] > 0)
             at = np.flatnonzero(wanted[max(0, before - 1) :]) + max(0, before - 1)
             self.buckets.add(mixed(h[at], h[at + 1]) >> self.shift)

@@ -259,7 +259,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies of each other.  A null doc_id is never a class's id unless all are
     null.  Other columns are ignored; an empty table gives no rows.
     """
-    return _report(_signed(docs)).select("doc_id", "class_id", "class_size", "kept")
+    with passing(docs.sparkSession) as made:
+        out = materialize(_report(_signed(docs)).select("doc_id", "class_id", "class_size", "kept"), "report")
+        made.pop()
+    return out
 
 
 def _signed(docs: DataFrame) -> DataFrame:

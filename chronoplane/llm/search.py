@@ -156,7 +156,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     row gets a list of its own.  Other columns are ignored.  A score must fit 64
     bits.
     """
-    usable = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    usable = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.monotonically_increasing_id().alias("uid"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = usable.where(F.coalesce(finite, F.lit(False)) & (F.size("embedding") > 0)).withColumn("dim", F.size("embedding"))
     asked = usable.where(F.col("vec_id") % every == 0)
@@ -168,7 +168,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
     def blocks(rows: DataFrame, side: int, number: str) -> DataFrame:
-        dealt = rows.join(counts, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col(number)))
+        dealt = rows.join(counts, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", "uid"), F.col(number))).drop("uid")
         packed = dealt.groupBy("dim", "block").applyInArrow(_pack_block(side), _BLOCK_SCHEMA)
         return packed.join(counts.withColumnRenamed("dim", "d"), F.col("dim") == F.col("d"))
 

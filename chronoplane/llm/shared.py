@@ -13,6 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +39,8 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
-_scopes: list[list[str]] = []
+#: The scopes open in this thread; queries in other threads have their own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -49,11 +51,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[list[str]]:
     """Remove the scratch tables written inside at the end; what is taken from the list stays."""
-    _scopes.append(made := [])
+    token = _scopes.set((*_scopes.get(), made := []))
     try:
         yield made
     finally:
-        _scopes.remove(made)
+        _scopes.reset(token)
         for path in made:
             _delete(spark, path)
 
@@ -64,8 +66,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     return path
 
 
@@ -78,7 +80,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path in the shared folder, and the path on it."""
+    """The file system of a path in the shared folder, and the path on it.
+
+    Local and mounted paths (``dbfs:/`` by its mount), ``hdfs``, ``viewfs``, ``gs`` and ``s3``, by
+    whatever name Hadoop has for the last.
+    """
+    uri = re.sub("^dbfs:/+", "/dbfs/", re.sub("^s3[an]:", "s3:", uri))
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + re.sub("^file:", "", uri))
 
 

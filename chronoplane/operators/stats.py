@@ -27,15 +27,17 @@ def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
     """
     counted = cumulative(df, [], value, split_points(df, value))
     ranks = counted.select(value, "n", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
-    whole = ranks.agg(F.sum("n").alias("total"), F.sum((F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double")).alias("ties"))
+    # Cubes of counts pass 64 bits from 2,097,152 on.
+    n = F.col("n").cast("double")
+    whole = ranks.agg(F.sum("n").alias("total"), F.sum(n * n * n - n).alias("ties"))
     held = df.join(ranks.select(value, "rank"), value).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum("rank").alias("rank_sum"))
     return held.crossJoin(F.broadcast(whole))
 
 
 def kruskal(sums: DataFrame, n_groups: int) -> DataFrame:
-    n = F.col("total")
+    n = F.col("total").cast("double")
     raw = 12 / (n * (n + 1)) * F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")) - 3 * (n + 1)
-    out = sums.groupBy("total", "ties").agg(raw.alias("raw")).withColumn("h", F.col("raw") / (1 - F.col("ties") / (n * n * n - n).cast("double")))
+    out = sums.groupBy("total", "ties").agg(raw.alias("raw")).withColumn("h", F.col("raw") / (1 - F.col("ties") / (n * n * n - n)))
     return out.select("total", "h", chi2_tail_even(F.col("h"), n_groups - 1).alias("p_value"))
 
 

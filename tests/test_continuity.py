@@ -336,3 +336,11 @@ def test_rank_tests_order_no_sample_in_one_task(spark):
     assert len(windows) >= 2 and sum("_r#" in line.split("windowspecdefinition")[1].split("specifiedwindowframe")[0] for line in windows) >= 2
     assert {r.g: (r.n, r.rank_sum) for r in stats.rank_sums(df, "g", "v").collect()} == {"a": (100, 10100.0), "b": (100, 10000.0)}
     assert {r.g: r.n for r in audit.distribution(df.unionByName(spark.createDataFrame([("c", None)], df.schema)), "g", "v").collect()} == {"a": 100, "b": 100, "c": 0}
+
+
+def test_rank_tests_pass_64_bits(spark):
+    df = spark.range(3_000_000).select((F.col("id") % 2).cast("string").alias("g"), F.when(F.col("id") < 2_500_000, 1.0).otherwise(2.0).alias("v"))
+    sums = stats.rank_sums(df, "g", "v")
+    assert {(r.total, r.ties) for r in sums.collect()} == {(3_000_000, float(2_500_000**3 - 2_500_000) + float(500_000**3 - 500_000))}
+    out = stats.kruskal(sums, 5).first()
+    assert out.total == 3_000_000 and abs(out.h) < 1e-6 and abs(out.p_value - 1) < 1e-6

@@ -395,8 +395,9 @@ def _scored(phrases: DataFrame, counts: DataFrame) -> DataFrame:
     n = F.size("words")
     cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), n - 1))).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALT)).cast("int"))
     cuts = cuts.withColumn("left", _slices(F.col("words"), F.lit(1), F.col("k"))).withColumn("right", _slices(F.col("words"), F.col("k") + 1, F.size("words") - F.col("k")))
-    # A very common word begins many phrases: each part is held once per salt.
-    held = counts.select("lang", "phrase", "a", F.explode(F.array(*map(F.lit, range(SALT)))).alias("salt"))
+    # A very common word begins many phrases: each part is held once per salt.  The planner knows the
+    # size of the files only, which says little about that of the rows, so it must not broadcast them.
+    held = counts.select("lang", "phrase", "a", F.explode(F.array(*map(F.lit, range(SALT)))).alias("salt")).hint("merge")
     for part, name in (("left", "l"), ("right", "r")):
         cuts = cuts.join(held.select("lang", "salt", F.col("phrase").alias(part), F.col("a").alias(name)), ["lang", "salt", part])
     exact = F.expr("(CAST(1000000 AS DECIMAL(7, 0)) * (CAST(a AS DECIMAL(15, 0)) * CAST(a AS DECIMAL(15, 0)))) DIV (CAST(l AS DECIMAL(15, 0)) * CAST(r AS DECIMAL(15, 0)))")
@@ -404,6 +405,14 @@ def _scored(phrases: DataFrame, counts: DataFrame) -> DataFrame:
     return lowest.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").cast("long").alias("score"))
 
 
+def _apart(scored: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The scored phrases that don't lie inside a longer one of at least half their frequency."""
+    # The most frequent longer phrase decides whether what lies inside it goes.
+    inner = phrases.where(F.size("words") > 2).withColumn("m", F.explode(F.expr("sequence(2, size(words) - 1)"))).withColumn("at", F.explode(F.expr("sequence(1, size(words) - m + 1)")))
+    inner = inner.groupBy("lang", _slices(F.col("words"), F.col("at"), F.col("m")).alias("phrase")).agg(F.max("a").alias("longer"))
+    return scored.join(inner.hint("merge"), ["lang", "phrase"], "left").where("longer IS NULL OR 100 * longer < 50 * a").drop("longer")
+
+
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, bits: int = BITS) -> DataFrame:
     """The ``top`` collocations of each language: lang, rank, phrase, a, l, r, n, score.
 
@@ -423,16 +432,11 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         for table in tables[2:]:
             phrases = phrases.unionByName(table)
         phrases = phrases.withColumn("words", F.split("phrase", " "))
-        scored = _scored(phrases, counts)
-        # The most frequent longer phrase decides whether what lies inside it goes.
-        size = F.size("words")
-        inner = phrases.where(size > 2).withColumn("m", F.explode(F.expr("sequence(2, size(words) - 1)"))).withColumn("at", F.explode(F.expr("sequence(1, size(words) - m + 1)")))
-        inner = inner.groupBy("lang", _slices(F.col("words"), F.col("at"), F.col("m")).alias("phrase")).agg(F.max("a").alias("longer"))
-        kept = scored.join(inner, ["lang", "phrase"], "left").where("longer IS NULL OR 100 * longer < 50 * a")
+        kept = _apart(_scored(phrases, counts), phrases)
         # A language may hold most phrases: each part of it ranks its own first.
         order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
         part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(16))).orderBy(*order)
-        best = kept.withColumn("own", F.row_number().over(part)).where(F.col("own") <= top).drop("own", "longer")
+        best = kept.withColumn("own", F.row_number().over(part)).where(F.col("own") <= top).drop("own")
         ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
         out = materialize(ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
         scope.pop()

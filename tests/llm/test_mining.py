@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoplane.llm import ann, merkle, phrases
 
@@ -81,6 +82,19 @@ def test_scores_are_exact_beyond_64_bits(spark):
     assert phrases._scored(pair, counts).first()["score"] == 1000000 * (3 * 10**12 + 1) ** 2 // (20 * 10**24)
 
 
+def test_phrase_tables_are_not_broadcast(spark, tmp_path):
+    """However small their files are; the driver would hold each phrase eight times."""
+    rows = [("en", w, 10) for w in ("a", "b", "a b", "b a", "a b a")]
+    spark.createDataFrame(rows, "lang string, phrase string, a long").write.parquet(str(tmp_path / "counts"))
+    counts = spark.read.parquet(str(tmp_path / "counts"))
+    found = counts.where("phrase LIKE '% %'").withColumn("words", F.split("phrase", " "))
+    kept = phrases._apart(phrases._scored(found, counts), found)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1e6
+    assert kept.collect()[0].phrase == "a b a"
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 3 and "Broadcast" not in plan
+
+
 def test_no_documents_no_phrases(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA), bits=10).collect() == []
     assert phrases.collocations(spark.createDataFrame([(1, None, None, None, None, None, None, None, None)], SCHEMA), bits=10).collect() == []

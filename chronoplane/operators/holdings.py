@@ -141,11 +141,12 @@ def resolve_listing(asked: DataFrame, renames: DataFrame, symbol: str, day: str,
 
     Of the renames into a symbol that take effect after the day and are known at
     ``asof`` the last one counts, and it must be a pure rename; a rename that isn't
-    known yet, where none is known, leaves the symbol unresolved.
+    known yet, where none is known, leaves the symbol unresolved.  Of several that
+    take effect and became known together that of the greatest old symbol counts, longer ones being greater.
     """
     links = renames.select("old_symbol", F.col("new_symbol").alias("_new"), "effective_date", F.col("known_at").alias("_known"), "identity_type")
     hit = asked.join(links, (F.col(symbol) == F.col("_new")) & (F.col("effective_date") > F.col(day)), "left")
-    seen = F.when(F.col("_known") <= asof, F.struct("effective_date", "_known"))
+    seen = F.when(F.col("_known") <= asof, F.struct("effective_date", "_known", F.length("old_symbol").alias("_length"), "old_symbol"))
     out = hit.groupBy(*asked.columns).agg(F.max_by(F.struct("old_symbol", "identity_type"), seen).alias("_r"), F.count("_new").alias("_n"))
     status = F.when(F.col("_n") == 0, "unchanged").when(F.col("_r").isNull(), "not_visible").when(F.col("_r.identity_type") != "pure_rename", "not_bridgeable").otherwise("renamed")
     out = out.withColumn("status", status)

@@ -46,6 +46,14 @@ def test_rename_sends_new_symbol_back(spark):
     assert {r.status for r in merged.collect()} == {"not_bridgeable", "unchanged"}
 
 
+def test_renames_of_one_day_have_an_order(spark):
+    asked = spark.createDataFrame([("NEW", D(2024, 1, 30))], "symbol string, day date")
+    links = [(old, "NEW", D(2024, 2, 1), D(2024, 1, 31), "pure_rename") for old in ("OLD8330", "OLD58730", "OLD14630", "OLD2030")]
+    for rows in (links, links[::-1]):
+        df = spark.createDataFrame(rows, "old_symbol string, new_symbol string, effective_date date, known_at date, identity_type string").coalesce(1)
+        assert [r.listed_as for r in holdings.resolve_listing(asked, df, "symbol", "day", F.lit("2024-03-01").cast("date")).collect()] == ["OLD58730"]
+
+
 def test_latest_vintage_flavours_differ(spark):
     facts = spark.createDataFrame([("x", 1, 10, 5.0), ("x", 1, 20, 6.0)], "k string, day int, known int, v double")
     asof = F.lit(15)

@@ -44,3 +44,22 @@ def compact_timestamp(text: Column) -> Column:
 def safe_number(x: Column) -> Column:
     """Not-a-number and infinities become null."""
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None).cast("double")).otherwise(x)
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """The number with so many decimals, up to 8, as C's printf writes it.
+
+    The binary value itself is rounded, exact ties to even; Java's formatter rounds
+    the shortest decimal that stands for it, which may lie on the other side of a half.
+    """
+    size = F.abs(x)
+    whole = F.floor(size)
+    # 62 binary digits of the fraction: all of them, unless the number is below 2 ** -9.
+    part = ((size - whole) * float(1 << 62)).cast("long").cast("decimal(19,0)") * F.lit(10**digits).cast("decimal(9,0)")
+    unit = F.lit(1 << 62).cast("decimal(19,0)")
+    low = F.call_function("div", part, unit)
+    twice = (part - low.cast("decimal(9,0)") * unit) * F.lit(2).cast("decimal(1,0)")
+    units = low + ((twice > unit) | ((twice == unit) & (low % 2 == 1))).cast("long")
+    full = F.lit(10**digits)
+    text = F.concat(F.when(x < 0, "-").otherwise(""), (whole + F.when(units == full, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((units % full).cast("string"), digits, "0"))
+    return F.when(size < float(1 << 53), text).when(x.isNotNull(), F.printf(F.lit(f"%.{digits}f"), x))

@@ -104,9 +104,10 @@ def log_factor_index(actions: DataFrame, key: str, day: str, factor: str) -> Dat
     """Cumulative sum of log factors per key and effective day.
 
     The product over (a, b] is the difference of two as-of reads of this index,
-    so no pair of price and action is ever formed.
+    so no pair of price and action is ever formed.  Sums are decimals of 20 places, so
+    a difference has no error of the history before it.
     """
-    daily = actions.groupBy(key, day).agg(F.sum(F.log(factor)).alias("log_factor"))
+    daily = actions.groupBy(key, day).agg(F.sum(F.log(factor).cast("decimal(28,20)")).alias("log_factor"))
     upto = Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
     return daily.select(key, day, F.sum("log_factor").over(upto).alias("cum"))
 
@@ -117,16 +118,16 @@ def adjustment_factor(prices: DataFrame, actions: DataFrame, key: str, day: str,
     start = asof_backward(prices, index, key, day, ["cum"]).withColumnRenamed("cum", "_c0").drop(f"matched_{day}")
     ends = start.withColumnsRenamed({day: "_day", end_day: day})
     done = asof_backward(ends, index, key, day, ["cum"]).drop(f"matched_{day}").withColumnsRenamed({day: end_day, "_day": day})
-    return done.withColumn("factor", F.exp(F.coalesce("cum", F.lit(0.0)) - F.coalesce("_c0", F.lit(0.0)))).drop("cum", "_c0")
+    return done.withColumn("factor", F.exp((F.coalesce("cum", F.lit(0)) - F.coalesce("_c0", F.lit(0))).cast("double"))).drop("cum", "_c0")
 
 
 def adjusted_window(prices: DataFrame, actions: DataFrame, key: str, day: str, price: str, factor: str, n: int) -> DataFrame:
     """The last n prices up to each day, all on that day's basis; days with fewer are absent."""
     index = log_factor_index(actions, key, day, factor)
-    based = asof_backward(prices.select(key, day, price), index, key, day, ["cum"]).withColumn("c", F.coalesce("cum", F.lit(0.0)))
+    based = asof_backward(prices.select(key, day, price), index, key, day, ["cum"]).withColumn("c", F.coalesce("cum", F.lit(0)))
     last = Window.partitionBy(key).orderBy(day).rowsBetween(-(n - 1), 0)
     held = based.withColumn("w", F.collect_list(F.struct(F.col(price).alias("p"), "c")).over(last)).where(F.size("w") == n)
-    return held.select(key, day, F.transform("w", lambda x: x["p"] * F.exp(F.col("c") - x["c"])).alias("window"))
+    return held.select(key, day, F.transform("w", lambda x: x["p"] * F.exp((F.col("c") - x["c"]).cast("double"))).alias("window"))
 
 
 def fixture_close(bars: DataFrame, price: str, factor: str) -> DataFrame:
@@ -159,13 +160,13 @@ def ledger_window(asked: DataFrame, prices: DataFrame, actions: DataFrame, renam
     direct = prices.select(F.col("symbol").alias("ticker"), "symbol", "day", "raw")
     own = direct.unionByName(old.join(direct.select("ticker", "day"), ["ticker", "day"], "left_anti"))
     index = log_factor_index(actions, "symbol", "day", "factor")
-    based = asof_backward(own, index, "symbol", "day", ["cum"]).withColumn("c", F.coalesce("cum", F.lit(0.0)))
+    based = asof_backward(own, index, "symbol", "day", ["cum"]).withColumn("c", F.coalesce("cum", F.lit(0)))
     last = Window.partitionBy("ticker").orderBy("day").rowsBetween(-(n - 1), 0)
     held = based.select("ticker", "day", F.collect_list(F.struct("day", "symbol", "raw", "c")).over(last).alias("w"))
     found = asof_backward(asked.withColumnRenamed("end_day", "day"), held, "ticker", "day", ["w"]).select("ticker", F.col("day").alias("end_day"), "w").where("w IS NOT NULL")
     each = found.select("ticker", "end_day", F.size("w").alias("n"), F.explode("w").alias("x")).select("ticker", "end_day", "n", F.col("x.day").alias("_day"), "x.symbol", "x.raw", "x.c")
     ends = asof_backward(each.withColumnRenamed("end_day", "day"), index, "symbol", "day", ["cum"])
-    price = F.col("raw") * F.exp(F.coalesce("cum", F.lit(0.0)) - F.col("c"))
+    price = F.col("raw") * F.exp((F.coalesce("cum", F.lit(0)) - F.col("c")).cast("double"))
     rows = ends.groupBy("ticker", F.col("day").alias("end_day"), "n").agg(F.array_sort(F.collect_list(F.struct("_day", "symbol", price.alias("price")))).alias("_w"))
     full = F.col("n") == n
     return rows.select("ticker", "end_day", F.when(full, "ok").otherwise("insufficient_history").alias("status"), F.when(full, F.transform("_w", lambda x: F.struct(x["symbol"].alias("symbol"), x["price"].alias("price")))).alias("window"))

@@ -159,7 +159,7 @@ def _windows_sql(value: str) -> str:
 
 
 def _windows(df):
-    text = F.when(F.col("status") == "ok", F.array_join(F.transform("window", lambda v: F.printf(F.lit("%.6f"), v)), ","))
+    text = F.when(F.col("status") == "ok", F.array_join(F.transform("window", lambda v: scalars.fixed(v, 6)), ","))
     return df.select("ticker", "day", "status", text.alias("window_text"))
 
 
@@ -198,5 +198,5 @@ def adjusted_window_ledger(spark, sf_dir):
     actions = v.where(F.col("known_at") <= asof).select(symbol.alias("symbol"), "day", F.when(F.col("l_discount") > 0.08, 1 - F.col("l_discount")).otherwise(1.0).alias("factor"))
     asked = prices.select(F.col("symbol").alias("ticker"), F.date_add(F.trunc("day", "month"), 14).alias("end_day")).distinct()
     out = pit.ledger_window(asked, prices.select("symbol", "day", F.col("value").alias("raw")), actions, renames, 4)
-    text = F.when(F.col("status") == "ok", F.array_join(F.transform("window", lambda x: F.concat(x["symbol"], F.lit(":"), F.printf(F.lit("%.8f"), x["price"]))), ","))
+    text = F.when(F.col("status") == "ok", F.array_join(F.transform("window", lambda x: F.concat(x["symbol"], F.lit(":"), scalars.fixed(x["price"], 8))), ","))
     return out.select("ticker", "end_day", "status", text.alias("window_text"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoplane.functions import canonical
+from chronoplane.functions import canonical, scalars
 from chronoplane.functions import recursions as rec
 from chronoplane.operators import audit, cycles, holdings, micro, pit, policy, portfolio, risk, stats, timeaxis
 from chronoplane.operators.folds import run_fold
@@ -35,6 +35,22 @@ def test_adjusted_window_chains_factors(spark):
     assert row.window == pytest.approx([220.0, 56.1, 50.0])
 
 
+def test_fixed_rounds_the_binary_value(spark):
+    values = [0.15, 0.125, 0.375, 2.5, 1e-9, 0.999999996, 53661.685168955, 37136.093671845, -1.5, 1e15 + 0.5, 12345.123456785, 3.0]
+    for digits in (1, 2, 8):
+        got = spark.createDataFrame([(v,) for v in values], "x double").select("x", scalars.fixed(F.col("x"), digits).alias("t")).collect()
+        assert [r.t for r in got] == [f"{r.x:.{digits}f}" for r in got]
+    assert spark.createDataFrame([(None,)], "x double").select(scalars.fixed(F.col("x"), 8)).first()[0] is None
+
+
+def test_factors_do_not_depend_on_the_history(spark):
+    """The factor of one action is the same after a thousand others."""
+    old = [("x", D(2000, 1, 1) + dt.timedelta(i), [0.9, 0.91][i % 2]) for i in range(1000)]
+    prices = spark.createDataFrame([("x", D(2024, 1, 2), 100.0), ("x", D(2024, 1, 3), 50.0)], "k string, day date, p double")
+    run = lambda more: pit.adjusted_window(prices, spark.createDataFrame([*more, ("x", D(2024, 1, 3), 0.91)], "k string, day date, f double"), "k", "day", "p", "f", 2).first().window
+    assert run(old) == run([])
+
+
 def test_rename_sends_new_symbol_back(spark):
     asked = spark.createDataFrame([("NEW", D(2024, 1, 30)), ("NEW", D(2024, 2, 2))], "symbol string, day date")
     links = spark.createDataFrame([("OLD", "NEW", D(2024, 2, 1), D(2024, 1, 31), "pure_rename")], "old_symbol string, new_symbol string, effective_date date, known_at date, identity_type string")

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoplane.functions.recursions import SmoothedWeights
-from chronoplane.operators.folds import run_fold
+from chronoplane.functions.recursions import decay
 from chronoplane.operators.rolling import logistic, weighted_median
 
 
@@ -106,15 +105,54 @@ def common_concentration(held: DataFrame, day: str, member: str) -> DataFrame:
     than two members or returns, or a member without spread, give null.
     """
     pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.when(b["ordinal"] - a["ordinal"] == 1, F.struct(b["ordinal"].alias("o"), (b["price"] / a["price"] - 1).alias("r"))))
-    sizes = held.groupBy(day).agg(F.count(F.lit(1)).alias("_m"), F.sum("v").alias("_total"))
-    rows = held.join(sizes.where("_m > 1"), day).select(day, member, "_m", (F.col("v") / (F.col("_total") + 1e-12)).alias("_share"), F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("x"))
-    shared = rows.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(day, "x.o"))).where("_k = _m")
-    own = Window.partitionBy(day, member)
-    z = shared.withColumns({"_mean": F.avg("x.r").over(own), "_sd": F.stddev_samp("x.r").over(own)})
-    z = z.withColumn("_z", F.col("_share") * (F.col("x.r") - F.col("_mean")) / F.nullif("_sd", F.lit(0.0)))
-    total = z.groupBy(day, "x.o").agg(F.when(F.count("_z") == F.count(F.lit(1)), F.sum("_z")).alias("_z")).groupBy(day).agg(F.when((F.count("_z") == F.count(F.lit(1))) & (F.count("_z") > 1), F.var_samp("_z")).alias("_v"))
-    squares = held.join(sizes, day).groupBy(day).agg(F.sum(F.pow(F.col("v") / (F.col("_total") + 1e-12), 2)).alias("_s"))
-    return total.join(squares, day).select(day, ((F.col("_v") - F.col("_s")) / (1 - F.col("_s") + 1e-12)).alias("c"))
+    rows = held.select(day, "v", F.filter(pairs, lambda x: x.isNotNull()).alias("_x"))
+    total = F.col("_total") + 1e-12
+    sizes = held.groupBy(day).agg(F.count(F.lit(1)).alias("_m"), F.sum("v").alias("_total"), F.sum(F.col("v") * F.col("v")).alias("_squares"))
+    # One short row per day: what all its members have.  A member's returns never leave its row.
+    met = rows.select(day, F.explode("_x.o").alias("_o")).groupBy(day, "_o").agg(F.count(F.lit(1)).alias("_k"))
+    common = met.join(sizes.where("_m > 1"), day).where("_k = _m").groupBy(day, "_total", "_squares").agg(F.collect_set("_o").alias("_os")).where(F.size("_os") > 1)
+    own = rows.join(F.broadcast(common), day).withColumn("_x", F.filter("_x", lambda x: F.array_contains("_os", x["o"])))
+    # Measured from the first return, so that equal ones have no spread at all.
+    first, n = F.get("_x", F.lit(0))["r"], F.size("_x")
+    own = own.withColumn("_mean", first + F.aggregate(F.transform("_x", lambda x: x["r"] - first), F.lit(0.0), lambda acc, r: acc + r) / n)
+    own = own.withColumn("_sd", F.sqrt(F.aggregate("_x", F.lit(0.0), lambda acc, x: acc + (x["r"] - F.col("_mean")) * (x["r"] - F.col("_mean"))) / (n - 1)))
+    z = own.select(day, (F.col("v") / total / F.nullif("_sd", F.lit(0.0))).alias("_scale"), "_mean", F.explode("_x").alias("x"))
+    z = z.groupBy(day, "x.o").agg(F.count_if(F.col("_scale").isNull() | F.col("x.r").isNull()).alias("_lost"), F.sum(F.col("_scale") * (F.col("x.r") - F.col("_mean"))).alias("_z"))
+    spread = z.groupBy(day).agg(F.when(F.sum("_lost") == 0, F.var_samp("_z")).alias("_v")).join(F.broadcast(common), day)
+    squares = F.col("_squares") / (total * total)
+    return spread.select(day, ((F.col("_v") - squares) / (1 - squares + 1e-12)).alias("c"))
+
+
+def smoothed_panel(ages: DataFrame, changes: DataFrame, member: str, weight: str, half_life: float = 5) -> tuple[DataFrame, DataFrame]:
+    """``ages`` with v, its lagged smoothed weight, and the days on which a known member is absent.
+
+    The recursion of ``SmoothedWeights``, whose rule days are the ``changes`` of all
+    members, in closed form: between two presences a weight only decays, by the number
+    of days that are no rule days.  Absent days have (ordinal, v, away), the days since
+    the last presence.  Sums are scaled by blocks of days, so that a history of any
+    length stays within a double; beyond three blocks a weight is below the least one.
+    """
+    rate, kept, block = 1 / half_life, decay(half_life), int(400 * half_life)
+    by_day = Window.partitionBy(F.lit(0)).orderBy("ordinal")
+    steps = changes.select("ordinal", F.when(~F.col("changed") & (F.col("ordinal") > 1), 1).otherwise(0).alias("_moves"))
+    # One row per day, as in the changes.
+    steps = steps.withColumn("_k", F.sum("_moves").over(by_day.rowsBetween(Window.unboundedPreceding, 0)))
+    steps = steps.select("ordinal", "_k", F.coalesce(F.lead("_moves").over(by_day), F.lit(0)).alias("_moves"), F.max("ordinal").over(Window.partitionBy(F.lit(0))).alias("_end"))
+    faded = lambda days: F.pow(F.lit(2.0), -rate * days)
+    own = Window.partitionBy(member, "_block").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda n: Window.partitionBy(member).orderBy("_block").rangeBetween(-n, -n)
+    rows = ages.join(F.broadcast(steps), "ordinal").withColumn("_block", F.floor(F.col("_k") / block))
+    since = F.col("_k") - F.col("_block") * block
+    rows = rows.withColumn("_w", F.coalesce(weight, F.lit(0.0)) * F.col("_moves")).withColumn("_t", F.col("_w") / faded(since + 1))
+    rows = rows.withColumns({"_s0": F.coalesce(F.sum("_t").over(own), F.lit(0.0)), **{f"_s{n}": F.coalesce(F.sum("_t").over(earlier(n)), F.lit(0.0)) for n in (1, 2)}})
+    rows = rows.withColumn("v", (1 - kept) * (F.col("_s0") + F.col("_s1") * 2.0 ** (-rate * block) + F.col("_s2") * 2.0 ** (-2 * rate * block)) * faded(since))
+    after = F.col("v") * faded(F.col("_moves")) + (1 - kept) * F.col("_w")
+    upto = F.coalesce(F.lead("ordinal").over(Window.partitionBy(member).orderBy("ordinal")) - 1, F.col("_end"))
+    gaps = rows.select("ordinal", (F.col("_k") + F.col("_moves")).alias("_from"), after.alias("_v"), upto.alias("_upto")).where("_upto > ordinal")
+    gaps = gaps.select("ordinal", "_from", "_v", F.explode(F.sequence(F.col("ordinal") + 1, "_upto")).alias("_o"))
+    gaps = gaps.join(F.broadcast(steps.select(F.col("ordinal").alias("_o"), "_k")), "_o")
+    absent = gaps.select(F.col("_o").alias("ordinal"), (F.col("_v") * faded(F.col("_k") - F.col("_from"))).alias("v"), (F.col("_o") - F.col("ordinal")).alias("away"))
+    return rows.select(*ages.columns, "v"), absent
 
 
 def daily_frame(panel: DataFrame, day: str, member: str, price: str, weight: str, young: int = 20, old: int = 60, grace: int = 3) -> DataFrame:
@@ -127,14 +165,14 @@ def daily_frame(panel: DataFrame, day: str, member: str, price: str, weight: str
     """
     ages = member_ages(panel, day, member, grace)
     changes = membership_changes(ages, day, member)
-    grid = dense(panel, day, member, weight).join(changes, day)
-    smooth = run_fold(grid, member, day, SmoothedWeights, [weight, "changed"], "v double", keep=["ordinal"])
-    away = in_grace(ages, member, grace).join(smooth.select(member, "ordinal", "v"), [member, "ordinal"]).groupBy("ordinal").agg(F.sum(F.coalesce("v", F.lit(0.0))).alias("_lost"), F.count(F.lit(1)).alias("_away"))
+    present, absent = smoothed_panel(ages, changes, member, weight)
+    away = absent.where(F.col("away") <= grace).groupBy("ordinal").agg(F.sum("v").alias("_lost"), F.count(F.lit(1)).alias("_away"))
     # A member is in the ranking from its first lagged weight on.
-    fifth = smooth.where("v > 0").groupBy("ordinal").agg(F.get(F.sort_array(F.collect_list("v"), asc=False), F.lit(4)).alias("_fifth"))
+    place = F.row_number().over(Window.partitionBy("ordinal").orderBy(F.desc("v")))
+    ranked = present.select("ordinal", "v").unionByName(absent.select("ordinal", "v")).where("v > 0").withColumn("_place", place)
+    fifth = ranked.where("_place <= 5").where("_place = 5").select("ordinal", F.col("v").alias("_fifth"))
     last = lambda n: Window.partitionBy(member).orderBy("ordinal").rowsBetween(-(n - 1), 0)
-    held = ages.withColumns({"_ma": F.avg(price).over(last(young)), "w": F.collect_list(F.struct("ordinal", F.col(price).alias("price"))).over(last(old))})
-    held = held.join(smooth.select(member, "ordinal", "v").where("v > 0"), [member, "ordinal"])
+    held = present.withColumns({"_ma": F.avg(price).over(last(young)), "w": F.collect_list(F.struct("ordinal", F.col(price).alias("price"))).over(last(old))}).where("v > 0")
     b = held.where(F.col("age") >= young).groupBy(day).agg(F.sum("v").alias("_t"), F.sum(F.when(F.col(price) > F.col("_ma"), F.col("v")).otherwise(0.0)).alias("_u"))
     raw = 1 - F.col("_u") / (F.col("_t") + 1e-12)
     b = b.select(day, F.when(F.col("_t") > 1e-12, F.when(F.abs(raw) <= 1e-10, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)))).alias("b"))

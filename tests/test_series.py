@@ -303,3 +303,38 @@ def test_tail_approximation(spark):
     zs = [0.0, 0.5, 1.96, 4.0]
     got = [r[0] for r in spark.createDataFrame([(z,) for z in zs], "z double").select(risk.normal_tail(F.col("z"))).collect()]
     assert got == pytest.approx([math.erfc(z / math.sqrt(2)) for z in zs], abs=2e-7)
+
+
+@pytest.mark.parametrize("half_life", [5, 0.05])
+def test_smoothed_panel_is_the_recursion(spark, half_life):
+    """Present and absent days, several blocks of days, and no cell for a day before a member's first."""
+    rng = np.random.default_rng(3)
+    rows = [(i, m, 1.0, float(rng.uniform(0.1, 1))) for i in range(1, 80) for m in range(4) if not (m == 1 and i % 17 in (3, 4)) and not (m == 2 and i < 9) and not (m == 3 and i > 50)]
+    df = spark.createDataFrame(rows, "day int, m int, price double, weight double")
+    ages = micro.member_ages(df, "day", "m")
+    changes = micro.membership_changes(ages, "day", "m")
+    grid = micro.dense(df, "day", "m", "weight").join(changes, "day")
+    want = {(r.m, r.ordinal): r.v for r in run_fold(grid, "m", "day", lambda: rec.SmoothedWeights(half_life), ["weight", "changed"], "v double", keep=["ordinal"]).collect()}
+    present, absent = micro.smoothed_panel(ages, changes, "m", "weight", half_life)
+    got = {(r.m, r.ordinal): r.v for r in present.collect()}
+    assert len(got) == len(rows)
+    for k, v in got.items():
+        assert v == pytest.approx(want[k] or 0.0, rel=1e-9, abs=1e-300)
+    gone = sorted((r.ordinal, r.v) for r in absent.collect())
+    first = {m: min(i for i, k, *_ in rows if k == m) for m in range(4)}
+    lost = sorted((o, v or 0.0) for (m, o), v in want.items() if (m, o) not in got and o > first[m])
+    assert [o for o, _ in gone] == [o for o, _ in lost] and [v for _, v in gone] == pytest.approx([v for _, v in lost], rel=1e-9, abs=1e-300)
+    assert not any("Python" in x for x in present._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_common_concentration_is_that_of_the_pairs(spark):
+    rng = np.random.default_rng(4)
+    prices = rng.uniform(1, 2, (3, 8))
+    held = [(1, m, [0.5, 0.3, 0.4][m], [(o, float(prices[m, o])) for o in range(8) if (m, o) != (1, 4)]) for m in range(3)] + [(2, m, 0.5, [(o, 2.0**o) for o in range(5)]) for m in range(2)] + [(3, 0, 0.5, [(0, 1.0), (1, 2.0), (2, 1.0)])]
+    df = spark.createDataFrame(held, "day int, m int, v double, w array<struct<ordinal:int, price:double>>")
+    got = {r.day: r.c for r in micro.common_concentration(df, "day", "m").collect()}
+    # Member 1 has no returns on days 4 and 5, so nobody's count there.
+    r = np.array([[p[o] / p[o - 1] - 1 for o in (1, 2, 3, 6, 7)] for p in prices])
+    w = np.array([0.5, 0.3, 0.4]) / 1.2
+    rho = np.corrcoef(r) - np.eye(3)
+    assert got[1] == pytest.approx(w @ rho @ w / (1 - w @ w)) and got[2] is None and got.get(3) is None
